@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import table
 
 
+def op1_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.toxicity import score_toxicity
+
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"), F.transform("offending", lambda x: x["number"]).alias("offending_sentences"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.quality_rules import quality_rules
 
@@ -23,12 +30,34 @@ def op3_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.encode(F.coalesce("clean_text", F.lit("")), "UTF-8"))
+    return out.select("doc.doc_id", F.size("deleted").alias("n_deleted_lines"), F.array_join("deleted", ",").alias("deleted_lines"), F.octet_length("clean_text").alias("clean_bytes"), crc.alias("clean_crc32"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.sentencepiece_codec import decode, encode
+
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    crc = F.crc32(F.encode(F.array_join("pieces", ","), "UTF-8"))
+    return out.select("doc_id", F.octet_length("text").alias("n_bytes"), F.size("pieces").alias("n_pieces"), crc.alias("pieces_crc32"), (F.col("text") == F.col("decoded")).alias("round_trip"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.quality_crf import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.sharding import interleaved_shards
 
@@ -50,6 +79,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_kd_tree_search, op6_token_counts, op8_interleaved_shards, op9_minhash_near_dedup, op10_mix_sources)
+    for f in (
+        op1_mil_toxicity,
+        op2_quality_rules,
+        op3_kd_tree_search,
+        op4_line_dedup,
+        op5_sentencepiece,
+        op6_token_counts,
+        op7_crf_quality,
+        op8_interleaved_shards,
+        op9_minhash_near_dedup,
+        op10_mix_sources,
+    )
 }
 ORACLE: dict[str, str] = {}
