@@ -66,3 +66,17 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def carried(docs: DataFrame) -> list[Column]:
+    """The input's columns under names that clash with none of the operators' own."""
+    return [F.col(f"`{c}`").alias(f"_doc{k}") for k, c in enumerate(docs.columns)]
+
+
+def restored(docs: DataFrame) -> Column:
+    """The carried columns as one struct `doc` under their own names; what is not used of it is pruned."""
+    return F.struct(*[F.col(f"_doc{k}").alias(c) for k, c in enumerate(docs.columns)]).alias("doc")
+
+
+def carried_text(docs: DataFrame, text: str) -> Column:
+    return F.col(f"_doc{docs.columns.index(text)}")

@@ -14,7 +14,7 @@ Only hashes travel to the pairs; texts meet the deletions once, in an equi-join
 Cases: null and empty texts, and lines without a word, are never touched; rows without id are returned as they
 are; of rows that share an id the text with the smallest hash takes part, the others are returned as they are;
 a document all of whose lines are deleted has an empty text; an empty table gives an empty result; the input's
-own columns travel in a struct and may have any names.
+own columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import prepare, stage
+from tidewater.llm.common import carried, carried_text, prepare, restored, stage
 
 MIN_WORDS = 50
 _FAR = 1 << 30
@@ -184,11 +184,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     """One row per input row: `doc` (the row as a struct), clean_text and deleted (numbers of its lines among those with a word)."""
     prepare(docs.sparkSession)
     gone = stage(deletions(docs, min_words, id_column, text), "deletions")
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text).alias("_t"))
+    body = carried_text(docs, text)
+    rows = docs.select(*carried(docs), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text).alias("_t"))
     rows = rows.join(gone.withColumnsRenamed({"_id": "_i", "_t": "_u"}), (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
-    lines = F.split(F.col("doc")[text], "\n")
+    lines = F.split(body, "\n")
     worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda x: x.isNotNull())
     out = F.get(F.transform(F.array(worded), lambda w: F.transform("_gone", lambda g: F.get(w, g))), F.lit(0))
     kept = F.get(F.transform(F.array(out), lambda o: F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(o, i), x)), lambda x: x.isNotNull())), F.lit(0))
-    clean = F.when(F.col("_gone").isNull(), F.col("doc")[text]).otherwise(F.array_join(kept, "\n"))
-    return rows.select("doc", clean.alias("clean_text"), F.coalesce(F.array_sort("_gone"), F.array().cast("array<int>")).alias("deleted"))
+    clean = F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    return rows.select(restored(docs), clean.alias("clean_text"), F.coalesce(F.array_sort("_gone"), F.array().cast("array<int>")).alias("deleted"))
