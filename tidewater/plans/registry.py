@@ -1,10 +1,12 @@
-"""Name to query function, and name to the equivalent SQL."""
+"""All queries by name, and the equivalent SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from tidewater.plans.base import ORACLE, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+for _name in ("text_queries", "manifest_queries", "relational_queries", "series_queries", "alignment_queries", "speaker_queries", "stream_queries"):
+    import_module(f"tidewater.plans.{_name}")
+
+__all__ = ["ORACLE", "QUERIES"]
