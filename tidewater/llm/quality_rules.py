@@ -13,7 +13,7 @@ unless the cleaned text itself is asked for.
 
 Cases: a null text has no words and fails; so does an empty one; null hosts form one host; repeated rows get equal
 results; lines without a word are never removed; an empty table gives an empty result; the input's own
-columns may have any names, they travel in one struct.
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE, prepare, words
+from tidewater.llm.common import SPACE, carried, carried_text, prepare, restored, words
 
 WINDOW = 8
 
@@ -92,19 +92,21 @@ def quality_rules(docs: DataFrame, share: float = 0.01, min_documents: int = 10,
     """One row per input row: `doc` (the row as a struct), the base columns, base_failed, n_removed_words, clean_text, kept."""
     prepare(docs.sparkSession)
     found = frequent_lines(docs, share, min_documents, id_column, text, host)
-    base = docs.select(F.struct("*").alias("doc"), *_keys(docs, id_column, text, host), words(F.col(text)).alias("_w"))
-    body = F.col("doc")[text]
-    base = base.select("doc", "_id", "_host", "_text", *[c.alias(n) for n, c in base_rules(body).items()])
+    base = docs.select(*carried(docs), *_keys(docs, id_column, text, host), words(F.col(text)).alias("_w"))
+    body = carried_text(docs, text)
+    rules = base_rules(body)
+    base = base.select(*base.columns, *[c.alias(n) for n, c in rules.items()]).drop("_w")
     same = base["_id"].eqNullSafe(found["_id"]) & (base["_host"] == found["_host"]) & (base["_text"] == found["_text"])
     joined = base.join(found, same, "left").select(*[base[c] for c in base.columns], "_bad")
     bad = F.transform("_bad", lambda x: x["_i"])
     gone = F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + x["_n"])
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.when(~F.array_contains(bad, i), x))
     out = joined.select(
-        "*",
+        restored(docs),
+        *rules,
         ((F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)).alias("base_failed"),
         F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed_words"),
         F.when(F.col("_bad").isNull(), body).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")).alias("clean_text"),
     )
     left = F.col("n_words") - F.col("n_removed_words")
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (left >= F.col("n_words") * min_left)).drop("_id", "_host", "_text", "_bad")
+    return out.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (left >= F.col("n_words") * min_left))
