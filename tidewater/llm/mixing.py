@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import prepare, stage, words
+from tidewater.llm.common import carried, prepare, restored, stage, words
 
 WEIGHTS = (5, 2, 1)
 MAX_STEPS = 40
@@ -95,7 +95,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """One row per input row: `doc` (the row as a struct), size, source_size, target, rate, copies, taken."""
     prepare(docs.sparkSession)
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    sized = docs.select(F.struct("*").alias("doc"), F.col(source).alias("_source"), F.size(words(F.col(text))).cast("long").alias("size"), key.alias("_key"))
+    sized = docs.select(*carried(docs), F.col(source).alias("_source"), F.size(words(F.col(text))).cast("long").alias("size"), key.alias("_key"))
     sized = sized.withColumn("_b", F.substring("_key", 1, 2))
     narrow = stage(sized.select("_source", "size", "_b", "_key"), "mix-rows")
     by_bucket = stage(narrow.groupBy("_source", "size", "_b").agg(F.count(F.lit(1)).alias("_c")), "mix-counts")
@@ -114,4 +114,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     at = F.col("_start") + F.col("_part") * (F.col("_first") + F.col("_i"))
     extra = F.floor(at + F.col("_part")) - F.floor(at)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.lit(most), F.floor("rate") + extra)).cast("int")
-    return out.withColumn("copies", copies).select("doc", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.withColumn("copies", copies).select(restored(docs), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
