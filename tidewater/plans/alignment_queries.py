@@ -1 +1,135 @@
-"""Queries."""
+"""Queries that align sequences: error rates, votes, fusion, lexicon."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidewater.functions import text as T
+from tidewater.operators import alignment as A
+from tidewater.plans.base import Tables, query
+from tidewater.plans.relational_queries import turn_pairs
+
+
+@query()
+def corpus_error_rate(t: Tables) -> DataFrame:
+    """Error rate of each turn's next turn against it, by role."""
+    return A.error_rates(turn_pairs(t).where("hyp IS NOT NULL"), ["role"], T.tokens(F.col("hyp")), T.tokens(F.col("ref")))
+
+
+@query(
+    r"""WITH p AS (SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS hyp FROM events)
+    SELECT event_type, sum(levenshtein(event_type, hyp)) AS dist, sum(length(event_type)) AS n_ref, round(sum(levenshtein(event_type, hyp)) / sum(length(event_type)), 9) AS cer FROM p WHERE hyp IS NOT NULL GROUP BY event_type"""
+)
+def agg_character_error_rate(t: Tables) -> DataFrame:
+    """Character error rate, micro-averaged, by the built-in distance."""
+    p = t.events.select("event_type", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts")).alias("hyp")).where("hyp IS NOT NULL")
+    g = p.groupBy("event_type").agg(F.sum(F.levenshtein("event_type", "hyp")).alias("dist"), F.sum(F.char_length("event_type")).alias("n_ref"))
+    return g.withColumn("cer", F.round(F.try_divide(F.col("dist").cast("double"), F.col("n_ref")), 9))
+
+
+@query(
+    r"""WITH s AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS p, ts FROM events), c AS (SELECT user_id, string_agg(left(event_type, 1), '' ORDER BY ts) AS kept FROM s WHERE (p IS NULL OR p <> event_type) AND event_type <> 'error' GROUP BY user_id)
+    SELECT user_id, kept, length(kept) AS n FROM c"""
+)
+def agg_collapse_repeats(t: Tables) -> DataFrame:
+    """Symbols of a frame series with repeats collapsed, then blanks dropped."""
+    w = W.partitionBy("user_id").orderBy("ts")
+    s = t.events.withColumn("p", F.lag("event_type").over(w)).where((F.col("p").isNull() | (F.col("p") != F.col("event_type"))) & (F.col("event_type") != "error"))
+    g = s.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("ts", F.left("event_type", F.lit(1)).alias("x"))))["x"], "").alias("kept"))
+    return g.withColumn("n", F.char_length("kept").cast("long"))
+
+
+@query()
+def mth_edit_operations(t: Tables) -> DataFrame:
+    """Correct, substituted, inserted and deleted tokens of each pair of turns."""
+    p = turn_pairs(t).where("hyp IS NOT NULL")
+    return p.select("conv_id", "turn", A.edits(T.tokens(F.col("hyp")), T.tokens(F.col("ref"))).alias("e")).select("conv_id", "turn", "e.*")
+
+
+@query()
+def mth_matching_blocks(t: Tables) -> DataFrame:
+    """Share of a turn's tokens that align with the next turn."""
+    p = turn_pairs(t).where("hyp IS NOT NULL").select("conv_id", "turn", T.tokens(F.col("ref")).alias("a"), T.tokens(F.col("hyp")).alias("b"))
+    o = p.select("conv_id", "turn", F.size("a").alias("n"), F.explode(A.opcodes(F.col("a"), F.col("b"))).alias("o"))
+    hit = F.when(F.col("o.tag") == "equal", F.col("o.a1") - F.col("o.a0")).otherwise(0)
+    return o.groupBy("conv_id", "turn", "n").agg(F.sum(hit).alias("matched"))
+
+
+@query()
+def mth_chr_f(t: Tables) -> DataFrame:
+    """Character F-score of the heads of neighbouring turns."""
+    p = turn_pairs(t).where("hyp IS NOT NULL")
+    return p.select("conv_id", "turn", F.round(A.chr_f(F.left("ref", F.lit(80)), F.left("hyp", F.lit(80))), 9).alias("chrf"))
+
+
+def _engines(t: Tables) -> DataFrame:
+    """Three made-up engines over each document's first words: each garbles some."""
+    w = t.documents.select("doc_id", F.slice(F.split(T.squeeze(F.upper("text")), " "), 1, 40).alias("base"))
+    e = w.select("doc_id", "base", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("engine"))
+    garbled = F.transform("base", lambda x, i: F.when((i * 7 + F.col("doc_id")) % 5 == F.col("engine"), F.lit("NOISE")).when((i + F.col("doc_id")) % 11 == 3, F.lit("OTHER")).otherwise(x))
+    return e.select("doc_id", "base", "engine", garbled.alias("said"))
+
+
+@query()
+def set_rover_vote(t: Tables) -> DataFrame:
+    """A token gives way only to one that two or more engines agree on; ties go to the first in the alphabet."""
+    e = _engines(t)
+    votes = A.aligned_positions(e, ["doc_id", "engine"], "base", "said").where("NOT equal").groupBy("doc_id", "pos", "other_token").count().where("count >= 2")
+    best = votes.groupBy("doc_id", "pos").agg(F.min_by("other_token", F.struct(-F.col("count"), F.col("other_token"))).alias("vote"))
+    base = e.where("engine = 0").select("doc_id", F.posexplode("base").alias("pos", "token"))
+    out = base.join(best, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("vote", "token").alias("token"), F.col("vote").isNotNull().alias("won"))
+    return out.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "token")))["token"], " ").alias("text"), F.count_if("won").alias("wins"))
+
+
+@query()
+def set_template_fusion(t: Tables) -> DataFrame:
+    """Template tokens attested by an engine stay; unattested ones give way to a token that two families agree on."""
+    e = _engines(t)
+    a = A.aligned_positions(e, ["doc_id", "engine"], "base", "said").withColumn("family", F.when(F.col("engine") == 2, "second").otherwise("first"))
+    attested = a.where("equal").groupBy("doc_id", "pos").agg(F.min("engine").alias("engine"))
+    dev = a.where("NOT equal AND same_size").groupBy("doc_id", "pos", "other_token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("family").alias("families"), F.min("engine").alias("first"))
+    best = dev.groupBy("doc_id", "pos").agg(F.min_by(F.struct("other_token", "n", "families"), F.struct(-F.col("n"), F.col("first"))).alias("b"))
+    base = e.where("engine = 0").select("doc_id", F.posexplode("base").alias("pos", "token"))
+    out = base.join(attested, ["doc_id", "pos"], "left").join(best, ["doc_id", "pos"], "left")
+    hit = F.col("engine").isNull() & (F.col("b.n") >= 2) & (F.col("b.families") >= 2)
+    source = F.when(hit, "fuse").when(F.col("engine").isNotNull(), F.concat(F.lit("eng"), F.col("engine").cast("string"))).otherwise("tpl")
+    rows = out.select("doc_id", "pos", F.when(hit, F.col("b.other_token")).otherwise(F.col("token")).alias("token"), F.coalesce(source, F.lit("tpl")).alias("src"))
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("pos", "token")))["token"], " ")
+    g = rows.groupBy("doc_id").agg(text.alias("text"), F.count_if(F.col("src") == "fuse").alias("applied"), F.count_if(F.col("src") == "tpl").alias("template_only"), F.count_if(F.col("src").startswith("eng")).alias("attested"))
+    # too little attestation rejects the fusion
+    return g.withColumn("accepted", F.col("attested") >= 0.3 * (F.col("attested") + F.col("applied") + F.col("template_only")))
+
+
+@query()
+def set_multi_pass_consensus(t: Tables) -> DataFrame:
+    """Tokens of the longest pass that enough other passes repeat or none contradicts."""
+    e = _engines(t).where(F.size("base") > 0)
+    a = A.aligned_positions(e, ["doc_id", "engine"], "base", "said")
+    counts = a.groupBy("doc_id", "pos").agg(F.count_if("equal").alias("votes"), F.count(F.lit(1)).alias("covered"))
+    base = e.where("engine = 0").select("doc_id", F.posexplode("base").alias("pos", "token"))
+    need = 2
+    rows = base.join(counts, ["doc_id", "pos"], "left").na.fill(0).withColumn("drop", (F.col("votes") == 0) & (F.col("covered") >= need))
+    return rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.when(~F.col("drop"), F.struct("pos", "token"))))["token"], " ").alias("text"), F.count_if("drop").alias("dropped"))
+
+
+@query()
+def str_lexicon_correction(t: Tables) -> DataFrame:
+    """Unknown words give way to alike words of a bounded vocabulary."""
+    k = t.benchmark.select(F.explode(F.filter(F.split(T.squeeze(F.upper("text")), " "), lambda x: F.char_length(x) >= 6)).alias("w"))
+    # 200 words at most reach the driver
+    vocabulary = [r.w for r in k.groupBy("w").count().orderBy(F.desc("count"), "w").limit(200).collect()]
+    head = F.array_join(F.slice(F.split(T.squeeze(F.upper("text")), " "), 1, 30), " ")
+    fix = A.similar_word(vocabulary)
+    out = t.documents.select("doc_id", head.alias("head")).withColumn("fixed", fix("head"))
+    return out.select("doc_id", "fixed", (F.col("fixed") != F.col("head")).alias("changed"))
+
+
+@query()
+def met_token_latency(t: Tables) -> DataFrame:
+    """Delay of each turn's aligned tokens behind the turn before, by conversation."""
+    p = turn_pairs(t).where("hyp IS NOT NULL").select("conv_id", "turn", T.tokens(F.col("ref")).alias("a"), T.tokens(F.col("hyp")).alias("b"))
+    o = p.select("conv_id", F.explode(A.opcodes(F.col("a"), F.col("b"))).alias("o")).where("o.tag = 'equal'")
+    rows = o.select("conv_id", F.explode(F.sequence(F.lit(0), F.col("o.a1") - F.col("o.a0") - 1)).alias("k"), (F.col("o.b0") - F.col("o.a0")).alias("lag"))
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("lag", 0.5), 3).alias("median"), F.round(F.percentile("lag", 0.95), 3).alias("p95"))
