@@ -1 +1,108 @@
-"""Queries."""
+"""Streaming queries, drained over the files at hand, and the batch forms of their operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidewater.functions import text as T
+from tidewater.functions.times import micros
+from tidewater.plans.base import Tables, query
+from tidewater.streaming import runs, sessions
+
+RULE = sessions.Rule(silence=3, shortest=2, longest=8)
+
+
+def _stamped(df: DataFrame) -> DataFrame:
+    return df.withColumn("at", F.timestamp_micros(micros("ts")))
+
+
+@query("SELECT epoch_us(ts) // 86400000000 AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stm_tumbling(t: Tables) -> DataFrame:
+    """Counts and sums by day as a stream."""
+    s = _stamped(runs.stream_table(t.spark, t.sf_dir, "events")).withWatermark("at", "1 day")
+    g = s.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return runs.run_to_table(g, "tumbling", "complete").select(F.floor(F.unix_seconds("w.start") / 86400).alias("day"), "event_type", "n", "total")
+
+
+@query(
+    """WITH w AS (SELECT value, unnest([epoch_us(ts) // 10800000000 * 3, epoch_us(ts) // 10800000000 * 3 - 3]) AS h FROM events) SELECT h AS start_hour, count(*) AS n, round(max(value), 4) AS top FROM w GROUP BY h"""
+)
+def stm_sliding(t: Tables) -> DataFrame:
+    """Windows of six hours that slide by three."""
+    s = _stamped(runs.stream_table(t.spark, t.sf_dir, "events")).withWatermark("at", "1 day")
+    g = s.groupBy(F.window("at", "6 hours", "3 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("top"))
+    return runs.run_to_table(g, "sliding", "complete").select(F.floor(F.unix_seconds("w.start") / 3600).alias("start_hour"), "n", "top")
+
+
+@query(
+    """WITH d AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events),
+    g AS (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS g FROM d) SELECT user_id, min(us) AS begin, max(us) + 21600000000 AS stop, count(*) AS n FROM g GROUP BY user_id, g"""
+)
+def stm_sessions(t: Tables) -> DataFrame:
+    """Sessions that a pause of six hours ends, as a stream."""
+    s = _stamped(runs.stream_table(t.spark, t.sf_dir, "events")).withWatermark("at", "30 days")
+    g = s.groupBy(F.session_window("at", "6 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    out = runs.run_to_table(g, "sessions", "complete")
+    return out.select("user_id", F.unix_micros("w.start").alias("begin"), F.unix_micros("w.end").alias("stop"), "n")
+
+
+@query("SELECT event_type, user_id FROM events GROUP BY event_type, user_id")
+def stm_deduplicate(t: Tables) -> DataFrame:
+    """First occurrences within the watermark."""
+    s = _stamped(runs.stream_table(t.spark, t.sf_dir, "events")).withWatermark("at", "60 days")
+    return runs.run_to_table(s.dropDuplicatesWithinWatermark(["event_type", "user_id"]).select("event_type", "user_id"), "dedup")
+
+
+@query()
+def stm_endpointing(t: Tables) -> DataFrame:
+    """Utterances that quiet or length ends, by a stateful stream."""
+    s = runs.stream_table(t.spark, t.sf_dir, "events").select("user_id", "ts", (F.col("value") > 30).alias("voiced"))
+    return runs.run_to_table(sessions.endpoint_stream(s, "user_id", "ts", "voiced", RULE), "endpoints")
+
+
+@query()
+def stm_endpointing_batch(t: Tables) -> DataFrame:
+    """The same in one batch."""
+    rows = t.events.select("user_id", "ts", (F.col("value") > 30).alias("voiced"))
+    return sessions.endpoint_events(rows, "user_id", "ts", "voiced", RULE)
+
+
+@query()
+def stm_hysteresis(t: Tables) -> DataFrame:
+    """Gates that a share of voiced frames opens and a smaller one closes."""
+    rows = t.events.select("user_id", "ts", (F.col("value") > 30).alias("voiced"))
+    return sessions.hysteresis_events(rows, "user_id", "ts", "voiced", sessions.Gate(6, 5, 2))
+
+
+@query(
+    r"""WITH w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS a, string_split(trim(regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '\s+', ' ', 'g')), ' ') AS b FROM conversations),
+    e AS (SELECT conv_id, turn, list_transform(list_zip(list_transform(a, lambda x: left(x, 1)), list_transform(b, lambda x: left(x, 1))), lambda z: coalesce(z[1] = z[2], FALSE)) AS same FROM w WHERE b IS NOT NULL)
+    SELECT conv_id, turn, coalesce(nullif(list_position(same, FALSE), 0) - 1, len(same)) AS n_common FROM e"""
+)
+def stm_common_prefix(t: Tables) -> DataFrame:
+    """How many leading words (by first letter) two successive texts share: what may be committed."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    first = lambda c: F.transform(F.split(T.squeeze(c), " "), lambda x: F.left(x, F.lit(1)))
+    p = t.conversations.select("conv_id", "turn", first(F.col("text")).alias("a"), first(F.lead("text").over(w)).alias("b")).where("b IS NOT NULL")
+    same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, F.lit(False))
+    return p.select("conv_id", "turn", F.when(at > 0, at - 1).otherwise(F.size(same)).cast("long").alias("n_common"))
+
+
+@query(
+    """WITH d AS (SELECT user_id, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, n, CASE WHEN n > 60 THEN 'final' ELSE 'draft' END AS track FROM d"""
+)
+def stm_draft_and_final(t: Tables) -> DataFrame:
+    """Counts in update mode become final once a session has enough events."""
+    s = runs.stream_table(t.spark, t.sf_dir, "events")
+    g = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return runs.run_to_table(g, "tracks", "complete").select("user_id", "n", F.when(F.col("n") > 60, "final").otherwise("draft").alias("track"))
+
+
+@query("SELECT event_type, quantile_disc(epoch_us(ts) % 1000000, 0.5) AS median_us, count(*) AS n FROM events GROUP BY event_type")
+def stm_emission_clock(t: Tables) -> DataFrame:
+    """Where in the second events are emitted."""
+    us = (micros("ts") % 1000000).cast("long")
+    return t.events.select("event_type", us.alias("us")).groupBy("event_type").agg(F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY us) AS long)").alias("median_us"), F.count(F.lit(1)).alias("n"))
