@@ -186,7 +186,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     gone = stage(deletions(docs, min_words, id_column, text), "deletions")
     body = carried_text(docs, text)
     rows = docs.select(*carried(docs), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text).alias("_t"))
-    rows = rows.join(gone.withColumnsRenamed({"_id": "_i", "_t": "_u"}), (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
+    # merged, not broadcast: how many rows have deletions grows with the data
+    rows = rows.join(gone.withColumnsRenamed({"_id": "_i", "_t": "_u"}).hint("merge"), (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
     lines = F.split(body, "\n")
     worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda x: x.isNotNull())
     out = F.get(F.transform(F.array(worded), lambda w: F.transform("_gone", lambda g: F.get(w, g))), F.lit(0))
