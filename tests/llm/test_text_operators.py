@@ -38,6 +38,8 @@ def test_pieces_equal_the_library_and_decode(docs, rows, no_docs):
         else:
             assert r.pieces == lib.encode(r.text)
             assert r.decoded == r.text.replace("▁", " ")
+    both = sentencepiece_codec.encode(docs, decoded="back").select("text", "pieces", "back")
+    assert sorted(map(str, both.collect())) == sorted(str(r).replace("decoded=", "back=") for r in out.select("text", "pieces", "decoded").collect())
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(no_docs)).collect() == []
 
 

@@ -39,9 +39,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewater.llm.sentencepiece_codec import decode, encode
+    from tidewater.llm.sentencepiece_codec import encode
 
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     crc = F.crc32(F.encode(F.array_join("pieces", ","), "UTF-8"))
     return out.select("doc_id", F.octet_length("text").alias("n_bytes"), F.size("pieces").alias("n_pieces"), crc.alias("pieces_crc32"), (F.col("text") == F.col("decoded")).alias("round_trip"))
 

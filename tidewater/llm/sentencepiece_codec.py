@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh, prepare
+from tidewater.llm.common import TEXT_ROWS_PER_BATCH, fresh, prepare
 
 MARK = "▁"
-WORD_CACHE, PAIR_CACHE = 600_000, 1_000_000
+#: Entries of the worker's caches, some 50 MB each; they bound its memory, not the results.
+WORD_CACHE, PAIR_CACHE = 200_000, 400_000
 #: Text whose new words are sorted into one trie.
-TRIE_BYTES = 8 << 20
+TRIE_BYTES = 4 << 20
 _UNKNOWN = -1
 
 
@@ -86,7 +87,9 @@ class Codec:
             alone = "" if any("\n" in p and len(p) > 1 for p in self.ids) else "\n"
             self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")).findall
         self.cache: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        # whether a piece encodes to itself, and whether two do (by left * pieces + right)
+        self.whole: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}
         self.cache_entries = cache_entries
 
     def merge(self, chars: list[str]) -> list[str]:
@@ -103,13 +106,18 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def pair_fits(self, left: int, right: int) -> bool:
-        fit = self.fits.get((left, right))
+    def stands_alone(self, piece: int) -> bool:
+        fit = self.whole.get(piece)
         if fit is None:
-            if len(self.fits) > PAIR_CACHE:
-                self.fits.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            fit = self.fits[left, right] = self.merge([*a, *b]) == [a, b]
+            p = self.pieces[piece]
+            fit = self.whole[piece] = self.merge([*p]) == [p]
+        return fit
+
+    def pair_fits(self, left: int, right: int) -> bool:
+        if len(self.fits) > PAIR_CACHE:
+            self.fits.clear()
+        a, b = self.pieces[left], self.pieces[right]
+        fit = self.fits[left * len(self.scores) + right] = self.merge([*a, *b]) == [a, b]
         return fit
 
     def spell(self, char: str) -> list[int]:
@@ -118,7 +126,7 @@ class Codec:
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Pieces of sorted distinct words; the forward table is shared along common prefixes."""
-        ids, lengths, fits, one = self.ids, self.lengths, self.fits, (1,)
+        ids, lengths, fits, n, one = self.ids, self.lengths, self.fits, len(self.scores), (1,)
         before = ""
         # of each prefix: its last piece, where that begins, and (unigram) the score of its best path
         last, begins, score = [_UNKNOWN], [0], [0.0]
@@ -144,16 +152,10 @@ class Codec:
                         i = ids.get(word[s:end]) if s >= 0 else None
                         if i is None:
                             continue
-                        if s == 0:
-                            fit = fits.get((-2, i))
-                            if fit is None:  # a piece must be the encoding of itself
-                                fit = fits[-2, i] = self.merge([*word[:end]]) == [word[:end]]
-                        elif last[s] == _UNKNOWN:
-                            fit = fits.get((-2, i))
-                            if fit is None:
-                                fit = fits[-2, i] = self.merge([*word[s:end]]) == [word[s:end]]
+                        if s == 0 or last[s] == _UNKNOWN:
+                            fit = self.stands_alone(i)
                         else:
-                            fit = fits.get((last[s], i))
+                            fit = fits.get(last[s] * n + i)
                             if fit is None:
                                 fit = self.pair_fits(last[s], i)
                         if fit:
@@ -185,10 +187,12 @@ class Codec:
         cut = []
         for t in texts:
             cut.append(self.cut((MARK if self.dummy else "") + t.replace(" ", MARK)) if t else [])
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
+        needed = set().union(*cut)
+        new = sorted(w for w in needed if w not in self.cache)
+        if len(self.cache) + len(new) > self.cache_entries:
+            # what this batch uses stays
+            self.cache = {w: self.cache[w] for w in needed if w in self.cache}
         cache = self.cache
-        new = sorted({w for words in cut for w in words if w not in cache})
         plain = [w for w in new if self.unigram or not w.startswith(MARK * 2)]
         for w, ids in zip(plain, self.encode_sorted(plain)):
             cache[w] = np.array(ids, np.int32).tobytes()
@@ -226,10 +230,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordB
         yield pa.concat_batches(held)
 
 
-def encode(docs: DataFrame, model: str | None = None, text: str = "text", output: str = "pieces") -> DataFrame:
-    """docs with a column of piece ids."""
+def encode(docs: DataFrame, model: str | None = None, text: str = "text", output: str = "pieces", decoded: str | None = None) -> DataFrame:
+    """docs with a column of piece ids; with `decoded`, also one of what they decode to, made by the same worker."""
     prepare(docs.sparkSession)
     path, name = model or default_model(), fresh(docs, output)
+    back = decoded and fresh(docs, decoded)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     at = docs.columns.index(text)
 
@@ -240,10 +245,14 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", output
             found = codec.encode(texts.to_pylist())
             offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-            pieces = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[texts.is_null().to_numpy(zero_copy_only=False), False]) if texts.null_count else pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pieces], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` array<int>"]))
+            null = texts.is_null().to_numpy(zero_copy_only=False)
+            pieces = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[null, False]) if texts.null_count else pa.array(offsets), values)
+            more = [pa.array([None if n else codec.decode(x) for x, n in zip(found, null)], pa.string())] if back else []
+            out = pa.RecordBatch.from_arrays([*batch.columns, pieces, *more], names=[*batch.schema.names, name, *([back] if back else [])])
+            for start in range(0, out.num_rows, TEXT_ROWS_PER_BATCH):
+                yield out.slice(start, TEXT_ROWS_PER_BATCH)
+
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` array<int>", *([f"`{back}` string"] if back else [])]))
 
 
 def decode(docs: DataFrame, model: str | None = None, pieces: str = "pieces", output: str = "decoded") -> DataFrame:
