@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.plans.shipping import ship
+from tidewater.sources.scratch import new_path
 
 #: ASCII white space, the only separators of words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,29 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            folder = known.get()
-        else:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidewater-")
-            sc.setCheckpointDir(folder)
-    return str(folder).rstrip("/")
-
-
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives lost executors.
 
     Columns of type void cannot be stored and must not occur.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import table
+from tidewater.llm.oracles import ORACLE
 
 
 def op1_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mix_sources,
     )
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
