@@ -222,3 +222,20 @@ def test_best_overlap(spark):
         if o > 0 and (i not in want or (o, -k) > (want[i][1], -want[i][0])):
             want[i] = (k, o)
     assert got == want
+
+
+def test_thresholds_and_online_speakers():
+    p = [0.1, 0.6, 0.4, 0.3, 0.6, 0.2, 0.2, 0.2, 0.9]
+    assert sessions.threshold_spans(p, sessions.Threshold(0.5, 0.35, 2, 0)) == [(1, 5), (8, 9)]
+    assert sessions.threshold_spans([], sessions.Threshold(0.5, 0.35, 2, 0)) == []
+    v = [[1, 0], [0.9, 0.1], [0, 1], [0.1, 1], [1, 0.05]]
+    assert sessions.online_speakers(v) == [0, 0, 1, 1, 0]
+    assert sessions.online_speakers([[1, 0], [0, 1], [-1, 0.1]], most=2) == [0, 1, 1]
+
+
+def test_batches_cap_rows(spark):
+    from tidewater.operators import manifest as M
+
+    df = spark.createDataFrame([(0, k, 1) for k in range(10)], "g int, id int, n long")
+    got = {r.id: r.batch for r in M.batches_by_tokens(df, "g", ["id"], "n", 1000, max_rows=4).collect()}
+    assert [got[k] for k in range(10)] == [0] * 4 + [1] * 4 + [2] * 2

@@ -31,8 +31,8 @@ def file_slice(pos: Column, total: Column, parts: int) -> Column:
     return F.floor(pos / (F.floor((total - 1) / parts) + 1)).cast("int")
 
 
-def batches_by_tokens(df: DataFrame, group: str, order: list[str], length: str, limit: int, max_length: int | None = None) -> DataFrame:
-    """df with a batch number: a batch closes when rows * longest of them would pass limit.
+def batches_by_tokens(df: DataFrame, group: str, order: list[str], length: str, limit: int, max_length: int | None = None, max_rows: int = 1 << 30) -> DataFrame:
+    """df with a batch number: a batch closes when rows * longest of them would pass limit, or rows would pass max_rows.
 
     The recurrence needs the rows of a group in order; groups are buffers of bounded size.
     """
@@ -42,7 +42,7 @@ def batches_by_tokens(df: DataFrame, group: str, order: list[str], length: str,
 
     def step(s: Column, x: Column) -> Column:
         longest = F.greatest(s["longest"], x["_len"])
-        fits = longest * (s["rows"] + 1) <= limit
+        fits = (longest * (s["rows"] + 1) <= limit) & (s["rows"] < max_rows)
         batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
         entry = F.struct(F.size(s["out"]).alias("k"), batch.alias("batch"))
         return F.struct(batch.alias("batch"), F.when(fits, s["rows"] + 1).otherwise(1).alias("rows"), F.when(fits, longest).otherwise(x["_len"]).alias("longest"), F.concat(s["out"], F.array(entry)).alias("out")).cast(state)

@@ -134,3 +134,51 @@ def commit_stable(partials: Iterable[list[str]], repeats: int = 2) -> list[tuple
             done += 1
         last = words
     return out
+
+
+class Threshold(NamedTuple):
+    """Chances that start speech and that end it, the frames of quiet that must pass, the frames added at both ends."""
+
+    start: float
+    stop: float
+    quiet: int
+    pad: int
+
+
+def threshold_spans(chances: Iterable[float], rule: Threshold) -> list[tuple[int, int]]:
+    """Spans of speech: begun at a frame of chance start, ended where the chance stays below stop for long enough."""
+    out, begin, low, n = [], None, None, -1
+    for n, p in enumerate(chances):
+        if p >= rule.start:
+            low = None
+            begin = n if begin is None else begin
+        elif p < rule.stop and begin is not None:
+            low = n if low is None else low
+            if n - low >= rule.quiet:
+                out.append((max(0, begin - rule.pad), low + rule.pad))
+                begin = low = None
+    if begin is not None:
+        out.append((max(0, begin - rule.pad), n + 1))
+    return out
+
+
+def online_speakers(vectors: Iterable, least: float = 0.5, keep: float = 0.8, most: int = 16) -> list[int]:
+    """A speaker number for each vector as it comes: the most alike centre if it is alike enough, else a new one.
+
+    Centres move by an exponential mean; once `most` are there, the most alike is taken whatever its likeness.
+    """
+    import numpy as np
+
+    centres, out = [], []
+    for v in vectors:
+        v = np.asarray(v, float)
+        v = v / max(np.linalg.norm(v), 1e-12)
+        likeness = [float(c @ v) / max(np.linalg.norm(c), 1e-12) for c in centres]
+        k = int(np.argmax(likeness)) if likeness else -1
+        if k < 0 or (likeness[k] < least and len(centres) < most):
+            centres.append(v)
+            k = len(centres) - 1
+        else:
+            centres[k] = keep * centres[k] + (1 - keep) * v
+        out.append(k)
+    return out
