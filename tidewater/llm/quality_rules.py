@@ -102,11 +102,13 @@ def quality_rules(docs: DataFrame, share: float = 0.01, min_documents: int = 10,
     gone = F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + x["_n"])
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.when(~F.array_contains(bad, i), x))
     out = joined.select(
-        restored(docs),
+        *[c for c in base.columns if c.startswith("_doc")],
         *rules,
         ((F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)).alias("base_failed"),
         F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed_words"),
         F.when(F.col("_bad").isNull(), body).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")).alias("clean_text"),
     )
     left = F.col("n_words") - F.col("n_removed_words")
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (left >= F.col("n_words") * min_left))
+    kept = ~F.col("base_failed") & (left >= min_words) & (left >= F.col("n_words") * min_left)
+    # the struct is made last, where the optimizer can still take it apart and prune
+    return out.select(restored(docs), *rules, "base_failed", "n_removed_words", "clean_text", kept.alias("kept"))
