@@ -45,7 +45,7 @@ def quality(rows, share=0.01, min_documents=10, min_words=20, min_left=0.3):
         gone = sum(len(words(line)) for line in (text or "").split("\n") if (host, norm(line)) in bad)
         failed = base[0] < min_words or base[4] * 100 > base[0] * 30
         left = base[0] - gone
-        out.append((base, failed, gone, not failed and left >= min_words and left >= base[0] * min_left))
+        out.append((base, failed, gone, not failed and left >= base[0] * min_left))
     return out
 
 

@@ -21,7 +21,7 @@ g AS (SELECT doc_id, sum(nw) AS gone FROM q JOIN f ON q.source IS NOT DISTINCT F
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN g USING (doc_id)),
 x AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM b)
-SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_words - n_removed_words >= n_words * 0.3 AS kept FROM x
+SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * 0.3 AS kept FROM x
 """
 
 OP3 = """

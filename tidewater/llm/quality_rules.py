@@ -109,6 +109,6 @@ def quality_rules(docs: DataFrame, share: float = 0.01, min_documents: int = 10,
         F.when(F.col("_bad").isNull(), body).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")).alias("clean_text"),
     )
     left = F.col("n_words") - F.col("n_removed_words")
-    kept = ~F.col("base_failed") & (left >= min_words) & (left >= F.col("n_words") * min_left)
+    kept = ~F.col("base_failed") & (left >= F.col("n_words") * min_left)
     # the struct is made last, where the optimizer can still take it apart and prune
     return out.select(restored(docs), *rules, "base_failed", "n_removed_words", "clean_text", kept.alias("kept"))
