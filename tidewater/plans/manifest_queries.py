@@ -75,9 +75,8 @@ def bat_slices_ranks_batches(t: Tables) -> DataFrame:
     """File slices, rank strides and fixed-size batches of a dense position."""
     docs = t.documents.select("doc_id")
     rows = M.positions(docs, ["doc_id"], F.floor(F.col("doc_id") / 4096))
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    rows = rows.crossJoin(F.broadcast(total))  # one row
-    return rows.select("doc_id", "pos", M.file_slice(F.col("pos"), F.col("total"), 7).alias("slice"), (F.col("pos") % 4).cast("int").alias("rank"), F.floor(F.col("pos") / 32).alias("batch"))
+    total = docs.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return rows.select("doc_id", "pos", M.file_slice(F.col("pos"), total, 7).alias("slice"), (F.col("pos") % 4).cast("int").alias("rank"), F.floor(F.col("pos") / 32).alias("batch"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 256 ORDER BY md5('3:' || CAST(doc_id AS VARCHAR))) - 1 AS place FROM documents")
