@@ -5,17 +5,16 @@ Every stage takes what its predecessor kept. All but the last return the columns
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_folder, table
+from tidewater.llm.common import table
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.mixing import mix_sources
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.quality_rules import quality_rules
-from tidewater.llm.sentencepiece_codec import decode, encode
+from tidewater.llm.sentencepiece_codec import encode
+from tidewater.sources.scratch import new_path
 
 
 def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,7 +38,8 @@ def drop_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     lost = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    # merged, not broadcast: how many documents are lost grows with the data
+    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and whether they decode to it."""
-    out = decode(encode(docs))
+    out = encode(docs, decoded="decoded")
     return out.select("doc_id", "source", "n_chars", "pieces", F.size("pieces").alias("n_pieces"), (F.col("text") == F.col("decoded")).alias("round_trip"))
 
 
@@ -70,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
