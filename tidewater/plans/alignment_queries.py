@@ -20,7 +20,8 @@ def corpus_error_rate(t: Tables) -> DataFrame:
 
 @query(
     r"""WITH p AS (SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS hyp FROM events)
-    SELECT event_type, sum(levenshtein(event_type, hyp)) AS dist, sum(length(event_type)) AS n_ref, round(sum(levenshtein(event_type, hyp)) / sum(length(event_type)), 9) AS cer FROM p WHERE hyp IS NOT NULL GROUP BY event_type"""
+    SELECT event_type, sum(levenshtein(event_type, hyp)) AS dist, sum(length(event_type)) AS n_ref, round(sum(levenshtein(event_type, hyp)) / sum(length(event_type)), 9) AS cer FROM p WHERE hyp IS NOT NULL GROUP BY event_type""",
+    longs=("dist", "n_ref"),
 )
 def agg_character_error_rate(t: Tables) -> DataFrame:
     """Character error rate, micro-averaged, by the built-in distance."""

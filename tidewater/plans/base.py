@@ -13,8 +13,10 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Callable], Query]:
-    """Register a function of one `Tables` under its name, with SQL that gives the same rows."""
+def query(sql: str | None = None, longs: tuple[str, ...] = ()) -> Callable[[Callable], Query]:
+    """Register a function of one `Tables` under its name, with SQL that gives the same rows; `longs` are sums that the SQL side widens."""
+    if sql and longs:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in longs)}) FROM ({sql}) AS q"
 
     def register(f: Callable) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ def bat_sorted_tokens(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, i - 1 AS pos, w AS word, 10 * (sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) - (length(w) + 2) // 3) AS begin, 10 * sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS w, generate_subscripts({TOKENS.format('text')}, 1) AS i FROM documents WHERE doc_id % 10 = 0)"""
+    f"""SELECT doc_id, i - 1 AS pos, w AS word, 10 * (sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) - (length(w) + 2) // 3) AS begin, 10 * sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS w, generate_subscripts({TOKENS.format('text')}, 1) AS i FROM documents WHERE doc_id % 10 = 0)""",
+    longs=("begin", "stop"),
 )
 def tim_merge_subwords(t: Tables) -> DataFrame:
     """Timed pieces put together again: a piece with the mark begins a word."""
@@ -49,7 +50,8 @@ def tim_merge_subwords(t: Tables) -> DataFrame:
 
 @query(
     r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?。！？]+)\s', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents),
-    u AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM s) SELECT doc_id, i, length(s) AS n, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1 AS begin FROM u"""
+    u AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM s) SELECT doc_id, i, length(s) AS n, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1 AS begin FROM u""",
+    longs=("begin",),
 )
 def tim_sentence_spans(t: Tables) -> DataFrame:
     """Sentences by where they stand, each mark's white space counted once."""
@@ -187,7 +189,8 @@ def stm_online_speakers(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS in_buffer, turn - least(turn, 3) AS oldest FROM (SELECT conv_id, turn, len({TOKENS.format('text')}) AS n FROM conversations)"""
+    f"""SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS in_buffer, turn - least(turn, 3) AS oldest FROM (SELECT conv_id, turn, len({TOKENS.format('text')}) AS n FROM conversations)""",
+    longs=("in_buffer",),
 )
 def stm_decode_window(t: Tables) -> DataFrame:
     """Tokens in a buffer of the four newest segments."""

@@ -108,7 +108,7 @@ def bat_dynamic_tokens(t: Tables) -> DataFrame:
     return M.batches_by_tokens(rows, "buffer", ["doc_id"], "n_chars", 8000)
 
 
-@query("WITH b AS (SELECT vec_id // 16 AS batch, embedding FROM embeddings) SELECT batch, count(*) AS n, max(len(embedding)) AS width, sum(70 - len(embedding)) AS padding FROM b GROUP BY batch")
+@query("WITH b AS (SELECT vec_id // 16 AS batch, embedding FROM embeddings) SELECT batch, count(*) AS n, max(len(embedding)) AS width, sum(70 - len(embedding)) AS padding FROM b GROUP BY batch", longs=("padding",))
 def bat_pad_collate(t: Tables) -> DataFrame:
     """Rows padded to a common width."""
     padded = F.concat("embedding", F.array_repeat(F.lit(0.0).cast("float"), F.lit(70) - F.size("embedding")))

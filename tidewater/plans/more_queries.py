@@ -30,7 +30,8 @@ def src_jsonl_manifest(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT 'c' || CAST(conv_id AS VARCHAR) AS key, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'user') * count(*) FILTER (WHERE role = 'system') AS n_system, sum(length(text)) // 8 AS speech_len, count(*) AS text_len FROM conversations GROUP BY conv_id"""
+    """SELECT 'c' || CAST(conv_id AS VARCHAR) AS key, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'user') * count(*) FILTER (WHERE role = 'system') AS n_system, sum(length(text)) // 8 AS speech_len, count(*) AS text_len FROM conversations GROUP BY conv_id""",
+    longs=("speech_len",),
 )
 def src_chat_jsonl(t: Tables) -> DataFrame:
     """Chats written as JSON lines and read by role."""

@@ -119,7 +119,8 @@ def agg_keyword_tables(t: Tables) -> DataFrame:
 @query(
     """WITH f AS (SELECT event_id % 200 AS frame, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS r1, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS r2, max(CASE WHEN value > 120 THEN 1 ELSE 0 END) AS s1, max(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) AS s2 FROM events GROUP BY 1)
     SELECT sum(r1 + r2) AS speaker_scored, sum(greatest(r1 + r2 - s1 - s2, 0)) AS miss, sum(greatest(s1 + s2 - r1 - r2, 0)) AS false_alarm, sum(least(r1 + r2, s1 + s2) - (r1 * s1 + r2 * s2)) AS confusion,
-    sum(CASE WHEN r1 + r2 > 0 AND s1 + s2 = 0 THEN 1 ELSE 0 END) AS speech_miss FROM f"""
+    sum(CASE WHEN r1 + r2 > 0 AND s1 + s2 = 0 THEN 1 ELSE 0 END) AS speech_miss FROM f""",
+    longs=("confusion", "false_alarm", "miss", "speaker_scored", "speech_miss"),
 )
 def agg_diarization_error(t: Tables) -> DataFrame:
     """Miss, false alarm and confusion over frames of two speakers."""
@@ -140,7 +141,7 @@ def agg_label_histogram(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("floored", F.greatest("n", F.lit(20).cast("long")))
 
 
-@query("SELECT source, round(sum(n_chars) / 3600.0, 6) AS hours, sum(n_chars) AS total, count(*) AS n FROM documents GROUP BY source")
+@query("SELECT source, round(sum(n_chars) / 3600.0, 6) AS hours, sum(n_chars) AS total, count(*) AS n FROM documents GROUP BY source", longs=("total",))
 def agg_totals(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.round(F.sum("n_chars") / 3600.0, 6).alias("hours"), F.sum("n_chars").alias("total"), F.count(F.lit(1)).alias("n"))
 
@@ -218,7 +219,7 @@ def jn_phase_neighbours(t: Tables) -> DataFrame:
     return e.join(near, ["user_id", "cell"]).where((F.col("event_id") != F.col("other")) & (d < 30)).groupBy("event_id").agg(F.count(F.lit(1)).alias("n_near"))
 
 
-@query("SELECT b.item_id, a.source, count(*) AS n, sum(a.n_chars) AS total FROM documents a JOIN benchmark b ON a.doc_id % 40 = b.item_id GROUP BY b.item_id, a.source HAVING count(*) > 1")
+@query("SELECT b.item_id, a.source, count(*) AS n, sum(a.n_chars) AS total FROM documents a JOIN benchmark b ON a.doc_id % 40 = b.item_id GROUP BY b.item_id, a.source HAVING count(*) > 1", longs=("total",))
 def jn_mapped_channel(t: Tables) -> DataFrame:
     """Rows joined through a mapping of channels."""
     a = t.documents.select((F.col("doc_id") % 40).alias("item_id"), "source", "n_chars")

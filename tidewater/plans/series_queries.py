@@ -117,7 +117,7 @@ def win_linear_fit(t: Tables) -> DataFrame:
     return frames(t).groupBy("user_id").agg(F.round(F.regr_slope(F.col("us") / 1000000.0, F.col("pos")), 3).alias("period"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT conv_id, turn, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS words, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS n_chars FROM conversations")
+@query("SELECT conv_id, turn, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS words, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS n_chars FROM conversations", longs=("n_chars",))
 def win_prefix_snapshots(t: Tables) -> DataFrame:
     """All words so far, at each moment."""
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
@@ -292,7 +292,8 @@ def tim_shift(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {FRAMES}, g AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM f)
-    SELECT user_id, s AS sentence, min(us) AS begin, max(us) AS stop, count(*) AS n_words, bool_or(event_type = 'purchase') AS closed FROM g GROUP BY user_id, s"""
+    SELECT user_id, s AS sentence, min(us) AS begin, max(us) AS stop, count(*) AS n_words, bool_or(event_type = 'purchase') AS closed FROM g GROUP BY user_id, s""",
+    longs=("sentence",),
 )
 def tim_sentences(t: Tables) -> DataFrame:
     """Words up to and with a closing mark form a sentence."""
@@ -304,7 +305,8 @@ def tim_sentences(t: Tables) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(n) OVER (PARTITION BY doc_id) AS total, i FROM (SELECT doc_id, length(unnest(string_split(text, chr(10)))) AS n, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))
-    SELECT doc_id, i, (upto - n) * 60000 // greatest(total, 1) AS begin, upto * 60000 // greatest(total, 1) AS stop FROM s"""
+    SELECT doc_id, i, (upto - n) * 60000 // greatest(total, 1) AS begin, upto * 60000 // greatest(total, 1) AS stop FROM s""",
+    longs=("begin", "stop"),
 )
 def str_proportional_times(t: Tables) -> DataFrame:
     """A minute shared among the lines of a text by their length."""
