@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -65,6 +67,28 @@ def test_patience_keeps_both_orders():
     assert line_dedup.common_blocks([1, 2], [1, 2, 8, 1, 2], [30] * 5, 50)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
+def test_alignments_rise(a, b):
+    pairs = line_dedup.patience(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    assert line_dedup.patience(a, a) == [(k, k) for k in range(len(a))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 5), st.integers(0, 5), st.integers(1, 6), st.integers(0, 5))
+def test_blocks_of_unique_lines_are_found(before, ahead, size, after):
+    block = list(range(100, 100 + size))
+    a = [*range(before), *block, *range(20, 20 + after)]
+    b = [*range(40, 40 + ahead), *block, *range(60, 60 + after)]
+    counts = [10] * len(b)
+    want = list(range(ahead, ahead + size)) if size * 10 >= 30 else []
+    assert line_dedup.common_blocks(a, b, counts, 30) == want
+    keys = [line_dedup.run_keys(x, [10] * len(x), 30) for x in (a, b)]
+    assert bool(keys[0] & keys[1]) == bool(want)
+
+
 def test_line_dedup(docs, rows, no_docs):
     out = line_dedup.dedup_lines(docs).collect()
     assert len(out) == len(rows)
