@@ -13,6 +13,7 @@ each; an empty table gives an empty result; columns other than the id and the te
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from tidewater.llm.common import prepare
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_ENTRIES = 65_536
 SAMPLE_DOCUMENTS = 2_000
-CACHE_ENTRIES = 262_144
+CACHE_ENTRIES = 131_072
 #: Text cut into pre-tokens at a time, in characters; longer texts are cut at safe places only.
 SLICE = 1 << 20
 
@@ -81,6 +82,19 @@ class PreTokenCounter:
         return out
 
 
+_counters: dict[tuple, PreTokenCounter] = {}
+
+
+def worker_counter(path: str, key: str, packed: tuple[bytes, bytes], cache_entries: int) -> PreTokenCounter:
+    """The worker's counter, made once and kept for the tasks that follow; one at a time, to bound memory."""
+    if (path, key) not in _counters:
+        _counters.clear()
+        names, lengths = packed
+        table = dict(zip(names.decode().split("\0"), lengths)) if lengths else {}
+        _counters[path, key] = PreTokenCounter(path, table, cache_entries)
+    return _counters[path, key]
+
+
 def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text", entries: int = TABLE_ENTRIES, sample_documents: int = SAMPLE_DOCUMENTS) -> tuple[bytes, bytes]:
     """The compact table: frequent pre-tokens of a bounded sample joined by NUL, and a byte for each length.
 
@@ -113,12 +127,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     """id, n_bytes, n_tokens and over_limit of every document."""
     spark = prepare(docs.sparkSession)
     path = tokenizer or default_tokenizer()
+    key = uuid.uuid4().hex
     packed = spark.sparkContext.broadcast(frequent_pre_tokens(docs, path, text, entries, sample_documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, lengths = packed.value
-        table = dict(zip(names.decode().split("\0"), lengths)) if lengths else {}
-        counter = PreTokenCounter(path, table, cache_entries)
+        counter = worker_counter(path, key, packed.value, cache_entries)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = counter.count(texts)
