@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import TEXT_ROWS_PER_BATCH, fresh, prepare
 
 MARK = "▁"
-#: Entries of the worker's caches, some 50 MB each; they bound its memory, not the results.
-WORD_CACHE, PAIR_CACHE = 200_000, 400_000
+#: Entries of the worker's caches, some 50 MB at most each; they bound its memory, not the results.
+WORD_CACHE, PAIR_CACHE = 150_000, 200_000
 #: Text whose new words are sorted into one trie.
 TRIE_BYTES = 4 << 20
 _UNKNOWN = -1
@@ -201,6 +201,10 @@ class Codec:
                 cache[w] = np.array(self.encode_merged(w), np.int32).tobytes()
         return [np.frombuffer(b"".join([cache[w] for w in words]), np.int32) for words in cut]
 
+    def rest(self) -> None:
+        """Give the words back between tasks: a worker that waits holds little."""
+        self.cache = {}
+
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids.tolist()]).decode(errors="replace")
@@ -211,7 +215,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def worker_codec(path: str) -> Codec:
-    """The worker's codec; its caches serve all tasks that the worker runs."""
+    """The worker's codec; its tables and known pairs serve all tasks that the worker runs."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -251,6 +255,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", output
             out = pa.RecordBatch.from_arrays([*batch.columns, pieces, *more], names=[*batch.schema.names, name, *([back] if back else [])])
             for start in range(0, out.num_rows, TEXT_ROWS_PER_BATCH):
                 yield out.slice(start, TEXT_ROWS_PER_BATCH)
+        codec.rest()
 
     return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` array<int>", *([f"`{back}` string"] if back else [])]))
 
