@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import prepare
 
-MAX_PER_CLASS, MAX_CHARS, MAX_WORDS, MIN_DOCUMENTS = 2000, 60_000, 60_000, 3
+MAX_PER_CLASS, MAX_CHARS, MAX_WORDS, MIN_DOCUMENTS = 2000, 60_000, 12_000, 3
 PREFIXES = (3, 4, 5, 6, 7)
 WORD_CACHE = 500_000
 STEPS, RATE, L1 = 250, 0.1, 2e-4
@@ -73,18 +74,26 @@ def features(word: str) -> list[str]:
 def fit(texts: list[str], y: np.ndarray, totals: dict[int, int], max_words: int = MAX_WORDS) -> Model:
     if not len(y) or len(set(y)) < 2:
         return Model(40.0 if len(y) and y[0] else -40.0, {})
-    bags = [[set(_words(m.group().lower())) for m in _sentences(t)] for t in texts]
-    seen = Counter(f for bag in bags for f in {f for w in set().union(*bag) for f in features(w)})
-    vocabulary = {w: k for k, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_words]) if n >= MIN_DOCUMENTS}
-    sentence, word, document = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    # the words and beginnings that tell the labels apart best, by chi-square over documents
+    seen = [Counter(), Counter()]
+    for t, label in zip(texts, y):
+        seen[int(label)].update({f for w in set(_words(t.lower())) for f in features(w)})
+    n = [max(1, int((y == label).sum())) for label in (0, 1)]
+    found = [f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= MIN_DOCUMENTS]
+    rate = {f: (seen[0][f] / n[0], seen[1][f] / n[1], (seen[0][f] + seen[1][f]) / sum(n)) for f in found}
+    best = sorted(found, key=lambda f: (-((rate[f][1] - rate[f][0]) ** 2) / (rate[f][2] * (1 - rate[f][2]) + 1e-9), f))[:max_words]
+    vocabulary = {f: k for k, f in enumerate(best)}
+    del seen, found, rate
+    sentence, word, document = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for m in _sentences(t.lower()):
+            s = set(_words(m.group()))
             if s:
                 k = [vocabulary[f] for w in sorted(s) for f in features(w) if f in vocabulary]
-                sentence += [len(document)] * len(k)
-                word += k
+                sentence.extend([len(document)] * len(k))
+                word.extend(k)
                 document.append(d)
-    sentence, word, document = np.array(sentence, int), np.array(word, int), np.array(document, int)
+    sentence, word, document = (np.array(x, np.int32) for x in (sentence, word, document))
     share = np.array([totals[int(v)] / max(1, (y == v).sum()) for v in y])
     share /= share.sum()
     w, b = np.zeros(len(vocabulary)), -5.0
