@@ -170,6 +170,34 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {x.doc_id: x.component_id for x in out.collect()} == comp
 
 
+def _swapped(r, base, count):
+    """The words of base with so many of them replaced by new ones."""
+    out = list(base)
+    for k in r.choice(len(base), count, replace=False):
+        out[k] = f"x{r.integers(1 << 50)}"
+    return out
+
+
+def _single_words(spark, texts):
+    """near_duplicates and brute force over sets of words."""
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    comp, _ = brute.components(texts, 1)
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1)
+    return {x.doc_id: x.component_id for x in out.collect()}, comp
+
+
+def test_near_duplicates_with_many_members_below_the_threshold(spark):
+    """Only one pair is linked, not by the hub, and both ends have dozens of partners at 0.79 that look more alike."""
+    r = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(200)]
+    ends = {1000: base, 1001: _swapped(r, base, 22)}
+    texts = {40 * n + k: _swapped(r, end, 23) for n, end in enumerate(ends.values()) for k in range(40)} | ends
+    assert np.isclose([len(set(texts[0]) & set(base)) / len(set(texts[0]) | set(base))], 177 / 223)
+    got, want = _single_words(spark, texts)
+    assert want[1001] == 1000 and len(set(want.values())) == len(want) - 1
+    assert got == want
+
+
 def test_superminhash_estimates_jaccard():
     r = np.random.default_rng(1)
     pool = near_dedup.mix(np.arange(1, 3000, dtype=np.uint64))

@@ -9,9 +9,10 @@ sets with a chance equal to their Jaccard similarity.
 Bands of slots give bucket keys. Equal sets are one class first, so copies meet only once. A bucket never emits all of
 its pairs: each member is paired with the bucket's smallest id; pairs that pass a wide margin on the signatures
 are confirmed on the full sets; union-find by label propagation with pointer jumping merges the linked. Then
-buckets that still hold several components are revisited, in rounds until one finds no link: in blocks of bounded
-size the members outside the largest component are compared by signature with all members of others, and each
-names its few most similar for confirmation. Candidates thus grow with the members, not with their square.
+buckets that still hold several components are revisited: in blocks of bounded size the members outside the largest
+component are compared by signature with all members of others, and each names its few most similar for
+confirmation. In the next rounds it names those that follow, until no block holds an untried pair of two components
+above the margin. A small number a round lets components merge first, so that few pairs of a group are ever named.
 
 Missed links: at similarity s a pair shares no bucket with chance (1 - s^ROWS)^BANDS, 1e-7 at 0.8; beyond that, a link
 in a bucket of over BLOCK members may be passed over where the pair falls into different blocks of every
@@ -26,6 +27,7 @@ gives an empty result; the input's own columns are not touched.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,11 @@ BANDS, ROWS = 30, 4
 SLOTS = BANDS * ROWS
 #: Signatures must agree in this share less than the threshold (over five standard deviations).
 MARGIN = 0.2
-BLOCK, BEST, MAX_ROUNDS = 2048, 2, 5
+BLOCK = 2048
+#: Partners that a member names in the first round; the number grows to the second from round to round.
+BEST, MOST = 2, 256
+#: What makes a task of comparisons.
+TASK = ["key", "block"]
 ELEMENTS_AT_ONCE = 8192
 WORD_CACHE = 250_000
 #: Bits of the filter that tells the map over texts which documents have candidates; fixed, so its size is bounded.
@@ -219,12 +225,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each member outside the block's largest component: the BEST most similar members of other components."""
+def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, seen: tuple[np.ndarray, np.ndarray], threshold: int, most: int) -> tuple[np.ndarray, ...]:
+    """For each member outside the block's largest component: its next most similar members of other components.
+
+    A member's partners have a fixed order (slots that agree, then id), and `seen` (slots, id) is how far it has come
+    in it. What lies before was named, or was of its own component, and components only grow. Returned are member,
+    partner, agreeing slots, and whether this is the last of `most` partners, after which more may follow; a member
+    that has come to its end names no partner and -1 slots.
+    """
     names, sizes = np.unique(comp, return_counts=True)
     ask = np.flatnonzero(comp != names[np.argmax(sizes)])
-    left, right = [ids[:0]], [ids[:0]]
-    need = (threshold / 100 - MARGIN) * SLOTS
+    out = []
+    need = max(1, math.floor((threshold / 100 - MARGIN) * SLOTS))
     slots = np.ascontiguousarray(sig.T)
     for start in range(0, len(ask), 128):
         some = ask[start : start + 128]
@@ -236,23 +248,32 @@ def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarra
                 same += (slot[some][:, None] == slot[None, :]).view(np.uint8)
         fits = np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold
         same[~fits | (comp[some][:, None] == comp[None, :])] = 0
-        best = np.argsort(255 - same, axis=1, kind="stable")[:, :BEST]
-        x, y = np.nonzero(np.take_along_axis(same, best, 1) >= need)
-        left.append(ids[some[x]])
-        right.append(ids[best[x, y]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _next_pairs(multi: DataFrame, sigs: DataFrame, labels: DataFrame, tried: DataFrame, threshold: int) -> DataFrame:
-    """New candidates between different components of the same bucket.
-
-    Buckets are dealt out in blocks of about BLOCK members, and a task walks its blocks one after another.
+        upto, last = seen[0][some][:, None], seen[1][some][:, None]
+        same[(same > upto) | ((same == upto) & (ids[None, :] <= last))] = 0
+        best = np.argsort(255 - same, axis=1, kind="stable")[:, :most]
+        score = np.take_along_axis(same, best, 1)
+        x, y = np.nonzero(score >= need)
+        full = np.zeros(len(x), bool) if most > best.shape[1] else y == most - 1
+        out.append((some[x], ids[best[x, y]], score[x, y].astype(np.int64), full))
+        ended = some[(score >= need).sum(1) < most]
+        out.append((ended, np.full(len(ended), -1), np.full(len(ended), -1), np.zeros(len(ended), bool)))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (ask, ids[:0], ids[:0], np.zeros(0, bool))
+
+
+def _named(rows: DataFrame, sigs: DataFrame, labels: DataFrame, cursors: DataFrame | None, threshold: int, most: int) -> DataFrame:
+    """What the members (TASK, id) of tasks that hold several components name: TASK, id, other, same, more.
+
+    A task walks its blocks one after another.
     """
-    rows = multi.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.join(mixed, "key").select("key", "id", "comp", F.pmod(F.xxhash64("id"), blocks).alias("block"))
-    rows = rows.join(sigs.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id").select("key", "block", "id", "comp", "n", "_sig")
+    rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*TASK, "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = rows.groupBy(*TASK).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = rows.join(mixed, TASK).select(*TASK, "id", "comp")
+    if cursors is None:
+        rows = rows.withColumns({"upto": F.lit(255).cast("long"), "last": F.lit(-1).cast("long")})
+    else:
+        rows = rows.join(cursors, [*TASK, "id"], "left").withColumns({"upto": F.coalesce("upto", F.lit(255)), "last": F.coalesce("last", F.lit(-1))})
+    rows = rows.join(sigs.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id").select(*TASK, "id", "comp", "n", "upto", "last", "_sig")
+    width = len(TASK)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -261,19 +282,26 @@ def _next_pairs(multi: DataFrame, sigs: DataFrame, labels: DataFrame, tried: Dat
                 held = batch if held is None else pa.concat_batches([held, batch])
             if held is None or not held.num_rows:
                 continue
-            key, block, ids, comp, n = (held.column(c).to_numpy() for c in range(5))
-            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1, len(key)]
+            task = [held.column(c).to_numpy() for c in range(width)]
+            ids, comp, n, upto, last = (held.column(c).to_numpy() for c in range(width, width + 5))
+            new = np.any([t[1:] != t[:-1] for t in task], axis=0)
+            starts = np.r_[0, np.flatnonzero(new) + 1, len(ids)]
             # the last block may go on in the next batch
             done = len(starts) - 1 if batch is None else len(starts) - 2
-            sig = np.frombuffer(b"".join(held.column(5).to_pylist()), np.uint16).reshape(-1, SLOTS)
-            found = [block_pairs(*(v[starts[k] : starts[k + 1]] for v in (ids, comp, n, sig)), threshold) for k in range(done)]
-            if found:
-                left, right = (np.concatenate([f[side] for f in found]) for side in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], names=["a", "b"])
+            sig = np.frombuffer(b"".join(held.column(width + 5).to_pylist()), np.uint16).reshape(-1, SLOTS)
+            for k in range(done):
+                at = slice(starts[k], starts[k + 1])
+                who, other, same, more = block_pairs(ids[at], comp[at], n[at], sig[at], (upto[at], last[at]), threshold, most)
+                if not more.any():  # nobody asks again here
+                    who, other, same, more = (v[other >= 0] for v in (who, other, same, more))
+                if len(who):
+                    columns = [pa.array(np.full(len(who), t[starts[k]])) for t in task]
+                    columns += [pa.array(v) for v in (ids[at][who], other.astype(np.int64), same.astype(np.int64), more)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*TASK, "id", "other", "same", "more"])
             held = held.slice(int(starts[done]))
 
-    pairs = rows.repartition("key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(walk, "a long, b long").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "other", "same"]) + ", more boolean"
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, shape)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,23 +316,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     reps = stage(nodes.join(classes.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]), "representatives")
     bands = reps.select(F.col("_id").alias("id"), F.explode("_keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    multi = stage(bands.join(buckets, "key").select("key", "id", "hub"), "buckets")
-    pairs = multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    multi = multi.select("key", "id")
-    tried, links = None, None
-    for turn in range(MAX_ROUNDS):
-        pairs = stage(pairs, "candidates")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        near = pairs if turn else stage(_alike(pairs, reps, threshold), "alike")
-        if near.isEmpty():
-            break
-        found = stage(confirmed(near, docs, width, threshold, id_column, text), "links")
-        if turn and found.isEmpty():
+    block = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / BLOCK))
+    multi = stage(bands.join(buckets, "key").select("key", block.alias("block"), "id", "hub"), "buckets")
+    pairs = stage(multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
+    multi = multi.select(*TASK, "id")
+    tried, links = pairs, None
+    labels = reps.select(F.col("_id").alias("node"), F.col("_id").alias("comp"))
+    near, rows, cursors, most = stage(_alike(pairs, reps, threshold), "alike"), multi, None, BEST
+    while True:
+        if not near.isEmpty():
+            found = stage(confirmed(near, docs, width, threshold, id_column, text), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = connected_components(links)
+        if rows is None:
             break
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        if turn < MAX_ROUNDS - 1:
-            pairs = _next_pairs(multi, reps, labels, tried, threshold)
+        named = stage(_named(rows, reps, labels, cursors, threshold, most), "named")
+        pairs = named.where("other >= 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        near = stage(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried = tried.unionByName(near)
+        # blocks in which a member may have more to name are visited again, until none has
+        again = named.where("more").select(*TASK).distinct()
+        rows = None
+        if not again.isEmpty():
+            rows = multi.join(again, TASK, "left_semi")
+            cursors = named.where("more or other < 0").select(*TASK, "id", F.col("same").alias("upto"), F.col("other").alias("last"))
+            most = min(4 * most, MOST)
     rows = base.select("_id", "_n", "_d").join(classes.withColumnRenamed("_n", "_m").withColumnRenamed("_d", "_e"), (F.col("_n") == F.col("_m")) & (F.col("_d") == F.col("_e")), "left")
     rows = rows.withColumn("_node", F.coalesce("_rep", "_id"))
     if links is None:
