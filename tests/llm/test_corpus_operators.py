@@ -198,6 +198,32 @@ def test_near_duplicates_with_many_members_below_the_threshold(spark):
     assert got == want
 
 
+def test_near_duplicates_across_the_blocks_of_a_bucket(spark, monkeypatch):
+    """Linked pairs, none by the hub, in buckets of many blocks: the ends of most fall into different blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    r = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = {0: base}
+    for k in range(1, 20):
+        texts[k] = _swapped(r, base, 24)
+        texts[100 + k] = _swapped(r, texts[k], 18)
+    got, want = _single_words(spark, texts)
+    assert all(want[100 + k] == k for k in range(1, 20))
+    assert got == want
+
+
+def test_tasks_cover_each_pair_of_blocks_once(spark):
+    rows = [(n, n, b, 10 * n + b) for n in range(1, 8) for b in range(n)]
+    multi = spark.createDataFrame(rows, "key long, blocks long, block long, id long")
+    for n in range(1, 8):
+        tasks = defaultdict(list)
+        for low, high in ((0, 1), (1, 2), (2, 4)):
+            for r in near_dedup._tasks(multi.where(F.col("key") == n), low, high).collect():
+                tasks[r.block, r.gap].append((r.side, r.id - 10 * n))
+        pairs = Counter(tuple(sorted(x for _, x in t)) for t in tasks.values())
+        assert pairs == Counter([(a, b) if a < b else (a,) for a in range(n) for b in range(a, n)])
+
+
 def test_superminhash_estimates_jaccard():
     r = np.random.default_rng(1)
     pool = near_dedup.mix(np.arange(1, 3000, dtype=np.uint64))

@@ -14,9 +14,12 @@ component are compared by signature with all members of others, and each names i
 confirmation. In the next rounds it names those that follow, until no block holds an untried pair of two components
 above the margin. A small number a round lets components merge first, so that few pairs of a group are ever named.
 
-Missed links: at similarity s a pair shares no bucket with chance (1 - s^ROWS)^BANDS, 1e-7 at 0.8; beyond that, a link
-in a bucket of over BLOCK members may be passed over where the pair falls into different blocks of every
-bucket and no common neighbour joins them.
+Buckets of over BLOCK members are dealt out in blocks by a hash of id and bucket. Once the blocks have nothing more to
+name, each is compared with the others in the same way, so that all pairs of a bucket are covered; pairs of blocks
+that hold one component only are passed over.
+
+Missed links: at similarity s a pair shares no bucket with chance (1 - s^ROWS)^BANDS, 1e-7 at 0.8, and a linked pair
+falls short of the signature margin with about the same.
 
 Cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer words than a
 shingle make one element of the whole sequence; rows without id are returned unlinked, with a null
@@ -44,8 +47,8 @@ MARGIN = 0.2
 BLOCK = 2048
 #: Partners that a member names in the first round; the number grows to the second from round to round.
 BEST, MOST = 2, 256
-#: What makes a task of comparisons.
-TASK = ["key", "block"]
+#: What makes a task of comparisons: a bucket, a block of it, and the distance to the block that it is compared with.
+TASK = ["key", "block", "gap"]
 ELEMENTS_AT_ONCE = 8192
 WORD_CACHE = 250_000
 #: Bits of the filter that tells the map over texts which documents have candidates; fixed, so its size is bounded.
@@ -225,8 +228,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, seen: tuple[np.ndarray, np.ndarray], threshold: int, most: int) -> tuple[np.ndarray, ...]:
-    """For each member outside the block's largest component: its next most similar members of other components.
+def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, seen: tuple[np.ndarray, np.ndarray], side: np.ndarray | None, threshold: int, most: int) -> tuple[np.ndarray, ...]:
+    """For each member outside the task's largest component: its next most similar members of other components.
+
+    side: which of two blocks a member is of, if two are compared with each other; None within one block.
 
     A member's partners have a fixed order (slots that agree, then id), and `seen` (slots, id) is how far it has come
     in it. What lies before was named, or was of its own component, and components only grow. Returned are member,
@@ -248,6 +253,8 @@ def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarra
                 same += (slot[some][:, None] == slot[None, :]).view(np.uint8)
         fits = np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold
         same[~fits | (comp[some][:, None] == comp[None, :])] = 0
+        if side is not None:
+            same[side[some][:, None] == side[None, :]] = 0
         upto, last = seen[0][some][:, None], seen[1][some][:, None]
         same[(same > upto) | ((same == upto) & (ids[None, :] <= last))] = 0
         best = np.argsort(255 - same, axis=1, kind="stable")[:, :most]
@@ -261,18 +268,18 @@ def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarra
 
 
 def _named(rows: DataFrame, sigs: DataFrame, labels: DataFrame, cursors: DataFrame | None, threshold: int, most: int) -> DataFrame:
-    """What the members (TASK, id) of tasks that hold several components name: TASK, id, other, same, more.
+    """What the members (TASK, side, id) of tasks that hold several components name: TASK, id, other, same, more.
 
-    A task walks its blocks one after another.
+    A Spark task walks its tasks one after another.
     """
-    rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*TASK, "id", F.coalesce("comp", "id").alias("comp"))
+    rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = rows.groupBy(*TASK).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = rows.join(mixed, TASK).select(*TASK, "id", "comp")
+    rows = rows.join(mixed, TASK).select(*TASK, "side", "id", "comp")
     if cursors is None:
         rows = rows.withColumns({"upto": F.lit(255).cast("long"), "last": F.lit(-1).cast("long")})
     else:
         rows = rows.join(cursors, [*TASK, "id"], "left").withColumns({"upto": F.coalesce("upto", F.lit(255)), "last": F.coalesce("last", F.lit(-1))})
-    rows = rows.join(sigs.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id").select(*TASK, "id", "comp", "n", "upto", "last", "_sig")
+    rows = rows.join(sigs.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id").select(*TASK, "id", "comp", "n", "upto", "last", "side", "_sig")
     width = len(TASK)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +290,15 @@ def _named(rows: DataFrame, sigs: DataFrame, labels: DataFrame, cursors: DataFra
             if held is None or not held.num_rows:
                 continue
             task = [held.column(c).to_numpy() for c in range(width)]
-            ids, comp, n, upto, last = (held.column(c).to_numpy() for c in range(width, width + 5))
+            ids, comp, n, upto, last, side = (held.column(c).to_numpy() for c in range(width, width + 6))
             new = np.any([t[1:] != t[:-1] for t in task], axis=0)
             starts = np.r_[0, np.flatnonzero(new) + 1, len(ids)]
             # the last block may go on in the next batch
             done = len(starts) - 1 if batch is None else len(starts) - 2
-            sig = np.frombuffer(b"".join(held.column(width + 5).to_pylist()), np.uint16).reshape(-1, SLOTS)
+            sig = np.frombuffer(b"".join(held.column(width + 6).to_pylist()), np.uint16).reshape(-1, SLOTS)
             for k in range(done):
                 at = slice(starts[k], starts[k + 1])
-                who, other, same, more = block_pairs(ids[at], comp[at], n[at], sig[at], (upto[at], last[at]), threshold, most)
+                who, other, same, more = block_pairs(ids[at], comp[at], n[at], sig[at], (upto[at], last[at]), side[at] if task[2][starts[k]] else None, threshold, most)
                 if not more.any():  # nobody asks again here
                     who, other, same, more = (v[other >= 0] for v in (who, other, same, more))
                 if len(who):
@@ -304,6 +311,17 @@ def _named(rows: DataFrame, sigs: DataFrame, labels: DataFrame, cursors: DataFra
     return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, shape)
 
 
+def _tasks(multi: DataFrame, low: int, high: int) -> DataFrame:
+    """TASK, side and id of the tasks with gaps from low to below high: every block meets itself and every other once."""
+    furthest = F.floor(F.col("blocks") / 2)
+    gap = F.sequence(F.lit(low).cast("long"), F.least(F.lit(high - 1).cast("long"), furthest))
+    rows = multi.where(furthest >= low).select("key", "blocks", "id", F.col("block").alias("_own"), F.explode(gap).alias("gap"))
+    rows = rows.select("key", "blocks", "id", "_own", "gap", F.explode(F.sequence(F.lit(0).cast("long"), F.least("gap", F.lit(1).cast("long")))).alias("side"))
+    rows = rows.withColumn("block", F.pmod(F.col("_own") - F.col("side") * F.col("gap"), "blocks"))
+    # at half of an even number of blocks both directions are the same pair
+    return rows.where((F.col("gap") * 2 != F.col("blocks")) | (F.col("block") < F.col("gap"))).select(*TASK, "side", "id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row; threshold in hundredths."""
     prepare(docs.sparkSession)
@@ -316,13 +334,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     reps = stage(nodes.join(classes.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]), "representatives")
     bands = reps.select(F.col("_id").alias("id"), F.explode("_keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    block = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / BLOCK))
-    multi = stage(bands.join(buckets, "key").select("key", block.alias("block"), "id", "hub"), "buckets")
+    blocks = F.ceil(F.col("c") / BLOCK)
+    multi = stage(bands.join(buckets, "key").select("key", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id", "hub"), "buckets")
     pairs = stage(multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-    multi = multi.select(*TASK, "id")
+    furthest = (multi.agg(F.max("blocks")).first()[0] or 1) // 2
     tried, links = pairs, None
     labels = reps.select(F.col("_id").alias("node"), F.col("_id").alias("comp"))
-    near, rows, cursors, most = stage(_alike(pairs, reps, threshold), "alike"), multi, None, BEST
+    near, cursors, most = stage(_alike(pairs, reps, threshold), "alike"), None, BEST
+    # tasks of the gaps below `high` are open; twice as many at a time, as ever fewer hold several components
+    rows, high = _tasks(multi, 0, 1), 1
     while True:
         if not near.isEmpty():
             found = stage(confirmed(near, docs, width, threshold, id_column, text), "links")
@@ -335,13 +355,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
         pairs = named.where("other >= 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         near = stage(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         tried = tried.unionByName(near)
-        # blocks in which a member may have more to name are visited again, until none has
-        again = named.where("more").select(*TASK).distinct()
+        # tasks in which a member may have more to name are visited again, until none has
+        more = named.where("more").select(*TASK).distinct()
         rows = None
-        if not again.isEmpty():
-            rows = multi.join(again, TASK, "left_semi")
+        if not more.isEmpty():
+            rows = _tasks(multi, 0, high).join(more, TASK, "left_semi")
             cursors = named.where("more or other < 0").select(*TASK, "id", F.col("same").alias("upto"), F.col("other").alias("last"))
             most = min(4 * most, MOST)
+        elif high <= furthest:
+            rows, cursors, most, high = _tasks(multi, high, 2 * high), None, BEST, 2 * high
     rows = base.select("_id", "_n", "_d").join(classes.withColumnRenamed("_n", "_m").withColumnRenamed("_d", "_e"), (F.col("_n") == F.col("_m")) & (F.col("_d") == F.col("_e")), "left")
     rows = rows.withColumn("_node", F.coalesce("_rep", "_id"))
     if links is None:
