@@ -89,6 +89,37 @@ def test_blocks_of_unique_lines_are_found(before, ahead, size, after):
     assert bool(keys[0] & keys[1]) == bool(want)
 
 
+def test_crossed_and_doubled_blocks_go():
+    assert line_dedup.repeated_blocks([1, 2, 3], [2, 3, 1], [5, 5, 60], 50) == [2]
+    assert line_dedup.repeated_blocks([1, 2, 8, 3, 4], [3, 4, 9, 1, 2], [30] * 5, 50) == [0, 1, 3, 4]
+    assert line_dedup.repeated_blocks([1, 2], [1, 2, 8, 1, 2], [30] * 5, 50) == [0, 1, 3, 4]
+    assert line_dedup.repeated_blocks([1, 8, 2], [1, 2], [30] * 2, 50) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14))
+def test_no_block_is_left(a, b):
+    words = [5, 7, 9, 11, 13, 31]
+    counts = [words[x] for x in b]
+
+    def covered(b):
+        runs = {tuple(a[i:k]) for i in range(len(a)) for k in range(i + 1, len(a) + 1)}
+        spans = [(j, k) for j in range(len(b)) for k in range(j + 1, len(b) + 1) if tuple(b[j:k]) in runs and sum(words[x] for x in b[j:k]) >= 30]
+        return sorted({n for j, k in spans for n in range(j, k)})
+
+    assert line_dedup.left_blocks(a, b, counts, 30) == covered(b)
+    gone = line_dedup.repeated_blocks(a, b, counts, 30)
+    assert covered([x for j, x in enumerate(b) if j not in gone]) == []
+    assert bool(gone) == bool(covered(b))
+
+
+def test_line_dedup_of_crossed_passages(spark):
+    p, q = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    texts = [(1, "\n".join([p, "x", "y", q])), (2, "\n".join(["x", "y", q, "own", p, "end", p]))]
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc.doc_id: r.clean_text for r in out} == {1: texts[0][1], 2: "own\nend"}
+
+
 def test_line_dedup(docs, rows, no_docs):
     out = line_dedup.dedup_lines(docs).collect()
     assert len(out) == len(rows)

@@ -6,8 +6,9 @@ deleted starts with such a run, in both documents. For each key the later docume
 earliest that holds it, so pairs grow with the occurrences and not with their square, and yet every
 repeated block meets its first holder. Pairs are aligned by patience diff on the line hashes (lines unique
 in both sides anchor the longest increasing chain; gaps are aligned in turn, by occurrence number
-where no line is unique), and aligned blocks of at least min_words words are deleted from the later document.
-Earlier means the smaller id.
+where no line is unique), and aligned blocks of at least min_words words are deleted from the later document. Its
+other lines are then matched with all of the first document, in whatever order, until no block of min_words words is
+left in common. Earlier means the smaller id.
 
 Only hashes travel to the pairs; texts meet the deletions once, in an equi-join by id.
 
@@ -141,6 +142,64 @@ def common_blocks(a: list[int], b: list[int], counts: list[int], min_words: int)
     return out
 
 
+def left_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
+    """Positions in b of all runs of consecutive lines that a has too, wherever, and that have min_words words.
+
+    A suffix automaton of a gives the longest such run up to each line of b.
+    """
+    length, link, step, last = [0], [-1], [{}], 0
+    for x in a:
+        new, p = len(length), last
+        length.append(length[last] + 1)
+        link.append(0)
+        step.append({})
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] != length[p] + 1:
+                copy = len(length)
+                length.append(length[p] + 1)
+                link.append(link[q])
+                step.append(dict(step[q]))
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    total, starts, state, size = [0], [], 0, 0
+    for j, x in enumerate(b):
+        total.append(total[-1] + counts[j])
+        while state and x not in step[state]:
+            state = link[state]
+            size = length[state]
+        state, size = (step[state][x], size + 1) if x in step[state] else (0, 0)
+        start = j + 1 - size
+        starts.append(start if total[-1] - total[start] >= min_words else _FAR)
+    out, reach = [], _FAR
+    for j in range(len(b) - 1, -1, -1):
+        reach = min(reach, starts[j])
+        if j >= reach:
+            out.append(j)
+    return out[::-1]
+
+
+def repeated_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
+    """Positions in b of the aligned blocks, then of all blocks that are left: what crosses the alignment or comes again."""
+    gone = set(common_blocks(a, b, counts, min_words))
+    have = set(a)
+    while True:
+        rest = [j for j in range(len(b)) if j not in gone]
+        if sum(counts[j] for j in rest if b[j] in have) < min_words:
+            return sorted(gone)
+        found = left_blocks(a, [b[j] for j in rest], [counts[j] for j in rest], min_words)
+        if not found:
+            return sorted(gone)
+        gone.update(rest[j] for j in found)
+
+
 def document_lines(docs: DataFrame, min_words: int, id_column: str, text: str) -> DataFrame:
     """_id, _t (hash of the text), _h, _c (line hashes and word counts, packed), _keys."""
 
@@ -171,7 +230,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc
         for batch in batches:
             found = []
             for x, y, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                found.append(common_blocks(np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist(), np.frombuffer(c, np.int32).tolist(), min_words))
+                found.append(repeated_blocks(np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist(), np.frombuffer(c, np.int32).tolist(), min_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_t", "_gone"])
 
     a = lines.select(F.col("_id").alias("first"), F.col("_h").alias("_a"))
