@@ -255,6 +255,35 @@ def test_tasks_cover_each_pair_of_blocks_once(spark):
         assert pairs == Counter([(a, b) if a < b else (a,) for a in range(n) for b in range(a, n)])
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    """One text, of the smallest hash, stands for an id; all rows of the id get its component."""
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (11, None), (11, a), (None, a)], "doc_id long, text string")
+    first = {r.doc_id: r.text for r in rows.where("doc_id is not null").orderBy(F.xxhash64("text").desc()).collect()}
+    comp, _ = brute.components(first, 4)
+    out = near_dedup.near_duplicates(rows, width=4).collect()
+    assert len(out) == 7
+    assert all((r.component_id, r.kept) == ((comp[r.doc_id], comp[r.doc_id] == r.doc_id) if r.doc_id else (None, True)) for r in out)
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in out) == [(0, 27), (3, 27), (7, 27), (7, 27), (9, 27), (11, 0), (11, 27)]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_near_duplicates_close_to_the_threshold(spark, seed):
+    """Groups whose pairs lie on both sides of 0.8, linked or not by a word or two."""
+    r = np.random.default_rng(seed)
+    texts = {}
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(180)]
+        for k in range(25):
+            texts[100 * g + int(k)] = _swapped(r, base, int(r.integers(8, 14)))
+        # pairs at 0.79997 and 0.80004 look alike to any signature
+        words = [f"g{g}v{k}" for k in range(4000)]
+        texts |= {1000 + 10 * g: words, 1001 + 10 * g: _swapped(r, words, 445 - g % 2), 1002 + 10 * g: _swapped(r, words, 444 + g % 2)}
+    got, want = _single_words(spark, texts)
+    assert 6 < len(set(want.values())) < len(want)
+    assert got == want
+
+
 def test_superminhash_estimates_jaccard():
     r = np.random.default_rng(1)
     pool = near_dedup.mix(np.arange(1, 3000, dtype=np.uint64))

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.plans.shipping import ship
-from tidewater.sources.scratch import new_path
+from tidewater.sources.scratch import new_path, remove_path
 
 #: ASCII white space, the only separators of words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of text handed to a Python worker at once; bounds worker memory for long texts.
+#: Rows, and bytes, of text handed to a Python worker at once; they bound worker memory. A longer text goes alone.
 TEXT_ROWS_PER_BATCH = 256
+TEXT_BYTES_PER_BATCH = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators rely on, and their code on the workers; none changes a result."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES_PER_BATCH)
     return spark
 
 
@@ -33,7 +35,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that no later plan reads; others, and None, are left alone."""
+    for t in tables:
+        if path := getattr(t, "staged_at", None):
+            remove_path(t.sparkSession, path)
 
 
 def words(text: Column) -> Column:

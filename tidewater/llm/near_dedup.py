@@ -23,8 +23,8 @@ falls short of the signature margin with about the same.
 
 Cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer words than a
 shingle make one element of the whole sequence; rows without id are returned unlinked, with a null
-component; of rows that share an id the text with the smallest hash stands for that id; an empty table
-gives an empty result; the input's own columns are not touched.
+component; of rows that share an id the text with the smallest hash stands for that id, and all of them get its
+component (n_shingles is each row's own); an empty table gives an empty result; the input's own columns are not touched.
 """
 
 from __future__ import annotations
@@ -38,21 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import prepare, stage
+from tidewater.llm.common import discard, prepare, stage
 
 BANDS, ROWS = 30, 4
 SLOTS = BANDS * ROWS
 #: Signatures must agree in this share less than the threshold (over five standard deviations).
 MARGIN = 0.2
-BLOCK = 2048
+BLOCK = 1024
 #: Partners that a member names in the first round; the number grows to the second from round to round.
 BEST, MOST = 2, 256
 #: What makes a task of comparisons: a bucket, a block of it, and the distance to the block that it is compared with.
 TASK = ["key", "block", "gap"]
 ELEMENTS_AT_ONCE = 8192
 WORD_CACHE = 250_000
-#: Bits of the filter that tells the map over texts which documents have candidates; fixed, so its size is bounded.
-FILTER_BITS = 1 << 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -172,34 +170,34 @@ def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int, id_column: str, text: str) -> DataFrame:
+class Sets:
+    """Full sets by representative (its id and digest), made from the texts when first asked for and kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, id_column: str, text: str):
+        self.rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
+        self.reps, self.width, self.known = reps, width, None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """_id and _set of at least the ids."""
+        new = ids if self.known is None else ids.join(self.known, "_id", "left_anti")
+        width = self.width
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingle = Shingler(width)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["_id", "_set"])
+
+        # the text that a representative stands for; texts move only where the ids are too many to broadcast
+        wanted = stage(self.reps.join(new, "_id", "left_semi").select("_id", "_t"), "wanted")
+        made = stage(self.rows.join(wanted, ["_id", "_t"], "left_semi").select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
+        discard(wanted)
+        self.known = made if self.known is None else self.known.unionByName(made)
+        return self.known
+
+
+def confirmed(pairs: DataFrame, sets: Sets, threshold: int) -> DataFrame:
     """Those of the staged pairs (a, b) whose full sets reach the threshold (in hundredths)."""
-    spark = pairs.sparkSession
-    slot = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
-    maps = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    # at most FILTER_BITS / 32768 rows of 4 KB
-    bits = np.zeros((FILTER_BITS // 32768 + 1, 4096), np.uint8)
-    for r in maps.collect():
-        bits[r.k - 1 if r.k else 0] |= np.frombuffer(bytes(r.m), np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, known = Shingler(width), shared.value
-        for batch in batches:
-            k, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            keep = np.flatnonzero((known[np.maximum(k - 1, 0), at >> 3] >> (at & 7)) & 1)
-            if len(keep):
-                some = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle(t).tobytes() for t in some.column(1).to_pylist()], pa.binary()), some.column(4)], names=["_id", "_set", "_t"])
-
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t")).where(F.col("_id").isNotNull())
-    rows = rows.select("_id", "_text", F.bitmap_bucket_number(slot).alias("_k"), F.bitmap_bit_position(slot).alias("_at"), "_t")
-    wanted = rows.mapInArrow(sets, "_id long, _set binary, _t long")
-    wanted = stage(wanted.join(ids.distinct(), "_id", "left_semi"), "sets")
-    # of rows that share an id, the text with the smallest hash stands
-    firsts = wanted.groupBy("_id").agg(F.min("_t").alias("_t"))
-    wanted = wanted.join(firsts, ["_id", "_t"]).select("_id", "_set")
+    known = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +208,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: int, id_
                 good.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    a, b = (wanted.select(F.col("_id").alias(c), F.col("_set").alias(f"s{c}")) for c in "ab")
+    a, b = (known.select(F.col("_id").alias(c), F.col("_set").alias(f"s{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and comp (its component's smallest node) of every node of the edges (a, b): label propagation with pointer jumping."""
+    """node and comp (its component's smallest node) of every node of the edges (a, b): label propagation with pointer jumping.
+
+    The result is staged; its column _old is of no use.
+    """
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
     while True:
@@ -223,8 +224,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_m").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
         new = stage(step.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("_next", "comp")).alias("comp"), "_old"), "labels")
-        labels = new.select("node", "comp")
-        if new.where(F.col("comp") != F.col("_old")).isEmpty():
+        ended = new.where(F.col("comp") != F.col("_old")).isEmpty()
+        discard(labels)
+        labels = new
+        if ended:
+            discard(both)
             return labels
 
 
@@ -341,17 +345,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     tried, links = pairs, None
     labels = reps.select(F.col("_id").alias("node"), F.col("_id").alias("comp"))
     near, cursors, most = stage(_alike(pairs, reps, threshold), "alike"), None, BEST
+    sets = Sets(docs, reps, width, id_column, text)
     # tasks of the gaps below `high` are open; twice as many at a time, as ever fewer hold several components
-    rows, high = _tasks(multi, 0, 1), 1
+    rows, high, before = _tasks(multi, 0, 1), 1, None
     while True:
         if not near.isEmpty():
-            found = stage(confirmed(near, docs, width, threshold, id_column, text), "links")
+            found = stage(confirmed(near, sets, threshold), "links")
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
+                discard(labels)
                 labels = connected_components(links)
         if rows is None:
             break
-        named = stage(_named(rows, reps, labels, cursors, threshold, most), "named")
+        named = stage(_named(rows, reps, labels.select("node", "comp"), cursors, threshold, most), "named")
+        discard(before)
+        before = named
         pairs = named.where("other >= 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         near = stage(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         tried = tried.unionByName(near)
@@ -364,12 +372,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
             most = min(4 * most, MOST)
         elif high <= furthest:
             rows, cursors, most, high = _tasks(multi, high, 2 * high), None, BEST, 2 * high
-    rows = base.select("_id", "_n", "_d").join(classes.withColumnRenamed("_n", "_m").withColumnRenamed("_d", "_e"), (F.col("_n") == F.col("_m")) & (F.col("_d") == F.col("_e")), "left")
-    rows = rows.withColumn("_node", F.coalesce("_rep", "_id"))
+    discard(before)
+    # the class of each id, then the component of its class; rows of an id get what its text has
+    of = nodes.select("_id", "_n", "_d").dropDuplicates(["_id"]).join(classes, ["_n", "_d"]).select(F.col("_id").alias("_own"), "_rep")
     if links is None:
-        rows = rows.withColumn("_comp", F.col("_node"))
+        of = of.select("_own", F.col("_rep").alias("_comp"))
     else:
-        rows = rows.join(labels.select(F.col("node").alias("_node"), F.col("comp").alias("_found")), "_node", "left").withColumn("_comp", F.coalesce("_found", "_node"))
+        of = of.join(labels.select(F.col("node").alias("_rep"), F.col("comp").alias("_found")), "_rep", "left").select("_own", F.coalesce("_found", "_rep").alias("_comp"))
+    rows = base.select("_id", "_n").join(of, F.col("_id") == F.col("_own"), "left").select("_id", "_n", F.coalesce("_comp", "_id").alias("_comp"))
     comp = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("_comp"))
     kept = F.col("_id").isNull() | (F.col("_id") == F.col("_comp"))
     return rows.select(F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
