@@ -231,7 +231,7 @@ def test_near_duplicates_with_many_members_below_the_threshold(spark):
 
 def test_near_duplicates_across_the_blocks_of_a_bucket(spark, monkeypatch):
     """Linked pairs, none by the hub, in buckets of many blocks: the ends of most fall into different blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 6)
     r = np.random.default_rng(4)
     base = [f"w{k}" for k in range(200)]
     texts = {0: base}
@@ -246,15 +246,32 @@ def test_near_duplicates_across_the_blocks_of_a_bucket(spark, monkeypatch):
 def test_tasks_cover_each_pair_of_blocks_once(spark):
     rows = [(n, n, b, 10 * n + b) for n in range(1, 8) for b in range(n)]
     multi = spark.createDataFrame(rows, "key long, blocks long, block long, id long")
+    tasks = defaultdict(list)
+    for r in near_dedup._tasks(multi).collect():
+        tasks[r.key, r.block, r.gap].append((r.side, r.id - 10 * r.key))
     for n in range(1, 8):
-        tasks = defaultdict(list)
-        for low, high in ((0, 1), (1, 2), (2, 4)):
-            for r in near_dedup._tasks(multi.where(F.col("key") == n), low, high).collect():
-                tasks[r.block, r.gap].append((r.side, r.id - 10 * n))
-        pairs = Counter(tuple(sorted(x for _, x in t)) for t in tasks.values())
+        pairs = Counter(tuple(sorted(x for _, x in t)) for k, t in tasks.items() if k[0] == n)
         assert pairs == Counter([(a, b) if a < b else (a,) for a in range(n) for b in range(a, n)])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=1, max_size=9), st.lists(st.integers(0, 2), min_size=9, max_size=9))
+def test_block_links_join_what_is_linked(sets, comp):
+    comp = np.array(comp[: len(sets)])
+    found = near_dedup.block_links(comp, [np.array(sorted(s), np.uint64) for s in sets], 60)
+
+    def classes(pairs):
+        label = {k: int(c) for k, c in enumerate(comp)}
+        for a, b in pairs:
+            old = label[b]
+            label = {k: label[a] if v == old else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+    assert all((a, b) in every or (b, a) in every for a, b in found)
+    assert classes(found) == classes(every) and len(found) < len(sets)
+
+
 def test_near_duplicates_of_ids_with_two_texts(spark):
     """One text, of the smallest hash, stands for an id; all rows of the id get its component."""
     a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")

@@ -6,17 +6,18 @@ its permutation names, a slot keeps the least value, and steps end once every sl
 then are correlated in a way that lowers the variance of the estimate, and each slot still agrees for two
 sets with a chance equal to their Jaccard similarity.
 
-Bands of slots give bucket keys. Equal sets are one class first, so copies meet only once. A bucket never emits all of
-its pairs: each member is paired with the bucket's smallest id; pairs that pass a wide margin on the signatures
-are confirmed on the full sets; union-find by label propagation with pointer jumping merges the linked. Then
-buckets that still hold several components are revisited: in blocks of bounded size the members outside the largest
-component are compared by signature with all members of others, and each names its few most similar for
-confirmation. In the next rounds it names those that follow, until no block holds an untried pair of two components
-above the margin. A small number a round lets components merge first, so that few pairs of a group are ever named.
-
-Buckets of over BLOCK members are dealt out in blocks by a hash of id and bucket. Once the blocks have nothing more to
-name, each is compared with the others in the same way, so that all pairs of a bucket are covered; pairs of blocks
-that hold one component only are passed over.
+Bands of slots give bucket keys. Equal sets are one class first, so copies meet only once. A bucket never emits its
+pairs: each member is paired with the bucket's smallest id; pairs that pass a wide margin on the signatures
+are confirmed on the full sets; union-find by label propagation with pointer jumping merges the linked. Then the
+buckets that still hold several components are gone through, a few bands first, so that fewer are left in the others:
+- members that agree with one of another component up to the margin stay, by signature only;
+- these come with their full sets, all pairs of two components are tested exactly inside the task, by the product of
+  the matrix of members and elements with itself, and only the links that join two components leave it.
+So what is emitted, candidates and links, grows with the members and not with their pairs, and no pair is left out.
+
+Buckets of over BLOCK_ROWS members or BLOCK_ELEMENTS elements are dealt out in blocks by a hash of id and bucket, and
+each block meets itself and each other block once; this is the only step that costs a bucket's square over the block,
+and it is met only by buckets that a band still shows to hold several components.
 
 Missed links: at similarity s a pair shares no bucket with chance (1 - s^ROWS)^BANDS, 1e-7 at 0.8, and a linked pair
 falls short of the signature margin with about the same.
@@ -44,13 +45,17 @@ BANDS, ROWS = 30, 4
 SLOTS = BANDS * ROWS
 #: Signatures must agree in this share less than the threshold (over five standard deviations).
 MARGIN = 0.2
-BLOCK = 1024
-#: Partners that a member names in the first round; the number grows to the second from round to round.
-BEST, MOST = 2, 256
+#: The most members of a block, and about the most elements of their sets.
+BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 21
+#: Bands gone through first.
+FIRST_BANDS = 6
+#: Elements of which the matrix of a block is made at a time.
+COLUMNS = 4096
 #: What makes a task of comparisons: a bucket, a block of it, and the distance to the block that it is compared with.
 TASK = ["key", "block", "gap"]
 ELEMENTS_AT_ONCE = 8192
-WORD_CACHE = 250_000
+#: Words that a worker remembers, and the longest of them in bytes.
+WORD_CACHE, CACHED_LENGTH = 250_000, 128
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -82,10 +87,14 @@ class Shingler:
         try:
             hashes = [cache[t] for t in tokens]
         except KeyError:
+            hashes = []
             for t in tokens:
-                if t not in cache:
-                    cache[t] = self.digest(t)
-            hashes = [cache[t] for t in tokens]
+                h = cache.get(t)
+                if h is None:
+                    h = self.digest(t)
+                    if len(t) <= CACHED_LENGTH:
+                        cache[t] = h
+                hashes.append(h)
         h = np.array(hashes, dtype=np.uint64)
         width = min(self.width, len(h))
         n = len(h) - width + 1
@@ -175,7 +184,7 @@ class Sets:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, width: int, id_column: str, text: str):
         self.rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
-        self.reps, self.width, self.known = reps, width, None
+        self.reps, self.width, self.known, self.made = reps, width, None, []
 
     def of(self, ids: DataFrame) -> DataFrame:
         """_id and _set of at least the ids."""
@@ -191,6 +200,7 @@ class Sets:
         wanted = stage(self.reps.join(new, "_id", "left_semi").select("_id", "_t"), "wanted")
         made = stage(self.rows.join(wanted, ["_id", "_t"], "left_semi").select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
         discard(wanted)
+        self.made.append(made)
         self.known = made if self.known is None else self.known.unionByName(made)
         return self.known
 
@@ -232,58 +242,51 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, seen: tuple[np.ndarray, np.ndarray], side: np.ndarray | None, threshold: int, most: int) -> tuple[np.ndarray, ...]:
-    """For each member outside the task's largest component: its next most similar members of other components.
-
-    side: which of two blocks a member is of, if two are compared with each other; None within one block.
-
-    A member's partners have a fixed order (slots that agree, then id), and `seen` (slots, id) is how far it has come
-    in it. What lies before was named, or was of its own component, and components only grow. Returned are member,
-    partner, agreeing slots, and whether this is the last of `most` partners, after which more may follow; a member
-    that has come to its end names no partner and -1 slots.
-    """
-    names, sizes = np.unique(comp, return_counts=True)
-    ask = np.flatnonzero(comp != names[np.argmax(sizes)])
-    out = []
+def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None, threshold: int) -> np.ndarray:
+    """Which members agree up to the margin with one of another component (and block, if two blocks are compared)."""
     need = max(1, math.floor((threshold / 100 - MARGIN) * SLOTS))
-    slots = np.ascontiguousarray(sig.T)
-    for start in range(0, len(ask), 128):
-        some = ask[start : start + 128]
-        if len(ids) <= 32:
-            same = (sig[some][:, None] == sig[None]).sum(2).astype(np.uint8)
-        else:
-            same = np.zeros((len(some), len(ids)), np.uint8)
-            for slot in slots:
-                same += (slot[some][:, None] == slot[None, :]).view(np.uint8)
-        fits = np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold
-        same[~fits | (comp[some][:, None] == comp[None, :])] = 0
+    slots, found = np.ascontiguousarray(sig.T), np.zeros(len(n), bool)
+    for start in range(0, len(n), 128):
+        some = slice(start, start + 128)
+        same = np.zeros((len(n[some]), len(n)), np.uint8)
+        for slot in slots:
+            same += (slot[some][:, None] == slot[None, :]).view(np.uint8)
+        fits = (same >= need) & (comp[some][:, None] != comp[None, :]) & (np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold)
         if side is not None:
-            same[side[some][:, None] == side[None, :]] = 0
-        upto, last = seen[0][some][:, None], seen[1][some][:, None]
-        same[(same > upto) | ((same == upto) & (ids[None, :] <= last))] = 0
-        best = np.argsort(255 - same, axis=1, kind="stable")[:, :most]
-        score = np.take_along_axis(same, best, 1)
-        x, y = np.nonzero(score >= need)
-        full = np.zeros(len(x), bool) if most > best.shape[1] else y == most - 1
-        out.append((some[x], ids[best[x, y]], score[x, y].astype(np.int64), full))
-        ended = some[(score >= need).sum(1) < most]
-        out.append((ended, np.full(len(ended), -1), np.full(len(ended), -1), np.zeros(len(ended), bool)))
-    return tuple(np.concatenate(v) for v in zip(*out)) if out else (ask, ids[:0], ids[:0], np.zeros(0, bool))
-
-
-def _named(rows: DataFrame, sigs: DataFrame, labels: DataFrame, cursors: DataFrame | None, threshold: int, most: int) -> DataFrame:
-    """What the members (TASK, side, id) of tasks that hold several components name: TASK, id, other, same, more.
-
-    A Spark task walks its tasks one after another.
-    """
-    rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = rows.groupBy(*TASK).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = rows.join(mixed, TASK).select(*TASK, "side", "id", "comp")
-    if cursors is None:
-        rows = rows.withColumns({"upto": F.lit(255).cast("long"), "last": F.lit(-1).cast("long")})
-    else:
-        rows = rows.join(cursors, [*TASK, "id"], "left").withColumns({"upto": F.coalesce("upto", F.lit(255)), "last": F.coalesce("last", F.lit(-1))})
-    rows = rows.join(sigs.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id").select(*TASK, "id", "comp", "n", "upto", "last", "side", "_sig")
+            fits &= side[some][:, None] != side[None, :]
+        found[some] |= fits.any(1)
+    return found
+
+
+def block_links(comp: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Pairs of members whose sets reach the threshold, as many as join the components that such pairs join."""
+    m, n = len(sets), np.array([len(x) for x in sets])
+    elements, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what one member alone has is in no intersection
+    shared = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    column, row = shared[at][keep], np.repeat(np.arange(m), n)[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((m, m), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        common += part @ part.T
+    label, out = comp.copy(), []
+    for i in range(m):
+        both = common[i].astype(np.int64)
+        others = np.flatnonzero((100 * both >= threshold * (n[i] + n - both)) & (label != label[i]))
+        while len(others):
+            out.append((i, int(others[0])))
+            label[label == label[others[0]]] = label[i]
+            others = others[label[others] != label[i]]
+    return out
+
+
+def _walk(rows: DataFrame, work, out: str) -> DataFrame:
+    """work(columns of one task) for each task of the rows, which begin with TASK; a Spark task walks its tasks one after another."""
     width = len(TASK)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,32 +297,53 @@ def _named(rows: DataFrame, sigs: DataFrame, labels: DataFrame, cursors: DataFra
             if held is None or not held.num_rows:
                 continue
             task = [held.column(c).to_numpy() for c in range(width)]
-            ids, comp, n, upto, last, side = (held.column(c).to_numpy() for c in range(width, width + 6))
             new = np.any([t[1:] != t[:-1] for t in task], axis=0)
-            starts = np.r_[0, np.flatnonzero(new) + 1, len(ids)]
-            # the last block may go on in the next batch
+            starts = np.r_[0, np.flatnonzero(new) + 1, held.num_rows]
+            # the last task may go on in the next batch
             done = len(starts) - 1 if batch is None else len(starts) - 2
-            sig = np.frombuffer(b"".join(held.column(width + 6).to_pylist()), np.uint16).reshape(-1, SLOTS)
             for k in range(done):
-                at = slice(starts[k], starts[k + 1])
-                who, other, same, more = block_pairs(ids[at], comp[at], n[at], sig[at], (upto[at], last[at]), side[at] if task[2][starts[k]] else None, threshold, most)
-                if not more.any():  # nobody asks again here
-                    who, other, same, more = (v[other >= 0] for v in (who, other, same, more))
-                if len(who):
-                    columns = [pa.array(np.full(len(who), t[starts[k]])) for t in task]
-                    columns += [pa.array(v) for v in (ids[at][who], other.astype(np.int64), same.astype(np.int64), more)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*TASK, "id", "other", "same", "more"])
+                got = work(held.slice(int(starts[k]), int(starts[k + 1] - starts[k])))
+                if got is not None and got.num_rows:
+                    yield got
             held = held.slice(int(starts[done]))
 
-    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "other", "same"]) + ", more boolean"
-    return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, shape)
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, out)
+
 
+def bucket_links(multi: DataFrame, bands: tuple[int, int], reps: DataFrame, labels: DataFrame, sets: Sets, threshold: int) -> DataFrame:
+    """Links (a, b) that join components, from the tasks of the buckets of some bands that hold several of them."""
+    rows = _tasks(multi.where(F.col("band").between(bands[0], bands[1] - 1)))
+    rows = rows.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = rows.groupBy(*TASK).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*TASK)
+    rows = rows.join(mixed, TASK).join(reps.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id")
 
-def _tasks(multi: DataFrame, low: int, high: int) -> DataFrame:
-    """TASK, side and id of the tasks with gaps from low to below high: every block meets itself and every other once."""
+    def alike(own: pa.RecordBatch) -> pa.RecordBatch | None:
+        comp, n, side = (own.column(c).to_numpy() for c in (5, 6, 4))
+        sig = np.frombuffer(b"".join(own.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS)
+        found = alike_members(comp, n, sig, side if own.column(2)[0].as_py() else None, threshold)
+        return own.select(range(6)).filter(pa.array(found)) if found.any() else None
+
+    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "side", "comp"])
+    near = stage(_walk(rows.select(*TASK, "id", "side", "comp", "n", "_sig"), alike, shape), "alike")
+    known = sets.of(near.select(F.col("id").alias("_id")).distinct()).withColumnRenamed("_id", "id")
+
+    def link(own: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, comp = own.column(3).to_numpy(), own.column(4).to_numpy()
+        found = block_links(comp, [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column(5)], threshold)
+        if not found:
+            return None
+        x, y = (ids[[p[k] for p in found]] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    out = stage(_walk(near.join(known, "id").select(*TASK, "id", "comp", "_set"), link, "a long, b long").distinct(), "links")
+    discard(near)
+    return out
+
+
+def _tasks(multi: DataFrame) -> DataFrame:
+    """TASK, side and id: every block of a bucket meets itself (gap 0) and every other once."""
     furthest = F.floor(F.col("blocks") / 2)
-    gap = F.sequence(F.lit(low).cast("long"), F.least(F.lit(high - 1).cast("long"), furthest))
-    rows = multi.where(furthest >= low).select("key", "blocks", "id", F.col("block").alias("_own"), F.explode(gap).alias("gap"))
+    rows = multi.select("key", "blocks", "id", F.col("block").alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), furthest)).alias("gap"))
     rows = rows.select("key", "blocks", "id", "_own", "gap", F.explode(F.sequence(F.lit(0).cast("long"), F.least("gap", F.lit(1).cast("long")))).alias("side"))
     rows = rows.withColumn("block", F.pmod(F.col("_own") - F.col("side") * F.col("gap"), "blocks"))
     # at half of an even number of blocks both directions are the same pair
@@ -336,49 +360,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     # equal sets are one class, named by its smallest id
     classes = stage(nodes.select("_id", "_n", "_d").groupBy("_n", "_d").agg(F.min("_id").alias("_rep")), "classes")
     reps = stage(nodes.join(classes.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]), "representatives")
-    bands = reps.select(F.col("_id").alias("id"), F.explode("_keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    blocks = F.ceil(F.col("c") / BLOCK)
-    multi = stage(bands.join(buckets, "key").select("key", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id", "hub"), "buckets")
-    pairs = stage(multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-    furthest = (multi.agg(F.max("blocks")).first()[0] or 1) // 2
-    tried, links = pairs, None
-    labels = reps.select(F.col("_id").alias("node"), F.col("_id").alias("comp"))
-    near, cursors, most = stage(_alike(pairs, reps, threshold), "alike"), None, BEST
-    sets = Sets(docs, reps, width, id_column, text)
-    # tasks of the gaps below `high` are open; twice as many at a time, as ever fewer hold several components
-    rows, high, before = _tasks(multi, 0, 1), 1, None
-    while True:
-        if not near.isEmpty():
-            found = stage(confirmed(near, sets, threshold), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                discard(labels)
-                labels = connected_components(links)
-        if rows is None:
-            break
-        named = stage(_named(rows, reps, labels.select("node", "comp"), cursors, threshold, most), "named")
-        discard(before)
-        before = named
-        pairs = named.where("other >= 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        near = stage(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried = tried.unionByName(near)
-        # tasks in which a member may have more to name are visited again, until none has
-        more = named.where("more").select(*TASK).distinct()
-        rows = None
-        if not more.isEmpty():
-            rows = _tasks(multi, 0, high).join(more, TASK, "left_semi")
-            cursors = named.where("more or other < 0").select(*TASK, "id", F.col("same").alias("upto"), F.col("other").alias("last"))
-            most = min(4 * most, MOST)
-        elif high <= furthest:
-            rows, cursors, most, high = _tasks(multi, high, 2 * high), None, BEST, 2 * high
-    discard(before)
+    bands = reps.select(F.col("_id").alias("id"), "_n", F.posexplode("_keys").alias("band", "key"))
+    buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c"), F.sum("_n").alias("e")).where("c > 1")
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.least(F.col("e") / BLOCK_ELEMENTS, F.col("c"))))
+    multi = stage(bands.join(buckets, "key").select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id", "hub"), "buckets")
+    pairs = multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    near, sets = stage(_alike(pairs, reps, threshold), "alike"), Sets(docs, reps, width, id_column, text)
+    links = stage(confirmed(near, sets, threshold), "links")
+    discard(near)
+    labels = connected_components(links)
+    for bands_now in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
+        found = bucket_links(multi, bands_now, reps, labels, sets, threshold)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            discard(labels)
+            labels = connected_components(links)
+    discard(multi, *sets.made)
     # the class of each id, then the component of its class; rows of an id get what its text has
     of = nodes.select("_id", "_n", "_d").dropDuplicates(["_id"]).join(classes, ["_n", "_d"]).select(F.col("_id").alias("_own"), "_rep")
-    if links is None:
-        of = of.select("_own", F.col("_rep").alias("_comp"))
-    else:
-        of = of.join(labels.select(F.col("node").alias("_rep"), F.col("comp").alias("_found")), "_rep", "left").select("_own", F.coalesce("_found", "_rep").alias("_comp"))
+    of = of.join(labels.select(F.col("node").alias("_rep"), F.col("comp").alias("_found")), "_rep", "left").select("_own", F.coalesce("_found", "_rep").alias("_comp"))
     rows = base.select("_id", "_n").join(of, F.col("_id") == F.col("_own"), "left").select("_id", "_n", F.coalesce("_comp", "_id").alias("_comp"))
     comp = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("_comp"))
     kept = F.col("_id").isNull() | (F.col("_id") == F.col("_comp"))
