@@ -9,15 +9,17 @@ sets with a chance equal to their Jaccard similarity.
 Bands of slots give bucket keys. Equal sets are one class first, so copies meet only once. A bucket never emits its
 pairs: each member is paired with the bucket's smallest id; pairs that pass a wide margin on the signatures
 are confirmed on the full sets; union-find by label propagation with pointer jumping merges the linked. Then the
-buckets that still hold several components are gone through, a few bands first, so that fewer are left in the others:
-- members that agree with one of another component up to the margin stay, by signature only;
-- these come with their full sets, all pairs of two components are tested exactly inside the task, by the product of
-  the matrix of members and elements with itself, and only the links that join two components leave it.
+buckets that still hold several components are gone through:
+- members that agree with one of another component up to the margin stay, by signature only, and a forest of such
+  agreements, as long as its members, tells which of them form a cluster;
+- the members of a cluster come together once, with their full sets; all pairs of two components are tested exactly
+  inside the task, by the product of the matrix of members and elements with itself, and only the links that join two
+  components leave it.
 So what is emitted, candidates and links, grows with the members and not with their pairs, and no pair is left out.
 
-Buckets of over BLOCK_ROWS members or BLOCK_ELEMENTS elements are dealt out in blocks by a hash of id and bucket, and
-each block meets itself and each other block once; this is the only step that costs a bucket's square over the block,
-and it is met only by buckets that a band still shows to hold several components.
+A cluster of over BLOCK_ROWS members or BLOCK_ELEMENTS elements is tested bucket by bucket instead. Buckets beyond these
+sizes are dealt out in blocks by a hash of id and bucket, and each block meets itself and each other block once; this
+is the only step that costs a bucket's square over the block.
 
 Missed links: at similarity s a pair shares no bucket with chance (1 - s^ROWS)^BANDS, 1e-7 at 0.8, and a linked pair
 falls short of the signature margin with about the same.
@@ -47,8 +49,10 @@ SLOTS = BANDS * ROWS
 MARGIN = 0.2
 #: The most members of a block, and about the most elements of their sets.
 BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 21
-#: Bands gone through first.
-FIRST_BANDS = 6
+#: Bits a wanted document has in the filter that texts pass before they move, and the most bytes of that filter.
+FILTER_BITS, FILTER_BYTES = 16, 64 << 20
+#: Partners that share one copy of a hub's set.
+PARTNERS = 256
 #: Elements of which the matrix of a block is made at a time.
 COLUMNS = 4096
 #: What makes a task of comparisons: a bucket, a block of it, and the distance to the block that it is compared with.
@@ -179,8 +183,26 @@ def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def within(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows whose _id is among the staged ids, or looks so: what a bitmap of the ids' hashes lets through.
+
+    The bitmap is broadcast while FILTER_BITS for each id stay within FILTER_BYTES; beyond that all rows pass.
+    """
+    n, chunk = wanted.count(), 8 * 4096
+    chunks = max(1, -(-n * FILTER_BITS // chunk))
+    if chunks * 4096 > FILTER_BYTES:
+        return rows
+    slot = F.pmod(F.xxhash64("_id"), F.lit(chunks * chunk))
+    split = lambda df: df.withColumns({"_k": F.floor(slot / chunk), "_at": slot % chunk})
+    bits = split(wanted.select("_id")).groupBy("_k").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    # chunks rows of 4 KB
+    passed = split(rows).join(F.broadcast(bits), "_k")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return passed.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 class Sets:
-    """Full sets by representative (its id and digest), made from the texts when first asked for and kept in the shared folder."""
+    """Full sets of representatives, made from the texts when first asked for and kept in the shared folder."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, width: int, id_column: str, text: str):
         self.rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
@@ -196,9 +218,9 @@ class Sets:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["_id", "_set"])
 
-        # the text that a representative stands for; texts move only where the ids are too many to broadcast
+        # the text that a representative stands for
         wanted = stage(self.reps.join(new, "_id", "left_semi").select("_id", "_t"), "wanted")
-        made = stage(self.rows.join(wanted, ["_id", "_t"], "left_semi").select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
+        made = stage(within(self.rows, wanted).join(wanted, ["_id", "_t"], "left_semi").select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
         discard(wanted)
         self.made.append(made)
         self.known = made if self.known is None else self.known.unionByName(made)
@@ -206,20 +228,33 @@ class Sets:
 
 
 def confirmed(pairs: DataFrame, sets: Sets, threshold: int) -> DataFrame:
-    """Those of the staged pairs (a, b) whose full sets reach the threshold (in hundredths)."""
+    """Those of the staged pairs (a, b) whose full sets reach the threshold (in hundredths).
+
+    Pairs are dealt by a in groups of about PARTNERS; the set of a goes to each group once.
+    """
     known = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(0, np.uint64)
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= threshold * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    a, b = (known.select(F.col("_id").alias(c), F.col("_set").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
+            a, b = [], []
+            for hub, partner, ids, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not partner:
+                    first = own
+                    continue
+                common = len(np.intersect1d(first, own, assume_unique=True))
+                if 100 * common >= threshold * (len(first) + len(own) - common):
+                    a.append(hub)
+                    b.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups"))
+    columns = ["a", "salt", "partner", "_id", "_set"]
+    partners = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("salt"), F.lit(True).alias("partner"), F.col("b").alias("_id")).join(known, "_id")
+    hubs = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("partner"), F.col("a").alias("_id")).join(known, "_id")
+    rows = hubs.select(columns).unionByName(partners.select(columns)).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
+    return rows.mapInArrow(test, "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -242,20 +277,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None, threshold: int) -> np.ndarray:
-    """Which members agree up to the margin with one of another component (and block, if two blocks are compared)."""
+def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None, threshold: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which members agree up to the margin with one of another component (and block, if two blocks are compared), and a forest of such pairs."""
     need = max(1, math.floor((threshold / 100 - MARGIN) * SLOTS))
-    slots, found = np.ascontiguousarray(sig.T), np.zeros(len(n), bool)
-    for start in range(0, len(n), 128):
-        some = slice(start, start + 128)
-        same = np.zeros((len(n[some]), len(n)), np.uint8)
+    slots, found, m = np.ascontiguousarray(sig.T), np.zeros(len(n), bool), len(n)
+    label, forest = np.arange(m), []
+    for start in range(0, m, 128):
+        some = slice(start, min(start + 128, m))
+        same = np.zeros((some.stop - start, m), np.uint8)
         for slot in slots:
             same += (slot[some][:, None] == slot[None, :]).view(np.uint8)
         fits = (same >= need) & (comp[some][:, None] != comp[None, :]) & (np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold)
         if side is not None:
             fits &= side[some][:, None] != side[None, :]
         found[some] |= fits.any(1)
-    return found
+        for k in np.flatnonzero(fits.any(1)):
+            i = start + int(k)
+            others = np.flatnonzero(fits[k] & (label != label[i]))
+            while len(others):
+                forest.append((i, int(others[0])))
+                label[label == label[others[0]]] = label[i]
+                others = others[label[others] != label[i]]
+    return found, forest
 
 
 def block_links(comp: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
@@ -310,21 +353,35 @@ def _walk(rows: DataFrame, work, out: str) -> DataFrame:
     return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, out)
 
 
-def bucket_links(multi: DataFrame, bands: tuple[int, int], reps: DataFrame, labels: DataFrame, sets: Sets, threshold: int) -> DataFrame:
-    """Links (a, b) that join components, from the tasks of the buckets of some bands that hold several of them."""
-    rows = _tasks(multi.where(F.col("band").between(bands[0], bands[1] - 1)))
-    rows = rows.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"))
+def bucket_links(multi: DataFrame, reps: DataFrame, labels: DataFrame, sets: Sets, threshold: int) -> DataFrame:
+    """Links (a, b) that join components, from the tasks of the buckets that hold several of them."""
+    comps = labels.select(F.col("node").alias("id"), "comp")
+    rows = _tasks(multi).join(comps, "id", "left").select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = rows.groupBy(*TASK).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*TASK)
     rows = rows.join(mixed, TASK).join(reps.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id")
 
     def alike(own: pa.RecordBatch) -> pa.RecordBatch | None:
         comp, n, side = (own.column(c).to_numpy() for c in (5, 6, 4))
         sig = np.frombuffer(b"".join(own.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS)
-        found = alike_members(comp, n, sig, side if own.column(2)[0].as_py() else None, threshold)
-        return own.select(range(6)).filter(pa.array(found)) if found.any() else None
+        found, forest = alike_members(comp, n, sig, side if own.column(2)[0].as_py() else None, threshold)
+        if not forest:
+            return None
+        ids, members = own.column(3).to_numpy(), np.flatnonzero(found)
+        who, other = np.r_[members, [i for i, _ in forest]], np.r_[np.full(len(members), -1), [j for _, j in forest]]
+        task = [pa.array(np.full(len(who), own.column(c)[0].as_py(), np.int64)) for c in range(3)]
+        rest = [pa.array(ids[who]), pa.array(comp[who]), pa.array(n[who]), pa.array(np.where(other < 0, ids[who], ids[other]))]
+        return pa.RecordBatch.from_arrays([*task, *rest], names=[*TASK, "id", "comp", "n", "other"])
 
-    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "side", "comp"])
+    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "comp", "n", "other"])
     near = stage(_walk(rows.select(*TASK, "id", "side", "comp", "n", "_sig"), alike, shape), "alike")
+    # an agreement names two members; a member's row names itself
+    clusters = connected_components(near.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    each = near.select("id", "comp", "n").distinct().join(clusters.select(F.col("node").alias("id"), F.col("comp").alias("cluster")), "id")
+    small = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("e")).where((F.col("c") <= BLOCK_ROWS) & (F.col("e") <= BLOCK_ELEMENTS)).select("cluster")
+    none = F.lit(-1).cast("long")
+    once = each.join(small, "cluster").select(F.col("cluster").alias("key"), none.alias("block"), none.alias("gap"), "id", "comp")
+    large = each.join(small, "cluster", "left_anti").select("id")
+    tested = once.unionByName(near.where("id = other").join(large, "id", "left_semi").select(*TASK, "id", "comp"))
     known = sets.of(near.select(F.col("id").alias("_id")).distinct()).withColumnRenamed("_id", "id")
 
     def link(own: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -335,8 +392,8 @@ def bucket_links(multi: DataFrame, bands: tuple[int, int], reps: DataFrame, labe
         x, y = (ids[[p[k] for p in found]] for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    out = stage(_walk(near.join(known, "id").select(*TASK, "id", "comp", "_set"), link, "a long, b long").distinct(), "links")
-    discard(near)
+    out = stage(_walk(tested.join(known, "id").select(*TASK, "id", "comp", "_set"), link, "a long, b long").distinct(), "links")
+    discard(near, clusters)
     return out
 
 
@@ -354,30 +411,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_col
     """id, n_shingles, component_id and kept of every row; threshold in hundredths."""
     prepare(docs.sparkSession)
     base = stage(signatures(docs, width, id_column, text), "signatures")
-    named = base.where(F.col("_id").isNotNull())
-    firsts = named.groupBy("_id").agg(F.min("_t").alias("_t"))
-    nodes = named.join(firsts, ["_id", "_t"]).where(F.col("_n") > 0)
+    narrow = base.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min(F.struct("_t", "_n", "_d")).alias("_x"))
+    nodes = narrow.select("_id", "_x.*").where(F.col("_n") > 0)
     # equal sets are one class, named by its smallest id
-    classes = stage(nodes.select("_id", "_n", "_d").groupBy("_n", "_d").agg(F.min("_id").alias("_rep")), "classes")
-    reps = stage(nodes.join(classes.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]), "representatives")
-    bands = reps.select(F.col("_id").alias("id"), "_n", F.posexplode("_keys").alias("band", "key"))
+    classes = stage(nodes.groupBy("_n", "_d").agg(F.min(F.struct("_id", "_t")).alias("_x")).select("_n", "_d", F.col("_x._id").alias("_rep"), F.col("_x._t").alias("_u")), "classes")
+    own = base.join(classes.select(F.col("_rep").alias("_id"), "_u"), "_id").where(F.col("_t") == F.col("_u"))
+    reps = stage(own.select("_id", "_t", "_n", "_sig", "_keys").dropDuplicates(["_id"]), "representatives")
+    bands = reps.select(F.col("_id").alias("id"), "_n", F.explode("_keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c"), F.sum("_n").alias("e")).where("c > 1")
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.least(F.col("e") / BLOCK_ELEMENTS, F.col("c"))))
-    multi = stage(bands.join(buckets, "key").select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id", "hub"), "buckets")
+    multi = stage(bands.join(buckets, "key").select("key", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id", "hub"), "buckets")
     pairs = multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near, sets = stage(_alike(pairs, reps, threshold), "alike"), Sets(docs, reps, width, id_column, text)
     links = stage(confirmed(near, sets, threshold), "links")
     discard(near)
     labels = connected_components(links)
-    for bands_now in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
-        found = bucket_links(multi, bands_now, reps, labels, sets, threshold)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            discard(labels)
-            labels = connected_components(links)
+    found = bucket_links(multi, reps, labels, sets, threshold)
+    if not found.isEmpty():
+        discard(labels)
+        labels = connected_components(links.unionByName(found))
     discard(multi, *sets.made)
     # the class of each id, then the component of its class; rows of an id get what its text has
-    of = nodes.select("_id", "_n", "_d").dropDuplicates(["_id"]).join(classes, ["_n", "_d"]).select(F.col("_id").alias("_own"), "_rep")
+    of = nodes.select("_id", "_n", "_d").join(classes, ["_n", "_d"]).select(F.col("_id").alias("_own"), "_rep")
     of = of.join(labels.select(F.col("node").alias("_rep"), F.col("comp").alias("_found")), "_rep", "left").select("_own", F.coalesce("_found", "_rep").alias("_comp"))
     rows = base.select("_id", "_n").join(of, F.col("_id") == F.col("_own"), "left").select("_id", "_n", F.coalesce("_comp", "_id").alias("_comp"))
     comp = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("_comp"))
