@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,14 @@ def restored(docs: DataFrame) -> Column:
 
 def carried_text(docs: DataFrame, text: str) -> Column:
     return F.col(f"_doc{docs.columns.index(text)}")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without(text: Column, positions: Column) -> Column:
+    """The text without the \n-split lines at the positions (from 0), in time that is linear in both."""
+    rest = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
+    return bound(F.split(text, "\n"), lambda lines: F.array_join(F.transform(rest(lines), lambda i: F.get(lines, i)), "\n"))

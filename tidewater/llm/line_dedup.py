@@ -10,7 +10,11 @@ where no line is unique), and aligned blocks of at least min_words words are del
 other lines are then matched with all of the first document, in whatever order, until no block of min_words words is
 left in common. Earlier means the smaller id.
 
-Only hashes travel to the pairs; texts meet the deletions once, in an equi-join by id.
+A run of 50 words is what makes a key rare: single lines recur everywhere, such runs only where a passage was copied.
+
+Only hashes travel to the pairs. Pairs are dealt by their first document, in groups of about GROUP later ones, and the
+first's lines go to each group once, not to each pair; a task holds one pair at a time. Texts meet the deletions once,
+in an equi-join by id.
 
 Cases: null and empty texts, and lines without a word, are never touched; rows without id are returned as they
 are; of rows that share an id the text with the smallest hash takes part, the others are returned as they are;
@@ -29,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import carried, carried_text, prepare, restored, stage
+from tidewater.llm.common import bound, carried, carried_text, prepare, restored, stage, without
 
 MIN_WORDS = 50
+#: Later documents that share one copy of their first document's lines.
+GROUP = 256
 _FAR = 1 << 30
 
 
@@ -220,22 +226,31 @@ def document_lines(docs: DataFrame, min_words: int, id_column: str, text: str) -
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _t and _gone: the numbers (among the lines with a word) of the lines to delete."""
     lines = stage(document_lines(docs.where(F.col(id_column).isNotNull()), min_words, id_column, text), "lines")
-    firsts = lines.groupBy("_id").agg(F.min("_t").alias("_t"))
-    lines = lines.join(firsts, ["_id", "_t"])
+    lines = lines.join(lines.groupBy("_id").agg(F.min("_t").alias("_t")), ["_id", "_t"])
     keys = lines.select("_id", F.explode("_keys").alias("key"))
     holders = keys.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("key", "first")
     pairs = stage(keys.join(holders, "key").where("first != _id").select("first", F.col("_id").alias("later")).distinct(), "line-pairs")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[int] = []
         for batch in batches:
-            found = []
-            for x, y, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                found.append(repeated_blocks(np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist(), np.frombuffer(c, np.int32).tolist(), min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_t", "_gone"])
-
-    a = lines.select(F.col("_id").alias("first"), F.col("_h").alias("_a"))
-    b = lines.select(F.col("_id").alias("later"), "_t", F.col("_h").alias("_b"), "_c")
-    aligned = pairs.join(b, "later").join(a, "first").select(F.col("later").alias("_id"), "_t", "_a", "_b", "_c").mapInArrow(align, "_id long, _t long, _gone array<int>")
+            ids, hashes, found = [], [], []
+            for later, own, t, h, c in zip(*[batch.column(k) for k in range(2, 7)]):
+                lines = np.frombuffer(h.as_buffer(), np.int64).tolist()
+                if not later.as_py():
+                    first = lines
+                    continue
+                ids.append(own.as_py())
+                hashes.append(t.as_py())
+                found.append(repeated_blocks(first, lines, np.frombuffer(c.as_buffer(), np.int32).tolist(), min_words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_t", "_gone"])
+
+    groups = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    columns = ["first", "salt", "is_later", "_id", "_t", "_h", "_c"]
+    later = pairs.join(groups, "first").select("first", F.pmod(F.xxhash64("later"), "groups").alias("salt"), F.lit(True).alias("is_later"), F.col("later").alias("_id")).join(lines, "_id").select(columns)
+    firsts = groups.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("is_later"), F.col("first").alias("_id")).join(lines, "_id").select(columns)
+    rows = later.unionByName(firsts).repartition("first", "salt").sortWithinPartitions("first", "salt", "is_later")
+    aligned = rows.mapInArrow(align, "_id long, _t long, _gone array<int>")
     return aligned.select("_id", "_t", F.explode("_gone").alias("g")).groupBy("_id", "_t").agg(F.collect_set("g").alias("_gone"))
 
 
@@ -247,9 +262,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     rows = docs.select(*carried(docs), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text).alias("_t"))
     # merged, not broadcast: how many rows have deletions grows with the data
     rows = rows.join(gone.withColumnsRenamed({"_id": "_i", "_t": "_u"}).hint("merge"), (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
-    lines = F.split(body, "\n")
-    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda x: x.isNotNull())
-    out = F.get(F.transform(F.array(worded), lambda w: F.transform("_gone", lambda g: F.get(w, g))), F.lit(0))
-    kept = F.get(F.transform(F.array(out), lambda o: F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(o, i), x)), lambda x: x.isNotNull())), F.lit(0))
-    clean = F.when(F.col("_gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    worded = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    at = bound(bound(F.split(body, "\n"), worded), lambda w: F.transform("_gone", lambda g: F.get(w, g)))
+    clean = F.when(F.col("_gone").isNull(), body).otherwise(without(body, at))
     return rows.select(restored(docs), clean.alias("clean_text"), F.coalesce(F.array_sort("_gone"), F.array().cast("array<int>")).alias("deleted"))
