@@ -12,7 +12,7 @@ The forward table depends on the model's kind:
   adjacent pair is (each pair encodes to itself), and cutting the last piece off an encoding leaves the encoding
   of the rest; hence the last piece of a prefix is the one that fits the last piece of the prefix before it.
   Whether two pieces fit is found by merging their characters, and remembered.
-Words with several leading marks, whose pieces tie in score, are merged directly.
+Words with several leading marks, whose pieces tie in score, are merged directly, in n log n.
 
 Characters outside the model become byte pieces where the model has them, else the unknown piece. Decoding joins the
 pieces' bytes, turns marks into spaces and drops the space put in front.
@@ -24,6 +24,7 @@ gives an empty result; the input's other columns travel along untouched.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ from tidewater.llm.common import TEXT_ROWS_PER_BATCH, fresh, prepare
 MARK = "▁"
 #: Entries of the worker's caches, some 50 MB at most each; they bound its memory, not the results.
 WORD_CACHE, PAIR_CACHE = 150_000, 200_000
+#: Longer words are encoded anew in each batch, so that the cache's entries are small.
+CACHED_LENGTH = 128
 #: Text whose new words are sorted into one trie.
 TRIE_BYTES = 4 << 20
 _UNKNOWN = -1
@@ -93,18 +96,35 @@ class Codec:
         self.cache_entries = cache_entries
 
     def merge(self, chars: list[str]) -> list[str]:
-        """Plain BPE: the adjacent pair whose union scores best merges first, the leftmost of equals."""
-        parts = list(chars)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Plain BPE: the adjacent pair whose union scores best merges first, the leftmost of equals.
+
+        Pairs wait in a heap as (score, where the left part begins, length of the union); a pair whose parts have
+        changed since has another length there and is passed over. Costs n log n, also for runs of one character.
+        """
+        ids, scores, n = self.ids, self.scores, len(chars)
+        parts: list[str | None] = list(chars)
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for k in range(n - 1):
+            i = ids.get(chars[k] + chars[k + 1])
+            if i is not None:
+                heap.append((-scores[i], k, len(chars[k]) + len(chars[k + 1])))
+        heapq.heapify(heap)
+        while heap:
+            _, k, size = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] is None or j >= n or len(parts[k]) + len(parts[j]) != size:
+                continue
+            parts[k], parts[j], after[k] = parts[k] + parts[j], None, after[j]
+            if after[k] < n:
+                ahead[after[k]] = k
+            for left in (ahead[k], k):
+                right = after[left] if left >= 0 else n
+                if right < n:
+                    i = ids.get(parts[left] + parts[right])
+                    if i is not None:
+                        heapq.heappush(heap, (-scores[i], left, len(parts[left]) + len(parts[right])))
+        return [p for p in parts if p is not None]
 
     def stands_alone(self, piece: int) -> bool:
         fit = self.whole.get(piece)
@@ -199,7 +219,11 @@ class Codec:
         for w in new:
             if w not in cache:
                 cache[w] = np.array(self.encode_merged(w), np.int32).tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in words]), np.int32) for words in cut]
+        out = [np.frombuffer(b"".join([cache[w] for w in words]), np.int32) for words in cut]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del cache[w]
+        return out
 
     def rest(self) -> None:
         """Give the words back between tasks: a worker that waits holds little."""
