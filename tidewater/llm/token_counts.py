@@ -3,9 +3,10 @@
 Tier one is a compact table of the lengths of frequent pre-tokens, made once from a bounded sample of
 documents and broadcast. Tier two is a bounded cache in each Python worker; what neither holds is
 encoded by the tokenizer library, many pre-tokens at a time. Pre-tokens are never shuffled: the only
-stages are the sample and one map over the documents.
+stages are the sample, a map whose tasks return their counts packed, and one map over the documents.
 
-The sample affects speed only. Every count equals what the library gives for the whole text.
+The sample affects speed only. Every count equals what the library gives for the whole text. Of a long text
+only the distinct pre-tokens are held, and long pre-tokens are not kept from batch to batch.
 
 Cases: a null text counts as empty; an empty text has 0 bytes and 0 tokens; repeated documents are counted
 each; an empty table gives an empty result; columns other than the id and the text are not read.
@@ -26,10 +27,13 @@ from tidewater.llm.common import prepare
 #: The pattern by which byte-level BPE of this family splits a text before merging (a fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_ENTRIES = 65_536
-SAMPLE_DOCUMENTS = 2_000
+#: Documents of the sample, and the most pre-tokens that one of them adds to it.
+SAMPLE_DOCUMENTS, SAMPLE_PRE_TOKENS = 2_000, 1_024
 CACHE_ENTRIES = 131_072
-#: Text cut into pre-tokens at a time, in characters; longer texts are cut at safe places only.
-SLICE = 1 << 20
+#: Texts of more characters are cut one pre-token at a time instead of into a list.
+LONG_TEXT = 1 << 20
+#: Longer pre-tokens stay out of the table and the caches.
+KEPT_LENGTH = 128
 
 
 def default_tokenizer() -> str:
@@ -48,7 +52,7 @@ class PreTokenCounter:
         self.tokenizer = Tokenizer.from_file(path)
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pre_tokens = regex.compile(PRE_TOKEN).findall
+        self.pattern = regex.compile(PRE_TOKEN)
         self.table, self.cache, self.cache_entries = table, {}, cache_entries
 
     def histogram(self, text: str) -> tuple[Counter, int]:
@@ -59,7 +63,7 @@ class PreTokenCounter:
             n_special = len(parts) - 1
         counts: Counter = Counter()
         for part in parts:
-            counts.update(self.pre_tokens(part))
+            counts.update(self.pattern.findall(part) if len(part) <= LONG_TEXT else (m.group() for m in self.pattern.finditer(part)))
         return counts, n_special
 
     def count(self, texts: list[str]) -> list[int]:
@@ -79,6 +83,9 @@ class PreTokenCounter:
             for p, c in counts.items():
                 n += c * (table[p] if p in table else cache[p])
             out.append(n)
+        for p in misses:
+            if len(p) > KEPT_LENGTH:
+                del cache[p]
         return out
 
 
@@ -98,8 +105,8 @@ def worker_counter(path: str, key: str, packed: tuple[bytes, bytes], cache_entri
 def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text", entries: int = TABLE_ENTRIES, sample_documents: int = SAMPLE_DOCUMENTS) -> tuple[bytes, bytes]:
     """The compact table: frequent pre-tokens of a bounded sample joined by NUL, and a byte for each length.
 
-    sample_documents bounds the expected sample; entries bounds the table. A pre-token of over 255 tokens or
-    with a NUL is left to the caches.
+    sample_documents bounds the expected sample, and SAMPLE_PRE_TOKENS what each of them sends to the driver; entries
+    bounds the table. A pre-token that is long, of over 255 tokens, or with a NUL is left to the caches.
     """
     n = docs.count()
     if n == 0:
@@ -107,16 +114,20 @@ def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text", entries:
     sample = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).sample(min(1.0, sample_documents / n), seed=17)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = PreTokenCounter(path, {}), Counter()
+        counter, seen = None, Counter()
         for batch in batches:
+            counter = counter or PreTokenCounter(path, {})
             for t in batch.column(0).to_pylist():
-                seen.update(counter.histogram(t)[0])
-        top = seen.most_common(entries)
-        if top:
-            yield pa.RecordBatch.from_pydict({"p": [p for p, _ in top], "c": [c for _, c in top]}, schema=pa.schema([("p", pa.string()), ("c", pa.int64())]))
-
-    rows = sample.coalesce(8).mapInArrow(local, "p string, c long").groupBy("p").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "p").limit(entries).collect()
-    kept = [r.p for r in rows if "\0" not in r.p]
+                seen.update({p: c for p, c in counter.histogram(t)[0].most_common(SAMPLE_PRE_TOKENS) if len(p) <= KEPT_LENGTH and "\0" not in p})
+        if seen:
+            top = seen.most_common(entries)
+            names = "\0".join(p for p, _ in top).encode()
+            yield pa.RecordBatch.from_pydict({"p": [names], "c": [[c for _, c in top]]}, schema=pa.schema([("p", pa.binary()), ("c", pa.list_(pa.int64()))]))
+
+    total: Counter = Counter()
+    for r in sample.mapInArrow(local, "p binary, c array<long>").collect():
+        total.update(dict(zip(bytes(r.p).decode().split("\0"), r.c)))
+    kept = sorted(total, key=lambda p: (-total[p], p))[:entries]
     counter = PreTokenCounter(path, {})
     lengths = [len(e.ids) for e in counter.tokenizer.encode_batch(kept, add_special_tokens=False)] if kept else []
     pairs = [(p, n) for p, n in zip(kept, lengths) if n < 256]
