@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import carried, prepare, restored, stage, words
+from tidewater.llm.common import carried, discard, prepare, restored, stage, words
 
 WEIGHTS = (5, 2, 1)
-MAX_STEPS = 40
+#: Steps after which the solver gives up with an error; brackets halve, so far fewer are needed.
+MAX_STEPS = 200
 TOLERANCE = 1e-9
 
 
@@ -58,6 +59,8 @@ def solve_rates(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         targets["_source"], "target", "source_size", "_mean", F.lit(0.0).alias("_m"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"), ((F.col("target") >= F.lit(most) * F.col("source_size") * (1 - 1e-12)) | (F.col("source_size") == 0)).alias("_done")
     )
     state = stage(state, "mix-state")
+    # one row for each source
+    files = 1 + state.count() // 100_000
     for _ in range(MAX_STEPS):
         open_state = state.where(~F.col("_done"))
         h = hist.join(open_state, hist["_source"].eqNullSafe(open_state["_source"])).select(hist["_source"], "size", "_n", "_m", "_mean")
@@ -81,9 +84,12 @@ def solve_rates(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         near = F.abs(gap) <= F.greatest(F.col("target") * TOLERANCE, F.lit(0.01))
         stuck = F.col("_hi") - F.col("_lo") <= F.abs(F.col("_m")) * 1e-15
         moved = moved.select("_source", "target", "source_size", "_mean", F.when(F.col("_got").isNull() | near, F.col("_m")).otherwise(step).alias("_m"), "_lo", "_hi", (F.col("_done") | F.coalesce(near, F.lit(False)) | F.coalesce(stuck, F.lit(False))).alias("_done"))
-        state = stage(moved.coalesce(1), "mix-state")
+        before, state = state, stage(moved.coalesce(files), "mix-state")
+        discard(before)
         if state.where(~F.col("_done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the rates of a source did not settle in {MAX_STEPS} steps")
     both = hist.join(state.withColumnRenamed("_source", "_s"), hist["_source"].eqNullSafe(F.col("_s"))).drop("_s")
     full = F.col("target") >= F.lit(most) * F.col("source_size") * (1 - 1e-12)
     x = F.col("size") / F.col("_mean")
