@@ -11,7 +11,7 @@ is fitted again. The sample is bounded as for toxicity: max_per_class documents
 max_chars, weighted back to the labels' frequency.
 
 Cases: null and empty texts have no lines and get the curve's value for quality 0; lines without a word are skipped;
-long lines and texts are taken whole; repeated rows score alike; labels that are null or without a document are not
+long lines and texts are taken whole; repeated rows score alike; labels other than 0 and 1 or without a document are not
 learnt from; with labels of one kind, scores are that label, with none 0; an empty table gives an
 empty result; columns other than id and text are not read.
 """

@@ -11,7 +11,7 @@ to max_chars), weighted back to the label's frequency; the words come from that
 is at most max_words numbers. Scoring is one map over all whole texts.
 
 Cases: null and empty texts, and texts without words, score 0; texts may be of any length; repeated rows score alike;
-labels without a document, null labels and null ids are not learnt from; with labels of one kind only, scores are
+labels without a document or other than 0 and 1, and null ids, are not learnt from; with labels of one kind only, scores are
 the label; no labels at all give 0; an empty table gives an empty result; columns other than id and
 text are not read.
 """
@@ -53,8 +53,8 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int, max_chars: int, id_column: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, dict[int, int]]:
     """Texts and labels of the bounded sample, and how many labelled documents each label has."""
-    known = labels.where(~held_out(id_column) & F.col(id_column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
-    totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy("_y").limit(2).collect()}
+    known = labels.where(~held_out(id_column) & F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
+    totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy("_y").collect()}
     if not totals:
         return [], np.zeros(0), totals
     parts = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for y in totals]
