@@ -28,6 +28,18 @@ def test_quality_rules(docs, rows, no_docs):
     assert quality_rules.quality_rules(no_docs).collect() == []
 
 
+def test_a_null_text_is_no_document_to_the_line_counts(spark):
+    """11 of 1,099 documents hold a line, just over 1%; null texts do not move the limit, an empty one does."""
+    own = [(k, f"document {k} " + ("\nthe line that recurs" if k < 11 else ""), "h") for k in range(1099)]
+    for more, want in (([], 11), ([(2000, None, "h"), (2001, None, "h")], 11), ([(2000, "", "h")], 0)):
+        out = quality_rules.quality_rules(spark.createDataFrame(own + more, "doc_id long, text string, source string"))
+        rows = own + more
+        assert sum(w[2] > 0 for w in brute.quality(rows)) == want
+        assert out.where("n_removed_words > 0").count() == want
+    texts = [r.clean_text for r in quality_rules.quality_rules(spark.createDataFrame(own, "doc_id long, text string, source string")).where("doc.doc_id < 11").collect()]
+    assert sorted(texts) == sorted(f"document {k} " for k in range(11))
+
+
 def _vectors(spark, n=700, width=8):
     r = np.random.default_rng(5)
     rows = [(int(k), [float(x) for x in r.normal(size=width) * 0.3], 1) for k in range(n)]
@@ -143,6 +155,51 @@ def test_line_dedup(docs, rows, no_docs):
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
 
+def _deleted(texts, min_words):
+    """Lines of each document (by id) that lie in a run of lines, of min_words words, found in the earliest holder of one of its minimal runs."""
+    lines = {k: [" ".join(brute.words(x.lower())) for x in (t or "").split("\n") if brute.words(x)] for k, t in texts.items()}
+    holder, out = {}, {}
+    for k in sorted(lines):
+        own, firsts = lines[k], set()
+        for i in range(len(own)):
+            n, j = 0, i
+            while j < len(own) and n < min_words:
+                n, j = n + len(own[j].split(" ")), j + 1
+            if n >= min_words and (first := holder.setdefault(tuple(own[i:j]), k)) != k:
+                firsts.add(first)
+        gone = set()
+        for first in firsts:
+            left = set(range(len(own)))
+            runs = {tuple(lines[first][i:j]) for i in range(len(lines[first])) for j in range(i + 1, len(lines[first]) + 1)}
+            while True:
+                rest = sorted(left)
+                cut = {n for i in range(len(rest)) for j in range(i + 1, len(rest) + 1) if tuple(own[x] for x in rest[i:j]) in runs and sum(len(own[x].split(" ")) for x in rest[i:j]) >= min_words for n in rest[i:j]}
+                if not cut:
+                    break
+                left -= cut
+            gone |= set(range(len(own))) - left
+        out[k] = sorted(gone)
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark, monkeypatch):
+    """Documents of distinct lines put together from shared passages; in this case alignment and exhaustive search agree."""
+    monkeypatch.setattr(line_dedup, "GROUP", 2)
+    r = np.random.default_rng(12)
+    passages = [[f"passage {p} line {k} " + "w " * int(r.integers(3, 9)) for k in range(6)] for p in range(8)]
+    texts = {}
+    for k in range(60):
+        parts = [passages[p] for p in r.choice(8, int(r.integers(0, 4)), replace=False)]
+        own = [[f"own {k} {i} " + "v " * 4] for i in range(len(parts) + 1)]
+        texts[k] = "\n".join(x for a, b in zip(own, [*parts, []]) for x in a + b)
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), min_words=20).collect()
+    want = _deleted(texts, 20)
+    assert {x.doc.doc_id: x.deleted for x in out} == want and sum(map(bool, want.values())) > 30
+    for x in out:
+        lines = texts[x.doc.doc_id].split("\n")
+        assert x.clean_text == "\n".join(t for n, t in enumerate(lines) if n not in set(want[x.doc.doc_id]))
+
+
 def test_sharding(docs, rows, no_docs):
     out = sharding.interleaved_shards(docs).collect()
     assert len(out) == len(rows) and {r.law for r in out} == {"rows"}
@@ -377,3 +434,64 @@ def test_pipeline(spark, docs, no_docs):
             assert all(r.round_trip and r.n_pieces == len(r.pieces) for r in held)
         before = spark.createDataFrame(held, out.schema) if held else out
         assert stage(spark, no_docs if k < 4 else no_docs.select(*docs.columns), "unused").collect() == []
+
+
+def test_pipeline_equals_brute_force(spark, docs, rows, tmp_path):
+    """All stages in a row from run(): rules, blocks, near copies, the mixture and pieces, each recomputed from its definition."""
+    import sentencepiece
+
+    import corpus_pipeline as P
+    from tidewater.llm import sentencepiece_codec
+
+    # ids are unique here; the rest of the odd rows stay
+    held, seen = [], set()
+    for r in rows:
+        if r[0] is not None and r[0] not in seen and len(r[1] or "") < 20_000:
+            seen.add(r[0])
+            held.append((r[0], r[1], r[2], r[3], len(r[1] or "")))
+    spark.createDataFrame(held, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(list)
+    for r in P.run(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
+
+    now = []
+    judged = brute.quality([(r[0], r[1], r[3]) for r in held])
+    lines_of = defaultdict(lambda: defaultdict(set))
+    hosts = defaultdict(set)
+    for k, text, _, host, _ in held:
+        if text is not None:
+            hosts[host].add(text)
+            for x in text.split("\n"):
+                lines_of[host][" ".join(brute.words(x.lower()))].add(text)
+    for (k, text, _, host, _), (_, _, gone, kept) in zip(held, judged):
+        if kept:
+            bad = {x for x, h in lines_of[host].items() if x and len(h) > 10 and len(h) > 0.01 * len(hosts[host])}
+            now.append((k, "\n".join(x for x in text.split("\n") if " ".join(brute.words(x.lower())) not in bad), host))
+    assert 0 < len(now) < len(held)
+    gone = _deleted({k: t for k, t, _ in now}, 50)
+    cleaned = []
+    for k, text, host in now:
+        at = [n for n, x in enumerate(text.split("\n")) if brute.words(x)]
+        cut = {at[g] for g in gone[k]}
+        text = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in cut)
+        if not cut or brute.words(text):
+            cleaned.append((k, text, host))
+    assert len(cleaned) < len(now)
+    comp, _ = brute.components({k: t for k, t, _ in cleaned}, 4)
+    left = [(k, t, h) for k, t, h in cleaned if comp[k] == k]
+    assert len(left) < len(cleaned)
+    assert set(got) <= {k for k, _, _ in left}
+    sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for k, text, host in left:
+        n = len(brute.words(text))
+        sizes[host] += n
+        taken[host] += n * len(got[k])
+        largest[host] = max(largest[host], n)
+        assert len(got[k]) <= 2
+    want = brute.targets(sizes)
+    assert all(abs(taken[h] - want[h]) <= largest[h] for h in sizes)
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    for k, text, host in left:
+        for r in got[k]:
+            assert (r.source, r.n_chars, r.pieces, r.n_pieces) == (host, len(text), lib.encode(text), len(r.pieces))
+            assert r.round_trip == (text == lib.decode(lib.encode(text)))

@@ -26,6 +26,52 @@ def test_token_counts_equal_the_library(docs, rows, no_docs):
     assert token_counts.count_tokens(no_docs).collect() == []
 
 
+def test_token_counts_take_no_shuffle(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "LONG_TEXT", 50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = token_counts.count_tokens(docs)
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    lib = Tokenizer.from_file(token_counts.default_tokenizer())
+    counter = token_counts.PreTokenCounter(token_counts.default_tokenizer(), {})
+    texts = ["many words here <|endoftext|> " * 20, "y" * 3000, " " * 3000 + "z", ""]
+    assert counter.count(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(p) <= token_counts.KEPT_LENGTH for p in counter.cache)
+
+
+def test_runs_of_spaces_and_long_words():
+    import time
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    texts = [*(" " * n for n in range(70)), *("a" + " " * n + "bc" for n in (2, 3, 17, 500)), "  " * 300 + "x\n   y", "ab" * 5000, "\u2581 \u2581\u2581x"]
+    assert [x.tolist() for x in codec.encode(texts)] == [lib.encode(t) for t in texts]
+    long = "a" + " " * 1_000_000 + "b"
+    start = time.perf_counter()
+    found = codec.encode([long])[0]
+    assert time.perf_counter() - start < 60
+    assert codec.decode(found) == long and found.tolist() == lib.encode(long)
+    assert all(len(w) <= sentencepiece_codec.CACHED_LENGTH for w in codec.cache)
+
+
+def test_merging_equals_the_plain_rule():
+    """The heap gives what scanning for the best pair, the leftmost of equals, gives."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        parts = list("".join(r.choice(list("\u2581\u2581ethanio"), r.integers(0, 25))))
+        want = list(parts)
+        while True:
+            best = max(((codec.scores[codec.ids[want[k] + want[k + 1]]], -k) for k in range(len(want) - 1) if want[k] + want[k + 1] in codec.ids), default=None)
+            if best is None:
+                break
+            want[-best[1] : 2 - best[1]] = [want[-best[1]] + want[1 - best[1]]]
+        assert codec.merge(parts) == want
+
+
 def test_pieces_equal_the_library_and_decode(docs, rows, no_docs):
     import sentencepiece
 
@@ -102,6 +148,52 @@ def test_sentences_are_located():
     assert "fool" in "fine day. you utter fool! all is well."[found[1][0] : found[1][1]]
 
 
+def test_toxicity_scores_follow_the_definition(docs, rows, labels):
+    """Noisy-or over the sentences, from the definition and the fitted weights."""
+    import re
+
+    model = toxicity.fit(*toxicity.training_sample(docs, labels, "toxic", 500, 60_000), 3000)
+    assert any(model.weights.values())
+
+    def score(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            words = set(re.findall(r"[^\W_]+", sentence))
+            if words:
+                z = model.bias + sum(model.weights.get(w, 0) + sum(model.weights.get(w[:n] + "*", 0) for n in (3, 4, 5, 6, 7) if n < len(w)) for w in words)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    got = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score_documents(docs, model).collect())
+    assert got == sorted((str(r[0]), round(score(r[1]), 9)) for r in rows)
+
+
+def test_other_label_values_are_not_learnt_from(spark, docs, labels):
+    more = labels.unionByName(spark.createDataFrame([(k, 7, -1, "x") for k in range(0, 60, 2)], labels.schema))
+    want, got = (toxicity.training_sample(docs, b, "toxic", 500, 60_000) for b in (labels, more))
+    assert set(got[2]) <= {0, 1} and want[2] == got[2] and want[0] == got[0]
+
+
+def test_quality_scores_follow_the_definition(docs, labels):
+    """Length-weighted chances of the lines by enumerating all labelings, then the curve."""
+    model = quality_crf.fit(*quality_crf.training_sample(docs, labels, "quality", 500, 60_000))
+    some = {r.doc_id: r for r in docs.where("doc_id in (0, 1, 2, 5, 300, 500, 501, 503, 504, 505, 509)").collect()}
+    got = {r.doc_id: r for r in quality_crf.score_documents(docs, model).collect()}
+    for k, row in some.items():
+        own, lengths = quality_crf.line_features(row.text)
+        n = len(own)
+        assert n <= 14 and len(got[k].line_marginals) == n
+        x = (own - model.mean) / model.scale
+        none = np.zeros(quality_crf.N_OWN)
+        z = [float(np.concatenate([x[i], x[i - 1] if i else none, x[i + 1] if i + 1 < n else none]) @ model.weights) for i in range(n)]
+        total, good = 0.0, np.zeros(n)
+        for lab in itertools.product((0, 1), repeat=n):
+            e = math.exp(sum(a * b for a, b in zip(z, lab)) + model.stay * sum(lab[i] == lab[i - 1] for i in range(1, n)))
+            total, good = total + e, good + e * np.array(lab)
+        quality = float(good / total @ lengths / lengths.sum()) if n else 0.0
+        assert math.isclose(got[k].score, 1 / (1 + math.exp(-(model.curve[0] * quality + model.curve[1]))), rel_tol=1e-6)
+
+
 @pytest.mark.parametrize("score", [lambda d, b: toxicity.score_toxicity(d, b), lambda d, b: quality_crf.score_quality(d, b)])
 def test_scores_of_odd_inputs(score, docs, no_docs, rows, labels):
     out = score(docs, labels).collect()
