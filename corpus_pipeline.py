@@ -14,7 +14,7 @@ from tidewater.llm.mixing import mix_sources
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.sentencepiece_codec import encode
-from tidewater.sources.scratch import new_path
+from tidewater.sources.scratch import new_path, remove_path
 
 
 def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,8 +36,8 @@ def drop_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    lost = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near duplicates stays: the one with the smallest id. Linked as in op9, by four-word shingles."""
+    lost = near_duplicates(docs, width=4).where(~F.col("kept")).select("doc_id").distinct()
     # merged, not broadcast: how many documents are lost grows with the data
     return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -68,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
