@@ -218,9 +218,9 @@ class Sets:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["_id", "_set"])
 
-        # the text that a representative stands for
+        # the text that a representative stands for; no semi-join, which the optimizer would move below the filter
         wanted = stage(self.reps.join(new, "_id", "left_semi").select("_id", "_t"), "wanted")
-        made = stage(within(self.rows, wanted).join(wanted, ["_id", "_t"], "left_semi").select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
+        made = stage(within(self.rows, wanted).join(wanted, ["_id", "_t"]).select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
         discard(wanted)
         self.made.append(made)
         self.known = made if self.known is None else self.known.unionByName(made)
@@ -278,10 +278,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None, threshold: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which members agree up to the margin with one of another component (and block, if two blocks are compared), and a forest of such pairs."""
+    """Which members agree up to the margin with one of another component (and block, if two blocks are compared), and
+    a forest of the pairs of components that such members join; the largest components come first in it."""
     need = max(1, math.floor((threshold / 100 - MARGIN) * SLOTS))
-    slots, found, m = np.ascontiguousarray(sig.T), np.zeros(len(n), bool), len(n)
-    label, forest = np.arange(m), []
+    _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.argsort(-sizes[which], kind="stable")
+    comp, n, sig, side = comp[order], n[order], sig[order], None if side is None else side[order]
+    slots, m = np.ascontiguousarray(sig.T), len(n)
+    found, label, forest = np.zeros(m, bool), comp.copy(), []
     for start in range(0, m, 128):
         some = slice(start, min(start + 128, m))
         same = np.zeros((some.stop - start, m), np.uint8)
@@ -290,12 +294,13 @@ def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.nda
         fits = (same >= need) & (comp[some][:, None] != comp[None, :]) & (np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold)
         if side is not None:
             fits &= side[some][:, None] != side[None, :]
-        found[some] |= fits.any(1)
-        for k in np.flatnonzero(fits.any(1)):
+        some_fit = fits.any(1)
+        found[order[some]] |= some_fit
+        for k in np.flatnonzero(some_fit):
             i = start + int(k)
             others = np.flatnonzero(fits[k] & (label != label[i]))
             while len(others):
-                forest.append((i, int(others[0])))
+                forest.append((int(comp[i]), int(comp[others[0]])))
                 label[label == label[others[0]]] = label[i]
                 others = others[label[others] != label[i]]
     return found, forest
@@ -366,23 +371,24 @@ def bucket_links(multi: DataFrame, reps: DataFrame, labels: DataFrame, sets: Set
         found, forest = alike_members(comp, n, sig, side if own.column(2)[0].as_py() else None, threshold)
         if not forest:
             return None
-        ids, members = own.column(3).to_numpy(), np.flatnonzero(found)
-        who, other = np.r_[members, [i for i, _ in forest]], np.r_[np.full(len(members), -1), [j for _, j in forest]]
-        task = [pa.array(np.full(len(who), own.column(c)[0].as_py(), np.int64)) for c in range(3)]
-        rest = [pa.array(ids[who]), pa.array(comp[who]), pa.array(n[who]), pa.array(np.where(other < 0, ids[who], ids[other]))]
-        return pa.RecordBatch.from_arrays([*task, *rest], names=[*TASK, "id", "comp", "n", "other"])
+        # members, then pairs of components
+        ids, joins = own.column(3).to_numpy(), np.array(forest, np.int64)
+        task = [pa.array(np.full(int(found.sum()) + len(joins), own.column(c)[0].as_py(), np.int64)) for c in range(3)]
+        rest = [pa.array(x) for x in (np.r_[ids[found], joins[:, 0]], np.r_[comp[found], joins[:, 1]], np.r_[n[found], np.zeros(len(joins), np.int64)])]
+        return pa.RecordBatch.from_arrays([*task, *rest], names=[*TASK, "id", "comp", "n"])
 
-    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "comp", "n", "other"])
+    shape = ", ".join(f"{c} long" for c in [*TASK, "id", "comp", "n"])
     near = stage(_walk(rows.select(*TASK, "id", "side", "comp", "n", "_sig"), alike, shape), "alike")
-    # an agreement names two members; a member's row names itself
-    clusters = connected_components(near.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    each = near.select("id", "comp", "n").distinct().join(clusters.select(F.col("node").alias("id"), F.col("comp").alias("cluster")), "id")
+    # pairs of components have no size; members that agree lie in components of one cluster
+    clusters = connected_components(near.where("n = 0").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+    members = near.where("n > 0")
+    each = members.select("id", "comp", "n").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("comp").alias("cluster")), "comp")
     small = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("e")).where((F.col("c") <= BLOCK_ROWS) & (F.col("e") <= BLOCK_ELEMENTS)).select("cluster")
     none = F.lit(-1).cast("long")
     once = each.join(small, "cluster").select(F.col("cluster").alias("key"), none.alias("block"), none.alias("gap"), "id", "comp")
     large = each.join(small, "cluster", "left_anti").select("id")
-    tested = once.unionByName(near.where("id = other").join(large, "id", "left_semi").select(*TASK, "id", "comp"))
-    known = sets.of(near.select(F.col("id").alias("_id")).distinct()).withColumnRenamed("_id", "id")
+    tested = once.unionByName(members.join(large, "id", "left_semi").select(*TASK, "id", "comp"))
+    known = sets.of(members.select(F.col("id").alias("_id")).distinct()).withColumnRenamed("_id", "id")
 
     def link(own: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, comp = own.column(3).to_numpy(), own.column(4).to_numpy()
