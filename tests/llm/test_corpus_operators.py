@@ -49,7 +49,31 @@ def _vectors(spark, n=700, width=8):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), rows[: n + 60]
 
 
-def test_search_equals_brute_force(spark):
+def test_splits_place_points_evenly():
+    points = np.random.default_rng(3).normal(size=(1000, 5))
+    splits = topk_search.Splits(points, 16)
+    counts = np.bincount(splits.place(points))
+    assert splits.leaves == 16 and counts.min() >= 55 and counts.max() <= 70
+    same = topk_search.Splits(np.ones((50, 3)), 8)
+    assert same.leaves == 1 and (same.place(points[:, :3]) == 0).all()
+
+
+def test_queries_go_only_to_shards_that_may_do_better(spark):
+    """Vectors along one axis: only the boxes at its ends reach nine tenths of the best score."""
+    r = np.random.default_rng(6)
+    rows = [(int(k), [float(x) for x in np.eye(8)[0] * r.uniform(-3, 3) + r.normal(size=8) * 0.02]) for k in range(1600)]
+    vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64, "vec_id", "embedding")
+    placed = topk_search.sharded(vectors, 1600, 100)
+    trees = topk_search.build_trees(placed)
+    shards = trees.where("_segment = 0").count()
+    q = placed.where("_id % 20 = 0").withColumnRenamed("_id", "_query").withColumnRenamed("_shard", "_home").withColumns({"_block": F.lit(0).cast("long"), "_score": (F.abs(F.col("_v")[0]) * (0.9 * 3 * 64)).cast("double"), "_last": F.lit(0).cast("long")})
+    pairs = topk_search._open_shards(q, trees, shards, 8, 1 << 20).count()
+    assert shards >= 16 and pairs <= 80 * shards / 4
+    assert topk_search._open_shards(q, trees, shards, 8, 0).count() == 80 * (shards - 1)
+
+
+@pytest.mark.parametrize("box_bytes", [1 << 20, 0])
+def test_search_equals_brute_force(spark, box_bytes):
     vectors, good = _vectors(spark)
     q = np.floor(64 * np.array([np.float32(v) for _, v, _ in good], dtype=np.float64)).astype(int)
     want = set()
@@ -57,7 +81,7 @@ def test_search_equals_brute_force(spark):
         if k % 20 == 0:
             best = sorted((-int(s), j) for (j, _, _), s in zip(good, q @ q[i]) if j != k)[:20]
             want |= {(k, n, j, -s) for n, (s, j) in enumerate(best, 1)}
-    out = topk_search.top_k(vectors, F.col("_id") % 20 == 0, shard_rows=100, query_rows=7, leaf=8)
+    out = topk_search.top_k(vectors, F.col("_id") % 20 == 0, shard_rows=50, query_rows=7, leaf=8, box_bytes=box_bytes)
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()} == want
 
 

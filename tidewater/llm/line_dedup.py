@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound, carried, carried_text, prepare, restored, stage, without
+from tidewater.llm.common import bound, carried, carried_text, discard, prepare, restored, stage, without
 
 MIN_WORDS = 50
 #: Later documents that share one copy of their first document's lines.
@@ -224,9 +224,9 @@ def document_lines(docs: DataFrame, min_words: int, id_column: str, text: str) -
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, _t and _gone: the numbers (among the lines with a word) of the lines to delete."""
-    lines = stage(document_lines(docs.where(F.col(id_column).isNotNull()), min_words, id_column, text), "lines")
-    lines = lines.join(lines.groupBy("_id").agg(F.min("_t").alias("_t")), ["_id", "_t"])
+    """_id, _t and _gone, staged: the numbers (among the lines with a word) of the lines to delete."""
+    staged = stage(document_lines(docs.where(F.col(id_column).isNotNull()), min_words, id_column, text), "lines")
+    lines = staged.join(staged.groupBy("_id").agg(F.min("_t").alias("_t")), ["_id", "_t"])
     keys = lines.select("_id", F.explode("_keys").alias("key"))
     holders = keys.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("key", "first")
     pairs = stage(keys.join(holders, "key").where("first != _id").select("first", F.col("_id").alias("later")).distinct(), "line-pairs")
@@ -251,13 +251,15 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc
     firsts = groups.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("is_later"), F.col("first").alias("_id")).join(lines, "_id").select(columns)
     rows = later.unionByName(firsts).repartition("first", "salt").sortWithinPartitions("first", "salt", "is_later")
     aligned = rows.mapInArrow(align, "_id long, _t long, _gone array<int>")
-    return aligned.select("_id", "_t", F.explode("_gone").alias("g")).groupBy("_id", "_t").agg(F.collect_set("g").alias("_gone"))
+    out = stage(aligned.select("_id", "_t", F.explode("_gone").alias("g")).groupBy("_id", "_t").agg(F.collect_set("g").alias("_gone")), "deletions")
+    discard(staged, pairs)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: `doc` (the row as a struct), clean_text and deleted (numbers of its lines among those with a word)."""
     prepare(docs.sparkSession)
-    gone = stage(deletions(docs, min_words, id_column, text), "deletions")
+    gone = deletions(docs, min_words, id_column, text)
     body = carried_text(docs, text)
     rows = docs.select(*carried(docs), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text).alias("_t"))
     # merged, not broadcast: how many rows have deletions grows with the data

@@ -1,14 +1,18 @@
 """Exact top-k inner-product search with a KD-tree for each shard.
 
-Shards are hash parts of the vectors, so one vector that is very common is spread over all. A shard's tree splits its
-distinct vectors at the median of the widest coordinate; every node keeps a tight box and the smallest id below it,
+Shards are the leaves of median splits of a bounded sample, so that a shard's vectors lie close together; a leaf that holds
+more than a shard's rows, as where one vector is very common, is cut further by a hash of the id. A shard's tree splits
+its distinct vectors at the median of the widest coordinate; every node keeps a tight box and the smallest id below it,
 every leaf its vectors and their ids. Search is best-first: nodes come off a heap by the greatest inner
 product that their box allows, and a node is passed over once that bound is below the query's kth best score (or
 equals it with no smaller id). Each query first searches the shard that holds it; the kth score found there
-travels with the query to the other shards, which return better candidates only.
+travels with the query, and it goes on only to shards whose root box may still hold a better candidate, which is
+known before anything is shuffled.
 
-Trees are rows (one for a leaf block) in the shared folder, queries meet them in (shard, block of queries) groups;
-no group holds more than a shard and a block. Results are exact: scores are integers, ties go to the smaller id.
+Trees are rows (one for a leaf block) in the shared folder, queries meet them in (shard, block of queries) groups, where
+a block holds queries of the same home shards; a tree goes to the blocks that need it. No group holds more than a shard
+and a block. Root boxes are broadcast while they stay within BOX_BYTES; beyond that queries go to all shards.
+Results are exact: scores are integers, ties go to the smaller id.
 
 Cases: vectors that are null, empty, of another length than most, or that hold null, NaN or infinite components take
 no part; fewer than k others give all; equal vectors are kept once with all their ids; a query's own row is left
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,8 @@ LEAF = 128
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 SEGMENT_BYTES = 64 << 20
+#: Vectors of the sample whose median splits place the shards, and the most bytes of the shards' boxes that are broadcast.
+SAMPLE_ROWS, BOX_BYTES = 32_768, 128 << 20
 
 
 class Tree:
@@ -122,23 +129,105 @@ def quantised(vectors: DataFrame, scale: int, id_column: str, vector: str) -> Da
     return rows.select("_id", F.transform(x, lambda e: F.floor(e * scale)).alias("_v"))
 
 
+class Splits:
+    """Median splits of sample points at the widest coordinate, down to about `leaves` parts."""
+
+    def __init__(self, points: np.ndarray, leaves: int):
+        self.axis, self.cut, self.kids = [], [], []
+        self.leaves = 0
+        self._split(points.astype(np.float64), leaves)
+
+    def _split(self, points: np.ndarray, leaves: int) -> int:
+        k = len(self.axis)
+        self.axis.append(0)
+        self.cut.append(0.0)
+        self.kids.append(None)
+        left = np.zeros(len(points), bool)
+        if leaves > 1 and len(points) > 1:
+            axis = int(np.argmax(points.max(0) - points.min(0)))
+            cut = np.median(points[:, axis])
+            left = points[:, axis] < cut
+            self.axis[k], self.cut[k] = axis, float(cut)
+        if left.any() and not left.all():
+            self.kids[k] = (self._split(points[left], leaves // 2), self._split(points[~left], leaves - leaves // 2))
+        else:
+            self.axis[k] = -1 - self.leaves
+            self.leaves += 1
+        return k
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        axis, cut = np.array(self.axis), np.array(self.cut)
+        kids = np.array([k or (0, 0) for k in self.kids])
+        node, rows = np.zeros(len(points), int), np.arange(len(points))
+        while len(open_ := rows[axis[node] >= 0]):
+            at = node[open_]
+            node[open_] = kids[at, (points[open_, axis[at]] >= cut[at]).astype(int)]
+        return -1 - axis[node]
+
+
+def sharded(rows: DataFrame, total: int, shard_rows: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """rows (_id, _v) with _shard: the leaf of its vector, and a hash part where a leaf holds too many."""
+    shards = max(1, -(-total // shard_rows))
+    if shards == 1:
+        return rows.withColumn("_shard", F.lit(0).cast("long"))
+    # the driver gathers the sample and keeps its splits, which are fewer
+    some = rows.select("_v").sample(min(1.0, sample_rows / total), seed=11).limit(2 * sample_rows).collect()
+    splits = Splits(np.array([r["_v"] for r in some], np.int64).reshape(len(some), -1), min(shards, max(1, len(some) // 16)))
+    shared = rows.sparkSession.sparkContext.broadcast(splits)
+
+    @F.pandas_udf("long")
+    def leaf_of(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.place(np.stack(v.to_numpy())) if len(v) else np.zeros(0, int))
+
+    placed = stage(rows.withColumn("_leaf", leaf_of("_v")), "placed")
+    parts = placed.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).alias("_parts"))
+    return placed.join(parts, "_leaf").select("_id", "_v", (F.col("_leaf") * (1 << 24) + F.pmod(F.xxhash64("_id"), "_parts")).alias("_shard"))
+
+
 def _segments(shard: int, tree: Tree) -> pd.DataFrame:
     blob = pickle.dumps(tree, protocol=pickle.HIGHEST_PROTOCOL)
     cut = [blob[i : i + SEGMENT_BYTES] for i in range(0, len(blob), SEGMENT_BYTES)]
-    return pd.DataFrame({"_shard": shard, "_segment": range(len(cut)), "_tree": cut})
+    box = lambda side: [side[0].tolist() if not i else None for i in range(len(cut))]
+    return pd.DataFrame({"_shard": shard, "_segment": range(len(cut)), "_low": box(tree.low), "_high": box(tree.high), "_tree": cut})
 
 
 def build_trees(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """_shard, _segment and _tree of each shard; rows has _shard, _id and _v."""
+    """_shard, _segment, the root box (with the first segment) and _tree of each shard; rows has _shard, _id and _v."""
 
     def build(key, own: pd.DataFrame) -> pd.DataFrame:
         return _segments(key[0], Tree(own["_id"].to_numpy(np.int64), np.stack(own["_v"].to_numpy()).astype(np.int64), leaf))
 
-    return rows.groupBy("_shard").applyInPandas(build, "_shard int, _segment int, _tree binary")
+    return rows.groupBy("_shard").applyInPandas(build, "_shard long, _segment int, _low array<double>, _high array<double>, _tree binary")
+
+
+def _open_shards(queries: DataFrame, trees: DataFrame, shards: int, width: int, box_bytes: int) -> DataFrame:
+    """A row of queries (_query, _v, _block, _score, _last, _home) for each other shard that may hold a better candidate."""
+    boxes = trees.where("_segment = 0").select("_shard", "_low", "_high")
+    columns = ["_query", "_v", "_block", "_score", "_last"]
+    pruned = shards * width * 16 <= box_bytes
+    # without the boxes: a number for each shard
+    found = sorted((boxes if pruned else boxes.select("_shard")).collect(), key=lambda r: r["_shard"])
+    low, high = ((np.array([r[c] for r in found]).reshape(len(found), -1) if pruned else None) for c in ("_low", "_high"))
+    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["_shard"] for r in found]), low, high))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, low, high = shared.value
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                own = batch.iloc[start : start + 256]
+                open_ = names[None, :] != own["_home"].to_numpy()[:, None]
+                if low is not None:
+                    q = np.stack(own["_v"].to_numpy()).astype(np.float64)
+                    open_ &= np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T >= own["_score"].to_numpy()[:, None]
+                n, s = np.nonzero(open_)
+                yield own[columns].iloc[n].assign(_shard=names[s])
+
+    return queries.mapInPandas(keep, "_query long, _v array<long>, _block long, _score double, _last long, _shard long")
 
 
 def _meet(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    """Candidates of queries (_query, _v, _shard, _block, _score, _last) in the tree of their shard."""
+    """Candidates of queries (_query, _v, _shard, _block, _score, _last) in the tree of their shard; a tree goes to the blocks that ask for it."""
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -149,33 +238,32 @@ def _meet(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
         n, ids, scores = tree.search(q, own, k, left["_score"].to_numpy(np.float64), left["_last"].to_numpy(np.int64))
         return pd.DataFrame({"_query": own[n] if n else np.zeros(0, np.int64), "_id": np.array(ids, np.int64), "_s": np.array(scores, np.int64)})
 
-    keys = ["_shard", "_block"]
-    return queries.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(search, "_query long, _id long, _s long")
+    needed = queries.select("_shard", (F.col("_block") + F.lit(0)).alias("_to")).distinct()
+    placed = trees.select("_shard", "_segment", "_tree").join(needed, "_shard")
+    return queries.groupBy("_shard", "_block").cogroup(placed.groupBy("_shard", "_to")).applyInPandas(search, "_query long, _id long, _s long")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF, box_bytes: int = BOX_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows for each row where is_query (a Column over `_id`) holds."""
     spark = prepare(vectors.sparkSession)
     rows = quantised(vectors, scale, id_column, vector)
     length = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width, total = (length["n"], length["count"]) if length else (1, 0)
     shards = max(1, -(-total // shard_rows))
-    rows = rows.where(F.size("_v") == width).withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
-    rows = stage(rows, "vectors")
+    rows = stage(sharded(rows.where(F.size("_v") == width), total, shard_rows), "vectors")
     queries = rows.where(is_query)
     blocks = max(1, -(-queries.count() // query_rows))
     trees = stage(build_trees(rows, leaf), "kd-trees")
-    queries = queries.withColumnRenamed("_id", "_query").withColumn("_block", F.pmod(F.xxhash64("_query", F.lit(1)), F.lit(blocks)).cast("int"))
-    placed = trees.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shards = trees.where("_segment = 0").count()
+    queries = queries.withColumnRenamed("_id", "_query").withColumn("_block", F.pmod(F.xxhash64("_shard"), F.lit(blocks)))
     no_bound = {"_score": F.lit(float("-inf")), "_last": F.lit((1 << 62)).cast("long")}
-    at_home = stage(_meet(queries.withColumns(no_bound), placed, k), "kd-home")
+    at_home = stage(_meet(queries.withColumns(no_bound), trees, k), "kd-home")
     kth = at_home.groupBy("_query").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", (-F.col("_id")).alias("_i"))).alias("_w"))
     bound = kth.where(F.col("_n") >= k).select("_query", F.col("_w._s").cast("double").alias("_b"), (-F.col("_w._i")).alias("_l"))
     found = at_home
     if shards > 1:
         away = queries.join(bound, "_query", "left").select("_query", "_v", "_block", F.coalesce("_b", no_bound["_score"]).alias("_score"), F.coalesce("_l", no_bound["_last"]).alias("_last"), F.col("_shard").alias("_home"))
-        away = away.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("_shard") != F.col("_home")).drop("_home")
-        found = at_home.unionByName(_meet(away, placed, k))
+        found = at_home.unionByName(_meet(stage(_open_shards(away, trees, shards, width, box_bytes), "kd-away"), trees, k))
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("_query").orderBy(F.desc("_s"), F.asc("_id")))
