@@ -239,3 +239,86 @@ def test_batches_cap_rows(spark):
     df = spark.createDataFrame([(0, k, 1) for k in range(10)], "g int, id int, n long")
     got = {r.id: r.batch for r in M.batches_by_tokens(df, "g", ["id"], "n", 1000, max_rows=4).collect()}
     assert [got[k] for k in range(10)] == [0] * 4 + [1] * 4 + [2] * 2
+
+
+def _edits_plainly(hyp, ref):
+    n, m = len(hyp), len(ref)
+    cost = [[max(i, j) if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (hyp[i - 1] != ref[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    return cost[n][m]
+
+
+@pytest.mark.parametrize("whole", [1 << 22, 50])
+def test_edit_operations_with_part_of_the_matrix(monkeypatch, whole):
+    r = random.Random(7)
+    cases = [[[r.choice("abcd") for _ in range(r.randint(0, 40))] for _ in range(2)] for _ in range(60)]
+    want = [A.edit_operations(h, f) for h, f in cases]
+    monkeypatch.setattr(A, "WHOLE_MATRIX", whole)
+    for (h, f), w in zip(cases, want):
+        cor, sub, ins, dele, dist = A.edit_operations(h, f)
+        assert (cor, sub, ins, dele, dist) == w
+        assert dist == sub + ins + dele == _edits_plainly(h, f) and cor + sub + ins == len(h) and cor + sub + dele == len(f)
+
+
+def test_joins_at_the_longest_overlap():
+    from tidewater.functions import udfs
+
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 12))) for _ in range(2))
+        n = next((n for n in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:n])), 0)
+        want = a + b[n:] if n >= max(2, min(len(a), len(b)) // 4) else None
+        assert udfs.joined(a, b, least=2) == want
+    assert udfs.joined("x" * 200_000, "x" * 200_000) == "x" * 200_000
+
+
+def test_repeats_are_cut():
+    from tidewater.functions import udfs
+
+    cut = lambda t: None if udfs.end_of_repeats(t) is None else t[: udfs.end_of_repeats(t)]
+    assert cut("we stop, stop, stop it") == "we stop"
+    assert cut("and lalalala so") == "and la"
+    assert cut("no repeats of any kind") is None and cut("") is None
+    assert cut("123 123 123 123") is None
+    assert cut("hmmmm") == "hm"
+
+
+def test_warping_and_clusters_equal_plain_search():
+    from tidewater.operators import sequences as Q
+
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(12, 7)), r.normal(size=(12, 5))
+    want = [Q.warp_path(np.abs(np.subtract.outer(x, y)))[0] for x, y in zip(a, b)]
+    assert np.allclose(Q.warp_distances(a, b), want)
+    for _ in range(30):
+        n = int(r.integers(1, 8))
+        near = r.random((n, n))
+        near = (near + near.T) / 2
+        loss = r.random(n).tolist()
+        sets = [s for k in range(1, n + 1) for s in itertools.combinations(range(n), k) if all(near[i, j] >= 0.5 for i, j in itertools.combinations(s, 2))]
+        best = min(sets, key=lambda s: (-len(s), sum(loss[i] for i in s) / len(s)))
+        assert Q.compatible_cluster(near, loss, 0.5) == best
+
+
+def test_grammar_and_closings_over_tokens(spark):
+    lines = {
+        "WEATHER AT ONE TWO ZERO ZERO TWO FOUR ZERO AT FIVE": ("WEATHER AT ONE TWO ZERO ZERO ZULU WIND TWO FOUR ZERO AT FIVE", 2),
+        "WEATHER AT ONE TWO ZERO ZERO ZULU WIND TWO FOUR ZERO AT FIVE": ("WEATHER AT ONE TWO ZERO ZERO ZULU WIND TWO FOUR ZERO AT FIVE", 0),
+        "FREQUENCY ONE TWO ONE FIVE": ("FREQUENCY ONE TWO DECIMAL ONE FIVE", 1),
+        "FREQUENCY ONE TWO ONE": ("FREQUENCY ONE TWO ONE", 0),
+        "SAINT JOHNS INFORMATION B THAT YOU HAVE INFORMATION B": ("SAINT JOHNS INFORMATION B INFORM ATC THAT YOU HAVE INFORMATION B", 1),
+        "THAT YOU HAVE INFORMATION": ("INFORM ATC THAT YOU HAVE INFORMATION", 1),
+        "": ("", 0),
+    }
+    assert [(r.text, r.fixes) for r in column(spark, lines, T.complete_grammar)] == list(lines.values())
+    closings = {"Thank you for watching. Bye bye. Thanks!": "", "over and out, thank you everyone": "over and out,", "thanks for all": "thanks for all", "ok Amara.org": "ok", "a bye-bye thank you": "a", "": ""}
+    assert column(spark, list(closings), T.strip_closing) == list(closings.values())
+
+
+def test_walked_speaker(spark):
+    turns = [(1, 0, 10), (2, 10, 22), (1, 22, 30), (2, 30, 60)]
+    rows = spark.createDataFrame([(0, 30, turns), (100, 110, turns), (0, 30, [])], "a long, b long, l array<struct<spk:long,a:long,b:long>>")
+    # speaker 1 holds 20 after its first turn counts twice; 12 of speaker 2 and 8 more of speaker 1 do not change hands
+    assert [r[0] for r in rows.select(S.walked_speaker(F.col("a"), F.col("b"), F.col("l"))).collect()] == [1, 0, 0]

@@ -30,11 +30,12 @@ def _verdict(there: Column, value: Column, good: Column) -> Column:
 
 
 def check_slots(text: Column) -> dict[str, Column]:
-    """Verdicts by slot: info_letter, obs_time, wind, temp_dew, qnh, runway, freq, flight_level."""
+    """Verdicts by slot: info_letter, obs_time, wind, visibility, temp_dew, qnh, runway, freq, flight_level, and free_text (UNPARSED) where none occurs."""
     t = squeeze(F.regexp_replace(F.upper(text), "[^A-Z ]+", " "))
     letter = F.regexp_extract(t, r"INFORMATION ([A-Z]+)", 1)
     time = _group(t, rf"WEATHER(?: \w+)*? AT ({_D}(?: {_D}){{3}})\b")
     way, speed = (_group(t, rf"WIND ({_D}(?: {_D}){{2}}) AT ({_D})\b", k) for k in (1, 2))
+    thousands, range_ = _group(t, rf"\bVISIBILITY(?: \w+)*? ({_D}(?: {_D})?) THOUSAND\b"), _group(t, rf"\bVISIBILITY ({_D}(?: {_D})?)\b")
     signed = lambda p: F.when(F.regexp_extract(t, p, 1) == "MINUS ", -1).otherwise(1) * _group(t, p, 2)
     temp, dew = signed(rf"TEMPERATURE (MINUS )?({_D}(?: {_D})?)\b"), signed(rf"DEW POINT (MINUS )?({_D}(?: {_D})?)\b")
     qnh = _group(t, rf"ALTIMETER ({_D}(?: {_D}){{3}})\b")
@@ -42,13 +43,19 @@ def check_slots(text: Column) -> dict[str, Column]:
     pair = t.rlike(rf"RUNWAY {_D} {_D}\b")
     mhz1000 = _group(t, rf"({_D}(?: {_D}){{2}}) DECIMAL ({_D} {_D})\b") * 1000 + _group(t, rf"({_D}(?: {_D}){{2}}) DECIMAL ({_D} {_D})\b", 2) * 10
     level = _group(t, rf"FLIGHT LEVEL ({_D}(?: {_D}){{0,2}})\b") * F.when(t.rlike(rf"FLIGHT LEVEL {_D}(?: {_D})? HUNDRED\b"), 100).otherwise(1)
-    return {
+    out = {
         "info_letter": F.when(letter != "", F.when(letter.isin(*ALPHABET), "PASS").otherwise("WARN")),
         "obs_time": _verdict(t.rlike(r"\bWEATHER\b.*\bAT\b"), time, time <= 2359),
         "wind": F.when(t.rlike(r"\bWIND\b"), F.when(way.isNull() | speed.isNull(), "WARN").when(way <= 360, "PASS").otherwise("FAIL")),
+        # read digit by digit (hundreds) or as thousands, either may be meant
+        "visibility": F.when(
+            t.rlike(r"\bVISIBILITY\b"),
+            F.when(t.rlike(r"\bVISIBILITY\b.*\bTHOUSAND\b"), F.when((thousands * 100).between(1200, 6500) | (thousands * 1000).between(1200, 6500), "PASS").otherwise("WARN")).when(range_.between(1, 99), "PASS").otherwise("WARN"),
+        ),
         "temp_dew": _verdict(t.rlike(r"\bTEMPERATURE\b"), temp, temp.between(-60, 60) & (dew.isNull() | (dew.between(-60, 60) & (dew <= temp)))),
         "qnh": _verdict(t.rlike(r"\bALTIMETER\b"), qnh, qnh.between(2750, 3150)),
         "runway": _verdict(t.rlike(r"\bRUNWAY\b"), runway, runway.between(1, 36) & (pair | (runway <= 9))),
         "freq": F.when(t.rlike(r"\bDECIMAL\b"), F.when(mhz1000.isNull(), "WARN").when(~mhz1000.between(118000, 136975), "FAIL").when(mhz1000 % 25 == 0, "PASS").otherwise("WARN")),
         "flight_level": F.when(level.isNotNull(), F.when(level.between(45, 600), "PASS").otherwise("WARN")),
     }
+    return out | {"free_text": F.when(F.coalesce(*out.values()).isNull(), "UNPARSED")}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +39,15 @@ def joined(first: str, second: str, least: int = 4) -> str | None:
     kept = [[(k, x) for k, c in enumerate(t) if unicodedata.category(c)[0] not in "PS" and not c.isspace() for x in c.casefold()] for t in (first, second)]
     a, b = ("".join(x for _, x in t) for t in kept)
     shortest = min(len(a), len(b))
-    for n in range(shortest, max(least, shortest // 4) - 1, -1):
-        if n and a.endswith(b[:n]):
-            return first + second[kept[1][n - 1][0] + 1 :]
+    # the longest beginning of b that a ends with: how far b matches itself, then a, in linear time
+    borders, n = [0], 0
+    for c in itertools.chain(b[1:shortest], [None], a[len(a) - shortest :]):
+        while n and (n == shortest or c != b[n]):
+            n = borders[n - 1]
+        n += n < shortest and c == b[n]
+        borders.append(n)
+    if n and n >= max(least, shortest // 4):
+        return first + second[kept[1][n - 1][0] + 1 :]
     return None
 
 
@@ -47,6 +56,45 @@ def overlap_join(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else joined(a, b) for a, b in zip(first, second)], dtype=object)
 
 
+_word_run = re.compile(r"(?<!\S)(\w+)(?:\s+\1){2,}(?!\S)", re.IGNORECASE)
+
+
+def end_of_repeats(text: str, longest: int = 11) -> int | None:
+    """Where the first of three or more repeats in a row ends: of a word, else of `longest` characters or fewer; None without any.
+
+    Punctuation does not count, nor do numbers. Repeats of n characters are runs of 2 n positions that equal the one n later.
+    """
+    at = np.array([k for k, c in enumerate(text) if unicodedata.category(c)[0] != "P"], np.int64)
+    plain = "".join(text[k] for k in at)
+    for m in _word_run.finditer(plain):
+        if not m.group(1).isdigit():
+            return int(at[m.end(1) - 1]) + 1
+    codes = np.frombuffer(plain.encode("utf-32-le"), np.uint32)
+    white = np.array([c.isspace() for c in plain], bool)
+    for n in range(1, longest + 1):
+        same = np.r_[False, (codes[:-n] == codes[n:]) & ~white[:-n], False] if len(codes) > n else np.zeros(1, bool)
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for begin, stop in zip(edges[::2], edges[1::2]):
+            if stop - begin >= 2 * n and not plain[begin : begin + n].isdigit():
+                return int(at[begin + n - 1]) + 1
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def cut_repeats(text: pd.Series) -> pd.Series:
+    """Texts cut after the first of their repeats, with the marks that close it."""
+
+    def cut(t: str | None) -> str | None:
+        end = None if t is None else end_of_repeats(t)
+        if end is None:
+            return t
+        while end < len(t) and unicodedata.category(t[end]) in ("Pe", "Pf", "Po", "Pd", "Pc"):
+            end += 1
+        return t[:end].rstrip()
+
+    return text.map(cut)
+
+
 def cut_text(text: str, longest: int = 80) -> list[str]:
     """Words gathered into parts of at most `longest` characters, closed early at a mark once half full; hard cuts where a word is longer."""
     parts: list[list[str]] = [[]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -13,38 +14,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EDITS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_ref", "cor", "sub", "ins", "del", "dist")])
+_FIELDS = {"pos": T.IntegerType(), "token": T.StringType(), "other_token": T.StringType(), "equal": T.BooleanType(), "same_size": T.BooleanType()}
+POSITIONS = T.ArrayType(T.StructType([T.StructField(c, k) for c, k in _FIELDS.items()]))
 OPCODES = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]]))
 
 
+#: Cells of a cost matrix that is kept whole.
+WHOLE_MATRIX = 1 << 22
+
+
 def edit_operations(hyp: list[str], ref: list[str]) -> tuple[int, int, int, int, int]:
     """Correct, substituted, inserted and deleted tokens and the distance; ties prefer substitution, then insertion.
 
     Rows of the cost matrix are made whole in numpy: a row's insertions depend on the row above only, and its
-    deletions are a running minimum.
+    deletions are a running minimum. Of a large matrix every sqrt(n)th row is kept and the walk back makes the rows
+    between them again, so memory is m * sqrt(n).
     """
     n, m = len(hyp), len(ref)
     if not n or not m:
         return 0, 0, n, m, max(n, m)
     names = {t: k for k, t in enumerate(dict.fromkeys([*hyp, *ref]))}
     h, r = (np.array([names[t] for t in s]) for s in (hyp, ref))
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[0], steps = np.arange(m + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
+    steps = np.arange(m + 1, dtype=np.int32)
+
+    def next_row(above: np.ndarray, token: int) -> np.ndarray:
         row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, :-1] + (r != h[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(row - steps) + steps
-    i, j, cor, sub, ins, dele = n, m, 0, 0, 0, 0
+        row[0] = above[0] + 1
+        row[1:] = np.minimum(above[:-1] + (r != token), above[1:] + 1)
+        return np.minimum.accumulate(row - steps) + steps
+
+    size = n if n * m <= WHOLE_MATRIX else math.isqrt(n) + 1
+    row, kept = steps, [steps]
+    for i in range(1, n - (n - 1) % size):
+        row = next_row(row, h[i - 1])
+        if i % size == 0:
+            kept.append(row)
+    i, j, cor, sub, ins, dele, dist = n, m, 0, 0, 0, 0, 0
+    first = -1  # the row of the matrix that cost begins with
+    cost = np.zeros((0, 0), np.int32)
+
     while i and j:
+        if (i - 1) // size * size != first:
+            first = (i - 1) // size * size
+            cost = np.empty((min(n, first + size) - first + 1, m + 1), np.int32)
+            cost[0] = kept[first // size]
+            for k in range(1, len(cost)):
+                cost[k] = next_row(cost[k - 1], h[first + k - 1])
+            dist = dist or int(cost[-1, m])
+        k = i - first
         if h[i - 1] == r[j - 1]:
             cor, i, j = cor + 1, i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j - 1] + 1:
+        elif cost[k, j] == cost[k - 1, j - 1] + 1:
             sub, i, j = sub + 1, i - 1, j - 1
-        elif cost[i, j] == cost[i - 1, j] + 1:
+        elif cost[k, j] == cost[k - 1, j] + 1:
             ins, i = ins + 1, i - 1
         else:
             dele, j = dele + 1, j - 1
-    return cor, sub, ins + i, dele + j, int(cost[n, m])
+    return cor, sub, ins + i, dele + j, dist
 
 
 @F.pandas_udf(EDITS)
@@ -67,6 +93,19 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(POSITIONS)
+def positions_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Positions of a with what b has there, from the equal and replaced opcodes; same_size: both sides are equally long."""
+    out = []
+    for x, y in zip(a, b):
+        x, y, row = list(x), list(y), []
+        for tag, a0, a1, b0, b1 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if tag in ("equal", "replace"):
+                row += [{"pos": i, "token": x[i], "other_token": y[j], "equal": x[i] == y[j], "same_size": a1 - a0 == b1 - b0} for i, j in zip(range(a0, a1), range(b0, b1))]
+        out.append(row)
+    return pd.Series(out)
+
+
 def error_rates(pairs: DataFrame, keys: list[str], hyp: Column, ref: Column) -> DataFrame:
     """Corpus error rates by keys: sums of edits over sums of reference tokens, in percent."""
     e = pairs.select(*keys, edits(hyp, ref).alias("e"))
@@ -78,12 +117,7 @@ def error_rates(pairs: DataFrame, keys: list[str], hyp: Column, ref: Column) ->
 
 def aligned_positions(rows: DataFrame, keys: list[str], base: str, other: str) -> DataFrame:
     """(keys, pos, token, other_token, equal): positions of base with what the other sequence has there."""
-    ops = rows.select(*keys, base, other, F.explode(opcodes(F.col(base), F.col(other))).alias("o")).where("o.tag IN ('equal', 'replace')")
-    n = F.least(F.col("o.a1") - F.col("o.a0"), F.col("o.b1") - F.col("o.b0"))
-    each = ops.select(*keys, base, other, "o", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    at, bt = F.get(base, F.col("o.a0") + F.col("k")), F.get(other, F.col("o.b0") + F.col("k"))
-    same_size = (F.col("o.a1") - F.col("o.a0")) == (F.col("o.b1") - F.col("o.b0"))
-    return each.select(*keys, (F.col("o.a0") + F.col("k")).alias("pos"), at.alias("token"), bt.alias("other_token"), (at == bt).alias("equal"), same_size.alias("same_size"))
+    return rows.select(*keys, F.inline(positions_of(F.col(base), F.col(other))))
 
 
 def chr_f_score(ref: str, hyp: str, longest: int = 6, beta: float = 2.0) -> float:
@@ -109,13 +143,18 @@ def similar_word(vocabulary: list[str], least: float = 0.66, skip_below: int = 4
 
     First letters must agree, or each be among the other's first two; ties go to the first in the alphabet.
     """
-    words = sorted(set(vocabulary))
+    words, known_words = sorted(set(vocabulary)), set(vocabulary)
 
     def best(word: str) -> str:
-        if word in words or len(word) < skip_below or word.rstrip(".,?").isdigit():
+        if word in known_words or len(word) < skip_below or word.rstrip(".,?").isdigit():
             return word
         near = [v for v in words if v[0] == word[0] or (word[0] in v[:2] and v[0] in word[:2])]
-        score, _, found = max(((SequenceMatcher(None, word, v).ratio(), -k, v) for k, v in enumerate(near)), default=(0.0, 0, word))
+        found, score, match = word, 0.0, SequenceMatcher(None, "", word)
+        for v in near:
+            match.set_seq1(v)
+            # the cheap bounds pass over most words
+            if match.real_quick_ratio() > score and match.quick_ratio() > score and (own := SequenceMatcher(None, word, v).ratio()) > score:
+                found, score = v, own
         return found if score >= least else word
 
     @F.pandas_udf(T.StringType())

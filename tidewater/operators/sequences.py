@@ -26,10 +26,29 @@ def warp_path(cost: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(total[n, m]), path[::-1]
 
 
+def warp_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Warping distances of rows of equal shape; the table of costs is walked once for all rows, two of its lines at a time."""
+    above = np.full((len(a), b.shape[1] + 1), np.inf)
+    above[:, 0] = 0
+    for i in range(a.shape[1]):
+        line = np.full_like(above, np.inf)
+        cost = np.abs(a[:, i : i + 1] - b)
+        best = np.minimum(above[:, 1:], above[:, :-1])
+        for j in range(b.shape[1]):
+            line[:, j + 1] = cost[:, j] + np.minimum(best[:, j], line[:, j])
+        above = line
+    return above[:, -1]
+
+
 @F.pandas_udf(T.DoubleType())
 def warp_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Dynamic time warping distance of two number arrays."""
-    return pd.Series([warp_path(np.abs(np.subtract.outer(np.asarray(x, float), np.asarray(y, float))))[0] if len(x) and len(y) else None for x, y in zip(a, b)], dtype=float)
+    """Dynamic time warping distance of two number arrays; null where one is null or empty."""
+    out = pd.Series([None] * len(a), index=a.index, dtype=object)
+    size = lambda s: s.map(lambda x: 0 if x is None else len(x))
+    for (n, m), rows in a.groupby([size(a), size(b)]).groups.items():
+        if n and m:
+            out[rows] = warp_distances(*(np.stack([np.asarray(x, float) for x in s[rows]]) for s in (a, b)))
+    return out.astype(float)
 
 
 def forced_alignment(log_probs: np.ndarray, labels: list[int], blank: int = 0) -> list[int]:
@@ -79,22 +98,33 @@ def align_sessions(df: DataFrame, session: str, order: str, vector: str, labels:
 
 
 def compatible_cluster(similar: np.ndarray, loss: list[float], least: float = 0.3) -> tuple[int, ...]:
-    """The largest set of candidates that are pairwise alike; ties go to the lower mean loss. For a handful of candidates."""
-    for size in range(len(loss), 0, -1):
-        sets = [s for s in itertools.combinations(range(len(loss)), size) if all(similar[i, j] >= least for i, j in itertools.combinations(s, 2))]
-        if sets:
-            return min(sets, key=lambda s: sum(loss[i] for i in s) / size)
-    return ()
-
-
-def cluster_candidates(df: DataFrame, key: str, name: str, tokens: str, loss: str) -> DataFrame:
+    """The largest set of candidates that are pairwise alike; ties go to the lower mean loss, then to the first.
+
+    Branches of the search that cannot reach the best size so far are cut; candidates of one reference are few.
+    """
+    n = len(loss)
+    near = [{j for j in range(n) if j != i and similar[i, j] >= least} for i in range(n)]
+    best: tuple = (0, 0.0, ())
+    stack = [((), list(range(n)))]
+    while stack:
+        taken, open_ = stack.pop()
+        if len(taken) + len(open_) < -best[0]:
+            continue
+        if taken:
+            best = min(best, (-len(taken), sum(loss[i] for i in taken) / len(taken), taken))
+        for k, i in enumerate(open_):
+            stack.append(((*taken, i), [j for j in open_[k + 1 :] if j in near[i]]))
+    return best[2]
+
+
+def cluster_candidates(df: DataFrame, key: str, name: str, tokens: str, loss: str, least: float = 0.3) -> DataFrame:
     """winner and members of each key's compatible cluster of candidates."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(name).reset_index(drop=True)
         sets = [set(t) for t in own[tokens]]
         similar = np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
-        members = compatible_cluster(similar, own[loss].tolist())
+        members = compatible_cluster(similar, own[loss].tolist(), least)
         winner = min(members, key=lambda i: own[loss][i])
         return pd.DataFrame({key: [own[key].iloc[0]], "winner": [own[name][winner]], "members": [",".join(str(own[name][i]) for i in members)]})
 

@@ -30,6 +30,22 @@ def spaced(values: Column, gap: float) -> Column:
     return F.aggregate(values, F.array().cast("array<double>"), keep)
 
 
+def walked_speaker(begin: Column, end: Column, turns: Column) -> Column:
+    """The speaker of a span by a walk over turns (spk, a, b) in order; 0 without any overlap.
+
+    A turn that overlaps more than the record takes the span; each overlapping turn of the holder adds to the record.
+    """
+    state = "struct<spk:long,record:long>"
+
+    def step(s: Column, x: Column) -> Column:
+        over = F.greatest(F.least(end, x["b"]) - F.greatest(begin, x["a"]), F.lit(0))
+        taken = over > s["record"]
+        spk = F.when(taken, x["spk"]).otherwise(s["spk"])
+        return F.struct(spk.alias("spk"), (F.greatest(s["record"], over) + F.when((over > 0) & (spk == x["spk"]), over).otherwise(0)).alias("record")).cast(state)
+
+    return F.aggregate(turns, F.struct(F.lit(0).alias("spk"), F.lit(0).alias("record")).cast(state), step)["spk"]
+
+
 def merge_segments(bounds: Column, max_length: int, min_length: int) -> Column:
     """Speech segments merged up to max_length: cut points are all starts and ends, beginning at 0."""
     kind = "struct<begin:long,out:array<struct<begin:long,end:long>>>"

@@ -15,7 +15,6 @@ from tidewater.plans.base import Tables, query
 from tidewater.plans.series_queries import frames
 from tidewater.plans.text_queries import TOKENS
 from tidewater.sources.scratch import new_path
-from tidewater.streaming import sessions
 
 
 @query(
@@ -33,12 +32,12 @@ def bat_sorted_tokens(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, i - 1 AS pos, w AS word, 10 * (sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) - (length(w) + 2) // 3) AS begin, 10 * sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS w, generate_subscripts({TOKENS.format('text')}, 1) AS i FROM documents WHERE doc_id % 10 = 0)""",
+    f"""SELECT doc_id, i - 1 AS pos, w AS word, 10 * (sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) - (length(w) + 2) // 3) AS begin, 10 * sum((length(w) + 2) // 3) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS w, generate_subscripts({TOKENS.format('text')}, 1) AS i FROM documents)""",
     longs=("begin", "stop"),
 )
 def tim_merge_subwords(t: Tables) -> DataFrame:
     """Timed pieces put together again: a piece with the mark begins a word."""
-    w = t.documents.where("doc_id % 10 = 0").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    w = t.documents.select("doc_id", T.tokens(F.col("text")).alias("w"))
     cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(x) - 1) / 3).cast("int")), lambda k: F.concat(F.when(k == 0, "▁").otherwise(""), F.substring(x, k * 3 + 1, F.lit(3))))
     pieces = w.select("doc_id", F.posexplode(F.flatten(F.transform("w", cut))).alias("i", "piece"))
     word = F.sum(F.col("piece").startswith("▁").cast("int")).over(W.partitionBy("doc_id").orderBy("i")) - 1
@@ -61,16 +60,17 @@ def tim_sentence_spans(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH k AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS w FROM documents), h AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS h FROM benchmark WHERE item_id < 3), l AS (SELECT h FROM h WHERE length(h) >= 6 AND regexp_full_match(h, '[a-z]+'))
+    f"""WITH k AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS w FROM documents), h AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS h FROM benchmark), l AS (SELECT h FROM h WHERE length(h) >= 6 AND regexp_full_match(h, '[a-z]+'))
     SELECT doc_id, h AS hotword, count(*) AS n_like, min(w) AS first_like FROM k JOIN l ON length(w) BETWEEN length(h) - 1 AND length(h) + 1 AND left(w, 1) = left(h, 1) AND levenshtein(w, h) <= 1 GROUP BY doc_id, h"""
 )
 def jn_hotword_match(t: Tables) -> DataFrame:
-    """Words within one edit of a hot word: an equi-join on first letter and length, then the exact distance."""
+    """Words within one edit of a hot word: distinct words meet hot words by first letter and length, then the exact distance decides."""
     k = t.documents.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
-    h = t.benchmark.where("item_id < 3").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("hotword")).distinct().where(F.col("hotword").rlike("^[a-z]{6,}$"))
+    h = t.benchmark.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("hotword")).distinct().where(F.col("hotword").rlike("^[a-z]{6,}$"))
     h = h.select("hotword", F.left("hotword", F.lit(1)).alias("a"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: d + F.char_length("hotword"))).alias("n"))
-    k = k.select("doc_id", "w", F.left("w", F.lit(1)).alias("a"), F.char_length("w").alias("n"))
-    return k.join(h, ["a", "n"]).where(F.levenshtein("w", "hotword") <= 1).groupBy("doc_id", "hotword").agg(F.count(F.lit(1)).alias("n_like"), F.min("w").alias("first_like"))
+    words = k.select("w").distinct().select("w", F.left("w", F.lit(1)).alias("a"), F.char_length("w").alias("n"))
+    like = words.join(h, ["a", "n"]).where(F.levenshtein("w", "hotword", 1) >= 0).select("w", "hotword")
+    return k.join(like, "w").groupBy("doc_id", "hotword").agg(F.count(F.lit(1)).alias("n_like"), F.min("w").alias("first_like"))
 
 
 @query(
@@ -163,31 +163,6 @@ def mth_fire_times(t: Tables) -> DataFrame:
     return fires.select("user_id", F.filter(F.transform("f", lambda x, i: F.when(x >= 1.0, i)), lambda i: i.isNotNull()).alias("fired"))
 
 
-@query()
-def stm_threshold_gate(t: Tables) -> DataFrame:
-    """Spans of speech by two thresholds and a pause."""
-    rows = t.events.select("user_id", "ts", F.least(F.col("value") / 100, F.lit(1.0)).alias("p"))
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        got = pd.DataFrame(sessions.threshold_spans(own.sort_values("ts")["p"], sessions.Threshold(0.5, 0.35, 2, 1)), columns=["begin", "stop"]).astype("int64")
-        got.insert(0, "user_id", own["user_id"].iloc[0])
-        return got
-
-    return rows.groupBy("user_id").applyInPandas(run, "user_id long, begin long, stop long")
-
-
-@query()
-def stm_online_speakers(t: Tables) -> DataFrame:
-    """Speakers told apart as vectors come."""
-    e = t.embeddings.select(F.floor(F.col("vec_id") / 125).alias("session"), "vec_id", "embedding")
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("vec_id")
-        return pd.DataFrame({"session": own["session"], "vec_id": own["vec_id"], "speaker": sessions.online_speakers(own["embedding"], least=0.2)})
-
-    return e.groupBy("session").applyInPandas(run, "session long, vec_id long, speaker long")
-
-
 @query(
     f"""SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS in_buffer, turn - least(turn, 3) AS oldest FROM (SELECT conv_id, turn, len({TOKENS.format('text')}) AS n FROM conversations)""",
     longs=("in_buffer",),

@@ -117,12 +117,12 @@ def bat_pad_collate(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT 'u' || CAST(doc_id AS VARCHAR) || ' ' || replace(left(text, 30), chr(10), ' ') AS line FROM documents)
+    """WITH k AS (SELECT 'u' || CAST(doc_id AS VARCHAR) || ' ' || replace(text, chr(10), ' ') AS line FROM documents)
     SELECT split_part(line, ' ', 1) AS key, substr(line, length(split_part(line, ' ', 1)) + 2) AS value FROM k"""
 )
 def src_key_value_lines(t: Tables) -> DataFrame:
     """Lines of a key and an optional value."""
-    lines = t.documents.select(F.concat(F.lit("u"), F.col("doc_id").cast("string"), F.lit(" "), F.replace(F.left("text", F.lit(30)), F.lit("\n"), F.lit(" "))).alias("line"))
+    lines = t.documents.select(F.concat(F.lit("u"), F.col("doc_id").cast("string"), F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("line"))
     parts = F.split("line", " ", 2)
     return lines.select(parts[0].alias("key"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("value"))
 
@@ -165,7 +165,7 @@ def snk_id_mismatch(t: Tables) -> DataFrame:
 
 
 @query(
-    r"""WITH c AS (SELECT conv_id, turn, turn * 2500 AS s, turn * 2500 + 2000 AS e, replace(left(text, 20), chr(10), ' ') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    r"""WITH c AS (SELECT conv_id, turn, turn * 2500 AS s, turn * 2500 + 2000 AS e, replace(text, chr(10), ' ') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
     SELECT conv_id, string_agg(CAST(n AS VARCHAR) || chr(10) || lpad(CAST(s // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(s % 1000 AS VARCHAR), 3, '0')
     || ' --> ' || lpad(CAST(e // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(e // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(e // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(e % 1000 AS VARCHAR), 3, '0') || chr(10) || w || chr(10), chr(10) ORDER BY n) AS srt,
     string_agg(printf('%.3f', s / 1000.0) || chr(9) || printf('%.3f', e / 1000.0) || chr(9) || w, chr(10) ORDER BY n) AS tsv FROM c GROUP BY conv_id"""
@@ -173,7 +173,7 @@ def snk_id_mismatch(t: Tables) -> DataFrame:
 def snk_subtitles(t: Tables) -> DataFrame:
     """Cues of a session as SRT and as tab-separated seconds."""
     s = F.col("turn") * 2500
-    w = F.replace(F.left("text", F.lit(20)), F.lit("\n"), F.lit(" "))
+    w = F.replace("text", F.lit("\n"), F.lit(" "))
     n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
     cue = F.concat(n.cast("string"), F.lit("\n"), T.srt_time(s), F.lit(" --> "), T.srt_time(s + 2000), F.lit("\n"), w, F.lit("\n"))
     line = F.concat_ws("\t", F.format_string("%.3f", s / 1000), F.format_string("%.3f", (s + 2000) / 1000), w)
@@ -201,13 +201,13 @@ def sup_tile_windows(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, k, list_aggregate(w[1:k], 'string_agg', ' ') AS prefix FROM (SELECT doc_id, w, unnest(range(2, least(len(w), 6) + 1)) AS k FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id % 5 = 0))"""
+    """SELECT item_id, k, list_aggregate(w[1:k], 'string_agg', ' ') AS prefix FROM (SELECT item_id, w, unnest(range(2, len(w) + 1)) AS k FROM (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark))"""
 )
 def sup_prefix_expansion(t: Tables) -> DataFrame:
-    """Growing prefixes of two to six words."""
-    w = t.documents.where("doc_id % 5 = 0").select("doc_id", F.split(T.squeeze(F.col("text")), " ").alias("w")).where(F.size("w") >= 2)
-    rows = w.select("doc_id", "w", F.explode(F.sequence(F.lit(2), F.least(F.size("w"), F.lit(6)))).alias("k"))
-    return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("prefix"))
+    """Growing prefixes of each phrase, of two words to all."""
+    w = t.benchmark.select("item_id", F.split(T.squeeze(F.col("text")), " ").alias("w")).where(F.size("w") >= 2)
+    rows = w.select("item_id", "w", F.explode(F.sequence(F.lit(2), F.size("w"))).alias("k"))
+    return rows.select("item_id", F.col("k").cast("long").alias("k"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("prefix"))
 
 
 @query("SELECT doc_id, coalesce(nullif(lang, 'en'), CASE WHEN doc_id % 2 = 0 THEN 'auto' ELSE NULL END, 'unknown') AS resolved FROM documents")
@@ -224,12 +224,12 @@ def sup_idempotent_append(t: Tables) -> DataFrame:
     return have.unionByName(new.join(have.select("doc_id"), "doc_id", "left_anti"))
 
 
-@query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN '[override]' ELSE left(d.text, 20) END AS text, CASE WHEN l.toxic = 1 THEN d.source || ' (flagged)' ELSE d.source END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN '[override]' ELSE d.text END AS text, CASE WHEN l.toxic = 1 THEN d.source || ' (flagged)' ELSE d.source END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
 def sup_keyed_override(t: Tables) -> DataFrame:
     """Text replaced where evidence names its key, with the reason appended."""
     rows = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left")
     hit = F.col("toxic") == 1
-    return rows.select("doc_id", F.when(hit, "[override]").otherwise(F.left("text", F.lit(20))).alias("text"), F.when(hit, F.concat("source", F.lit(" (flagged)"))).otherwise(F.col("source")).alias("reason"))
+    return rows.select("doc_id", F.when(hit, "[override]").otherwise(F.col("text")).alias("text"), F.when(hit, F.concat("source", F.lit(" (flagged)"))).otherwise(F.col("source")).alias("reason"))
 
 
 @query(

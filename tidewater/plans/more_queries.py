@@ -10,6 +10,7 @@ from tidewater.functions import slots, udfs
 from tidewater.functions import text as T
 from tidewater.functions.times import micros
 from tidewater.operators import alignment as A
+from tidewater.operators import manifest as M
 from tidewater.operators import sequences as Q
 from tidewater.operators import series as S
 from tidewater.plans.base import Tables, query
@@ -17,7 +18,6 @@ from tidewater.plans.relational_queries import turn_pairs
 from tidewater.plans.text_queries import NORM, TOKENS
 from tidewater.sources import readers, writers
 from tidewater.sources.scratch import new_path
-from tidewater.streaming import sessions
 
 
 @query("SELECT 'u' || CAST(doc_id AS VARCHAR) AS key, source, text AS target, '<ASR>' AS prompt, n_chars AS source_len, 0 AS target_len, lang AS text_language FROM documents")
@@ -54,14 +54,14 @@ def src_kaldi_segments(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT event_id, event_id % 5 AS k, event_type AS e FROM events WHERE event_id < 500) SELECT CASE WHEN k < 3 THEN e || CAST(event_id AS VARCHAR) END AS wrong, upper(e) AS right, k < 3 AS is_explicit FROM l WHERE k <> 4"""
+    """WITH l AS (SELECT event_id, event_id % 5 AS k, event_type AS e FROM events) SELECT CASE WHEN k < 3 THEN e || CAST(event_id AS VARCHAR) END AS wrong, upper(e) AS right, k < 3 AS is_explicit FROM l WHERE k <> 4"""
 )
 def src_hotword_rules(t: Tables) -> DataFrame:
     """Rule lines in all their forms."""
     k, e = F.col("event_id") % 5, F.col("event_type")
     name = F.concat(e, F.col("event_id").cast("string"))
     line = F.when(k == 0, F.concat(name, F.lit(" => "), F.upper(e))).when(k == 1, F.concat(name, F.lit("->"), F.upper(e))).when(k == 2, F.concat(F.lit("  "), name, F.lit(" → "), F.upper(e))).when(k == 3, F.upper(e)).otherwise(F.concat(F.lit("# "), e))
-    return readers.hotword_rules(t.events.where("event_id < 500").select(line.alias("value")))
+    return readers.hotword_rules(t.events.select(line.alias("value")))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'wav' WHEN 1 THEN 'flac' WHEN 2 THEN 'ogg' ELSE 'raw' END AS kind FROM events")
@@ -75,14 +75,14 @@ def src_container_kind(t: Tables) -> DataFrame:
 @query()
 def snk_verbose_json(t: Tables) -> DataFrame:
     """Turns as segments of a JSON result."""
-    rows = t.conversations.select("conv_id", (F.col("turn") * 2.5).alias("begin"), (F.col("turn") * 2.5 + 2).alias("end"), F.left("text", F.lit(40)).alias("text"))
+    rows = t.conversations.select("conv_id", (F.col("turn") * 2.5).alias("begin"), (F.col("turn") * 2.5 + 2).alias("end"), "text")
     return writers.verbose_json(rows, "conv_id", "begin", "end", "text")
 
 
 @query()
 def snk_vtt(t: Tables) -> DataFrame:
     """Turns as VTT cues."""
-    rows = t.conversations.select("conv_id", (F.col("turn") * 2500).alias("begin"), (F.col("turn") * 2500 + 2000).alias("end"), F.left("text", F.lit(40)).alias("text"))
+    rows = t.conversations.select("conv_id", (F.col("turn") * 2500).alias("begin"), (F.col("turn") * 2500 + 2000).alias("end"), "text")
     return writers.cues(rows, "conv_id", "begin", "end", "text", "vtt")
 
 
@@ -132,7 +132,7 @@ def str_hotword_replace(t: Tables) -> DataFrame:
 @query()
 def str_cjk_join(t: Tables) -> DataFrame:
     """Parts joined by a space, but not between two Chinese characters (needs look-ahead)."""
-    parts = F.array(F.left("text", F.lit(10)), F.lit("风向"), F.lit("二四零"), F.col("lang"))
+    parts = F.array("text", F.lit("风向"), F.lit("二四零"), F.col("lang"))
     joined = F.array_join(parts, "\u0001")
     return t.documents.select("doc_id", F.replace(F.regexp_replace(joined, "([一-鿿])\u0001(?=[一-鿿])", "$1"), F.lit("\u0001"), F.lit(" ")).alias("joined"))
 
@@ -142,7 +142,7 @@ def str_overlap_merge(t: Tables) -> DataFrame:
     """Rolling transcripts joined at their overlap."""
     n = F.char_length("text")
     a, b = F.left("text", F.floor(n * 2 / 3).cast("int")), F.substring("text", F.floor(n / 3).cast("int") + 1, n)
-    rows = t.documents.where(n.between(30, 3000)).select("doc_id", udfs.overlap_join(a, b).alias("merged"), "text")
+    rows = t.documents.select("doc_id", udfs.overlap_join(a, b).alias("merged"), "text")
     return rows.select("doc_id", F.col("merged").isNotNull().alias("found"), (F.col("merged") == F.col("text")).alias("whole"))
 
 
@@ -178,7 +178,12 @@ def num_slot_grammar(t: Tables) -> DataFrame:
     return rows.select("event_id", F.expr("stack(3, 'wind', wind, 'runway', runway, 'qnh', qnh) AS (slot, verdict)"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + CAST(floor(value * 20) AS BIGINT) * 60000000 AS b, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, floor(value * 20) DESC, event_id) AS i FROM events),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, CAST([] AS STRUCT(a BIGINT, b BIGINT, id BIGINT)[]) AS taken FROM e UNION ALL
+    SELECT e.user_id, e.i, CASE WHEN len(list_filter(taken, lambda y: e.a < y.b AND y.a < e.b)) = 0 THEN list_append(taken, {'a': e.a, 'b': e.b, 'id': e.event_id}) ELSE taken END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id, list_sort(list_transform(taken, lambda x: x.id)) AS kept FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"""
+)
 def srt_non_overlapping(t: Tables) -> DataFrame:
     """Spans taken greedily by score, then length, where no taken one overlaps."""
     item = F.struct((-F.col("value")).alias("worse"), (-F.floor(F.col("value") * 20)).alias("shorter"), F.col("event_id"), micros("ts").alias("us"))
@@ -191,9 +196,9 @@ def srt_non_overlapping(t: Tables) -> DataFrame:
 
 @query()
 def set_compatible_cluster(t: Tables) -> DataFrame:
-    """The largest set of candidates that are pairwise alike, for each reference text."""
-    d = t.documents.where("doc_id < 160").select((F.col("doc_id") % 40).alias("item_id"), "doc_id", T.tokens(F.col("text")).alias("tokens"), F.col("n_chars").cast("double").alias("loss"))
-    return Q.cluster_candidates(d, "item_id", "doc_id", "tokens", "loss")
+    """The largest set of turns of a conversation that are pairwise alike; a turn stands for one candidate text."""
+    d = t.conversations.select("conv_id", "turn", T.tokens(F.col("text")).alias("tokens"), F.char_length("text").cast("double").alias("loss"))
+    return Q.cluster_candidates(d, "conv_id", "turn", "tokens", "loss", least=0.02)
 
 
 @query()
@@ -215,10 +220,15 @@ def set_union_candidates(t: Tables) -> DataFrame:
     return d.unionByName(b).unionByName(c)
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT x.vec_id, CAST(x.embedding AS DOUBLE[]) AS a, CAST(y.embedding AS DOUBLE[]) AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1),
+    r AS (SELECT vec_id, a, b, 0 AS i, list_prepend(0.0::DOUBLE, list_transform(b, lambda x: 'inf'::DOUBLE)) AS row FROM p UNION ALL
+    SELECT vec_id, a, b, i + 1, list_prepend('inf'::DOUBLE, list_transform(s, lambda t, j: t + list_min(list_transform(range(1, j + 1), lambda k: least(row[k], row[k + 1]) - CASE WHEN k = 1 THEN 0 ELSE s[k - 1] END)))) FROM
+    (SELECT *, list_transform(b, lambda x, j: list_sum(list_transform(b[1:j], lambda y: abs(a[i + 1] - y)))) AS s FROM r WHERE i < len(a))) SELECT vec_id, round(row[len(row)], 6) AS distance FROM r WHERE i = len(a)"""
+)
 def mth_time_warping(t: Tables) -> DataFrame:
     """Warping distance of neighbouring vectors."""
-    e = t.embeddings.select("vec_id", F.slice("embedding", 1, 16).cast("array<double>").alias("a"))
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     return e.join(b, "vec_id").select("vec_id", F.round(Q.warp_distance("a", "b"), 6).alias("distance"))
 
@@ -226,16 +236,16 @@ def mth_time_warping(t: Tables) -> DataFrame:
 @query()
 def mth_forced_alignment(t: Tables) -> DataFrame:
     """Labels put onto the frames of each session."""
-    e = t.embeddings.select(F.floor(F.col("vec_id") / 25).alias("session"), "vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("v"))
+    e = t.embeddings.select(F.floor(F.col("vec_id") / 25).alias("session"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return Q.align_sessions(e, "session", "vec_id", "v", [1, 2, 2, 5])
 
 
 @query(
-    """SELECT doc_id, list_transform(regexp_extract_all(s, '<\\|([0-9.]+)\\|>', 1), lambda x: CAST(x AS DOUBLE)) AS times, len(regexp_extract_all(s, '<\\|[0-9.]+\\|>')) AS n FROM (SELECT doc_id, '<|0.50|>' || left(text, 20) || '<|' || CAST(n_chars AS VARCHAR) || '.25|>' AS s FROM documents)"""
+    """SELECT doc_id, list_transform(regexp_extract_all(s, '<\\|([0-9.]+)\\|>', 1), lambda x: CAST(x AS DOUBLE)) AS times, len(regexp_extract_all(s, '<\\|[0-9.]+\\|>')) AS n FROM (SELECT doc_id, '<|0.50|>' || text || '<|' || CAST(n_chars AS VARCHAR) || '.25|>' AS s FROM documents)"""
 )
 def sup_timestamp_tokens(t: Tables) -> DataFrame:
     """Times written between bars in a text."""
-    s = F.concat(F.lit("<|0.50|>"), F.left("text", F.lit(20)), F.lit("<|"), F.col("n_chars").cast("string"), F.lit(".25|>"))
+    s = F.concat(F.lit("<|0.50|>"), "text", F.lit("<|"), F.col("n_chars").cast("string"), F.lit(".25|>"))
     times = F.regexp_extract_all(s, F.lit(r"<\|([0-9.]+)\|>"), F.lit(1))
     return t.documents.select("doc_id", F.transform(times, lambda x: x.cast("double")).alias("times"), F.size(times).cast("long").alias("n"))
 
@@ -280,10 +290,10 @@ def sup_template_lookup(t: Tables) -> DataFrame:
     return rows.select("doc_id", "template", F.when(F.col("there"), F.col("item_id")).otherwise(F.raise_error(F.lit("no template for a channel"))).alias("item_id"))
 
 
-@query("SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY md5('5:' || word || ':' || CAST(doc_id AS VARCHAR))) AS r FROM (SELECT doc_id, unnest(list_distinct(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))) AS word FROM documents WHERE doc_id % 4 = 0)) WHERE r <= 3")
+@query("SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY md5('5:' || word || ':' || CAST(doc_id AS VARCHAR))) AS r FROM (SELECT doc_id, unnest(list_distinct(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))) AS word FROM documents)) WHERE r <= 3")
 def sup_negative_sampling(t: Tables) -> DataFrame:
     """Three words of each text, drawn without replacement by a seeded hash."""
-    w = t.documents.where("doc_id % 4 = 0").select("doc_id", F.explode(F.array_distinct(F.split(T.squeeze(F.col("text")), " "))).alias("word"))
+    w = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(T.squeeze(F.col("text")), " "))).alias("word"))
     key = F.md5(F.concat(F.lit("5:"), "word", F.lit(":"), F.col("doc_id").cast("string")))
     return w.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(key))).where("r <= 3").drop("r")
 
@@ -313,30 +323,14 @@ def stm_silence_schedule(t: Tables) -> DataFrame:
     return t.events.select("event_id", pause.alias("silence_ms"))
 
 
-@query()
-def stm_stable_words(t: Tables) -> DataFrame:
-    """Words of successive partial texts, at the partial that makes them final."""
-    import pandas as pd
-
-    p = t.conversations.select("conv_id", "turn", F.transform(F.split(T.squeeze(F.col("text")), " "), lambda x: F.left(x, F.lit(1))).alias("w"))
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        got = sessions.commit_stable([list(w) for w in own.sort_values("turn")["w"]], repeats=2)
-        out = pd.DataFrame(got, columns=["partial", "word"]).astype({"partial": "int64"})
-        out.insert(0, "conv_id", own["conv_id"].iloc[0])
-        return out
-
-    return p.groupBy("conv_id").applyInPandas(run, "conv_id long, partial long, word string")
-
-
 @query()
 def met_lag_curve(t: Tables) -> DataFrame:
     """Distance between what was said and what was known, on a grid of moments, by conversation."""
-    toks = t.conversations.select("conv_id", F.col("turn").alias("at"), F.slice(T.tokens(F.col("text")), 1, 12).alias("w"))
+    toks = t.conversations.select("conv_id", F.col("turn").alias("at"), T.tokens(F.col("text")).alias("w"))
     w = W.partitionBy("conv_id").orderBy("at")
     so_far = lambda frame: F.flatten(F.collect_list("w").over(frame))
     rows = toks.select("conv_id", "at", so_far(w.rowsBetween(W.unboundedPreceding, 0)).alias("ref"), so_far(w.rowsBetween(W.unboundedPreceding, -1)).alias("hyp"))
-    e = rows.where(F.size("ref") > 0).select("conv_id", "at", A.edits(F.slice("hyp", F.lit(1), F.size("ref") + 12), F.col("ref")).alias("e"))
+    e = rows.where(F.size("ref") > 0).select("conv_id", "at", A.edits(F.col("hyp"), F.col("ref")).alias("e"))
     return e.groupBy("conv_id").agg(F.round(F.avg(F.col("e.dist") / F.col("e.n_ref")), 6).alias("mean_lag"), F.count(F.lit(1)).alias("n"))
 
 
@@ -356,9 +350,9 @@ def win_phase_vote(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS score, row_number() OVER (ORDER BY round(avg(value), 6), user_id) AS place FROM events GROUP BY user_id")
 def sup_leaderboard_by_mean(t: Tables) -> DataFrame:
-    """Places by a mean score; one row for each system."""
+    """Places by a mean score; systems are numbered within whole scores, which are put end to end by their counts."""
     g = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("score"))
-    return g.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("score", "user_id")).cast("long"))
+    return M.positions(g, ["score", "user_id"], F.floor("score"), "place").withColumn("place", F.col("place") + 1)
 
 
 @query()

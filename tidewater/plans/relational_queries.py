@@ -146,11 +146,11 @@ def agg_totals(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.round(F.sum("n_chars") / 3600.0, 6).alias("hours"), F.sum("n_chars").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH p AS (SELECT vec_id % 10 AS ckpt, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE vec_id < 50) SELECT d, round(avg(CAST(x AS DOUBLE)), 9) AS weight FROM p WHERE ckpt < 5 GROUP BY d")
+@query("WITH p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) SELECT label, d, round(avg(CAST(x AS DOUBLE)), 9) AS weight FROM p GROUP BY label, d")
 def agg_checkpoint_average(t: Tables) -> DataFrame:
-    """Parameters averaged over the chosen checkpoints."""
-    rows = t.embeddings.where("vec_id < 50 AND vec_id % 10 < 5").select(F.posexplode("embedding").alias("d", "x"))
-    return rows.groupBy((F.col("d") + 1).cast("long").alias("d")).agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("weight"))
+    """Parameters averaged over each run's checkpoints."""
+    rows = t.embeddings.select("label", F.posexplode("embedding").alias("d", "x"))
+    return rows.groupBy("label", (F.col("d") + 1).cast("long").alias("d")).agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("weight"))
 
 
 @query("SELECT conv_id, string_agg(replace(text, chr(10), ' '), ' ' ORDER BY turn) AS merged, count(*) AS n FROM conversations GROUP BY conv_id")
@@ -160,11 +160,11 @@ def agg_merge_results(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.array_join(parts["x"], " ").alias("merged"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT h.doc_id, r.quality, CASE WHEN r.doc_id IS NULL THEN 'unmatched' ELSE 'matched' END AS state FROM documents h LEFT JOIN labels r USING (doc_id) WHERE h.lang = 'fr'")
+@query("SELECT h.doc_id, r.quality, CASE WHEN r.doc_id IS NULL THEN 'unmatched' ELSE 'matched' END AS state FROM documents h LEFT JOIN labels r USING (doc_id)")
 def jn_hypothesis_reference(t: Tables) -> DataFrame:
     """Hypotheses decide the rows; misses are told apart."""
     r = t.labels.select("doc_id", "quality", F.lit(True).alias("there"))
-    return t.documents.where("lang = 'fr'").join(r, "doc_id", "left").select("doc_id", "quality", F.when(F.col("there"), "matched").otherwise("unmatched").alias("state"))
+    return t.documents.join(r, "doc_id", "left").select("doc_id", "quality", F.when(F.col("there"), "matched").otherwise("unmatched").alias("state"))
 
 
 @query("SELECT o.o_orderkey, c.c_name, n.n_name, sum(l.l_quantity) AS qty FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL")
@@ -208,12 +208,12 @@ def jn_cycle_bucket(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 % 3600 AS phase FROM events WHERE user_id < 30)
+    """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 % 3600 AS phase FROM events)
     SELECT a.event_id, count(*) AS n_near FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs((a.phase - b.phase + 1800 + 3600) % 3600 - 1800) < 30 GROUP BY a.event_id"""
 )
 def jn_phase_neighbours(t: Tables) -> DataFrame:
     """Events of the same user at a like phase of the hour: an equi-join on cells of the circle, then the exact test."""
-    e = t.events.where("user_id < 30").select("event_id", "user_id", (F.floor(seconds("ts")) % 3600).alias("phase")).withColumn("cell", F.floor(F.col("phase") / 30))
+    e = t.events.select("event_id", "user_id", (F.floor(seconds("ts")) % 3600).alias("phase")).withColumn("cell", F.floor(F.col("phase") / 30))
     near = e.select("user_id", F.col("event_id").alias("other"), F.col("phase").alias("p"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.pmod(F.col("cell") + k, F.lit(120)))).alias("cell"))
     d = F.abs(F.pmod(F.col("phase") - F.col("p") + 1800, F.lit(3600)) - 1800)
     return e.join(near, ["user_id", "cell"]).where((F.col("event_id") != F.col("other")) & (d < 30)).groupBy("event_id").agg(F.count(F.lit(1)).alias("n_near"))
@@ -321,11 +321,9 @@ def _scores(t: Tables) -> DataFrame:
 
 
 def _curve(t: Tables) -> DataFrame:
-    """Cumulative counts over the distinct scores; as many rows as scores."""
+    """Cumulative counts over the distinct scores, by buckets of scores, and the totals."""
     c = R.binned_counts(_scores(t), F.col("score"), F.col("target") == 1)
-    every, up = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy("score").rowsBetween(W.unboundedPreceding, 0)
-    c = c.withColumn("p", F.sum("pos").over(every)).withColumn("n", F.sum("neg").over(every))
-    return c.withColumn("fn", F.sum("pos").over(up)).withColumn("tn", F.sum("neg").over(up))
+    return R.running_totals(c, "score", F.floor(F.col("score") / 256), {"pos": ("fn", "p"), "neg": ("tn", "n")})
 
 
 @query(

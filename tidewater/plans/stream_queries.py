@@ -10,6 +10,7 @@ from tidewater.functions import text as T
 from tidewater.functions.times import micros
 from tidewater.plans.base import Tables, query
 from tidewater.streaming import runs, sessions
+from tidewater.streaming.machines import Machine, run_batch, run_stream
 
 RULE = sessions.Rule(silence=3, shortest=2, longest=8)
 
@@ -55,37 +56,224 @@ def stm_deduplicate(t: Tables) -> DataFrame:
     return runs.run_to_table(s.dropDuplicatesWithinWatermark(["event_type", "user_id"]).select("event_type", "user_id"), "dedup")
 
 
-@query()
+def _voiced(events: DataFrame) -> DataFrame:
+    """Events as frames of their users' sessions, in the order of time and id."""
+    return events.select("user_id", micros("ts").alias("us"), "event_id", (F.col("value") > 30).alias("voiced"), F.least(F.col("value") / 100, F.lit(1.0)).alias("chance"), (F.col("event_type") == "purchase").alias("command"))
+
+
+#: The frames in SQL: w counts the voiced ones of the last four and six.
+_FRAMES = """f AS (SELECT user_id, row_number() OVER w - 1 AS pos, CASE WHEN value > 30 THEN 1 ELSE 0 END AS v, least(value / 100, 1.0) AS p, event_type = 'purchase' AS c,
+    sum(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS w4, sum(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w6
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"""
+
+
+def _walked(state: dict[str, tuple[str, str, str]], made: dict[str, str], out: str, rest: str = "") -> str:
+    """SQL of a machine: state, by name, with type, start and next value; what a frame makes, from the state before it
+    (s_*); the rows given; the rows of sessions that end (`r` is then the state after their last frame)."""
+    start = ", ".join(f"CAST({first} AS {kind}) AS s_{c}" for c, (kind, first, _) in state.items())
+    new = ", ".join(f"CAST({then} AS {kind}) AS s_{c}" for c, (kind, _, then) in state.items())
+    columns = ", ".join(f"s_{c}" for c in state)
+    made_now = ", ".join(f"{x} AS {c}" for c, x in made.items())
+    before = ", ".join(f"s_{c} AS b_{c}" for c in state)
+    kept = ", ".join(f"b_{c}" for c in state)
+    none = ", ".join(f"CAST(NULL AS BIGINT) AS b_{c}" for c in state)
+    ends = f" UNION ALL {rest}" if rest else ""
+    return f"""WITH RECURSIVE {_FRAMES}, r AS (SELECT DISTINCT user_id, -1::BIGINT AS pos, {start}, {none}, {', '.join(f"CAST(NULL AS VARCHAR) AS {c}" for c in made)} FROM events UNION ALL
+    SELECT user_id, pos, {new}, {kept}, {', '.join(f"CAST({c} AS VARCHAR) AS {c}" for c in made)} FROM (SELECT *, {before} FROM (SELECT *, {made_now} FROM (SELECT f.*, {columns} FROM r JOIN f ON f.user_id = r.user_id AND f.pos = r.pos + 1))))
+    {out}{ends}"""
+
+
+_ENDPOINTS = _walked(
+    {"start": ("BIGINT", "-1", "CASE WHEN s_start >= 0 AND reason IS NULL THEN s_start WHEN v = 1 THEN pos ELSE -1 END"), "quiet": ("BIGINT", "0", "CASE WHEN s_start >= 0 AND reason IS NULL AND v = 0 THEN s_quiet + 1 ELSE 0 END")},
+    {"reason": "CASE WHEN s_start < 0 THEN NULL WHEN v = 1 THEN CASE WHEN pos - s_start - s_quiet >= 8 THEN 'max_utt' END WHEN s_quiet + 1 >= 3 AND pos - s_start - s_quiet >= 2 THEN 'endpoint' WHEN pos - s_start - s_quiet >= 8 THEN 'max_utt_after_silence' WHEN s_quiet + 1 >= 3 THEN 'noise_gate' END", "q": "CASE WHEN v = 1 THEN 0 ELSE s_quiet + 1 END"},
+    "SELECT user_id, CASE WHEN reason = 'noise_gate' THEN 'drop_short' ELSE 'finalize' END AS kind, b_start AS start, pos - CAST(q AS BIGINT) AS stop, reason FROM r WHERE reason IS NOT NULL",
+)
+_GATES = _walked({"open": ("BIGINT", "0", "CASE change WHEN 'open' THEN 1 WHEN 'close' THEN 0 ELSE s_open END")}, {"change": "CASE WHEN s_open = 0 AND w6 >= 5 THEN 'open' WHEN s_open = 1 AND w6 <= 2 THEN 'close' END"}, "SELECT user_id, pos AS frame, change FROM r WHERE change IS NOT NULL")
+_DETECTED = _walked(
+    {
+        "start": ("BIGINT", "-1", "CASE reason WHEN 'silence' THEN -1 WHEN 'longest' THEN pos + 1 ELSE CASE WHEN s_start < 0 AND w4 >= 3 THEN greatest(s_ended, pos - 4, 0) ELSE s_start END END"),
+        "ended": ("BIGINT", "0", "CASE reason WHEN 'silence' THEN greatest(s_start + 1, least(pos - 2 + w4, pos + 1)) WHEN 'longest' THEN pos + 1 ELSE s_ended END"),
+    },
+    {"reason": "CASE WHEN s_start >= 0 AND w4 <= 1 THEN 'silence' WHEN s_start >= 0 AND pos + 1 - s_start >= 12 THEN 'longest' END"},
+    "SELECT user_id, b_start AS start, s_ended AS stop, reason FROM r WHERE reason IS NOT NULL",
+    "SELECT user_id, s_start, n, 'end' FROM r JOIN n USING (user_id) WHERE pos = n - 1 AND s_start BETWEEN 0 AND n - 1",
+)
+_SPANS = _walked(
+    {
+        "begin": ("BIGINT", "-1", "CASE WHEN p >= 0.5 AND s_begin < 0 THEN pos WHEN cut IS NOT NULL THEN -1 ELSE s_begin END"),
+        "low": ("BIGINT", "-1", "CASE WHEN p >= 0.5 OR cut IS NOT NULL THEN -1 WHEN p < 0.35 AND s_begin >= 0 AND s_low < 0 THEN pos ELSE s_low END"),
+    },
+    {"cut": "CASE WHEN p < 0.35 AND s_begin >= 0 AND s_low >= 0 AND pos - s_low >= 2 THEN s_low END"},
+    "SELECT user_id, greatest(0, b_begin - 1) AS begin, CAST(cut AS BIGINT) + 1 AS stop FROM r WHERE cut IS NOT NULL",
+    "SELECT user_id, greatest(0, s_begin - 1), n FROM r JOIN n USING (user_id) WHERE pos = n - 1 AND s_begin >= 0",
+)
+_CHUNKS = _walked(
+    {
+        "sent": ("BIGINT", "0", "CASE WHEN final IS NOT NULL THEN pos + 1 WHEN s_on = 0 AND v = 1 THEN greatest(s_sent, pos - 5) ELSE s_sent END"),
+        "on": ("BIGINT", "0", "CASE WHEN final = 1 THEN 0 WHEN v = 1 THEN 1 ELSE s_on END"),
+        "low": ("BIGINT", "0", "CASE WHEN s_on = 0 OR v = 1 OR final = 1 THEN 0 ELSE s_low + 1 END"),
+    },
+    {"final": "CASE WHEN s_on = 0 THEN NULL WHEN v = 0 AND s_low + 1 >= 3 THEN 1 WHEN pos + 1 - s_sent >= 5 THEN 0 END"},
+    "SELECT user_id, b_sent AS begin, pos + 1 AS stop, final = '1' AS final FROM r WHERE final IS NOT NULL",
+    "SELECT user_id, s_sent, n, TRUE FROM r JOIN n USING (user_id) WHERE pos = n - 1 AND s_on = 1 AND s_sent < n",
+)
+_COMMANDED = _walked(
+    {"begin": ("BIGINT", "0", "CASE WHEN reason IS NULL THEN s_begin ELSE pos + 1 END")},
+    {"reason": "CASE WHEN c THEN 'command' WHEN pos + 1 - s_begin >= 40 THEN 'longest' END"},
+    "SELECT user_id, b_begin AS begin, pos + 1 AS stop, reason FROM r WHERE reason IS NOT NULL",
+)
+
+ORDER = ["us", "event_id"]
+
+
+def _in_batch(t: Tables, machine: Machine, flush: bool = True) -> DataFrame:
+    return run_batch(_voiced(t.events), "user_id", ORDER, machine, flush)
+
+
+def _in_stream(t: Tables, machine: Machine, name: str) -> DataFrame:
+    s = _voiced(runs.stream_table(t.spark, t.sf_dir, "events"))
+    return runs.run_to_table(run_stream(s, "user_id", ORDER, machine), name)
+
+
+@query(_ENDPOINTS)
 def stm_endpointing(t: Tables) -> DataFrame:
     """Utterances that quiet or length ends, by a stateful stream."""
-    s = runs.stream_table(t.spark, t.sf_dir, "events").select("user_id", "ts", (F.col("value") > 30).alias("voiced"))
-    return runs.run_to_table(sessions.endpoint_stream(s, "user_id", "ts", "voiced", RULE), "endpoints")
+    return _in_stream(t, sessions.endpointing(RULE), "endpoints")
 
 
-@query()
+@query(_ENDPOINTS)
 def stm_endpointing_batch(t: Tables) -> DataFrame:
     """The same in one batch."""
-    rows = t.events.select("user_id", "ts", (F.col("value") > 30).alias("voiced"))
-    return sessions.endpoint_events(rows, "user_id", "ts", "voiced", RULE)
+    return _in_batch(t, sessions.endpointing(RULE))
 
 
-@query()
+GATE = sessions.Gate(6, 5, 2)
+
+
+@query(_GATES)
 def stm_hysteresis(t: Tables) -> DataFrame:
     """Gates that a share of voiced frames opens and a smaller one closes."""
-    rows = t.events.select("user_id", "ts", (F.col("value") > 30).alias("voiced"))
-    return sessions.hysteresis_events(rows, "user_id", "ts", "voiced", sessions.Gate(6, 5, 2))
+    return _in_batch(t, sessions.gating(GATE))
+
+
+@query(_GATES)
+def stm_hysteresis_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream."""
+    return _in_stream(t, sessions.gating(GATE), "gates")
+
+
+DETECTOR = sessions.Detector(width=4, to_speech=3, to_silence=1, back=1, ahead=1, longest=12)
+
+
+@query(_DETECTED)
+def stm_detector(t: Tables) -> DataFrame:
+    """Segments of speech with what lies before and after them, cut at the longest length."""
+    return _in_batch(t, sessions.detecting(DETECTOR))
+
+
+@query(_DETECTED.split(" UNION ALL SELECT user_id, s_start")[0])
+def stm_detector_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream; a segment that is open gives nothing until its session ends."""
+    return _in_stream(t, sessions.detecting(DETECTOR), "detected")
+
+
+THRESHOLD = sessions.Threshold(0.5, 0.35, 2, 1)
+
+
+@query(_SPANS)
+def stm_threshold_gate(t: Tables) -> DataFrame:
+    """Spans of speech by two thresholds and a pause."""
+    return _in_batch(t, sessions.thresholding(THRESHOLD))
+
+
+@query(_SPANS.split(" UNION ALL SELECT user_id, greatest")[0])
+def stm_threshold_gate_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream."""
+    return _in_stream(t, sessions.thresholding(THRESHOLD), "spans")
+
+
+@query(_CHUNKS)
+def stm_voice_controller(t: Tables) -> DataFrame:
+    """Chunks that a controller hands on while there is speech, from five frames before it."""
+    return _in_batch(t, sessions.controlling(lookback=5, quiet=3))
+
+
+@query(_COMMANDED)
+def stm_client_endpoints(t: Tables) -> DataFrame:
+    """Utterances that the client's commands end, by a stateful stream."""
+    return _in_stream(t, sessions.commanded(longest=40), "commanded")
+
+
+@query(
+    """WITH m AS (SELECT user_id, row_number() OVER w - 1 AS pos, event_type = 'purchase' AS stop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    c AS (SELECT user_id, pos + 1 AS stop, coalesce(lag(pos + 1) OVER (PARTITION BY user_id ORDER BY pos), 0) AS begin FROM m WHERE stop),
+    l AS (SELECT user_id, max(pos) + 1 AS n, coalesce(max(CASE WHEN stop THEN pos + 1 END), 0) AS begin FROM m GROUP BY user_id)
+    SELECT user_id, begin, stop, 'command' AS reason FROM c UNION ALL SELECT user_id, begin, n, 'end' FROM l WHERE begin < n"""
+)
+def stm_client_endpoints_batch(t: Tables) -> DataFrame:
+    """Utterances that the client's commands or the session's end close."""
+    return _in_batch(t, sessions.commanded(longest=1 << 40))
+
+
+@query("SELECT event_id, CASE WHEN value * 100 < 480 THEN 0 ELSE 1 + CAST(floor((value * 100 - 480) / 960) AS BIGINT) END AS decodes, CASE WHEN value * 100 < 480 THEN NULL ELSE 480 + 960 * CAST(floor((value * 100 - 480) / 960) AS BIGINT) END AS last_at FROM events")
+def stm_decode_cadence(t: Tables) -> DataFrame:
+    """Decodes of an utterance: the first after 480 ms, then one a chunk."""
+    ms = F.col("value") * 100
+    steps = F.floor((ms - 480) / 960)
+    return t.events.select("event_id", F.when(ms < 480, F.lit(0)).otherwise(1 + steps).cast("long").alias("decodes"), F.when(ms >= 480, 480 + 960 * steps).cast("long").alias("last_at"))
+
+
+def _partials(t: Tables) -> DataFrame:
+    """Growing partial texts of each turn: eight words more each time, the last word still cut short."""
+    w = t.conversations.select("conv_id", "turn", F.split(T.squeeze(F.col("text")), " ").alias("w"))
+    ends = F.sequence(F.lit(8), F.greatest(F.size("w") + 7, F.lit(8)), F.lit(8))
+    p = w.select("conv_id", "turn", "w", F.posexplode(ends).alias("n", "end"))
+    cut = F.transform(F.slice("w", F.lit(1), F.col("end")), lambda x, i: F.when((i == F.col("end") - 1) & (F.col("end") < F.size("w")), F.left(x, F.lit(1))).otherwise(x))
+    return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("talk"), "n", cut.alias("words"))
+
+
+@query()
+def stm_stable_words(t: Tables) -> DataFrame:
+    """Words of growing partial texts, at the partial that makes them final: two in a row agree up to there."""
+    return run_batch(_partials(t), "talk", ["n"], sessions.committing(2))
+
+
+@query()
+def stm_confirmed_prefix(t: Tables) -> DataFrame:
+    """What two hypotheses in a row agree on is confirmed; a buffer over 24 words drops its oldest confirmed ones."""
+    return run_batch(_partials(t), "talk", ["n"], sessions.confirming(24))
+
+
+@query()
+def stm_online_speakers(t: Tables) -> DataFrame:
+    """Speakers told apart as vectors come."""
+    e = t.embeddings.select(F.floor(F.col("vec_id") / 125).alias("session"), F.col("vec_id").alias("name"), F.col("embedding").alias("vector"))
+    rows = run_batch(e.withColumn("at", F.col("name")), "session", ["at"], sessions.tracking(least=0.2))
+    return rows.select("session", F.col("name").alias("vec_id"), "speaker")
+
+
+@query()
+def stm_online_speakers_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream."""
+    e = runs.stream_table(t.spark, t.sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 125).alias("session"), F.col("vec_id").alias("name"), F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("vector"))
+    out = runs.run_to_table(run_stream(e, "session", ["at"], sessions.tracking(least=0.2)), "speakers")
+    return out.select("session", F.col("name").alias("vec_id"), "speaker")
 
 
 @query(
     r"""WITH w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS a, string_split(trim(regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '\s+', ' ', 'g')), ' ') AS b FROM conversations),
-    e AS (SELECT conv_id, turn, list_transform(list_zip(list_transform(a, lambda x: left(x, 1)), list_transform(b, lambda x: left(x, 1))), lambda z: coalesce(z[1] = z[2], FALSE)) AS same FROM w WHERE b IS NOT NULL)
+    e AS (SELECT conv_id, turn, list_transform(list_zip(a, list_concat(a[1:turn + 2], b)), lambda z: coalesce(z[1] = z[2], FALSE)) AS same FROM w WHERE b IS NOT NULL)
     SELECT conv_id, turn, coalesce(nullif(list_position(same, FALSE), 0) - 1, len(same)) AS n_common FROM e"""
 )
 def stm_common_prefix(t: Tables) -> DataFrame:
-    """How many leading words (by first letter) two successive texts share: what may be committed."""
+    """How many leading words two successive partial texts share: what may be committed.
+
+    The later partial keeps the first words of a turn and goes on with the next turn's.
+    """
     w = W.partitionBy("conv_id").orderBy("turn")
-    first = lambda c: F.transform(F.split(T.squeeze(c), " "), lambda x: F.left(x, F.lit(1)))
-    p = t.conversations.select("conv_id", "turn", first(F.col("text")).alias("a"), first(F.lead("text").over(w)).alias("b")).where("b IS NOT NULL")
+    words = lambda c: F.split(T.squeeze(c), " ")
+    p = t.conversations.select("conv_id", "turn", words(F.col("text")).alias("a"), words(F.lead("text").over(w)).alias("next")).where("next IS NOT NULL")
+    p = p.select("conv_id", "turn", "a", F.concat(F.slice("a", F.lit(1), (F.col("turn") + 2).cast("int")), "next").alias("b"))
     same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
     at = F.array_position(same, F.lit(False))
     return p.select("conv_id", "turn", F.when(at > 0, at - 1).otherwise(F.size(same)).cast("long").alias("n_common"))

@@ -82,12 +82,14 @@ def sup_script_predicates(t: Tables) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?。！？]+)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents)
-    SELECT doc_id, len(l) AS n_sentences, l[1] AS first_sentence, list_aggregate(list_filter(l, lambda x: NOT regexp_matches(lower(x), '(?:^|\s)(?:idiot|thththth|er er)')), 'string_agg', ' ') AS clean FROM s"""
+    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text || CASE WHEN doc_id %% 7 = 0 THEN '. Thank you, thank you. It was a box  dog! Done.' ELSE '' END, '([.!?。！？]+)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents)
+    SELECT doc_id, len(l) AS n_sentences, l[1] AS first_sentence, list_aggregate(list_filter(l, lambda x: NOT regexp_matches(lower(x), '%s')), 'string_agg', ' ') AS clean FROM s"""
+    % "|".join(T.MADE_UP).replace("'", "''")
 )
 def flt_drop_sentences(t: Tables) -> DataFrame:
-    s = T.sentences(F.col("text"))
-    clean = T.drop_sentences(F.col("text"), r"(?:^|\s)(?:idiot|thththth|er er)")
+    said = F.concat("text", F.when(F.col("doc_id") % 7 == 0, ". Thank you, thank you. It was a box  dog! Done.").otherwise(""))
+    s = T.sentences(said)
+    clean = T.drop_sentences(said, "|".join(T.MADE_UP))
     return t.documents.select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.get(s, F.lit(0)).alias("first_sentence"), F.when(clean != "", clean).alias("clean"))
 
 

@@ -24,6 +24,19 @@ def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.withColumns({"prompt": F.coalesce("prompt", F.lit("<ASR>")), "source_len": F.coalesce("source_len", F.lit(1).cast("long")), "target_len": F.coalesce("target_len", F.lit(0).cast("long"))})
 
 
+def refresh_lengths(rows: DataFrame, lengths: dict[str, Column]) -> DataFrame:
+    """The manifest with lengths measured anew, by column; other columns stay."""
+    return rows.withColumns({c: x.cast("long") for c, x in lengths.items()})
+
+
+EXPERIMENT = {"final": "run string, text string", "events": "run string, at double, text string", "snapshots": "run string, at double, text string", "meta": "run string, seed long"}
+
+
+def experiments(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of all experiments below a folder, one JSON object a line: final texts, timed words, snapshots, settings."""
+    return {part: spark.read.schema(schema).json(f"{path}/{part}") for part, schema in EXPERIMENT.items()}
+
+
 def manifest_from_lists(spark: SparkSession, list_path: str) -> DataFrame:
     """The manifests that a text file names, a path a line. The list is short: one row for each file."""
     paths = [r.value.strip() for r in spark.read.text(list_path).where(F.trim("value") != "").collect()]

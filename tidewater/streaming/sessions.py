@@ -1,13 +1,11 @@
-"""Stateful session operators. Each is a pure step over (state, frame), shared by the batch and the stream form."""
+"""The state machines of speech sessions. Each is a pure step; `machines` runs them over batches and streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from tidewater.streaming.machines import Machine, fold
 
 
 class Rule(NamedTuple):
@@ -48,46 +46,19 @@ def endpoint_step(s: Utterance, voiced: bool, rule: Rule) -> tuple[Utterance, tu
     return after, ("drop_short" if reason == "noise_gate" else "finalize", s.start, s.pos - quiet, reason)
 
 
-def endpoints(frames: Iterable[bool], rule: Rule, state: Utterance = Utterance()) -> tuple[list[tuple], Utterance]:
-    out = []
-    for voiced in frames:
-        state, event = endpoint_step(state, bool(voiced), rule)
-        if event:
-            out.append(event)
-    return out, state
-
-
-_EVENTS = ["kind", "start", "stop", "reason"]
-
+def endpointing(rule: Rule) -> Machine:
+    """Utterances of a stream of voiced frames."""
 
-def endpoint_events(df: DataFrame, session: str, order: str, voiced: str, rule: Rule) -> DataFrame:
-    """Batch form: events of every session."""
-    kind = df.schema[session].dataType.simpleString()
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        after, event = endpoint_step(Utterance(*state), bool(row[0]), rule)
+        return tuple(after), [event] if event else []
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        found, _ = endpoints(own.sort_values(order)[voiced], rule)
-        got = pd.DataFrame(found, columns=_EVENTS).astype({"start": "int64", "stop": "int64"})
-        got.insert(0, session, own[session].iloc[0])
-        return got
+    return Machine(("voiced",), "start long, quiet long, pos long", tuple(Utterance()), "kind string, start long, stop long, reason string", step)
 
-    return df.select(session, order, voiced).groupBy(session).applyInPandas(run, f"{session} {kind}, kind string, start long, stop long, reason string")
 
-
-def endpoint_stream(df: DataFrame, session: str, order: str, voiced: str, rule: Rule) -> DataFrame:
-    """Stream form: three numbers of state a session, kept across batches. Frames of a session come in order."""
-    kind = df.schema[session].dataType.simpleString()
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = Utterance(*state.get) if state.exists else Utterance()
-        found, now = endpoints(pd.concat(batches).sort_values(order)[voiced], rule, now)
-        state.update(tuple(now))
-        if found:
-            got = pd.DataFrame(found, columns=_EVENTS).astype({"start": "int64", "stop": "int64"})
-            got.insert(0, session, key[0])
-            yield got
-
-    rows = df.select(session, order, voiced).groupBy(session)
-    return rows.applyInPandasWithState(run, f"{session} {kind}, kind string, start long, stop long, reason string", "start long, quiet long, pos long", "append", GroupStateTimeout.NoTimeout)
+def endpoints(frames: Iterable[bool], rule: Rule, state: Utterance = Utterance()) -> tuple[list[tuple], Utterance]:
+    out, now = fold(endpointing(rule), ((f,) for f in frames), tuple(state))
+    return out, Utterance(*now)
 
 
 class Gate(NamedTuple):
@@ -98,42 +69,62 @@ class Gate(NamedTuple):
     closes: int
 
 
-def hysteresis(voiced: Iterable[bool], gate: Gate) -> list[tuple[int, str]]:
+def gating(gate: Gate) -> Machine:
     """(frame, change) where the count of voiced frames in the trailing window opens or closes the gate."""
-    window, total, open_, out = [0] * gate.width, 0, False, []
-    for n, v in enumerate(voiced):
-        total += int(bool(v)) - window[n % gate.width]
-        window[n % gate.width] = int(bool(v))
-        if not open_ and total >= gate.opens:
-            open_ = True
-            out.append((n, "open"))
-        elif open_ and total <= gate.closes:
-            open_ = False
-            out.append((n, "close"))
-    return out
+    mask = (1 << gate.width) - 1
 
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        window, open_, pos = state
+        window = (window << 1 | bool(row[0])) & mask
+        total = window.bit_count()
+        change = "open" if not open_ and total >= gate.opens else "close" if open_ and total <= gate.closes else ""
+        return (window, open_ != bool(change), pos + 1), [(pos, change)] if change else []
 
-def hysteresis_events(df: DataFrame, session: str, order: str, voiced: str, gate: Gate) -> DataFrame:
-    kind = df.schema[session].dataType.simpleString()
+    return Machine(("voiced",), "window long, open boolean, pos long", (0, False, 0), "frame long, change string", step)
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        got = pd.DataFrame(hysteresis(own.sort_values(order)[voiced], gate), columns=["frame", "change"]).astype({"frame": "int64"})
-        got.insert(0, session, own[session].iloc[0])
-        return got
 
-    return df.select(session, order, voiced).groupBy(session).applyInPandas(run, f"{session} {kind}, frame long, change string")
+def hysteresis(voiced: Iterable[bool], gate: Gate) -> list[tuple[int, str]]:
+    return fold(gating(gate), ((v,) for v in voiced))[0]
 
 
-def commit_stable(partials: Iterable[list[str]], repeats: int = 2) -> list[tuple[int, str]]:
-    """(partial, word) at which each word becomes final: once `repeats` partials in a row agree on it and all before it."""
-    done, last, seen, out = 0, [], [], []
-    for n, words in enumerate(partials):
-        seen = [s + 1 if k < len(last) and w == last[k] else 1 for k, (w, s) in enumerate(zip(words, [*seen, *[0] * len(words)]))]
-        while done < len(words) and seen[done] >= repeats:
-            out.append((n, words[done]))
-            done += 1
-        last = words
-    return out
+class Detector(NamedTuple):
+    """Frames of the window and how many of them must be voiced to start or end speech; frames added before and after; the most frames of a segment."""
+
+    width: int
+    to_speech: int
+    to_silence: int
+    back: int
+    ahead: int
+    longest: int
+
+
+def detecting(rule: Detector) -> Machine:
+    """Segments of speech: (start, stop, reason), each once its end is known.
+
+    Speech starts where enough frames of the window are voiced, `back` frames before that window but never inside
+    the segment before; it ends where too few are, `ahead` frames later, or at the longest length.
+    """
+    mask = (1 << rule.width) - 1
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        window, start, ended, pos = state
+        window = (window << 1 | bool(row[0])) & mask
+        total, out = window.bit_count(), []
+        if start < 0 and total >= rule.to_speech:
+            start = max(ended, pos + 1 - rule.width - rule.back, 0)
+        elif start >= 0 and total <= rule.to_silence:
+            ended = max(start + 1, min(pos + 1 - rule.width + total + rule.ahead, pos + 1))
+            out, start = [(start, ended, "silence")], -1
+        if start >= 0 and pos + 1 - start >= rule.longest:
+            ended = pos + 1
+            out, start = [*out, (start, ended, "longest")], ended
+        return (window, start, ended, pos + 1), out
+
+    def finish(state: tuple) -> list[tuple]:
+        _, start, _, pos = state
+        return [(start, pos, "end")] if 0 <= start < pos else []
+
+    return Machine(("voiced",), "window long, start long, ended long, pos long", (0, -1, 0, 0), "start long, stop long, reason string", step, finish)
 
 
 class Threshold(NamedTuple):
@@ -145,40 +136,137 @@ class Threshold(NamedTuple):
     pad: int
 
 
-def threshold_spans(chances: Iterable[float], rule: Threshold) -> list[tuple[int, int]]:
+def thresholding(rule: Threshold) -> Machine:
     """Spans of speech: begun at a frame of chance start, ended where the chance stays below stop for long enough."""
-    out, begin, low, n = [], None, None, -1
-    for n, p in enumerate(chances):
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begin, low, pos = state
+        p, out = row[0], []
         if p >= rule.start:
-            low = None
-            begin = n if begin is None else begin
-        elif p < rule.stop and begin is not None:
-            low = n if low is None else low
-            if n - low >= rule.quiet:
-                out.append((max(0, begin - rule.pad), low + rule.pad))
-                begin = low = None
-    if begin is not None:
-        out.append((max(0, begin - rule.pad), n + 1))
-    return out
+            begin, low = (pos if begin < 0 else begin), -1
+        elif p < rule.stop and begin >= 0:
+            low = pos if low < 0 else low
+            if pos - low >= rule.quiet:
+                out = [(max(0, begin - rule.pad), low + rule.pad)]
+                begin = low = -1
+        return (begin, low, pos + 1), out
 
+    def finish(state: tuple) -> list[tuple]:
+        begin, _, pos = state
+        return [(max(0, begin - rule.pad), pos)] if begin >= 0 else []
 
-def online_speakers(vectors: Iterable, least: float = 0.5, keep: float = 0.8, most: int = 16) -> list[int]:
+    return Machine(("chance",), "begin long, low long, pos long", (-1, -1, 0), "begin long, stop long", step, finish)
+
+
+def threshold_spans(chances: Iterable[float], rule: Threshold) -> list[tuple[int, int]]:
+    machine = thresholding(rule)
+    out, state = fold(machine, ((p,) for p in chances))
+    return out + machine.finish(state)
+
+
+def controlling(lookback: int, quiet: int) -> Machine:
+    """What a voice-activity controller hands on: (begin, stop, final) chunks of frames.
+
+    Speech begins with up to `lookback` frames from before it, none of which was handed on; while it lasts, every
+    `lookback` frames are one chunk; after `quiet` quiet frames the last chunk is final.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        sent, speaking, low, pos = state
+        voiced = bool(row[0])
+        pos += 1
+        if not speaking:
+            if voiced:
+                return (max(sent, pos - 1 - lookback), True, 0, pos), []
+            return (sent, False, 0, pos), []
+        low = 0 if voiced else low + 1
+        if low >= quiet:
+            return (pos, False, 0, pos), [(sent, pos, True)]
+        if pos - sent >= lookback:
+            return (pos, True, low, pos), [(sent, pos, False)]
+        return (sent, True, low, pos), []
+
+    def finish(state: tuple) -> list[tuple]:
+        sent, speaking, _, pos = state
+        return [(sent, pos, True)] if speaking and sent < pos else []
+
+    return Machine(("voiced",), "sent long, speaking boolean, low long, pos long", (0, False, 0, 0), "begin long, stop long, final boolean", step, finish)
+
+
+def committing(repeats: int = 2) -> Machine:
+    """(partial, word) at which each word becomes final: once `repeats` partials in a row agree on it and all before it."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        n, done, last, seen = state
+        words, out = list(row[0]), []
+        seen = [s + 1 if k < len(last) and w == last[k] else 1 for k, (w, s) in enumerate(zip(words, [*seen, *[0] * len(words)]))]
+        while done < len(words) and seen[done] >= repeats:
+            out.append((n, words[done]))
+            done += 1
+        return (n + 1, done, words, seen), out
+
+    return Machine(("words",), "n long, done long, last array<string>, seen array<long>", (0, 0, [], []), "partial long, word string", step)
+
+
+def commit_stable(partials: Iterable[list[str]], repeats: int = 2) -> list[tuple[int, str]]:
+    return fold(committing(repeats), ((p,) for p in partials))[0]
+
+
+def confirming(most: int) -> Machine:
+    """What two hypotheses in a row agree on is confirmed; (hypothesis, confirmed words, words trimmed) of each that confirms or trims.
+
+    A hypothesis covers the words of the buffer, which drops its oldest confirmed ones beyond `most`.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        n, sure, last = state
+        words, common = list(row[0]), sure
+        while common < min(len(words), len(last)) and words[common] == last[common]:
+            common += 1
+        new = words[sure:common]
+        cut = max(0, min(common, len(words) - most))
+        return (n + 1, common - cut, words[cut:]), [(n, " ".join(new), cut)] if new or cut else []
+
+    return Machine(("words",), "n long, sure long, last array<string>", (0, 0, []), "hypothesis long, confirmed string, trimmed long", step)
+
+
+def commanded(longest: int) -> Machine:
+    """Utterances that the client ends: (begin, stop, reason) at each command, or at the longest length."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begin, pos = state
+        pos += 1
+        reason = "command" if row[0] else "longest" if pos - begin >= longest else ""
+        return (pos if reason else begin, pos), [(begin, pos, reason)] if reason else []
+
+    def finish(state: tuple) -> list[tuple]:
+        return [(*state, "end")] if state[0] < state[1] else []
+
+    return Machine(("command",), "begin long, pos long", (0, 0), "begin long, stop long, reason string", step, finish)
+
+
+def tracking(least: float = 0.5, keep: float = 0.8, most: int = 16) -> Machine:
     """A speaker number for each vector as it comes: the most alike centre if it is alike enough, else a new one.
 
     Centres move by an exponential mean; once `most` are there, the most alike is taken whatever its likeness.
     """
     import numpy as np
 
-    centres, out = [], []
-    for v in vectors:
-        v = np.asarray(v, float)
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        centres, (name, vector) = list(state[0]), row
+        v = np.asarray(vector, float)
         v = v / max(np.linalg.norm(v), 1e-12)
-        likeness = [float(c @ v) / max(np.linalg.norm(c), 1e-12) for c in centres]
+        likeness = [float(np.asarray(c) @ v) / max(float(np.linalg.norm(c)), 1e-12) for c in centres]
         k = int(np.argmax(likeness)) if likeness else -1
         if k < 0 or (likeness[k] < least and len(centres) < most):
-            centres.append(v)
+            centres.append(v.tolist())
             k = len(centres) - 1
         else:
-            centres[k] = keep * centres[k] + (1 - keep) * v
-        out.append(k)
-    return out
+            centres[k] = (keep * np.asarray(centres[k]) + (1 - keep) * v).tolist()
+        return (centres,), [(name, k)]
+
+    return Machine(("name", "vector"), "centres array<array<double>>", ([],), "name long, speaker long", step)
+
+
+def online_speakers(vectors: Iterable, least: float = 0.5, keep: float = 0.8, most: int = 16) -> list[int]:
+    return [k for _, k in fold(tracking(least, keep, most), ((n, v) for n, v in enumerate(vectors)))[0]]
