@@ -12,12 +12,13 @@ from tidewater.functions.times import micros
 from tidewater.operators import alignment as A
 from tidewater.operators import manifest as M
 from tidewater.operators import sequences as Q
-from tidewater.operators import series as S
 from tidewater.plans.base import Tables, query
 from tidewater.plans.relational_queries import turn_pairs
 from tidewater.plans.text_queries import NORM, TOKENS
 from tidewater.sources import readers, writers
 from tidewater.sources.scratch import new_path
+from tidewater.streaming import sessions
+from tidewater.streaming.machines import run_batch
 
 
 @query("SELECT 'u' || CAST(doc_id AS VARCHAR) AS key, source, text AS target, '<ASR>' AS prompt, n_chars AS source_len, 0 AS target_len, lang AS text_language FROM documents")
@@ -355,8 +356,11 @@ def sup_leaderboard_by_mean(t: Tables) -> DataFrame:
     return M.positions(g, ["score", "user_id"], F.floor("score"), "place").withColumn("place", F.col("place") + 1)
 
 
-@query()
+@query(
+    """WITH RECURSIVE m AS (SELECT user_id, epoch_us(ts) AS us FROM events), r AS (SELECT user_id, min(us) AS mark FROM m GROUP BY user_id UNION ALL
+    SELECT user_id, mark FROM (SELECT r.user_id, min(m.us) AS mark FROM r JOIN m ON m.user_id = r.user_id AND m.us > r.mark + 21600000000 GROUP BY r.user_id, r.mark)) SELECT user_id, mark FROM r"""
+)
 def win_kept_marks(t: Tables) -> DataFrame:
     """Marks of each user that lie over six hours after the last kept."""
-    g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list((micros("ts") / F.lit(1e6)).cast("double"))).alias("s"))
-    return g.select("user_id", S.spaced(F.col("s"), 21600.0).alias("kept"))
+    rows = t.events.select("user_id", micros("ts").alias("us")).withColumn("at", F.col("us"))
+    return run_batch(rows, "user_id", ["us"], sessions.keeping(21_600_000_000)).select("user_id", "mark")

@@ -225,10 +225,16 @@ def str_grammar_completion(t: Tables) -> DataFrame:
     return out.select("event_id", "g.text", "g.fixes")
 
 
-@query(r"SELECT doc_id, upper(replace(replace(text, 'WETHER', 'WEATHER'), 'wether', 'weather')) = upper(text) AS same, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents")
+_SAID = "text || ' arnav wether ' || source || ' visability whether alcimber'"
+
+
+@query(
+    rf"""SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(upper({NORM.format(_SAID)}), 'ARNAV', 'RNAV'), 'VISABILITY', 'VISIBILITY'), 'WETHER', 'WEATHER'), 'WHETHER', 'WEATHER'), 'ALCIMBER', 'ALTIMETER'), '\s+', ' ', 'g')) AS fixed FROM documents"""
+)
 def str_phrase_rules(t: Tables) -> DataFrame:
-    same = T.apply_phrases(F.col("text")) == T.squeeze(F.upper("text"))
-    return t.documents.select("doc_id", same.alias("same"), (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    """Misspelt broadcast words put right, one rule after another."""
+    said = F.concat("text", F.lit(" arnav wether "), "source", F.lit(" visability whether alcimber"))
+    return t.documents.select("doc_id", T.apply_phrases(T.norm_text(said)).alias("fixed"))
 
 
 @query(

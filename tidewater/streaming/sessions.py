@@ -245,6 +245,18 @@ def commanded(longest: int) -> Machine:
     return Machine(("command",), "begin long, pos long", (0, 0), "begin long, stop long, reason string", step, finish)
 
 
+def keeping(gap: int) -> Machine:
+    """Marks that lie over `gap` after the last one kept."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begun, last = state
+        if begun and row[0] - last <= gap:
+            return state, []
+        return (True, row[0]), [(row[0],)]
+
+    return Machine(("at",), "begun boolean, last long", (False, 0), "mark long", step)
+
+
 def tracking(least: float = 0.5, keep: float = 0.8, most: int = 16) -> Machine:
     """A speaker number for each vector as it comes: the most alike centre if it is alike enough, else a new one.
 
