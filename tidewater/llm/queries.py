@@ -78,6 +78,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.word_runs import digests, find_runs
+
+    return digests(find_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_interleaved_shards,
         op9_minhash_near_dedup,
         op10_mix_sources,
+        op13_word_runs,
     )
 }
 
