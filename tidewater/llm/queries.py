@@ -78,6 +78,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.token_alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.word_runs import digests, find_runs
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_interleaved_shards,
         op9_minhash_near_dedup,
         op10_mix_sources,
+        op11_token_alignment,
         op13_word_runs,
     )
 }
