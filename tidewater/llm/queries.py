@@ -84,6 +84,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.word_runs import digests, find_runs
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_near_dedup,
         op10_mix_sources,
         op11_token_alignment,
+        op12_html_extraction,
         op13_word_runs,
     )
 }
