@@ -114,3 +114,9 @@ def test_first_side_equals_the_library():
     own = token_alignment.ByteLevel(token_alignment.default_paths()[0])
     want = [libraries()[0].encode(t, add_special_tokens=False).ids for t in texts]
     assert own.encode(texts) == want == [own.encode_cut(t) for t in texts]
+
+
+def test_second_side_equals_the_library():
+    texts = ["a b  c", " lead", "trail ", "ü ▁ x", "one\ntwo three\n\nfour", "", "the the\tthe", "x" * 500 + " y", "Ж 中文 \x00 é"]
+    own = token_alignment.Pieces(token_alignment.default_paths()[1])
+    assert own.by_word and own.encode(texts) == [libraries()[1].encode(t) for t in texts] == own.encode(texts)

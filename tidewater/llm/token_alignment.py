@@ -36,6 +36,8 @@ ROW_PAIRS = 1 << 16
 SECOND_IDS = 1 << 24
 #: Runs of white space of this length are long.
 LONG_SPACE = 10_000
+#: Words that a worker remembers, and the longest of them.
+WORDS, WORD_LENGTH = 200_000, 64
 MARK = "\N{LOWER ONE EIGHTH BLOCK}"
 
 
@@ -95,19 +97,51 @@ class ByteLevel:
 
 
 class Pieces:
-    """Ids of texts by a SentencePiece model."""
+    """Ids of texts by a SentencePiece model.
+
+    Where texts are not normalised and no piece crosses from one word into the next, the pieces of a text whose words stand one space apart
+    are those of its words, which are remembered; other texts go to the library whole.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model, self.known = sentencepiece.SentencePieceProcessor(model_file=path), {}
         self.bytes = []
         for k in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(k)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(k) else piece.replace(MARK, " ").encode())
+        spec = proto.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        normal, trainer = spec.normalizer_spec, spec.trainer_spec
+        plain = not normal.precompiled_charsmap and not normal.remove_extra_whitespaces and normal.escape_whitespaces and normal.add_dummy_prefix and not trainer.treat_whitespace_as_suffix
+        self.by_word = plain and not any(MARK in p.piece.lstrip(MARK) for p in spec.pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
+        cut = [t.split(" ") if self.by_word and t and MARK not in t else None for t in texts]
+        # an empty word is a second space, or one at an end
+        cut = [None if own is None or "" in own else own for own in cut]
+        misses = list({w for own in cut if own for w in own if w not in known})
+        for w, ids in zip(misses, self.model.encode(misses, num_threads=1)):
+            known[w] = ids
+        out = []
+        for t, own in zip(texts, cut):
+            if own is None:
+                out.append(self.model.encode(t))
+            else:
+                ids: list[int] = []
+                for w in own:
+                    ids += known[w]
+                out.append(ids)
+        for w in misses:
+            if len(w) > WORD_LENGTH:
+                del known[w]
+        return out
 
 
 class Overlaps:
