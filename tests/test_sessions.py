@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.plans.registry import QUERIES
+from tidewater.plans.stream_queries import QUIET, _voiced
 from tidewater.streaming import machines, runs, sessions
 
 SF = "/root/testdata/sf0.001"
@@ -91,44 +95,93 @@ def test_batch_equals_plain_loops(spark, name):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
-def test_late_rows_are_dropped_and_batches_join(spark, tmp_path):
-    """Two files, so two micro-batches; a row of the second that comes before the first's last is dropped."""
-    machine = sessions.endpointing(sessions.Rule(2, 1, 9))
-    frames = [1, 1, 0, 0, 1, 0, 0, 1]
-    rows = [(1, n, bool(v)) for n, v in enumerate(frames)]
-    for k, part in enumerate((rows[:3], [*rows[3:], (1, 0, False)])):
-        spark.createDataFrame(part, "s long, at long, voiced boolean").coalesce(1).write.parquet(str(tmp_path / f"{k}.parquet"))
-    stream = spark.readStream.schema("s long, at long, voiced boolean").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
-    got = runs.run_to_table(machines.run_stream(stream, "s", ["at"], machine), "late").collect()
-    want, _ = machines.fold(machine, [(v,) for v in frames])
-    assert sorted(map(tuple, got)) == sorted((1, *o) for o in want)
+def write_files(df, path, files, seed):
+    """df's rows dealt to files at random, the files in a random order of time."""
+    r = random.Random(seed)
+    rows = [tuple(x) for x in df.collect()]
+    r.shuffle(rows)
+    for k in range(files):
+        df.sparkSession.createDataFrame(rows[k::files], df.schema).coalesce(1).write.mode("append").parquet(str(path))
+    names = sorted(path.glob("part-*"))
+    r.shuffle(names)
+    for k, f in enumerate(names):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+STREAMS = [
+    ("stm_endpointing_batch", "stm_endpointing"),
+    ("stm_hysteresis", "stm_hysteresis_stream"),
+    ("stm_detector", "stm_detector_stream"),
+    ("stm_threshold_gate", "stm_threshold_gate_stream"),
+    ("stm_commanded_batch", "stm_client_endpoints"),
+    ("stm_online_speakers", "stm_online_speakers_stream"),
+]
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """The tables of the streams as eight files that cut across all sessions."""
+    folder = tmp_path_factory.mktemp("shuffled")
+    for name in ("events", "embeddings"):
+        write_files(spark.read.parquet(f"{SF}/{name}.parquet"), folder / f"{name}.parquet", 8, 3)
+    return str(folder)
+
+
+@pytest.mark.parametrize("batch, stream", STREAMS)
+def test_streams_equal_batches_however_the_table_is_cut(spark, shuffled, batch, stream):
+    if batch in QUERIES:
+        want = QUERIES[batch](spark, SF).collect()
+    else:
+        events = _voiced(spark.read.parquet(f"{SF}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))))
+        want = machines.run_batch(events, "user_id", ["us", "event_id"], sessions.commanded(longest=40), quiet=QUIET).collect()
+    want = sorted(map(str, want))
+    assert want and sorted(map(str, QUERIES[stream](spark, shuffled).collect())) == want
+    assert sorted(map(str, QUERIES[stream](spark, SF).collect())) == want
+
+
+FRAMES = "s long, us long, chance double, at timestamp"
+
+
+def frames_stream(spark, tmp_path, parts, lateness):
+    """A stream of one file for each part, in that order, of (session, second, chance)."""
+    for k, part in enumerate(parts):
+        folder = tmp_path / "frames.parquet"
+        old = set(folder.glob("part-*"))
+        spark.createDataFrame([(s, (1000 + sec) * 1_000_000, p) for s, sec, p in part], "s long, t long, chance double").coalesce(1).write.mode("append").parquet(str(folder))
+        for f in set(folder.glob("part-*")) - old:
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    return runs.session_stream(spark, str(tmp_path), "frames", F.col("t"), lambda d: d.select("s", "us", "chance"), files_at_once=1, lateness=lateness)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """The watermark stands 10 s behind the latest row; what comes behind it is left out and counted, what comes before is put in its place."""
+    machine = sessions.thresholding(sessions.Threshold(0.5, 0.35, 2, 0))
+    parts = [[(1, 0, 0.9), (1, 30, 0.1)], [(1, 31, 0.1)], [(1, 5, 0.1), (1, 25, 0.9), (1, 32, 0.9)], [(1, 60, 0.9)]]
+    source = frames_stream(spark, tmp_path, parts, 10_000_000)
+    got = runs.run_sessions(source, "s", ["us"], machine, 10**9, "late")
+    frames = [0.9, 0.9, 0.1, 0.1, 0.9, 0.9]
+    want = sessions.threshold_spans(frames, sessions.Threshold(0.5, 0.35, 2, 0))
+    assert got.late_rows == 1 and sorted((r.begin, r.stop) for r in got.table.collect()) == sorted(want)
 
 
-def test_quiet_sessions_end(spark, tmp_path):
-    """A span that is open is given once its session has been quiet for long enough."""
+def test_quiet_sessions_end_and_leave_no_state(spark, tmp_path):
+    """Event time alone ends a session; a later row begins a new one; nothing is left in the state."""
+    machine = sessions.thresholding(sessions.Threshold(0.5, 0.35, 2, 0))
+    parts = [[(1, 0, 0.1), (1, 1, 0.9), (2, 1, 0.9)], [(1, 100, 0.9), (2, 3, 0.9)], [(2, 200, 0.9)], [(None, 7, 0.9)]]
+    source = frames_stream(spark, tmp_path, parts, 200_000_000)
+    state = str(tmp_path / "state")
+    stream = machines.run_stream(source.rows, "s", ["us"], machine, 50_000_000, runs.END)
+    for _ in range(2):
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        source.end()
+    got = sorted((r.s or 0, r.begin, r.stop) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 0, 1), (1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 0, 2)]
+    assert spark.read.format("statestore").load(state).count() == 0
+
+
+def test_batches_begin_sessions_after_quiet(spark):
+    rows = spark.createDataFrame([(1, 0, 0.9), (1, 5, 0.9), (1, 20, 0.9), (2, 21, 0.9), (2, None, 0.9)], "s long, us long, chance double")
     machine = sessions.thresholding(sessions.Threshold(0.5, 0.35, 2, 0))
-    spark.createDataFrame([(1, n, p) for n, p in enumerate([0.1, 0.9, 0.9])], "s long, at long, chance double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("s long, at long, chance double").parquet(str(tmp_path / "in"))
-    out = machines.run_stream(stream, "s", ["at"], machine, timeout_ms=1000)
-    query = out.writeStream.format("memory").queryName("quiet_sessions").trigger(processingTime="500 milliseconds").start()
-    try:
-        for _ in range(60):
-            if rows := spark.table("quiet_sessions").collect():
-                break
-            query.awaitTermination(1)
-        assert [tuple(r) for r in rows] == [(1, 1, 3)]
-    finally:
-        query.stop()
-
-
-@pytest.mark.parametrize("batch, stream", [("stm_endpointing_batch", "stm_endpointing"), ("stm_hysteresis", "stm_hysteresis_stream"), ("stm_online_speakers", "stm_online_speakers_stream")])
-def test_streams_equal_batches(spark, batch, stream):
-    a, b = (sorted(map(str, QUERIES[n](spark, SF).collect())) for n in (batch, stream))
-    assert a and a == b
-
-
-@pytest.mark.parametrize("batch, stream", [("stm_detector", "stm_detector_stream"), ("stm_threshold_gate", "stm_threshold_gate_stream")])
-def test_streams_lack_only_what_is_open(spark, batch, stream):
-    a, b = (set(map(str, QUERIES[n](spark, SF).collect())) for n in (batch, stream))
-    users = QUERIES[batch](spark, SF).select("user_id").distinct().count()
-    assert b <= a and len(a - b) <= users
+    got = machines.run_batch(rows, "s", ["us"], machine, quiet=10).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1), (1, 0, 2), (2, 0, 1)]
+    assert len(machines.run_batch(rows, "s", ["us"], machine).collect()) == 2

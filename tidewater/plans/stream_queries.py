@@ -56,15 +56,20 @@ def stm_deduplicate(t: Tables) -> DataFrame:
     return runs.run_to_table(s.dropDuplicatesWithinWatermark(["event_type", "user_id"]).select("event_type", "user_id"), "dedup")
 
 
+#: A session ends after a day of quiet.
+QUIET = 86_400_000_000
+
+
 def _voiced(events: DataFrame) -> DataFrame:
-    """Events as frames of their users' sessions, in the order of time and id."""
-    return events.select("user_id", micros("ts").alias("us"), "event_id", (F.col("value") > 30).alias("voiced"), F.least(F.col("value") / 100, F.lit(1.0)).alias("chance"), (F.col("event_type") == "purchase").alias("command"))
+    """Events (with their time us) as frames of their users' sessions, in the order of time and id."""
+    return events.select("user_id", "us", "event_id", (F.col("value") > 30).alias("voiced"), F.least(F.col("value") / 100, F.lit(1.0)).alias("chance"), (F.col("event_type") == "purchase").alias("command"))
 
 
-#: The frames in SQL: w counts the voiced ones of the last four and six.
-_FRAMES = """f AS (SELECT user_id, row_number() OVER w - 1 AS pos, CASE WHEN value > 30 THEN 1 ELSE 0 END AS v, least(value / 100, 1.0) AS p, event_type = 'purchase' AS c,
-    sum(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS w4, sum(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w6
-    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"""
+#: The frames in SQL: u is a user's session, w4 and w6 count the voiced ones of its last four and six.
+_FRAMES = """g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN value > 30 THEN 1 ELSE 0 END AS v, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 86400000000 THEN 0 ELSE 1 END AS new FROM events)),
+    f AS (SELECT user_id, user_id * 100000 + s AS u, row_number() OVER w - 1 AS pos, v, value, least(value / 100, 1.0) AS p, event_type = 'purchase' AS c, event_type,
+    sum(v) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS w4, sum(v) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w6
+    FROM g WINDOW w AS (PARTITION BY user_id, s ORDER BY ts, event_id)), n AS (SELECT u, count(*) AS n FROM f GROUP BY u)"""
 
 
 def _walked(state: dict[str, tuple[str, str, str]], made: dict[str, str], out: str, rest: str = "") -> str:
@@ -78,8 +83,8 @@ def _walked(state: dict[str, tuple[str, str, str]], made: dict[str, str], out: s
     kept = ", ".join(f"b_{c}" for c in state)
     none = ", ".join(f"CAST(NULL AS BIGINT) AS b_{c}" for c in state)
     ends = f" UNION ALL {rest}" if rest else ""
-    return f"""WITH RECURSIVE {_FRAMES}, r AS (SELECT DISTINCT user_id, -1::BIGINT AS pos, {start}, {none}, {', '.join(f"CAST(NULL AS VARCHAR) AS {c}" for c in made)} FROM events UNION ALL
-    SELECT user_id, pos, {new}, {kept}, {', '.join(f"CAST({c} AS VARCHAR) AS {c}" for c in made)} FROM (SELECT *, {before} FROM (SELECT *, {made_now} FROM (SELECT f.*, {columns} FROM r JOIN f ON f.user_id = r.user_id AND f.pos = r.pos + 1))))
+    return f"""WITH RECURSIVE {_FRAMES}, r AS (SELECT DISTINCT u, user_id, -1::BIGINT AS pos, {start}, {none}, {', '.join(f"CAST(NULL AS VARCHAR) AS {c}" for c in made)} FROM f UNION ALL
+    SELECT u, user_id, pos, {new}, {kept}, {', '.join(f"CAST({c} AS VARCHAR) AS {c}" for c in made)} FROM (SELECT *, {before} FROM (SELECT *, {made_now} FROM (SELECT f.*, {columns} FROM r JOIN f ON f.u = r.u AND f.pos = r.pos + 1))))
     {out}{ends}"""
 
 
@@ -96,7 +101,7 @@ _DETECTED = _walked(
     },
     {"reason": "CASE WHEN s_start >= 0 AND w4 <= 1 THEN 'silence' WHEN s_start >= 0 AND pos + 1 - s_start >= 12 THEN 'longest' END"},
     "SELECT user_id, b_start AS start, s_ended AS stop, reason FROM r WHERE reason IS NOT NULL",
-    "SELECT user_id, s_start, n, 'end' FROM r JOIN n USING (user_id) WHERE pos = n - 1 AND s_start BETWEEN 0 AND n - 1",
+    "SELECT user_id, s_start, n, 'end' FROM r JOIN n USING (u) WHERE pos = n - 1 AND s_start BETWEEN 0 AND n - 1",
 )
 _SPANS = _walked(
     {
@@ -105,7 +110,7 @@ _SPANS = _walked(
     },
     {"cut": "CASE WHEN p < 0.35 AND s_begin >= 0 AND s_low >= 0 AND pos - s_low >= 2 THEN s_low END"},
     "SELECT user_id, greatest(0, b_begin - 1) AS begin, CAST(cut AS BIGINT) + 1 AS stop FROM r WHERE cut IS NOT NULL",
-    "SELECT user_id, greatest(0, s_begin - 1), n FROM r JOIN n USING (user_id) WHERE pos = n - 1 AND s_begin >= 0",
+    "SELECT user_id, greatest(0, s_begin - 1), n FROM r JOIN n USING (u) WHERE pos = n - 1 AND s_begin >= 0",
 )
 _CHUNKS = _walked(
     {
@@ -115,24 +120,25 @@ _CHUNKS = _walked(
     },
     {"final": "CASE WHEN s_on = 0 THEN NULL WHEN v = 0 AND s_low + 1 >= 3 THEN 1 WHEN pos + 1 - s_sent >= 5 THEN 0 END"},
     "SELECT user_id, b_sent AS begin, pos + 1 AS stop, final = '1' AS final FROM r WHERE final IS NOT NULL",
-    "SELECT user_id, s_sent, n, TRUE FROM r JOIN n USING (user_id) WHERE pos = n - 1 AND s_on = 1 AND s_sent < n",
+    "SELECT user_id, s_sent, n, TRUE FROM r JOIN n USING (u) WHERE pos = n - 1 AND s_on = 1 AND s_sent < n",
 )
 _COMMANDED = _walked(
     {"begin": ("BIGINT", "0", "CASE WHEN reason IS NULL THEN s_begin ELSE pos + 1 END")},
     {"reason": "CASE WHEN c THEN 'command' WHEN pos + 1 - s_begin >= 40 THEN 'longest' END"},
     "SELECT user_id, b_begin AS begin, pos + 1 AS stop, reason FROM r WHERE reason IS NOT NULL",
+    "SELECT user_id, s_begin, n, 'end' FROM r JOIN n USING (u) WHERE pos = n - 1 AND s_begin < n",
 )
 
 ORDER = ["us", "event_id"]
 
 
 def _in_batch(t: Tables, machine: Machine, flush: bool = True) -> DataFrame:
-    return run_batch(_voiced(t.events), "user_id", ORDER, machine, flush)
+    return run_batch(_voiced(t.events.withColumn("us", micros("ts"))), "user_id", ORDER, machine, flush, QUIET)
 
 
 def _in_stream(t: Tables, machine: Machine, name: str) -> DataFrame:
-    s = _voiced(runs.stream_table(t.spark, t.sf_dir, "events"))
-    return runs.run_to_table(run_stream(s, "user_id", ORDER, machine), name)
+    source = runs.session_stream(t.spark, t.sf_dir, "events", micros("ts"), _voiced)
+    return runs.run_sessions(source, "user_id", ORDER, machine, QUIET, name).table
 
 
 @query(_ENDPOINTS)
@@ -171,9 +177,9 @@ def stm_detector(t: Tables) -> DataFrame:
     return _in_batch(t, sessions.detecting(DETECTOR))
 
 
-@query(_DETECTED.split(" UNION ALL SELECT user_id, s_start")[0])
+@query(_DETECTED)
 def stm_detector_stream(t: Tables) -> DataFrame:
-    """The same by a stateful stream; a segment that is open gives nothing until its session ends."""
+    """The same by a stateful stream."""
     return _in_stream(t, sessions.detecting(DETECTOR), "detected")
 
 
@@ -186,7 +192,7 @@ def stm_threshold_gate(t: Tables) -> DataFrame:
     return _in_batch(t, sessions.thresholding(THRESHOLD))
 
 
-@query(_SPANS.split(" UNION ALL SELECT user_id, greatest")[0])
+@query(_SPANS)
 def stm_threshold_gate_stream(t: Tables) -> DataFrame:
     """The same by a stateful stream."""
     return _in_stream(t, sessions.thresholding(THRESHOLD), "spans")
@@ -205,9 +211,8 @@ def stm_client_endpoints(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT user_id, row_number() OVER w - 1 AS pos, event_type = 'purchase' AS stop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    c AS (SELECT user_id, pos + 1 AS stop, coalesce(lag(pos + 1) OVER (PARTITION BY user_id ORDER BY pos), 0) AS begin FROM m WHERE stop),
-    l AS (SELECT user_id, max(pos) + 1 AS n, coalesce(max(CASE WHEN stop THEN pos + 1 END), 0) AS begin FROM m GROUP BY user_id)
+    f"""WITH {_FRAMES}, c AS (SELECT u, user_id, pos + 1 AS stop, coalesce(lag(pos + 1) OVER (PARTITION BY u ORDER BY pos), 0) AS begin FROM f WHERE c),
+    l AS (SELECT u, user_id, max(pos) + 1 AS n, coalesce(max(CASE WHEN c THEN pos + 1 END), 0) AS begin FROM f GROUP BY u, user_id)
     SELECT user_id, begin, stop, 'command' AS reason FROM c UNION ALL SELECT user_id, begin, n, 'end' FROM l WHERE begin < n"""
 )
 def stm_client_endpoints_batch(t: Tables) -> DataFrame:
@@ -254,9 +259,11 @@ def stm_online_speakers(t: Tables) -> DataFrame:
 
 @query()
 def stm_online_speakers_stream(t: Tables) -> DataFrame:
-    """The same by a stateful stream."""
-    e = runs.stream_table(t.spark, t.sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 125).alias("session"), F.col("vec_id").alias("name"), F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("vector"))
-    out = runs.run_to_table(run_stream(e, "session", ["at"], sessions.tracking(least=0.2)), "speakers")
+    """The same by a stateful stream; vectors come a second apart, the first after a second."""
+    second = (F.col("vec_id") + 1) * 1_000_000
+    shape = lambda e: e.select(F.floor(F.col("vec_id") / 125).alias("session"), "us", F.col("vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("vector"))
+    source = runs.session_stream(t.spark, t.sf_dir, "embeddings", second, shape)
+    out = runs.run_sessions(source, "session", ["us"], sessions.tracking(least=0.2), QUIET, "speakers").table
     return out.select("session", F.col("name").alias("vec_id"), "speaker")
 
 
