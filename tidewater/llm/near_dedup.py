@@ -7,34 +7,37 @@ then are correlated in a way that lowers the variance of the estimate, and each
 sets with a chance equal to their Jaccard similarity.
 
 Bands of slots give bucket keys. Equal sets are one class first, so copies meet only once. A bucket never emits its
-pairs: each member is paired with the bucket's smallest id; pairs that pass a wide margin on the signatures
-are confirmed on the full sets; union-find by label propagation with pointer jumping merges the linked. Then the
-buckets that still hold several components are gone through:
-- members that agree with one of another component up to the margin stay, by signature only, and a forest of such
-  agreements, as long as its members, tells which of them form a cluster;
-- the members of a cluster come together once, with their full sets; all pairs of two components are tested exactly
-  inside the task, by the product of the matrix of members and elements with itself, and only the links that join two
-  components leave it.
+pairs: each member is paired with the bucket's smallest id; pairs that pass a wide margin on the signatures make clusters, by label
+propagation with pointer jumping. Texts then move, packed, to where they are compared; sets are made there, of a text's words,
+and never stored or shuffled:
+- the members of a cluster come together once, and all their pairs are tested exactly inside the task, first with the smallest
+  id, then, where several components are left, by the product of the matrix of members and elements with itself. Only links that
+  join two components leave the task. Clusters of over BLOCK_ROWS members or BLOCK_ELEMENTS elements come in blocks, each with
+  the cluster's smallest id.
+- then the buckets are gone through that still hold several components and members that have not met. Members that agree
+  with such a one up to the margin stay, by signature only; a forest of such agreements, as long as its members, tells which
+  form a cluster, and these are tested the same way.
 So what is emitted, candidates and links, grows with the members and not with their pairs, and no pair is left out.
 
-A cluster of over BLOCK_ROWS members or BLOCK_ELEMENTS elements is tested bucket by bucket instead. Buckets beyond these
-sizes are dealt out in blocks by a hash of id and bucket, and each block meets itself and each other block once; this
-is the only step that costs a bucket's square over the block.
+A cluster of this second kind that is over these sizes is tested bucket by bucket instead. Buckets beyond them are dealt out in
+blocks by a hash of id and bucket, and each block meets itself and each other block once; this is the only step that costs
+a bucket's square over the block.
 
 Missed links: at similarity s a pair shares no bucket with chance (1 - s^ROWS)^BANDS, 1e-7 at 0.8, and a linked pair
 falls short of the signature margin with about the same.
 
 Cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer words than a
 shingle make one element of the whole sequence; rows without id are returned unlinked, with a null
-component; of rows that share an id the text with the smallest hash stands for that id, and all of them get its
-component (n_shingles is each row's own); an empty table gives an empty result; the input's own columns are not touched.
+component; of rows that share an id the text with the smallest hash stands for that id, never a null text or one without
+words where there is another, and all of them get its component (n_shingles is each row's own); an empty table gives an
+empty result; the input's own columns are not touched.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,6 @@ MARGIN = 0.2
 BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 21
 #: Bits a wanted document has in the filter that texts pass before they move, and the most bytes of that filter.
 FILTER_BITS, FILTER_BYTES = 16, 64 << 20
-#: Partners that share one copy of a hub's set.
-PARTNERS = 256
 #: Elements of which the matrix of a block is made at a time.
 COLUMNS = 4096
 #: What makes a task of comparisons: a bucket, a block of it, and the distance to the block that it is compared with.
@@ -81,8 +82,11 @@ class Shingler:
         self.width, self.cache, self.digest = width, {}, xxhash.xxh64_intdigest
 
     def __call__(self, text: str | None) -> np.ndarray:
+        return self.of_bytes((text or "").encode())
+
+    def of_bytes(self, text: bytes) -> np.ndarray:
         # on bytes, lower() and split() know ASCII only, which is the definition asked for
-        tokens = (text or "").encode().lower().split()
+        tokens = text.lower().split()
         if not tokens:
             return np.zeros(0, np.uint64)
         cache = self.cache
@@ -127,44 +131,31 @@ def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return signature
 
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    parts = signature[: bands * rows].reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
-    for k in range(rows):
-        key = mix(key ^ parts[:, k])
-    return key.view(np.int64)
-
-
 def signatures(docs: DataFrame, width: int, id_column: str, text: str) -> DataFrame:
-    """_id, _n (size of the set), _d (digest of the set), _t (hash of the text), _sig (16 bits a slot), _keys."""
+    """_id, _n (size of the set), _d (digest of the set), _t (hash of the text), _sig (16 bits a slot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingle = Shingler(width)
         for batch in batches:
-            n, digest, sig, keys = [], [], [], []
+            n, digest, sig = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle(t)
                 n.append(len(s))
-                if len(s):
-                    full = superminhash(s)
-                    digest.append(xxhash.xxh128_digest(s.tobytes()))
-                    sig.append(mix(full).astype(np.uint16).tobytes())
-                    keys.append(band_keys(full, BANDS, ROWS))
-                else:
-                    digest.append(None)
-                    sig.append(None)
-                    keys.append(np.zeros(0, np.int64))
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), batch.column(2), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["_id", "_n", "_d", "_t", "_sig", "_keys"],
-            )
+                digest.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                sig.append(mix(superminhash(s)).astype(np.uint16).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), batch.column(2), pa.array(sig, pa.binary())], names=["_id", "_n", "_d", "_t", "_sig"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
-    return rows.mapInArrow(run, "_id long, _n long, _d binary, _t long, _sig binary, _keys array<long>")
+    return rows.mapInArrow(run, "_id long, _n long, _d binary, _t long, _sig binary")
+
+
+def banded(reps: DataFrame) -> DataFrame:
+    """id, _n and key for each band of a representative: the hash of the band's number and slots."""
+    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("_band")
+    slots = F.substring("_sig", F.col("_band") * 2 * ROWS + 1, F.lit(2 * ROWS))
+    return reps.select(F.col("_id").alias("id"), "_n", "_sig", band).select("id", "_n", F.xxhash64("_band", slots).alias("key"))
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
@@ -201,60 +192,51 @@ def within(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return passed.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*rows.columns)
 
 
-class Sets:
-    """Full sets of representatives, made from the texts when first asked for and kept in the shared folder."""
+class Texts:
+    """Texts of representatives, brought packed to the tasks that compare them."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, width: int, id_column: str, text: str):
-        self.rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
-        self.reps, self.width, self.known, self.made = reps, width, None, []
+        self.rows = docs.where(F.col(text).isNotNull()).select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
+        self.reps, self.width = reps, width
 
-    def of(self, ids: DataFrame) -> DataFrame:
-        """_id and _set of at least the ids."""
-        new = ids if self.known is None else ids.join(self.known, "_id", "left_anti")
-        width = self.width
+    def at(self, tasks: DataFrame) -> DataFrame:
+        """TASK, id and comp of the staged tasks' members, then _size and _packed: the bytes of the member's text and its packed form."""
 
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingle = Shingler(width)
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = pa.Codec("zstd", compression_level=1)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["_id", "_set"])
-
-        # the text that a representative stands for; no semi-join, which the optimizer would move below the filter
-        wanted = stage(self.reps.join(new, "_id", "left_semi").select("_id", "_t"), "wanted")
-        made = stage(within(self.rows, wanted).join(wanted, ["_id", "_t"]).select("_id", "_text").mapInArrow(make, "_id long, _set binary"), "sets")
-        discard(wanted)
-        self.made.append(made)
-        self.known = made if self.known is None else self.known.unionByName(made)
-        return self.known
+                texts = [t.encode() for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, texts)), pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], names=["_id", "_t", "_size", "_packed"])
 
+        # no semi-join, which the optimizer would move below the filter; merged, so that texts move alike at every size
+        wanted = stage(self.reps.join(tasks.select(F.col("id").alias("_id")).distinct(), "_id", "left_semi").select("_id", "_t"), "wanted")
+        packed = within(self.rows, wanted).select("_id", "_t", "_text").mapInArrow(pack, "_id long, _t long, _size long, _packed binary")
+        where = tasks.join(wanted, F.col("id") == F.col("_id")).select(*TASK, "id", "comp", "_t").hint("merge")
+        return packed.join(where, (F.col("_id") == F.col("id")) & (packed["_t"] == where["_t"])).select(*TASK, "id", "comp", "_size", "_packed")
 
-def confirmed(pairs: DataFrame, sets: Sets, threshold: int) -> DataFrame:
-    """Those of the staged pairs (a, b) whose full sets reach the threshold (in hundredths).
+    def links(self, tasks: DataFrame, threshold: int) -> DataFrame:
+        """Links (a, b), staged, that join components of the members of each of the staged tasks (TASK, id, comp)."""
+        width = self.width
 
-    Pairs are dealt by a in groups of about PARTNERS; the set of a goes to each group once.
-    """
-    known = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+        def link(own: pa.RecordBatch, shingle: Shingler) -> pa.RecordBatch | None:
+            ids, comp = own.column(3).to_numpy(), own.column(4).to_numpy()
+            # rows come by id; one that is there twice counts once
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            ids, comp = ids[first], comp[first]
+            codec = pa.Codec("zstd")
+            sizes, packed = own.column(5), own.column(6)
+            sets = [shingle.of_bytes(codec.decompress(packed[k].as_buffer(), sizes[k].as_py(), asbytes=True)) for k in first.tolist()]
+            found = block_links(comp, sets, threshold)
+            if not found:
+                return None
+            x, y = (ids[[p[k] for p in found]] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        def work() -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+            shingle = Shingler(width)
+            return lambda own: link(own, shingle)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for hub, partner, ids, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                if not partner:
-                    first = own
-                    continue
-                common = len(np.intersect1d(first, own, assume_unique=True))
-                if 100 * common >= threshold * (len(first) + len(own) - common):
-                    a.append(hub)
-                    b.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups"))
-    columns = ["a", "salt", "partner", "_id", "_set"]
-    partners = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("salt"), F.lit(True).alias("partner"), F.col("b").alias("_id")).join(known, "_id")
-    hubs = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("partner"), F.col("a").alias("_id")).join(known, "_id")
-    rows = hubs.select(columns).unionByName(partners.select(columns)).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
-    return rows.mapInArrow(test, "a long, b long").distinct()
+        return stage(_walk(self.at(tasks), work, "a long, b long").distinct(), "links")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -277,13 +259,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None, threshold: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which members agree up to the margin with one of another component (and block, if two blocks are compared), and
-    a forest of the pairs of components that such members join; the largest components come first in it."""
+def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None, met: np.ndarray, threshold: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which members agree up to the margin with one of another component (and block, if two blocks are compared) that they have
+    not met (met: rows of two numbers, alike for members that have), and a forest of the pairs of components that such members
+    join; the largest components come first in it."""
     need = max(1, math.floor((threshold / 100 - MARGIN) * SLOTS))
     _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
     order = np.argsort(-sizes[which], kind="stable")
-    comp, n, sig, side = comp[order], n[order], sig[order], None if side is None else side[order]
+    comp, n, sig, met, side = comp[order], n[order], sig[order], met[order], None if side is None else side[order]
     slots, m = np.ascontiguousarray(sig.T), len(n)
     found, label, forest = np.zeros(m, bool), comp.copy(), []
     for start in range(0, m, 128):
@@ -292,6 +275,7 @@ def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.nda
         for slot in slots:
             same += (slot[some][:, None] == slot[None, :]).view(np.uint8)
         fits = (same >= need) & (comp[some][:, None] != comp[None, :]) & (np.minimum(n[some][:, None], n[None, :]) * 100 >= np.maximum(n[some][:, None], n[None, :]) * threshold)
+        fits &= (met[some][:, None] != met[None, :]).any(2)
         if side is not None:
             fits &= side[some][:, None] != side[None, :]
         some_fit = fits.any(1)
@@ -309,6 +293,20 @@ def alike_members(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.nda
 def block_links(comp: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     """Pairs of members whose sets reach the threshold, as many as join the components that such pairs join."""
     m, n = len(sets), np.array([len(x) for x in sets])
+    label, out = comp.copy(), []
+
+    def join(i: int, others: np.ndarray) -> None:
+        others = others[label[others] != label[i]]
+        while len(others):
+            out.append((i, int(others[0])))
+            label[label == label[others[0]]] = label[i]
+            others = others[label[others] != label[i]]
+
+    # the first member with all others
+    common = np.array([len(np.intersect1d(sets[0], x, assume_unique=True)) if c != label[0] else 0 for x, c in zip(sets, label)])
+    join(0, np.flatnonzero((100 * common >= threshold * (n[0] + n - common)) & (common > 0)))
+    if (label == label[0]).all():
+        return out
     elements, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # what one member alone has is in no intersection
     shared = np.cumsum(count > 1) - 1
@@ -316,28 +314,24 @@ def block_links(comp: np.ndarray, sets: list[np.ndarray], threshold: int) -> lis
     column, row = shared[at][keep], np.repeat(np.arange(m), n)[keep]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    common = np.zeros((m, m), np.float32)
+    common = np.zeros((m, m), np.int64)
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, (start, start + COLUMNS))
         part = np.zeros((m, COLUMNS), np.float32)
         part[row[a:b], column[a:b] - start] = 1
-        common += part @ part.T
-    label, out = comp.copy(), []
+        # exact: a product of two rows is COLUMNS at most
+        common += (part @ part.T).astype(np.int64)
     for i in range(m):
-        both = common[i].astype(np.int64)
-        others = np.flatnonzero((100 * both >= threshold * (n[i] + n - both)) & (label != label[i]))
-        while len(others):
-            out.append((i, int(others[0])))
-            label[label == label[others[0]]] = label[i]
-            others = others[label[others] != label[i]]
+        join(i, np.flatnonzero(100 * common[i] >= threshold * (n[i] + n - common[i])))
     return out
 
 
 def _walk(rows: DataFrame, work, out: str) -> DataFrame:
-    """work(columns of one task) for each task of the rows, which begin with TASK; a Spark task walks its tasks one after another."""
+    """work()(columns of one task) for each task of the rows, which begin with TASK; a Spark task walks its tasks one after another."""
     width = len(TASK)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        do = work()
         held: pa.RecordBatch | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -350,7 +344,7 @@ def _walk(rows: DataFrame, work, out: str) -> DataFrame:
             # the last task may go on in the next batch
             done = len(starts) - 1 if batch is None else len(starts) - 2
             for k in range(done):
-                got = work(held.slice(int(starts[k]), int(starts[k + 1] - starts[k])))
+                got = do(held.slice(int(starts[k]), int(starts[k + 1] - starts[k])))
                 if got is not None and got.num_rows:
                     yield got
             held = held.slice(int(starts[done]))
@@ -358,17 +352,37 @@ def _walk(rows: DataFrame, work, out: str) -> DataFrame:
     return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, out)
 
 
-def bucket_links(multi: DataFrame, reps: DataFrame, labels: DataFrame, sets: Sets, threshold: int) -> DataFrame:
-    """Links (a, b) that join components, from the tasks of the buckets that hold several of them."""
+def cluster_tasks(near: DataFrame, reps: DataFrame) -> DataFrame:
+    """TASK, id and comp (the id itself), staged: members of the clusters that the staged pairs make, in blocks, and each cluster's smallest id in all of them."""
+    clusters = connected_components(near)
+    each = clusters.select(F.col("node").alias("id"), F.col("comp").alias("key")).join(reps.select(F.col("_id").alias("id"), "_n"), "id")
+    size = each.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.least(F.sum("_n") / BLOCK_ELEMENTS, F.count(F.lit(1))))).alias("blocks"))
+    gap = F.lit(-1).cast("long")
+    dealt = each.join(size, "key").select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), gap.alias("gap"), "id", "blocks")
+    heads = dealt.where((F.col("id") == F.col("key")) & (F.col("blocks") > 1))
+    heads = heads.select("key", "id", F.col("block").alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).where("block != _own")
+    rows = dealt.select(*TASK, "id").unionByName(heads.select("key", "block", gap.alias("gap"), "id"))
+    out = stage(rows.select(*TASK, "id", F.col("id").alias("comp")), "clusters")
+    discard(clusters)
+    return out
+
+
+def bucket_links(multi: DataFrame, reps: DataFrame, labels: DataFrame, tasks: DataFrame, texts: Texts, threshold: int) -> DataFrame:
+    """Links (a, b) that join components, from the buckets that hold several of them and members that did not meet in the tasks."""
     comps = labels.select(F.col("node").alias("id"), "comp")
-    rows = _tasks(multi).join(comps, "id", "left").select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = rows.groupBy(*TASK).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*TASK)
+    met = tasks.groupBy("id").agg(F.min(F.struct("key", "block")).alias("_x")).select("id", F.col("_x.key").alias("_mk"), F.col("_x.block").alias("_mb"))
+    rows = _tasks(multi).join(comps, "id", "left").join(met, "id", "left")
+    # who met nobody is by itself
+    rows = rows.select(*TASK, "side", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("_mk", "id").alias("met"), F.coalesce("_mb", F.lit(-1)).alias("part"))
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("comp", "met", "part") for n, f in (("lo", F.min), ("hi", F.max))]
+    mixed = rows.groupBy(*TASK).agg(*bounds).where("lo_comp < hi_comp AND (lo_met < hi_met OR lo_part < hi_part)").select(*TASK)
     rows = rows.join(mixed, TASK).join(reps.select(F.col("_id").alias("id"), F.col("_n").alias("n"), "_sig"), "id")
 
     def alike(own: pa.RecordBatch) -> pa.RecordBatch | None:
-        comp, n, side = (own.column(c).to_numpy() for c in (5, 6, 4))
-        sig = np.frombuffer(b"".join(own.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS)
-        found, forest = alike_members(comp, n, sig, side if own.column(2)[0].as_py() else None, threshold)
+        side, comp, n = (own.column(c).to_numpy() for c in (4, 5, 6))
+        met = np.stack([own.column(c).to_numpy() for c in (7, 8)], 1)
+        sig = np.frombuffer(b"".join(own.column(9).to_pylist()), np.uint16).reshape(-1, SLOTS)
+        found, forest = alike_members(comp, n, sig, side if own.column(2)[0].as_py() else None, met, threshold)
         if not forest:
             return None
         # members, then pairs of components
@@ -378,7 +392,7 @@ def bucket_links(multi: DataFrame, reps: DataFrame, labels: DataFrame, sets: Set
         return pa.RecordBatch.from_arrays([*task, *rest], names=[*TASK, "id", "comp", "n"])
 
     shape = ", ".join(f"{c} long" for c in [*TASK, "id", "comp", "n"])
-    near = stage(_walk(rows.select(*TASK, "id", "side", "comp", "n", "_sig"), alike, shape), "alike")
+    near = stage(_walk(rows.select(*TASK, "id", "side", "comp", "n", "met", "part", "_sig"), lambda: alike, shape), "alike")
     # pairs of components have no size; members that agree lie in components of one cluster
     clusters = connected_components(near.where("n = 0").select(F.col("id").alias("a"), F.col("comp").alias("b")))
     members = near.where("n > 0")
@@ -387,19 +401,9 @@ def bucket_links(multi: DataFrame, reps: DataFrame, labels: DataFrame, sets: Set
     none = F.lit(-1).cast("long")
     once = each.join(small, "cluster").select(F.col("cluster").alias("key"), none.alias("block"), none.alias("gap"), "id", "comp")
     large = each.join(small, "cluster", "left_anti").select("id")
-    tested = once.unionByName(members.join(large, "id", "left_semi").select(*TASK, "id", "comp"))
-    known = sets.of(members.select(F.col("id").alias("_id")).distinct()).withColumnRenamed("_id", "id")
-
-    def link(own: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, comp = own.column(3).to_numpy(), own.column(4).to_numpy()
-        found = block_links(comp, [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column(5)], threshold)
-        if not found:
-            return None
-        x, y = (ids[[p[k] for p in found]] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    out = stage(_walk(tested.join(known, "id").select(*TASK, "id", "comp", "_set"), link, "a long, b long").distinct(), "links")
-    discard(near, clusters)
+    tested = stage(once.unionByName(members.join(large, "id", "left_semi").select(*TASK, "id", "comp")), "tested")
+    out = texts.links(tested, threshold)
+    discard(near, clusters, tested)
     return out
 
 
@@ -413,34 +417,39 @@ def _tasks(multi: DataFrame) -> DataFrame:
     return rows.where((F.col("gap") * 2 != F.col("blocks")) | (F.col("block") < F.col("gap"))).select(*TASK, "side", "id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept of every row; threshold in hundredths."""
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, id_column: str = "doc_id", text: str = "text", marks: bool = False) -> DataFrame:
+    """id, n_shingles, component_id and kept of every row; threshold in hundredths.
+
+    With marks, also text_hash (xxhash64 of the row's text) and stands: whether the row's text is the one that stands for its id.
+    """
     prepare(docs.sparkSession)
     base = stage(signatures(docs, width, id_column, text), "signatures")
-    narrow = base.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min(F.struct("_t", "_n", "_d")).alias("_x"))
-    nodes = narrow.select("_id", "_x.*").where(F.col("_n") > 0)
+    narrow = base.where(F.col("_id").isNotNull() & (F.col("_n") > 0)).groupBy("_id").agg(F.min(F.struct("_t", "_n", "_d")).alias("_x"))
+    nodes = narrow.select("_id", "_x.*")
     # equal sets are one class, named by its smallest id
     classes = stage(nodes.groupBy("_n", "_d").agg(F.min(F.struct("_id", "_t")).alias("_x")).select("_n", "_d", F.col("_x._id").alias("_rep"), F.col("_x._t").alias("_u")), "classes")
-    own = base.join(classes.select(F.col("_rep").alias("_id"), "_u"), "_id").where(F.col("_t") == F.col("_u"))
-    reps = stage(own.select("_id", "_t", "_n", "_sig", "_keys").dropDuplicates(["_id"]), "representatives")
-    bands = reps.select(F.col("_id").alias("id"), "_n", F.explode("_keys").alias("key"))
+    own = base.join(classes.select(F.col("_rep").alias("_id"), "_u"), "_id").where((F.col("_t") == F.col("_u")) & (F.col("_n") > 0))
+    reps = stage(own.select("_id", "_t", "_n", "_sig").dropDuplicates(["_id"]), "representatives")
+    bands = banded(reps)
     buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c"), F.sum("_n").alias("e")).where("c > 1")
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.least(F.col("e") / BLOCK_ELEMENTS, F.col("c"))))
     multi = stage(bands.join(buckets, "key").select("key", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id", "hub"), "buckets")
     pairs = multi.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near, sets = stage(_alike(pairs, reps, threshold), "alike"), Sets(docs, reps, width, id_column, text)
-    links = stage(confirmed(near, sets, threshold), "links")
+    near, texts = stage(_alike(pairs, reps, threshold), "alike"), Texts(docs, reps, width, id_column, text)
+    tasks = cluster_tasks(near, reps)
     discard(near)
+    links = texts.links(tasks, threshold)
     labels = connected_components(links)
-    found = bucket_links(multi, reps, labels, sets, threshold)
+    found = bucket_links(multi, reps, labels, tasks, texts, threshold)
     if not found.isEmpty():
         discard(labels)
         labels = connected_components(links.unionByName(found))
-    discard(multi, *sets.made)
+    discard(multi, tasks, links, found, reps)
     # the class of each id, then the component of its class; rows of an id get what its text has
-    of = nodes.select("_id", "_n", "_d").join(classes, ["_n", "_d"]).select(F.col("_id").alias("_own"), "_rep")
-    of = of.join(labels.select(F.col("node").alias("_rep"), F.col("comp").alias("_found")), "_rep", "left").select("_own", F.coalesce("_found", "_rep").alias("_comp"))
-    rows = base.select("_id", "_n").join(of, F.col("_id") == F.col("_own"), "left").select("_id", "_n", F.coalesce("_comp", "_id").alias("_comp"))
+    of = nodes.select("_id", "_n", "_d", F.col("_t").alias("_s")).join(classes, ["_n", "_d"]).select(F.col("_id").alias("_own"), "_rep", "_s")
+    of = of.join(labels.select(F.col("node").alias("_rep"), F.col("comp").alias("_found")), "_rep", "left").select("_own", F.coalesce("_found", "_rep").alias("_comp"), "_s")
+    rows = base.select("_id", "_n", "_t").join(of, F.col("_id") == F.col("_own"), "left").select("_id", "_n", F.coalesce("_comp", "_id").alias("_comp"), "_t", F.coalesce(F.col("_t") == F.col("_s"), F.lit(False)).alias("_stands"))
     comp = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("_comp"))
     kept = F.col("_id").isNull() | (F.col("_id") == F.col("_comp"))
-    return rows.select(F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
+    more = [F.col("_t").alias("text_hash"), F.col("_stands").alias("stands")] if marks else []
+    return rows.select(F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"), *more)
