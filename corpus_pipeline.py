@@ -37,9 +37,10 @@ def drop_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id. Linked as in op9, by four-word shingles."""
-    lost = near_duplicates(docs, width=4).where(~F.col("kept")).select("doc_id").distinct()
-    # merged, not broadcast: how many documents are lost grows with the data
-    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    lost = near_duplicates(docs, width=4, marks=True).where("stands AND NOT kept").select("doc_id", F.col("text_hash").alias("_lost")).distinct()
+    # merged, not broadcast: how many documents are lost grows with the data; another text under a lost one's id stays
+    same = (docs["doc_id"] == lost["doc_id"]) & (F.xxhash64(docs["text"]) == F.col("_lost"))
+    return docs.join(lost.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
