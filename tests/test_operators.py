@@ -77,11 +77,6 @@ def test_text_functions(spark):
     assert column(spark, ["ARNAV VISABILITY WETHER ALCIMBER"], T.apply_phrases) == ["RNAV VISIBILITY WEATHER ALTIMETER"]
 
 
-def test_lexicon(spark):
-    fix = A.similar_word(["ALTIMETER", "ONE", "WEATHER", "VISIBILITY"])
-    assert column(spark, ["ALTITUDE THREE", "NEW", "WEATHERS 12345"], fix) == ["ALTIMETER THREE", "NEW", "WEATHER 12345"]
-
-
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -106,12 +101,6 @@ def test_chr_f():
     assert 0 < A.chr_f_score("abcd", "abxd") < 1
 
 
-def test_template_positions(spark):
-    rows = spark.createDataFrame([(1, ["ALPHA", "BRAVO", "CHARLIE"], ["ALPHA", "XRAY", "CHARLIE"])], "id int, a array<string>, b array<string>")
-    got = A.aligned_positions(rows, ["id"], "a", "b").orderBy("pos").collect()
-    assert [(r.pos, r.token, r.other_token, r.equal) for r in got] == [(0, "ALPHA", "ALPHA", True), (1, "BRAVO", "XRAY", False), (2, "CHARLIE", "CHARLIE", True)]
-
-
 def plain_merge(segments, longest, shortest):
     if len(segments) <= 1:
         return [tuple(s) for s in segments]
@@ -134,16 +123,6 @@ def test_merge_segments(spark):
     assert [[tuple(x) for x in g] for g in got] == [plain_merge(c, 15000, 100) for c in cases]
 
 
-def test_integrate_and_fire(spark):
-    r = random.Random(1)
-    case, level, want = [r.random() for _ in range(40)], 0.0, []
-    for x in case:
-        level += x
-        want.append(level)
-        level -= level >= 1.0
-    assert column(spark, [case], lambda c: S.integrate_and_fire(c, 1.0), "array<double>")[0] == pytest.approx(want)
-
-
 def test_endpoint_vectors():
     rule = sessions.Rule(silence=5, shortest=10, longest=20)
     events, _ = sessions.endpoints([1] * 5 + [0] * 30 + [1] * 25, rule)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -14,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EDITS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_ref", "cor", "sub", "ins", "del", "dist")])
-_FIELDS = {"pos": T.IntegerType(), "token": T.StringType(), "other_token": T.StringType(), "equal": T.BooleanType(), "same_size": T.BooleanType()}
-POSITIONS = T.ArrayType(T.StructType([T.StructField(c, k) for c, k in _FIELDS.items()]))
 OPCODES = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]]))
 
 
@@ -93,16 +90,29 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(POSITIONS)
-def positions_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Positions of a with what b has there, from the equal and replaced opcodes; same_size: both sides are equally long."""
+def distances_at(hyp: list[str], ref: list[str], points: list[tuple[int, int]]) -> list[int]:
+    """Edit distances of the first i words of hyp and j of ref for each of the points (i, j), i rising: one walk over the cost matrix."""
+    names = {t: k for k, t in enumerate(dict.fromkeys([*hyp, *ref]))}
+    r = np.array([names[t] for t in ref], np.int64)
+    steps, out, done = np.arange(len(ref) + 1), [], 0
+    row = steps
+    for i, j in points:
+        for h in hyp[done:i]:
+            new = np.r_[row[0] + 1, np.minimum(row[:-1] + (r != names[h]), row[1:] + 1)]
+            row = np.minimum.accumulate(new - steps) + steps
+        done = i
+        out.append(int(row[j]))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_ref", "dist")])))
+def prefix_distances(ref: pd.Series, hyp: pd.Series, sizes: pd.Series) -> pd.Series:
+    """For parts of these sizes: words of ref up to each part's end, and their distance to hyp's words up to the part before."""
     out = []
-    for x, y in zip(a, b):
-        x, y, row = list(x), list(y), []
-        for tag, a0, a1, b0, b1 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag in ("equal", "replace"):
-                row += [{"pos": i, "token": x[i], "other_token": y[j], "equal": x[i] == y[j], "same_size": a1 - a0 == b1 - b0} for i, j in zip(range(a0, a1), range(b0, b1))]
-        out.append(row)
+    for a, b, n in zip(ref, hyp, sizes):
+        ends = np.cumsum(n).tolist()
+        got = distances_at(list(b), list(a), list(zip([0, *ends[:-1]], ends)))
+        out.append([{"n_ref": e, "dist": d} for e, d in zip(ends, got)])
     return pd.Series(out)
 
 
@@ -115,11 +125,6 @@ def error_rates(pairs: DataFrame, keys: list[str], hyp: Column, ref: Column) ->
     return out.withColumn("error_rate", F.round(F.try_divide(F.col("dist") * 100.0, F.col("n_ref")), 2)).withColumn("sentence_error_rate", F.round(F.col("wrong_sentences") * 100.0 / F.col("sentences"), 2))
 
 
-def aligned_positions(rows: DataFrame, keys: list[str], base: str, other: str) -> DataFrame:
-    """(keys, pos, token, other_token, equal): positions of base with what the other sequence has there."""
-    return rows.select(*keys, F.inline(positions_of(F.col(base), F.col(other))))
-
-
 def chr_f_score(ref: str, hyp: str, longest: int = 6, beta: float = 2.0) -> float:
     """Character F-score with counts pooled over n-gram lengths; a text shorter than n is one gram."""
     overlap = n_ref = n_hyp = 0
@@ -136,40 +141,3 @@ def chr_f_score(ref: str, hyp: str, longest: int = 6, beta: float = 2.0) -> floa
 @F.pandas_udf(T.DoubleType())
 def chr_f(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([chr_f_score(a or "", b or "") for a, b in zip(ref, hyp)])
-
-
-def similar_word(vocabulary: list[str], least: float = 0.66, skip_below: int = 4):
-    """A function from a column of upper-case texts to texts whose unknown words become the most alike vocabulary word.
-
-    First letters must agree, or each be among the other's first two; ties go to the first in the alphabet.
-    """
-    words, known_words = sorted(set(vocabulary)), set(vocabulary)
-
-    def best(word: str) -> str:
-        if word in known_words or len(word) < skip_below or word.rstrip(".,?").isdigit():
-            return word
-        near = [v for v in words if v[0] == word[0] or (word[0] in v[:2] and v[0] in word[:2])]
-        found, score, match = word, 0.0, SequenceMatcher(None, "", word)
-        for v in near:
-            match.set_seq1(v)
-            # the cheap bounds pass over most words
-            if match.real_quick_ratio() > score and match.quick_ratio() > score and (own := SequenceMatcher(None, word, v).ratio()) > score:
-                found, score = v, own
-        return found if score >= least else word
-
-    @F.pandas_udf(T.StringType())
-    def fix(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, str] = {}
-        for batch in texts:
-            if len(known) > 100_000:
-                known.clear()
-            out = []
-            for t in batch:
-                parts = [] if t is None else t.split()
-                for w in parts:
-                    if w not in known:
-                        known[w] = best(w)
-                out.append(None if t is None else " ".join(known[w] for w in parts))
-            yield pd.Series(out, dtype=object)
-
-    return fix

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,16 +72,6 @@ def forced_alignment(log_probs: np.ndarray, labels: list[int], blank: int = 0) -
     return path[::-1]
 
 
-def keyword_score(log_probs: np.ndarray, keyword: list[int], blank: int = 0) -> float:
-    """The best mean log-probability per frame of a keyword over all spans of frames."""
-    best = -np.inf
-    for start, stop in itertools.combinations(range(len(log_probs) + 1), 2):
-        if stop - start >= len(keyword):
-            path = forced_alignment(log_probs[start:stop], keyword, blank)
-            best = max(best, float(np.mean([log_probs[start + t, x] for t, x in enumerate(path)])))
-    return best
-
-
 def align_sessions(df: DataFrame, session: str, order: str, vector: str, labels: list[int]) -> DataFrame:
     """The aligned label of every frame; vector holds a session's scores by label."""
 

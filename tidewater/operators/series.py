@@ -24,12 +24,6 @@ def merge_near(df: DataFrame, keys: list[str], first: str, last: str, gap: int)
     return rows.groupBy(*keys, "_g").agg(F.min(first).alias(first), F.max_by(last, first).alias(last), F.count(F.lit(1)).alias("parts")).drop("_g")
 
 
-def spaced(values: Column, gap: float) -> Column:
-    """Values of a sorted array that lie over gap after the last one kept."""
-    keep = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) > gap), F.concat(kept, F.array(x))).otherwise(kept)
-    return F.aggregate(values, F.array().cast("array<double>"), keep)
-
-
 def walked_speaker(begin: Column, end: Column, turns: Column) -> Column:
     """The speaker of a span by a walk over turns (spk, a, b) in order; 0 without any overlap.
 
@@ -63,17 +57,6 @@ def merge_segments(bounds: Column, max_length: int, min_length: int) -> Column:
     return F.when(F.size(bounds) <= 1, bounds).otherwise(done)
 
 
-def integrate_and_fire(weights: Column, threshold: float) -> Column:
-    """Running sums that lose the threshold each time they reach it; the sum before the loss is recorded."""
-    kind = "struct<level:double,out:array<double>>"
-
-    def step(s: Column, x: Column) -> Column:
-        level = s["level"] + x
-        return F.struct(F.when(level >= threshold, level - threshold).otherwise(level).alias("level"), F.concat(s["out"], F.array(level)).alias("out")).cast(kind)
-
-    return F.aggregate(weights, F.struct(F.lit(0.0).alias("level"), F.array().cast("array<double>").alias("out")).cast(kind), step)["out"]
-
-
 def best_overlap(queries: DataFrame, spans: DataFrame, cell: int, keys: list[str]) -> DataFrame:
     """For each query interval (id, begin, end) the span (span, span_begin, span_end) of its keys that it overlaps most.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.operators import alignment as A
+from tidewater.operators import fuzzy as Z
+from tidewater.operators import votes as V
 from tidewater.plans.base import Tables, query
 from tidewater.plans.relational_queries import turn_pairs
 
@@ -69,65 +71,38 @@ TURN = ("conv_id", "turn")
 
 
 def _engines(t: Tables) -> DataFrame:
-    """Three made-up engines over each turn: each garbles some of its words."""
+    """A row a turn: its words, and what three made-up engines make of them, each garbling some."""
     w = t.conversations.select(*TURN, F.split(T.squeeze(F.upper("text")), " ").alias("base"))
-    e = w.select(*TURN, "base", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("engine"))
     n = F.col("conv_id") + F.col("turn")
-    garbled = F.transform("base", lambda x, i: F.when((i * 7 + n) % 5 == F.col("engine"), F.lit("NOISE")).when((i + n) % 11 == 3, F.lit("OTHER")).otherwise(x))
-    return e.select(*TURN, "base", "engine", garbled.alias("said"))
+    garbled = lambda k: F.transform("base", lambda x, i: F.when((i * 7 + n) % 5 == k, F.lit("NOISE")).when((i + n) % 11 == 3, F.lit("OTHER")).otherwise(x))
+    return w.select(*TURN, "base", F.array(*[garbled(k) for k in range(3)]).alias("engines"))
 
 
 @query()
 def set_rover_vote(t: Tables) -> DataFrame:
     """A token gives way only to one that two or more engines agree on; ties go to the first in the alphabet."""
-    e = _engines(t)
-    votes = A.aligned_positions(e, [*TURN, "engine"], "base", "said").where("NOT equal").groupBy(*TURN, "pos", "other_token").count().where("count >= 2")
-    best = votes.groupBy(*TURN, "pos").agg(F.min_by("other_token", F.struct(-F.col("count"), F.col("other_token"))).alias("vote"))
-    base = e.where("engine = 0").select(*TURN, F.posexplode("base").alias("pos", "token"))
-    out = base.join(best, [*TURN, "pos"], "left").select(*TURN, "pos", F.coalesce("vote", "token").alias("token"), F.col("vote").isNotNull().alias("won"))
-    return out.groupBy(*TURN).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "token")))["token"], " ").alias("text"), F.count_if("won").alias("wins"))
+    return _engines(t).select(*TURN, V.rover_vote("base", "engines").alias("v")).select(*TURN, "v.text", "v.wins")
 
 
 @query()
 def set_template_fusion(t: Tables) -> DataFrame:
     """Template tokens attested by an engine stay; unattested ones give way to a token that two families agree on."""
-    e = _engines(t)
-    a = A.aligned_positions(e, [*TURN, "engine"], "base", "said").withColumn("family", F.when(F.col("engine") == 2, "second").otherwise("first"))
-    attested = a.where("equal").groupBy(*TURN, "pos").agg(F.min("engine").alias("engine"))
-    dev = a.where("NOT equal AND same_size").groupBy(*TURN, "pos", "other_token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("family").alias("families"), F.min("engine").alias("first"))
-    best = dev.groupBy(*TURN, "pos").agg(F.min_by(F.struct("other_token", "n", "families"), F.struct(-F.col("n"), F.col("first"))).alias("b"))
-    base = e.where("engine = 0").select(*TURN, F.posexplode("base").alias("pos", "token"))
-    out = base.join(attested, [*TURN, "pos"], "left").join(best, [*TURN, "pos"], "left")
-    hit = F.col("engine").isNull() & (F.col("b.n") >= 2) & (F.col("b.families") >= 2)
-    source = F.when(hit, "fuse").when(F.col("engine").isNotNull(), F.concat(F.lit("eng"), F.col("engine").cast("string"))).otherwise("tpl")
-    rows = out.select(*TURN, "pos", F.when(hit, F.col("b.other_token")).otherwise(F.col("token")).alias("token"), F.coalesce(source, F.lit("tpl")).alias("src"))
-    text = F.array_join(F.sort_array(F.collect_list(F.struct("pos", "token")))["token"], " ")
-    g = rows.groupBy(*TURN).agg(text.alias("text"), F.count_if(F.col("src") == "fuse").alias("applied"), F.count_if(F.col("src") == "tpl").alias("template_only"), F.count_if(F.col("src").startswith("eng")).alias("attested"))
-    # too little attestation rejects the fusion
-    return g.withColumn("accepted", F.col("attested") >= 0.3 * (F.col("attested") + F.col("applied") + F.col("template_only")))
+    fused = V.template_fusion(["first", "first", "second"])
+    return _engines(t).select(*TURN, fused("base", "engines").alias("v")).select(*TURN, "v.*")
 
 
 @query()
 def set_multi_pass_consensus(t: Tables) -> DataFrame:
     """Tokens of the longest pass that enough other passes repeat or none contradicts."""
-    e = _engines(t).where(F.size("base") > 0)
-    a = A.aligned_positions(e, [*TURN, "engine"], "base", "said")
-    counts = a.groupBy(*TURN, "pos").agg(F.count_if("equal").alias("votes"), F.count(F.lit(1)).alias("covered"))
-    base = e.where("engine = 0").select(*TURN, F.posexplode("base").alias("pos", "token"))
-    need = 2
-    rows = base.join(counts, [*TURN, "pos"], "left").na.fill(0).withColumn("drop", (F.col("votes") == 0) & (F.col("covered") >= need))
-    return rows.groupBy(*TURN).agg(F.array_join(F.sort_array(F.collect_list(F.when(~F.col("drop"), F.struct("pos", "token"))))["token"], " ").alias("text"), F.count_if("drop").alias("dropped"))
+    return _engines(t).where(F.size("base") > 0).select(*TURN, V.multi_pass("base", "engines").alias("v")).select(*TURN, "v.text", "v.dropped")
 
 
 @query()
 def str_lexicon_correction(t: Tables) -> DataFrame:
-    """Unknown words give way to alike words of a bounded vocabulary."""
-    k = t.benchmark.select(F.explode(F.filter(F.split(T.squeeze(F.upper("text")), " "), lambda x: F.char_length(x) >= 6)).alias("w"))
-    # the lexicon is the 200 most frequent words: a top-k list, so its size is known
-    vocabulary = [r.w for r in k.groupBy("w").count().orderBy(F.desc("count"), "w").limit(200).collect()]
-    fix = A.similar_word(vocabulary)
-    out = t.documents.select("doc_id", T.squeeze(F.upper("text")).alias("said")).withColumn("fixed", fix("said"))
-    return out.select("doc_id", "fixed", (F.col("fixed") != F.col("said")).alias("changed"))
+    """Unknown words give way to the most alike words of the whole vocabulary of the benchmark."""
+    lexicon = t.benchmark.select(F.explode(F.split(T.squeeze(F.upper("text")), " ")).alias("w")).where("w != ''")
+    said = t.documents.select("doc_id", T.squeeze(F.upper("text")).alias("said"))
+    return Z.corrected(said, "doc_id", "said", lexicon, "w")
 
 
 @query()

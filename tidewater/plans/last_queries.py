@@ -60,13 +60,13 @@ def tim_sentence_spans(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH k AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS w FROM documents), h AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS h FROM benchmark), l AS (SELECT h FROM h WHERE length(h) >= 6 AND regexp_full_match(h, '[a-z]+'))
-    SELECT doc_id, h AS hotword, count(*) AS n_like, min(w) AS first_like FROM k JOIN l ON length(w) BETWEEN length(h) - 1 AND length(h) + 1 AND left(w, 1) = left(h, 1) AND levenshtein(w, h) <= 1 GROUP BY doc_id, h"""
+    f"""WITH k AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS w FROM documents), h AS (SELECT DISTINCT unnest({TOKENS.format('text')}) AS h FROM benchmark)
+    SELECT doc_id, h AS hotword, count(*) AS n_like, min(w) AS first_like FROM k JOIN h ON length(w) BETWEEN length(h) - 1 AND length(h) + 1 AND left(w, 1) = left(h, 1) AND levenshtein(w, h) <= 1 GROUP BY doc_id, h"""
 )
 def jn_hotword_match(t: Tables) -> DataFrame:
     """Words within one edit of a hot word: distinct words meet hot words by first letter and length, then the exact distance decides."""
     k = t.documents.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
-    h = t.benchmark.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("hotword")).distinct().where(F.col("hotword").rlike("^[a-z]{6,}$"))
+    h = t.benchmark.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("hotword")).distinct()
     h = h.select("hotword", F.left("hotword", F.lit(1)).alias("a"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: d + F.char_length("hotword"))).alias("n"))
     words = k.select("w").distinct().select("w", F.left("w", F.lit(1)).alias("a"), F.char_length("w").alias("n"))
     like = words.join(h, ["a", "n"]).where(F.levenshtein("w", "hotword", 1) >= 0).select("w", "hotword")
@@ -155,14 +155,6 @@ def seg_split_by_speaker(t: Tables) -> DataFrame:
     return o.select("conv_id", "turn", "spk", "o", F.floor(F.col("n") * F.col("o") / total).alias("share"))
 
 
-@query()
-def mth_fire_times(t: Tables) -> DataFrame:
-    """Frames at which the integral of a series of weights fires."""
-    v = frames(t).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("value") / 200).alias("a"))))["a"].alias("a"))
-    fires = v.select("user_id", S.integrate_and_fire(F.col("a"), 1.0).alias("f"))
-    return fires.select("user_id", F.filter(F.transform("f", lambda x, i: F.when(x >= 1.0, i)), lambda i: i.isNotNull()).alias("fired"))
-
-
 @query(
     f"""SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS in_buffer, turn - least(turn, 3) AS oldest FROM (SELECT conv_id, turn, len({TOKENS.format('text')}) AS n FROM conversations)""",
     longs=("in_buffer",),

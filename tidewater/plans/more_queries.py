@@ -10,6 +10,7 @@ from tidewater.functions import slots, udfs
 from tidewater.functions import text as T
 from tidewater.functions.times import micros
 from tidewater.operators import alignment as A
+from tidewater.operators import keywords as K
 from tidewater.operators import manifest as M
 from tidewater.operators import sequences as Q
 from tidewater.plans.base import Tables, query
@@ -87,6 +88,47 @@ def snk_vtt(t: Tables) -> DataFrame:
     return writers.cues(rows, "conv_id", "begin", "end", "text", "vtt")
 
 
+def _timed_words(t: Tables) -> DataFrame:
+    """Words of turns, each with the space before it, in times that follow from their lengths; every third turn comes after a pause."""
+    w = F.filter(F.split(T.squeeze(F.col("text")), " "), lambda x: x != "")
+    rows = t.conversations.select("conv_id", "turn", F.posexplode(w).alias("i", "w"))
+    upto = F.sum(F.char_length("w") + 1).over(W.partitionBy("conv_id").orderBy("turn", "i"))
+    at = upto * 60 + F.floor(F.col("turn") / 3) * 4000
+    return rows.select("conv_id", "turn", "i", F.concat(F.lit(" "), "w").alias("word"), (at - F.char_length("w") * 60).cast("long").alias("begin"), at.cast("long").alias("stop"), (F.col("i") == 0).alias("first"))
+
+
+@query()
+def snk_wrapped_vtt(t: Tables) -> DataFrame:
+    """Words as cues of two lines of 42 characters; a pause of three seconds ends a cue."""
+    rows = writers.wrapped(_timed_words(t), "conv_id", ["turn", "i"], sessions.Layout(width=42, lines=2))
+    return writers.cues(rows, "conv_id", "begin", "stop", "text", "vtt")
+
+
+@query()
+def snk_highlighted_srt(t: Tables) -> DataFrame:
+    """The same with the spoken word marked, in SRT."""
+    rows = writers.wrapped(_timed_words(t), "conv_id", ["turn", "i"], sessions.Layout(width=42, lines=2, highlight=True))
+    return writers.cues(rows, "conv_id", "begin", "stop", "text", "srt")
+
+
+@query()
+def snk_wrapped_txt(t: Tables) -> DataFrame:
+    """Segments kept as cues, each on one line."""
+    rows = writers.wrapped(_timed_words(t), "conv_id", ["turn", "i"], sessions.Layout())
+    return writers.cues(rows, "conv_id", "begin", "stop", "text", "txt")
+
+
+@query()
+def mth_keyword_beam(t: Tables) -> DataFrame:
+    """A keyword of two event types in each user's frames of symbol chances, by a beam of prefixes."""
+    kinds = ("view", "click", "purchase", "signup")
+    own = F.least(F.lit(0.3) + F.col("value") / 200, F.lit(0.97))
+    chances = F.array(*[F.when(F.col("event_type") == k, own).otherwise((1 - own) / 3) for k in kinds])
+    rows = t.events.select("user_id", micros("ts").alias("us"), "event_id", chances.alias("chances"))
+    out = run_batch(rows, "user_id", ["us", "event_id"], K.keyword_search({"bought": (1, 2, 3), "clicked": (1, 1)}))
+    return out.withColumn("score", F.round("score", 9))
+
+
 @query()
 def flt_decode_quality(t: Tables) -> DataFrame:
     """Texts whose compression tells of repetition."""
@@ -187,12 +229,10 @@ def num_slot_grammar(t: Tables) -> DataFrame:
 )
 def srt_non_overlapping(t: Tables) -> DataFrame:
     """Spans taken greedily by score, then length, where no taken one overlaps."""
-    item = F.struct((-F.col("value")).alias("worse"), (-F.floor(F.col("value") * 20)).alias("shorter"), F.col("event_id"), micros("ts").alias("us"))
-    g = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
-    free = lambda taken, x: ~F.exists(taken, lambda y: (x["us"] < y["b"]) & (y["a"] < x["us"] - x["shorter"] * 60000000))
-    add = lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(F.struct(x["us"].alias("a"), (x["us"] - x["shorter"] * 60000000).alias("b"), x["event_id"].alias("id"))))).otherwise(taken)
-    taken = F.aggregate("s", F.array().cast("array<struct<a:long,b:long,id:long>>"), add)
-    return g.select("user_id", F.array_sort(F.transform(taken, lambda x: x["id"])).alias("kept"))
+    length = F.floor(F.col("value") * 20)
+    rows = t.events.select("user_id", (-F.col("value")).alias("worse"), (-length).alias("shorter"), "event_id", F.col("event_id").alias("id"), micros("ts").alias("a"), (micros("ts") + length * 60000000).alias("b"))
+    taken = run_batch(rows, "user_id", ["worse", "shorter", "event_id"], sessions.taking())
+    return taken.groupBy("user_id").agg(F.array_sort(F.collect_list("id")).alias("kept"))
 
 
 @query()
@@ -299,14 +339,6 @@ def sup_negative_sampling(t: Tables) -> DataFrame:
     return w.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(key))).where("r <= 3").drop("r")
 
 
-@query("SELECT event_id, coalesce(last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts), 'idle') AS state FROM events")
-def stm_session_commands(t: Tables) -> DataFrame:
-    """The state that the latest command put a session in."""
-    w = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    command = F.when(F.col("event_type").isin("signup", "error"), F.col("event_type"))
-    return t.events.select("event_id", F.coalesce(F.last(command, ignorenulls=True).over(w), F.lit("idle")).alias("state"))
-
-
 @query("SELECT user_id, event_id, r FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 16")
 def stm_bounded_buffer(t: Tables) -> DataFrame:
     """The newest sixteen entries of each session."""
@@ -314,25 +346,16 @@ def stm_bounded_buffer(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_id", F.row_number().over(w).cast("long").alias("r")).where("r <= 16")
 
 
-@query("SELECT event_id, CASE WHEN value * 100 <= 5000 THEN 2000 WHEN value * 100 <= 10000 THEN 1500 WHEN value * 100 <= 15000 THEN 1000 WHEN value * 100 <= 30000 THEN 800 WHEN value * 100 <= 45000 THEN 400 ELSE 100 END AS silence_ms FROM events")
-def stm_silence_schedule(t: Tables) -> DataFrame:
-    """The pause that ends an utterance shrinks as it grows."""
-    ms = F.col("value") * 100
-    pause = F.lit(100)
-    for limit, quiet in ((45000, 400), (30000, 800), (15000, 1000), (10000, 1500), (5000, 2000)):
-        pause = F.when(ms <= limit, quiet).otherwise(pause)
-    return t.events.select("event_id", pause.alias("silence_ms"))
-
-
 @query()
 def met_lag_curve(t: Tables) -> DataFrame:
-    """Distance between what was said and what was known, on a grid of moments, by conversation."""
-    toks = t.conversations.select("conv_id", F.col("turn").alias("at"), T.tokens(F.col("text")).alias("w"))
-    w = W.partitionBy("conv_id").orderBy("at")
-    so_far = lambda frame: F.flatten(F.collect_list("w").over(frame))
-    rows = toks.select("conv_id", "at", so_far(w.rowsBetween(W.unboundedPreceding, 0)).alias("ref"), so_far(w.rowsBetween(W.unboundedPreceding, -1)).alias("hyp"))
-    e = rows.where(F.size("ref") > 0).select("conv_id", "at", A.edits(F.col("hyp"), F.col("ref")).alias("e"))
-    return e.groupBy("conv_id").agg(F.round(F.avg(F.col("e.dist") / F.col("e.n_ref")), 6).alias("mean_lag"), F.count(F.lit(1)).alias("n"))
+    """Distance between what was said and what an engine had made of it a turn later, at the end of each turn of a conversation."""
+    toks = t.conversations.select("conv_id", F.col("turn"), T.tokens(F.col("text")).alias("w"))
+    said = F.transform("w", lambda x, i: F.when((i + F.col("turn")) % 7 == 3, F.lit("noise")).otherwise(x))
+    g = toks.select("conv_id", F.struct("turn", "w", said.alias("said")).alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    sizes = F.transform("x", lambda x: F.size(x["w"]))
+    e = g.select("conv_id", A.prefix_distances(F.flatten(F.transform("x", lambda x: x["w"])), F.flatten(F.transform("x", lambda x: x["said"])), sizes).alias("d"))
+    each = e.select("conv_id", F.inline("d")).where("n_ref > 0")
+    return each.groupBy("conv_id").agg(F.round(F.avg(F.col("dist") / F.col("n_ref")), 6).alias("mean_lag"), F.count(F.lit(1)).alias("n"))
 
 
 @query(

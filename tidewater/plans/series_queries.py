@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.times import micros, seconds
 from tidewater.operators import series as S
 from tidewater.plans.base import Tables, query
+from tidewater.streaming import sessions
+from tidewater.streaming.machines import run_batch
 
 FRAMES = "f AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE AS t, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
 
@@ -72,9 +74,9 @@ def win_bursts(t: Tables) -> DataFrame:
 )
 def win_min_spacing(t: Tables) -> DataFrame:
     """Marks over a day after the last one kept."""
-    f = frames(t).where("event_type = 'signup'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("us").cast("double"))).alias("u"))
-    kept = f.select("user_id", S.spaced(F.col("u"), 86400e6).alias("k"))
-    return kept.select("user_id", F.size("k").cast("long").alias("n_kept"), F.element_at("k", -1).cast("long").alias("last_us"))
+    marks = t.events.where("event_type = 'signup'").select("user_id", micros("ts").alias("us")).withColumn("at", F.col("us"))
+    kept = run_batch(marks, "user_id", ["us"], sessions.keeping(86_400_000_000))
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_kept"), F.max("mark").alias("last_us"))
 
 
 @query(
@@ -324,9 +326,37 @@ def seg_merge_speech(t: Tables) -> DataFrame:
     return g.select("conv_id", S.merge_segments(F.col("b"), 15000, 0).alias("merged"))
 
 
-@query()
+_FIRED = """f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / 200 AS a FROM events),
+    r AS (SELECT DISTINCT user_id, -1::BIGINT AS pos, 0.0::DOUBLE AS rest, 0.0::DOUBLE AS level, FALSE AS fired FROM f UNION ALL
+    SELECT user_id, pos, CASE WHEN l >= 1.0 THEN l - 1.0 ELSE l END, l, l >= 1.0 FROM (SELECT f.user_id, f.pos, r.rest + f.a AS l FROM r JOIN f ON f.user_id = r.user_id AND f.pos = r.pos + 1))"""
+
+
+def _weights(t: Tables) -> DataFrame:
+    return t.events.select("user_id", micros("ts").alias("us"), "event_id", (F.col("value") / 200).alias("weight"))
+
+
+@query(f"WITH RECURSIVE {_FIRED} SELECT user_id, pos AS frame, round(level, 9) AS level, fired FROM r WHERE pos >= 0")
 def mth_integrate_and_fire(t: Tables) -> DataFrame:
-    """Firing levels of a series of weights."""
-    v = frames(t).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("value") / 200).alias("a"))))["a"].alias("a"))
-    fires = S.integrate_and_fire(F.col("a"), 1.0)
-    return v.select("user_id", fires.alias("fires")).select("user_id", "fires", F.size(F.filter("fires", lambda x: x >= 1.0)).alias("n_fired"))
+    """Running sums of a series of weights that lose 1 each time they reach it."""
+    return run_batch(_weights(t), "user_id", ["us", "event_id"], sessions.firing(1.0)).withColumn("level", F.round("level", 9))
+
+
+@query(f"WITH RECURSIVE {_FIRED} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS nth, pos AS frame FROM r WHERE fired")
+def mth_fire_times(t: Tables) -> DataFrame:
+    """Frames at which the integral of a series of weights fires."""
+    fired = run_batch(_weights(t), "user_id", ["us", "event_id"], sessions.firing(1.0)).where("fired")
+    return fired.select("user_id", (F.row_number().over(W.partitionBy("user_id").orderBy("frame")) - 1).cast("long").alias("nth"), "frame")
+
+
+@query(
+    f"""WITH RECURSIVE {_FIRED}, n AS (SELECT user_id, count(*) AS n FROM f GROUP BY user_id), x AS (SELECT user_id, pos - 1.5 AS b, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS m, lead(pos - 1.5) OVER w AS e FROM r WHERE fired WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+    i AS (SELECT *, n - max(b) OVER (PARTITION BY user_id) > 5 AS long, (n + max(b) OVER (PARTITION BY user_id)) / 2 AS mid FROM x JOIN n USING (user_id)),
+    l AS (SELECT user_id, NULL AS token, 0.0 AS begin, CASE WHEN m > 1 THEN b WHEN long THEN mid ELSE n END AS stop FROM i WHERE k = 1 AND b > 5 UNION ALL
+    SELECT user_id, k - 1, b, CASE WHEN e - b > 12 THEN b + 12 WHEN k < m - 1 THEN e WHEN long THEN mid ELSE n END FROM i WHERE e IS NOT NULL UNION ALL
+    SELECT user_id, NULL, b + 12, CASE WHEN k < m - 1 THEN e WHEN long THEN mid ELSE n END FROM i WHERE e - b > 12 UNION ALL
+    SELECT user_id, NULL, mid, n FROM i WHERE k = 1 AND long UNION ALL SELECT user_id, NULL, 0.0, n FROM n WHERE user_id NOT IN (SELECT user_id FROM x))
+    SELECT user_id, CAST(token AS BIGINT) AS token, CAST(begin AS DOUBLE) AS begin, CAST(stop AS DOUBLE) AS stop FROM l"""
+)
+def mth_token_times(t: Tables) -> DataFrame:
+    """Tokens between fires, with silences before, between and after them; a token lasts twelve frames at most."""
+    return run_batch(_weights(t), "user_id", ["us", "event_id"], sessions.timing(1.0))

@@ -296,8 +296,85 @@ def stm_draft_and_final(t: Tables) -> DataFrame:
     return runs.run_to_table(g, "tracks", "complete").select("user_id", "n", F.when(F.col("n") > 60, "final").otherwise("draft").alias("track"))
 
 
-@query("SELECT event_type, quantile_disc(epoch_us(ts) % 1000000, 0.5) AS median_us, count(*) AS n FROM events GROUP BY event_type")
+@query(
+    """WITH q AS (SELECT user_id, event_id, epoch_us(ts) AS came, CAST(floor(value * 120000000) AS BIGINT) AS cost, sum(CAST(floor(value * 120000000) AS BIGINT)) OVER w AS upto FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    e AS (SELECT *, CAST(upto + max(came - (upto - cost)) OVER (PARTITION BY user_id ORDER BY came, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done FROM q) SELECT user_id, event_id, done AS emitted, done - came AS delay, done - cost - came AS waited FROM e"""
+)
 def stm_emission_clock(t: Tables) -> DataFrame:
-    """Where in the second events are emitted."""
-    us = (micros("ts") % 1000000).cast("long")
-    return t.events.select("event_type", us.alias("us")).groupBy("event_type").agg(F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY us) AS long)").alias("median_us"), F.count(F.lit(1)).alias("n"))
+    """When each event is emitted by one worker a user, who takes them in turn and works as long as their value says.
+
+    An event is done its cost after it came or the one before was done, whichever is later: the costs so far, and the latest
+    lead that any event so far had on the costs before it.
+    """
+    w = W.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    q = t.events.select("user_id", "event_id", micros("ts").alias("at"), F.floor(F.col("value") * 120_000_000).cast("long").alias("cost"))
+    q = q.withColumn("upto", F.sum("cost").over(w))
+    done = q.withColumn("done", F.col("upto") + F.max(F.col("at") - (F.col("upto") - F.col("cost"))).over(w))
+    return done.select("user_id", "event_id", F.col("done").alias("emitted"), (F.col("done") - F.col("at")).alias("delay"), (F.col("done") - F.col("cost") - F.col("at")).alias("waited"))
+
+
+SCHEDULE = sessions.Schedule(margin=900, follow=8, limits=(5, 10, 20), quiet=(4, 3, 2), last=1)
+_LEVEL = "CAST(floor(value * 100) AS BIGINT)"
+_ASKED = "CASE WHEN s_age + 1 <= 5 THEN 4 WHEN s_age + 1 <= 10 THEN 3 WHEN s_age + 1 <= 20 THEN 2 ELSE 1 END"
+_LOUD = f"{_LEVEL} > s_floor + 900"
+_SCHEDULED = _walked(
+    {
+        "start": ("BIGINT", "-1", f"CASE WHEN asked IS NOT NULL THEN -1 WHEN s_start < 0 AND {_LOUD} THEN pos ELSE s_start END"),
+        "low": ("BIGINT", "0", f"CASE WHEN asked IS NOT NULL OR s_start < 0 OR {_LOUD} THEN 0 ELSE s_low + 1 END"),
+        "age": ("BIGINT", "0", "CASE WHEN asked IS NOT NULL THEN 0 ELSE s_age + 1 END"),
+        "floor": ("BIGINT", str(1 << 40), f"CASE WHEN {_LOUD} THEN s_floor WHEN {_LEVEL} < s_floor THEN {_LEVEL} ELSE s_floor + ({_LEVEL} - s_floor) // 8 END"),
+    },
+    {"asked": f"CASE WHEN s_start >= 0 AND NOT {_LOUD} AND s_low + 1 >= {_ASKED} THEN {_ASKED} END"},
+    "SELECT user_id, b_start AS start, pos + 1 - (b_low + 1) AS stop, CAST(asked AS BIGINT) AS asked FROM r WHERE asked IS NOT NULL",
+    "SELECT user_id, s_start, n - s_low, 0 FROM r JOIN n USING (u) WHERE pos = n - 1 AND s_start >= 0",
+)
+
+
+def _levels(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "us", "event_id", F.floor(F.col("value") * 100).cast("long").alias("level"))
+
+
+@query(_SCHEDULED)
+def stm_silence_schedule(t: Tables) -> DataFrame:
+    """Segments over an adaptive noise floor; the quiet that ends one shrinks with the frames since the last cut."""
+    return run_batch(_levels(t.events.withColumn("us", micros("ts"))), "user_id", ORDER, sessions.scheduled(SCHEDULE), quiet=QUIET)
+
+
+@query(_SCHEDULED)
+def stm_silence_schedule_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream."""
+    source = runs.session_stream(t.spark, t.sf_dir, "events", micros("ts"), _levels)
+    return runs.run_sessions(source, "user_id", ORDER, sessions.scheduled(SCHEDULE), QUIET, "scheduled").table
+
+
+def _commands(events: DataFrame) -> DataFrame:
+    """Events as frames and commands: sign-ups start, errors stop, purchases commit, the strongest views and clicks set the language and the hot words."""
+    strong = F.col("value") > 60
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "stop").when(F.col("event_type") == "purchase", "commit").when((F.col("event_type") == "view") & strong, "language").when((F.col("event_type") == "click") & strong, "hotwords").otherwise("frame")
+    argument = F.when(strong & (F.col("event_type") == "view"), F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit(None)), (F.col("event_id") % 3 + 1).cast("int"))).when(strong & (F.col("event_type") == "click"), F.concat(F.lit("word"), (F.col("event_id") % 10).cast("string")))
+    return events.select("user_id", "us", "event_id", kind.alias("kind"), argument.alias("argument"))
+
+
+_CONTROL = """WITH RECURSIVE x AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 86400000000 THEN 0 ELSE 1 END AS new,
+    CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type = 'error' THEN 'stop' WHEN event_type = 'purchase' THEN 'commit' WHEN event_type = 'view' AND value > 60 THEN 'language' WHEN event_type = 'click' AND value > 60 THEN 'hotwords' ELSE 'frame' END AS kind FROM events),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM x),
+    f AS (SELECT user_id, user_id * 100000 + s AS u, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS pos, kind, CASE kind WHEN 'language' THEN CASE event_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END WHEN 'hotwords' THEN 'word' || CAST(event_id % 10 AS VARCHAR) END AS arg FROM g),
+    r AS (SELECT DISTINCT u, user_id, 0::BIGINT AS pos, FALSE AS listens, 0::BIGINT AS begin, 0::BIGINT AS frames, NULL::VARCHAR AS language, NULL::VARCHAR AS hotwords, NULL::VARCHAR AS kind, FALSE AS listened, 0::BIGINT AS b0, 0::BIGINT AS f0 FROM f UNION ALL
+    SELECT f.u, f.user_id, f.pos, CASE f.kind WHEN 'start' THEN TRUE WHEN 'stop' THEN FALSE ELSE listens END,
+    CASE WHEN f.kind = 'start' THEN 0 WHEN f.kind IN ('commit', 'stop') THEN frames ELSE begin END, CASE WHEN f.kind = 'start' THEN 0 WHEN f.kind = 'frame' AND listens THEN frames + 1 ELSE frames END,
+    CASE WHEN f.kind = 'language' THEN arg ELSE language END, CASE WHEN f.kind = 'hotwords' THEN arg ELSE hotwords END, f.kind, listens, begin, frames FROM r JOIN f ON f.u = r.u AND f.pos = r.pos + 1)
+    SELECT user_id, CASE kind WHEN 'start' THEN 'started' WHEN 'language' THEN 'language_set' WHEN 'hotwords' THEN 'hotwords_set' WHEN 'stop' THEN 'stopped' ELSE CASE WHEN listened THEN 'final' ELSE 'error' END END AS event, CASE WHEN kind = 'commit' THEN b0 ELSE begin END AS begin, frames AS stop, language, hotwords FROM r WHERE kind <> 'frame'
+    UNION ALL SELECT user_id, 'final', b0, f0, language, hotwords FROM r WHERE kind = 'stop' AND listened AND f0 > b0"""
+
+
+@query(_CONTROL)
+def stm_session_commands(t: Tables) -> DataFrame:
+    """What sessions answer to their clients' commands, and the frames that they hand on."""
+    return run_batch(_commands(t.events.withColumn("us", micros("ts"))), "user_id", ORDER, sessions.controlled(), quiet=QUIET)
+
+
+@query(_CONTROL)
+def stm_session_commands_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream."""
+    source = runs.session_stream(t.spark, t.sf_dir, "events", micros("ts"), _commands)
+    return runs.run_sessions(source, "user_id", ORDER, sessions.controlled(), QUIET, "commands").table

@@ -196,10 +196,17 @@ _SENTENCES = "conv_id, turn, turn * 1000 AS a, turn * 1000 + 900 AS b FROM conve
     SELECT conv_id, turn, r.spk AS speaker FROM f"""
 )
 def jn_speaker_of_sentence(t: Tables) -> DataFrame:
-    """The speaker of each sentence by a walk over the speaker turns, where what the chosen one has overlapped counts on."""
-    v = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", (F.col("turn") % 3).alias("spk"), (F.col("turn") * 700).alias("a"), (F.col("turn") * 700 + 600).alias("b")))).alias("l"))
-    s = t.conversations.select("conv_id", "turn", (F.col("turn") * 1000).alias("a"), (F.col("turn") * 1000 + 900).alias("b"))
-    return s.join(v, "conv_id").select("conv_id", "turn", S.walked_speaker(F.col("a"), F.col("b"), F.col("l")).cast("long").alias("speaker"))
+    """The speaker of each sentence by a walk over the speaker turns, where what the chosen one has overlapped counts on.
+
+    Turns that do not overlap change nothing, so a sentence meets only those that lie in its cells of time.
+    """
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 1000), F.floor((F.col(b) - 1) / 1000))).alias("cell")
+    v = t.conversations.select("conv_id", F.col("turn").alias("nth"), (F.col("turn") % 3).alias("spk"), (F.col("turn") * 700).alias("a"), (F.col("turn") * 700 + 600).alias("b"))
+    s = t.conversations.select("conv_id", "turn", (F.col("turn") * 1000).alias("begin"), (F.col("turn") * 1000 + 900).alias("stop"))
+    both = s.select("conv_id", "turn", "begin", "stop", cells("begin", "stop")).join(v.select("conv_id", "nth", "spk", "a", "b", cells("a", "b")), ["conv_id", "cell"], "left")
+    met = F.when(F.col("nth").isNotNull() & (F.least("stop", "b") > F.greatest("begin", "a")), F.struct("nth", "spk", "a", "b"))
+    g = both.groupBy("conv_id", "turn", "begin", "stop").agg(F.array_sort(F.collect_set(met)).alias("l"))
+    return g.select("conv_id", "turn", S.walked_speaker(F.col("begin"), F.col("stop"), F.col("l")).cast("long").alias("speaker"))
 
 
 @query()

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import srt_time
+from tidewater.streaming.machines import run_batch
+from tidewater.streaming.sessions import Layout, wrapping
 
 
 def key_value_lines(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -36,6 +38,11 @@ def cues(df: DataFrame, session: str, begin: str, end: str, text: str, style: st
     return got.withColumn("body", F.concat(F.lit(head), "body"))
 
 
+def wrapped(words: DataFrame, session: str, order: list[str], layout: Layout) -> DataFrame:
+    """session, begin, stop and text of the cues that timed words make (word with the space before it, begin, stop, first of a segment)."""
+    return run_batch(words, session, order, wrapping(layout))
+
+
 def verbose_json(df: DataFrame, session: str, begin: str, end: str, text: str) -> DataFrame:
     """Segments of a session with dense ids, as JSON."""
     item = F.struct(F.col(begin).alias("start"), F.col(end).alias("end"), F.col(text).alias("text"))

@@ -127,6 +127,198 @@ def detecting(rule: Detector) -> Machine:
     return Machine(("voiced",), "window long, start long, ended long, pos long", (0, -1, 0, 0), "start long, stop long, reason string", step, finish)
 
 
+class Schedule(NamedTuple):
+    """How far a level must stand above the noise floor, how fast the floor follows what is louder (one part in `follow`), and the
+    quiet frames that end a segment: `quiet[k]` while no more than `limits[k]` frames have passed since the last cut, then `last`."""
+
+    margin: int
+    follow: int
+    limits: tuple[int, ...]
+    quiet: tuple[int, ...]
+    last: int
+
+
+def scheduled(rule: Schedule) -> Machine:
+    """Segments of speech (start, stop, quiet frames that were asked for) whose end takes less quiet the longer it lets wait.
+
+    The floor falls to a softer frame at once and rises slowly while there is no speech; levels and the floor are whole numbers.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        start, low, age, floor, pos = state
+        level, out = row[0], []
+        voiced = level > floor + rule.margin
+        if not voiced:
+            floor = level if level < floor else floor + (level - floor) // rule.follow
+        age += 1
+        if start < 0:
+            start = pos if voiced else -1
+        else:
+            low = 0 if voiced else low + 1
+            asked = next((q for limit, q in zip(rule.limits, rule.quiet) if age <= limit), rule.last)
+            if low >= asked:
+                out = [(start, pos + 1 - low, asked)]
+                start, low, age = -1, 0, 0
+        return (start, low, age, floor, pos + 1), out
+
+    def finish(state: tuple) -> list[tuple]:
+        start, low, _, _, pos = state
+        return [(start, pos - low, 0)] if start >= 0 else []
+
+    return Machine(("level",), "start long, low long, age long, floor long, pos long", (-1, 0, 0, 1 << 40, 0), "start long, stop long, asked long", step, finish)
+
+
+def controlled() -> Machine:
+    """A session that its client runs: rows are frames or commands (kind, argument), and each command says what it did.
+
+    start begins anew and listens; stop hands on what is pending and listens no more; commit hands on what is pending, and is an error
+    while nobody listens; language and hotwords change what goes with all that is handed on later. Frames count only while it listens.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        listens, begin, frames, language, hotwords = state
+        kind, argument = row
+        final = ("final", begin, frames, language, hotwords)
+        if kind == "frame":
+            return (listens, begin, frames + listens, language, hotwords), []
+        if kind == "start":
+            return (True, 0, 0, language, hotwords), [("started", 0, 0, language, hotwords)]
+        if kind == "language":
+            return (listens, begin, frames, argument, hotwords), [("language_set", begin, frames, argument, hotwords)]
+        if kind == "hotwords":
+            return (listens, begin, frames, language, argument), [("hotwords_set", begin, frames, language, argument)]
+        if kind == "commit":
+            return (listens, frames, frames, language, hotwords), [final if listens else ("error", begin, frames, language, hotwords)]
+        rest = [final] if listens and frames > begin else []
+        return (False, frames, frames, language, hotwords), [*rest, ("stopped", frames, frames, language, hotwords)]
+
+    return Machine(("kind", "argument"), "listens boolean, begin long, frames long, language string, hotwords string", (False, 0, 0, None, None), "event string, begin long, stop long, language string, hotwords string", step)
+
+
+def firing(threshold: float) -> Machine:
+    """(frame, level, fired): a running sum that loses the threshold each time it reaches it; the level is the sum before the loss."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        level, pos = state
+        level += row[0]
+        fired = level >= threshold
+        return (level - threshold if fired else level, pos + 1), [(pos, level, fired)]
+
+    return Machine(("weight",), "level double, pos long", (0.0, 0), "frame long, level double, fired boolean", step)
+
+
+def timing(threshold: float, shift: float = -1.5, longest: float = 12, ends: float = 5) -> Machine:
+    """(token, begin, stop) in frames from the fires of a running sum; token is null for silence.
+
+    A token lasts from its fire (moved by shift) to the next; what is over `longest` of it is silence. Silence also goes before
+    the first fire, and after the middle between the last fire and the end, where that leaves more than `ends` frames. A session that
+    never fires is all silence.
+    """
+    fires = firing(threshold)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        level, pos, last, n, held = state
+        (level, pos), ((_, _, fired),) = fires.step((level, pos), row)
+        if not fired:
+            return (level, pos, last, n, held), []
+        now, out = pos - 1 + shift, []
+        if last is None:
+            # what was made last is held back, as the end of the session may move it
+            return (level, pos, now, 0, [None, 0.0, now] if now > ends else None), []
+        out = [tuple(held)] if held else []
+        held = [float(n), last, now]
+        if now - last > longest:
+            out.append((n, last, last + longest))
+            held = [None, last + longest, now]
+        return (level, pos, now, n + 1, held), [(None if t is None else int(t), a, b) for t, a, b in out]
+
+    def finish(state: tuple) -> list[tuple]:
+        _, pos, last, _, held = state
+        if last is None:
+            return [(None, 0.0, float(pos))] if pos else []
+        long = pos - last > ends
+        middle = (pos + last) * 0.5
+        out = [(held[0], held[1], middle if long else float(pos))] if held else []
+        out += [(None, middle, float(pos))] if long else []
+        return [(None if t is None else int(t), a, b) for t, a, b in out]
+
+    return Machine(("weight",), "level double, pos long, last double, n long, held array<double>", (0.0, 0, None, 0, None), "token long, begin double, stop double", step, finish)
+
+
+class Layout(NamedTuple):
+    """Characters of a line, lines of a cue (None: a cue for each segment), the pause that breaks a cue, and whether each word is marked in turn."""
+
+    width: int = 1000
+    lines: int | None = None
+    pause: int = 3000
+    highlight: bool = False
+
+
+def wrapping(layout: Layout) -> Machine:
+    """Cues (begin, stop, text) of timed words. Rows: a word with the space before it, its begin and stop in ms, whether it begins a segment.
+
+    With lines, words fill lines and lines fill cues, whatever segment they come from, and a pause ends a cue; without, a cue is a segment.
+    """
+    free = layout.lines is not None
+
+    def cues(words: list[tuple]) -> list[tuple]:
+        text = [w for w, _, _ in words]
+        if not words:
+            return []
+        if not layout.highlight:
+            return [(words[0][1], words[-1][2], "".join(text))]
+        out, last = [], words[0][1]
+        for k, (word, begin, stop) in enumerate(words):
+            if begin != last:
+                out.append((last, begin, "".join(text)))
+            bare = word.lstrip()
+            out.append((begin, stop, "".join([*text[:k], word[: len(word) - len(bare)], "<u>", bare, "</u>", *text[k + 1 :]])))
+            last = stop
+        return out
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        filled, lines, last, texts, begins, stops = state
+        word, begin, stop, first = row
+        words = list(zip(texts, begins, stops))
+        waited = free and last is not None and begin - last > layout.pause
+        parts = first and bool(words) and not free
+        out = []
+        if filled and filled + len(word) <= layout.width and not waited and not parts:
+            filled += len(word)
+        else:
+            word = word.strip()
+            if parts or (words and free and (waited or lines >= layout.lines)):
+                out, words, lines = cues(words), [], 1
+            elif filled:
+                lines, word = lines + 1, "\n" + word
+            filled = len(word.strip())
+        words.append((word, begin, stop))
+        return (filled, lines, begin, *[list(c) for c in zip(*words)]), out
+
+    def finish(state: tuple) -> list[tuple]:
+        return cues(list(zip(*state[3:])))
+
+    kept = "filled long, lines long, last long, texts array<string>, begins array<long>, stops array<long>"
+    return Machine(("word", "begin", "stop", "first"), kept, (0, 1, None, [], [], []), "begin long, stop long, text string", step, finish)
+
+
+def taking() -> Machine:
+    """Ids of the spans (id, a, b) that overlap no span taken before; the taken ones are disjoint, so neighbours tell."""
+    from bisect import bisect_right
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begins, stops = state
+        name, a, b = row
+        k = bisect_right(begins, a)
+        if (k and a < stops[k - 1] and begins[k - 1] < b) or (k < len(begins) and begins[k] < b):
+            return state, []
+        # an empty span goes before one that begins where it lies
+        k -= a == b and k > 0 and begins[k - 1] == a and stops[k - 1] > a
+        return ([*begins[:k], a, *begins[k:]], [*stops[:k], b, *stops[k:]]), [(name,)]
+
+    return Machine(("id", "a", "b"), "begins array<long>, stops array<long>", ([], []), "id long", step)
+
+
 class Threshold(NamedTuple):
     """Chances that start speech and that end it, the frames of quiet that must pass, the frames added at both ends."""
 
