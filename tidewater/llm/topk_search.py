@@ -2,46 +2,89 @@
 
 Shards are the leaves of median splits of a bounded sample, so that a shard's vectors lie close together; a leaf that holds
 more than a shard's rows, as where one vector is very common, is cut further by a hash of the id. A shard's tree splits
-its distinct vectors at the median of the widest coordinate; every node keeps a tight box and the smallest id below it,
-every leaf its vectors and their ids. Search is best-first: nodes come off a heap by the greatest inner
-product that their box allows, and a node is passed over once that bound is below the query's kth best score (or
-equals it with no smaller id). Each query first searches the shard that holds it; the kth score found there
-travels with the query, and it goes on only to shards whose root box may still hold a better candidate, which is
-known before anything is shuffled.
-
-Trees are rows (one for a leaf block) in the shared folder, queries meet them in (shard, block of queries) groups, where
-a block holds queries of the same home shards; a tree goes to the blocks that need it. No group holds more than a shard
-and a block. Root boxes are broadcast while they stay within BOX_BYTES; beyond that queries go to all shards.
-Results are exact: scores are integers, ties go to the smaller id.
-
-Cases: vectors that are null, empty, of another length than most, or that hold null, NaN or infinite components take
-no part; fewer than k others give all; equal vectors are kept once with all their ids; a query's own row is left
-out by id; ids must be unique and not null (rows without id take no part); an empty table gives an empty result.
+its distinct vectors at the median of the widest coordinate down to leaves, each with a tight box and the smallest id in it.
+Search is best-first: a query takes the leaves in the order of the greatest inner product that their boxes allow, and
+ends once that bound is below its kth best score (or equals it with no smaller id). Queries go together, a step
+at a time: those that are at one leaf are scored by one product of matrices.
+
+A tree is built, and searched by the shard's own queries, in one task. The kth scores found there travel with the queries to the
+other shards: in blocks of at most QUERY_ROWS queries (and QUERY_BYTES), each broadcast by itself, to tasks that go through
+their trees one after another and carry the kth scores on from tree to tree. Vectors are shuffled once, to their shards;
+after that only results are. Results are exact: scores are integers, ties go to the smaller id.
+
+What boxes can prune depends on the vectors. Where all lie about as far from each other (as random ones in 64 dimensions do),
+nothing can be, and an exact search scores all pairs of queries and vectors; `Counts` tells the share.
+
+Cases: vectors that are null, empty, or that hold null, NaN or infinite components take no part; vectors of one length
+meet only each other; fewer than k others give all; equal vectors are kept once with all their ids; a query's own row is
+left out by id; ids must be unique and not null (rows without id take no part); an empty table gives an empty result;
+scores beyond 2^53 are computed with integers.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import prepare, stage
+from tidewater.llm.common import discard, prepare, stage
 
 LEAF = 128
-SHARD_ROWS = 8192
-QUERY_ROWS = 2048
-SEGMENT_BYTES = 64 << 20
-#: Vectors of the sample whose median splits place the shards, and the most bytes of the shards' boxes that are broadcast.
-SAMPLE_ROWS, BOX_BYTES = 32_768, 128 << 20
+SHARD_ROWS, SHARD_BYTES = 8192, 32 << 20
+#: Queries that are broadcast at once, and the most bytes of their vectors.
+QUERY_ROWS, QUERY_BYTES = 65_536, 32 << 20
+#: Queries that go through a tree together.
+TOGETHER = 2048
+#: Vectors of the sample whose median splits place the shards.
+SAMPLE_ROWS = 32_768
+
+
+@dataclass
+class Counts:
+    """Pairs of queries and leaves, and those of them that were scored."""
+
+    pairs: int = 0
+    opened: int = 0
+
+
+def _workable(a: np.ndarray, b: np.ndarray) -> type:
+    """A type in which inner products of rows of a and b are exact."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+
+class Top:
+    """The k best (score, id) of each of n queries, best first; `fresh` marks those that came after the start."""
+
+    def __init__(self, n: int, k: int, scores: np.ndarray | None = None, ids: np.ndarray | None = None):
+        self.k = k
+        self.scores = np.full((n, k), -(1 << 63), np.int64) if scores is None else scores.copy()
+        self.ids = np.full((n, k), (1 << 63) - 1, np.int64) if ids is None else ids.copy()
+        self.fresh = np.zeros((n, k), bool)
+
+    def merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        at = np.unique(rows)
+        have = self.ids[at] < (1 << 63) - 1
+        all_rows = np.r_[np.repeat(at, self.k)[have.ravel()], rows]
+        all_scores, all_ids = np.r_[self.scores[at][have], scores], np.r_[self.ids[at][have], ids]
+        fresh = np.r_[self.fresh[at][have], np.ones(len(rows), bool)]
+        order = np.lexsort((all_ids, -all_scores, all_rows))
+        group = all_rows[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        rank = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+        order, group, rank = (x[rank < self.k] for x in (order, group, rank))
+        self.scores[group, rank], self.ids[group, rank], self.fresh[group, rank] = all_scores[order], all_ids[order], fresh[order]
 
 
 class Tree:
-    """A KD-tree over distinct integer vectors; ids of equal vectors are sorted lists."""
+    """A KD-tree over distinct integer vectors; ids of equal vectors are sorted lists. rows: leaf by leaf."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
@@ -49,76 +92,73 @@ class Tree:
         distinct, first = np.unique(points, axis=0, return_inverse=True)
         first = first.reshape(-1)
         by = np.argsort(first, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(first[by]) > 0]) if len(ids) else np.zeros(0, int)
-        self.ids = ids[by]
-        self.span = np.r_[starts, len(ids)]
-        self.points = distinct.astype(np.float64)
-        self.low, self.high, self.least, self.kids, self.rows = [], [], [], [], []
-        if len(distinct):
-            self._node(np.arange(len(distinct)), leaf)
-        self.low, self.high = (np.array(x, dtype=np.float64).reshape(len(self.kids), points.shape[1]) for x in (self.low, self.high))
-
-    def _node(self, rows: np.ndarray, leaf: int) -> int:
-        own, k = self.points[rows], len(self.kids)
-        low, high = own.min(0), own.max(0)
-        self.low.append(low)
-        self.high.append(high)
-        self.least.append(int(self.ids[self.span[rows]].min()))
-        self.kids.append(None)
-        self.rows.append(None)
-        if len(rows) <= leaf:
-            self.rows[k] = rows
-        else:
-            order = np.argsort(own[:, int(np.argmax(high - low))], kind="stable")
-            half = len(rows) // 2
-            self.kids[k] = (self._node(rows[order[:half]], leaf), self._node(rows[order[half:]], leaf))
-        return k
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, score: np.ndarray, last: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-        """Up to k of (query number, id, score) for each query that beat its (score, last id) so far."""
-        out: tuple[list[int], list[int], list[int]] = ([], [], [])
-        if not self.kids:
-            return out
-        q = queries.astype(np.float64)
-        bounds = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-        for n in range(len(q)):
-            bound, best = bounds[n], []  # best: a heap of (score, -id), the worst first
-            floor = (score[n], -last[n])
-            heap = [(-bound[0], 0)]
-            while heap:
-                b, node = heapq.heappop(heap)
-                if (-b, -self.least[node]) <= floor:
-                    if -b < floor[0]:
-                        break
-                    continue
-                if self.kids[node]:
-                    for kid in self.kids[node]:
-                        if bound[kid] >= floor[0]:
-                            heapq.heappush(heap, (-bound[kid], kid))
-                    continue
-                rows = self.rows[node]
-                scores = self.points[rows] @ q[n]
-                good = np.flatnonzero(scores >= floor[0])
-                for r in good[np.argsort(-scores[good], kind="stable")]:
-                    taken = 0
-                    for i in self.ids[self.span[rows[r]] : self.span[rows[r] + 1]]:
-                        if i == own[n]:
-                            continue
-                        item = (float(scores[r]), -int(i))
-                        if taken == k or item <= floor:
-                            break  # ids rise, so the rest is no better
-                        taken += 1
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        else:
-                            heapq.heapreplace(best, item)
-                        if len(best) == k:
-                            floor = max(floor, best[0])
-            for s, i in best:
-                out[0].append(n)
-                out[1].append(-i)
-                out[2].append(int(s))
-        return out
+        span = np.r_[np.flatnonzero(np.r_[True, np.diff(first[by]) > 0]), len(ids)] if len(ids) else np.zeros(1, int)
+        ids = ids[by]
+        open_, leaves = [np.arange(len(distinct))] if len(distinct) else [], []
+        while open_:
+            rows = open_.pop()
+            if len(rows) <= leaf:
+                leaves.append(rows)
+                continue
+            own = distinct[rows]
+            axis = int(np.argmax(own.max(0) - own.min(0)))
+            rows = rows[np.argsort(own[:, axis], kind="stable")]
+            open_ += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
+        self.low, self.high = (np.array([f(distinct[r], axis=0) for r in leaves], np.int64).reshape(len(leaves), points.shape[1]) for f in (np.min, np.max))
+        self.least = np.array([min(ids[span[r]]) for r in leaves], np.int64)
+        self.cut = np.r_[0, np.cumsum([len(r) for r in leaves])].astype(int)
+        placed = np.concatenate(leaves) if leaves else np.zeros(0, int)
+        self.points = distinct[placed]
+        counts = np.diff(span)[placed]
+        self.span = np.r_[0, np.cumsum(counts)].astype(int)
+        self.ids = np.concatenate([ids[span[r] : span[r + 1]] for r in placed]) if len(placed) else np.zeros(0, np.int64)
+        for name in ("points", "low", "high"):
+            values = getattr(self, name)
+            small = next(t for t in (np.int16, np.int32, np.int64) if np.abs(values).max(initial=0) <= np.iinfo(t).max)
+            setattr(self, name, values.astype(small))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, top: Top, at: np.ndarray, counts: Counts | None = None) -> None:
+        """Better `top` at the rows `at` by the tree's vectors, for the queries with the ids own."""
+        if not len(self.ids) or not len(queries):
+            return
+        kind = _workable(queries, self.points)
+        q, points = queries.astype(kind), self.points.astype(kind)
+        f = queries.astype(np.float64)
+        bounds = np.maximum(f, 0) @ self.high.T.astype(np.float64) + np.minimum(f, 0) @ self.low.T.astype(np.float64)
+        if kind is not np.float64:
+            # room for what the bounds may have been rounded down
+            bounds += 1 + 1e-9 * (np.abs(f) @ np.maximum(np.abs(self.low.astype(np.float64)), np.abs(self.high.astype(np.float64))).T)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        if counts:
+            counts.pairs += bounds.size
+        rows = np.arange(len(q))
+        for step in range(order.shape[1]):
+            leaf = order[rows, step]
+            bound, floor, last = bounds[rows, leaf], top.scores[at[rows], -1], top.ids[at[rows], -1]
+            # leaves come by their bounds: below its kth score a query has ended
+            ended = bound < floor
+            open_ = ~ended & ((bound > floor) | (self.least[leaf] < last))
+            if counts:
+                counts.opened += int(open_.sum())
+            for k in np.unique(leaf[open_]):
+                here = rows[open_ & (leaf == k)]
+                a, b = self.cut[k], self.cut[k + 1]
+                scores = q[here] @ points[a:b].T
+                n, m = np.nonzero(scores >= top.scores[at[here], -1][:, None])
+                if len(n):
+                    self._take(here[n], a + m, scores[n, m].astype(np.int64), own, top, at)
+            rows = rows[~ended]
+            if not len(rows):
+                return
+
+    def _take(self, rows: np.ndarray, points: np.ndarray, scores: np.ndarray, own: np.ndarray, top: Top, at: np.ndarray) -> None:
+        # one more than k ids of a vector at most: the query's own may be among them
+        count = np.minimum(np.diff(self.span)[points], top.k + 1)
+        each = np.repeat(np.arange(len(points)), count)
+        ids = self.ids[self.span[points][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
+        keep = ids != own[rows[each]]
+        if keep.any():
+            top.merge(at[rows[each][keep]], scores[each][keep], ids[keep])
 
 
 def quantised(vectors: DataFrame, scale: int, id_column: str, vector: str) -> DataFrame:
@@ -167,13 +207,14 @@ class Splits:
 
 
 def sharded(rows: DataFrame, total: int, shard_rows: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """rows (_id, _v) with _shard: the leaf of its vector, and a hash part where a leaf holds too many."""
+    """rows, staged, with _shard: the leaf of the vector _v, and a hash part where a leaf holds too many."""
     shards = max(1, -(-total // shard_rows))
     if shards == 1:
-        return rows.withColumn("_shard", F.lit(0).cast("long"))
+        return stage(rows.withColumn("_shard", F.lit(0).cast("long")), "vectors")
     # the driver gathers the sample and keeps its splits, which are fewer
-    some = rows.select("_v").sample(min(1.0, sample_rows / total), seed=11).limit(2 * sample_rows).collect()
-    splits = Splits(np.array([r["_v"] for r in some], np.int64).reshape(len(some), -1), min(shards, max(1, len(some) // 16)))
+    some = rows.select("_v").sample(min(1.0, sample_rows / total), seed=11).limit(2 * sample_rows).toArrow().column("_v").combine_chunks()
+    points = some.flatten().to_numpy().reshape(len(some), -1)
+    splits = Splits(points, min(shards, max(1, len(points) // 16)))
     shared = rows.sparkSession.sparkContext.broadcast(splits)
 
     @F.pandas_udf("long")
@@ -182,89 +223,109 @@ def sharded(rows: DataFrame, total: int, shard_rows: int, sample_rows: int = SAM
 
     placed = stage(rows.withColumn("_leaf", leaf_of("_v")), "placed")
     parts = placed.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).alias("_parts"))
-    return placed.join(parts, "_leaf").select("_id", "_v", (F.col("_leaf") * (1 << 24) + F.pmod(F.xxhash64("_id"), "_parts")).alias("_shard"))
+    shard = (F.col("_leaf") * (1 << 24) + F.pmod(F.xxhash64("_id"), "_parts")).alias("_shard")
+    out = stage(placed.join(parts, "_leaf").select(*rows.columns, shard), "vectors")
+    discard(placed)
+    return out
 
 
-def _segments(shard: int, tree: Tree) -> pd.DataFrame:
-    blob = pickle.dumps(tree, protocol=pickle.HIGHEST_PROTOCOL)
-    cut = [blob[i : i + SEGMENT_BYTES] for i in range(0, len(blob), SEGMENT_BYTES)]
-    box = lambda side: [side[0].tolist() if not i else None for i in range(len(cut))]
-    return pd.DataFrame({"_shard": shard, "_segment": range(len(cut)), "_low": box(tree.low), "_high": box(tree.high), "_tree": cut})
+_TREE = "_shard long, _tree binary, _n long, _own binary, _vectors binary, _scores binary, _ids binary"
 
 
-def build_trees(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """_shard, _segment, the root box (with the first segment) and _tree of each shard; rows has _shard, _id and _v."""
+def build_trees(rows: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
+    """A row a shard of rows (_shard, _id, _v, _is_query): its tree, its n queries and their k best in it."""
 
-    def build(key, own: pd.DataFrame) -> pd.DataFrame:
-        return _segments(key[0], Tree(own["_id"].to_numpy(np.int64), np.stack(own["_v"].to_numpy()).astype(np.int64), leaf))
+    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        ids, points = own["_id"].to_numpy(np.int64), np.stack(own["_v"].to_numpy()).astype(np.int64)
+        tree, asks = Tree(ids, points, leaf), own["_is_query"].to_numpy(bool)
+        top = Top(int(asks.sum()), k)
+        for at in np.array_split(np.arange(len(top.ids)), max(1, -(-len(top.ids) // TOGETHER))):
+            tree.search(points[asks][at], ids[asks][at], top, at)
+        packed = [x.tobytes() for x in (ids[asks], points[asks], top.scores, top.ids)]
+        return pd.DataFrame([(key[0], pickle.dumps(tree, protocol=pickle.HIGHEST_PROTOCOL), len(top.ids), *packed)], columns=["_shard", "_tree", "_n", "_own", "_vectors", "_scores", "_ids"])
 
-    return rows.groupBy("_shard").applyInPandas(build, "_shard long, _segment int, _low array<double>, _high array<double>, _tree binary")
+    return rows.groupBy("_shard").applyInPandas(build, _TREE)
 
 
-def _open_shards(queries: DataFrame, trees: DataFrame, shards: int, width: int, box_bytes: int) -> DataFrame:
-    """A row of queries (_query, _v, _block, _score, _last, _home) for each other shard that may hold a better candidate."""
-    boxes = trees.where("_segment = 0").select("_shard", "_low", "_high")
-    columns = ["_query", "_v", "_block", "_score", "_last"]
-    pruned = shards * width * 16 <= box_bytes
-    # without the boxes: a number for each shard
-    found = sorted((boxes if pruned else boxes.select("_shard")).collect(), key=lambda r: r["_shard"])
-    low, high = ((np.array([r[c] for r in found]).reshape(len(found), -1) if pruned else None) for c in ("_low", "_high"))
-    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["_shard"] for r in found]), low, high))
+def _unpacked(row: dict, k: int) -> tuple[np.ndarray, ...]:
+    own, scores, ids = (np.frombuffer(row[c], np.int64) for c in ("_own", "_scores", "_ids"))
+    return own, np.frombuffer(row["_vectors"], np.int64).reshape(len(own), -1), scores.reshape(-1, k), ids.reshape(-1, k)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, low, high = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                own = batch.iloc[start : start + 256]
-                open_ = names[None, :] != own["_home"].to_numpy()[:, None]
-                if low is not None:
-                    q = np.stack(own["_v"].to_numpy()).astype(np.float64)
-                    open_ &= np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T >= own["_score"].to_numpy()[:, None]
-                n, s = np.nonzero(open_)
-                yield own[columns].iloc[n].assign(_shard=names[s])
 
-    return queries.mapInPandas(keep, "_query long, _v array<long>, _block long, _score double, _last long, _shard long")
+_FOUND = pa.schema([("_query", pa.int64()), ("_id", pa.int64()), ("_s", pa.int64())])
 
 
-def _meet(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    """Candidates of queries (_query, _v, _shard, _block, _score, _last) in the tree of their shard; a tree goes to the blocks that ask for it."""
+def at_home(trees: DataFrame, k: int) -> DataFrame:
+    """_query, _id and _s of what the queries found in their own shards."""
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_query": pd.Series(dtype="int64"), "_id": pd.Series(dtype="int64"), "_s": pd.Series(dtype="int64")})
-        tree = pickle.loads(b"".join(right.sort_values("_segment")["_tree"]))
-        own = left["_query"].to_numpy(np.int64)
-        q = np.stack(left["_v"].to_numpy()).astype(np.int64)
-        n, ids, scores = tree.search(q, own, k, left["_score"].to_numpy(np.float64), left["_last"].to_numpy(np.int64))
-        return pd.DataFrame({"_query": own[n] if n else np.zeros(0, np.int64), "_id": np.array(ids, np.int64), "_s": np.array(scores, np.int64)})
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, _, scores, ids = _unpacked(row, k)
+                have = ids < (1 << 63) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k)[have.ravel()]), pa.array(ids[have]), pa.array(scores[have])], schema=_FOUND)
 
-    needed = queries.select("_shard", (F.col("_block") + F.lit(0)).alias("_to")).distinct()
-    placed = trees.select("_shard", "_segment", "_tree").join(needed, "_shard")
-    return queries.groupBy("_shard", "_block").cogroup(placed.groupBy("_shard", "_to")).applyInPandas(search, "_query long, _id long, _s long")
+    return trees.where("_n > 0").select("_own", "_vectors", "_scores", "_ids").mapInArrow(unpack, "_query long, _id long, _s long")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF, box_bytes: int = BOX_BYTES) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best other rows for each row where is_query (a Column over `_id`) holds."""
-    spark = prepare(vectors.sparkSession)
-    rows = quantised(vectors, scale, id_column, vector)
-    length = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width, total = (length["n"], length["count"]) if length else (1, 0)
-    shards = max(1, -(-total // shard_rows))
-    rows = stage(sharded(rows.where(F.size("_v") == width), total, shard_rows), "vectors")
-    queries = rows.where(is_query)
-    blocks = max(1, -(-queries.count() // query_rows))
-    trees = stage(build_trees(rows, leaf), "kd-trees")
-    shards = trees.where("_segment = 0").count()
-    queries = queries.withColumnRenamed("_id", "_query").withColumn("_block", F.pmod(F.xxhash64("_shard"), F.lit(blocks)))
-    no_bound = {"_score": F.lit(float("-inf")), "_last": F.lit((1 << 62)).cast("long")}
-    at_home = stage(_meet(queries.withColumns(no_bound), trees, k), "kd-home")
-    kth = at_home.groupBy("_query").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", (-F.col("_id")).alias("_i"))).alias("_w"))
-    bound = kth.where(F.col("_n") >= k).select("_query", F.col("_w._s").cast("double").alias("_b"), (-F.col("_w._i")).alias("_l"))
-    found = at_home
-    if shards > 1:
-        away = queries.join(bound, "_query", "left").select("_query", "_v", "_block", F.coalesce("_b", no_bound["_score"]).alias("_score"), F.coalesce("_l", no_bound["_last"]).alias("_last"), F.col("_shard").alias("_home"))
-        found = at_home.unionByName(_meet(stage(_open_shards(away, trees, shards, width, box_bytes), "kd-away"), trees, k))
-    from pyspark.sql import Window as W
+def away(trees: DataFrame, first: int, last: int, k: int) -> DataFrame:
+    """_query, _id and _s of the better ones that the queries of the shards first to last find in other shards."""
+    spark = trees.sparkSession
+    block = trees.where(F.col("_shard").between(first, last) & (F.col("_n") > 0)).drop("_tree").collect()
+    parts = [_unpacked(r.asDict(), k) for r in block]
+    homes = np.repeat([r["_shard"] for r in block], [len(p[0]) for p in parts])
+    shared = spark.sparkContext.broadcast((homes, *[np.concatenate(x) for x in zip(*parts)]))
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, own, vectors, scores, ids = shared.value
+        top = Top(len(own), k, scores, ids)
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tree, asks = pickle.loads(blob.as_buffer()), np.flatnonzero(homes != shard)
+                for at in np.array_split(asks, max(1, -(-len(asks) // TOGETHER))):
+                    tree.search(vectors[at], own[at], top, at)
+        n, m = np.nonzero(top.fresh)
+        yield pa.RecordBatch.from_arrays([pa.array(own[n]), pa.array(top.ids[n, m]), pa.array(top.scores[n, m])], schema=_FOUND)
+
+    return trees.select("_shard", "_tree").mapInArrow(meet, "_query long, _id long, _s long")
+
+
+def _of_one_length(rows: DataFrame, width: int, total: int, k: int, shard_rows: int, query_rows: int, leaf: int) -> DataFrame:
+    spark = rows.sparkSession
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * width)))
+    query_rows = max(1, min(query_rows, QUERY_BYTES // (8 * (width + 2 * k))))
+    vectors = sharded(rows, total, shard_rows)
+    trees = stage(build_trees(vectors, k, leaf), "kd-trees")
+    discard(vectors)
+    # a number or two a shard
+    sizes = [(r["_shard"], r["_n"]) for r in trees.select("_shard", "_n").orderBy("_shard").collect()]
+    found = [at_home(trees, k)]
+    if len(sizes) > 1:
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        # a few trees lie in a few files: they are dealt out to all tasks
+        dealt = trees.repartition(len(sizes), "_shard") if len(sizes) <= tasks else trees
+        first, held = 0, 0
+        for n, (_, own) in enumerate(sizes):
+            held += own
+            if held and (n + 1 == len(sizes) or held + sizes[n + 1][1] > query_rows):
+                found.append(away(dealt, sizes[first][0], sizes[n][0], k))
+                first, held = n + 1, 0
+        if len(found) > 3:
+            found = [found[0], *[stage(f, "kd-away") for f in found[1:]]]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best other rows for each row where is_query (a Column over `_id`) holds."""
+    prepare(vectors.sparkSession)
+    rows = quantised(vectors, scale, id_column, vector).withColumn("_is_query", F.coalesce(is_query, F.lit(False)))
+    lengths = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").collect()
+    parts = [_of_one_length(rows.where(F.size("_v") == r["n"]), r["n"], r["count"], k, shard_rows, query_rows, leaf) for r in lengths]
+    found = parts[0] if parts else rows.select(F.col("_id").alias("_query"), "_id", F.lit(0).cast("long").alias("_s"))
+    for p in parts[1:]:
+        found = found.unionByName(p)
     rank = F.row_number().over(W.partitionBy("_query").orderBy(F.desc("_s"), F.asc("_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_query").alias("query_id"), "rank", F.col("_id").alias("vec_id"), F.col("_s").alias("score"))
