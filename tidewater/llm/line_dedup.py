@@ -17,7 +17,8 @@ first's lines go to each group once, not to each pair; a task holds one pair at
 in an equi-join by id.
 
 Cases: null and empty texts, and lines without a word, are never touched; rows without id are returned as they
-are; of rows that share an id the text with the smallest hash takes part, the others are returned as they are;
+are; of rows that share an id the text with the smallest hash takes part (null texts and those without a word do not
+count), the others are returned as they are;
 a document all of whose lines are deleted has an empty text; an empty table gives an empty result; the input's
 own columns may have any names.
 """
@@ -148,62 +149,80 @@ def common_blocks(a: list[int], b: list[int], counts: list[int], min_words: int)
     return out
 
 
-def left_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
-    """Positions in b of all runs of consecutive lines that a has too, wherever, and that have min_words words.
-
-    A suffix automaton of a gives the longest such run up to each line of b.
-    """
-    length, link, step, last = [0], [-1], [{}], 0
-    for x in a:
-        new, p = len(length), last
-        length.append(length[last] + 1)
-        link.append(0)
-        step.append({})
-        while p >= 0 and x not in step[p]:
-            step[p][x] = new
-            p = link[p]
-        if p >= 0:
-            q = step[p][x]
-            if length[q] != length[p] + 1:
-                copy = len(length)
-                length.append(length[p] + 1)
-                link.append(link[q])
-                step.append(dict(step[q]))
-                while p >= 0 and step[p].get(x) == q:
-                    step[p][x] = copy
-                    p = link[p]
-                link[q] = q = copy
-            link[new] = q
-        last = new
-    total, starts, state, size = [0], [], 0, 0
-    for j, x in enumerate(b):
-        total.append(total[-1] + counts[j])
-        while state and x not in step[state]:
-            state = link[state]
-            size = length[state]
-        state, size = (step[state][x], size + 1) if x in step[state] else (0, 0)
-        start = j + 1 - size
-        starts.append(start if total[-1] - total[start] >= min_words else _FAR)
-    out, reach = [], _FAR
-    for j in range(len(b) - 1, -1, -1):
-        reach = min(reach, starts[j])
-        if j >= reach:
-            out.append(j)
-    return out[::-1]
+class Runs:
+    """All runs of consecutive lines of one document, as a suffix automaton."""
+
+    def __init__(self, a: list[int]):
+        length, link, step, last = [0], [-1], [{}], 0
+        for x in a:
+            new, p = len(length), last
+            length.append(length[last] + 1)
+            link.append(0)
+            step.append({})
+            while p >= 0 and x not in step[p]:
+                step[p][x] = new
+                p = link[p]
+            if p >= 0:
+                q = step[p][x]
+                if length[q] != length[p] + 1:
+                    copy = len(length)
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    step.append(dict(step[q]))
+                    while p >= 0 and step[p].get(x) == q:
+                        step[p][x] = copy
+                        p = link[p]
+                    link[q] = q = copy
+                link[new] = q
+            last = new
+        self.length, self.link, self.step = length, link, step
+
+    def within(self, b: list[int], counts: list[int], min_words: int) -> list[int]:
+        """Positions in b of all runs that the document has too, wherever, and that have min_words words."""
+        length, link, step = self.length, self.link, self.step
+        total, starts, state, size = [0], [], 0, 0
+        for j, x in enumerate(b):
+            total.append(total[-1] + counts[j])
+            while state and x not in step[state]:
+                state = link[state]
+                size = length[state]
+            state, size = (step[state][x], size + 1) if x in step[state] else (0, 0)
+            start = j + 1 - size
+            starts.append(start if total[-1] - total[start] >= min_words else _FAR)
+        out, reach = [], _FAR
+        for j in range(len(b) - 1, -1, -1):
+            reach = min(reach, starts[j])
+            if j >= reach:
+                out.append(j)
+        return out[::-1]
+
+
+class First:
+    """The document that later ones are compared with; its runs are laid out once, when first asked for."""
+
+    def __init__(self, lines: list[int]):
+        self.lines, self.have, self._runs = lines, set(lines), None
+
+    def runs(self) -> Runs:
+        if self._runs is None:
+            self._runs = Runs(self.lines)
+        return self._runs
+
+    def repeated_blocks(self, b: list[int], counts: list[int], min_words: int) -> list[int]:
+        """Positions in b of the aligned blocks, then of all blocks that are left: what crosses the alignment or comes again."""
+        gone = set(common_blocks(self.lines, b, counts, min_words))
+        while True:
+            rest = [j for j in range(len(b)) if j not in gone]
+            if sum(counts[j] for j in rest if b[j] in self.have) < min_words:
+                return sorted(gone)
+            found = self.runs().within([b[j] for j in rest], [counts[j] for j in rest], min_words)
+            if not found:
+                return sorted(gone)
+            gone.update(rest[j] for j in found)
 
 
 def repeated_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
-    """Positions in b of the aligned blocks, then of all blocks that are left: what crosses the alignment or comes again."""
-    gone = set(common_blocks(a, b, counts, min_words))
-    have = set(a)
-    while True:
-        rest = [j for j in range(len(b)) if j not in gone]
-        if sum(counts[j] for j in rest if b[j] in have) < min_words:
-            return sorted(gone)
-        found = left_blocks(a, [b[j] for j in rest], [counts[j] for j in rest], min_words)
-        if not found:
-            return sorted(gone)
-        gone.update(rest[j] for j in found)
+    return First(a).repeated_blocks(b, counts, min_words)
 
 
 def document_lines(docs: DataFrame, min_words: int, id_column: str, text: str) -> DataFrame:
@@ -225,24 +244,26 @@ def document_lines(docs: DataFrame, min_words: int, id_column: str, text: str) -
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _t and _gone, staged: the numbers (among the lines with a word) of the lines to delete."""
-    staged = stage(document_lines(docs.where(F.col(id_column).isNotNull()), min_words, id_column, text), "lines")
+    some = docs.where(F.col(id_column).isNotNull() & F.col(text).isNotNull())
+    # texts without a word do not stand for an id
+    staged = stage(document_lines(some, min_words, id_column, text).where(F.octet_length("_h") > 0), "lines")
     lines = staged.join(staged.groupBy("_id").agg(F.min("_t").alias("_t")), ["_id", "_t"])
     keys = lines.select("_id", F.explode("_keys").alias("key"))
     holders = keys.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").select("key", "first")
     pairs = stage(keys.join(holders, "key").where("first != _id").select("first", F.col("_id").alias("later")).distinct(), "line-pairs")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: list[int] = []
+        first = First([])
         for batch in batches:
             ids, hashes, found = [], [], []
             for later, own, t, h, c in zip(*[batch.column(k) for k in range(2, 7)]):
                 lines = np.frombuffer(h.as_buffer(), np.int64).tolist()
                 if not later.as_py():
-                    first = lines
+                    first = First(lines)
                     continue
                 ids.append(own.as_py())
                 hashes.append(t.as_py())
-                found.append(repeated_blocks(first, lines, np.frombuffer(c.as_buffer(), np.int32).tolist(), min_words))
+                found.append(first.repeated_blocks(lines, np.frombuffer(c.as_buffer(), np.int32).tolist(), min_words))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["_id", "_t", "_gone"])
 
     groups = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
@@ -261,7 +282,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     prepare(docs.sparkSession)
     gone = deletions(docs, min_words, id_column, text)
     body = carried_text(docs, text)
-    rows = docs.select(*carried(docs), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text).alias("_t"))
+    rows = docs.select(*carried(docs), F.col(id_column).cast("long").alias("_id"), F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("_t"))
     # merged, not broadcast: how many rows have deletions grows with the data
     rows = rows.join(gone.withColumnsRenamed({"_id": "_i", "_t": "_u"}).hint("merge"), (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
     worded = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
