@@ -12,6 +12,22 @@ DIGITS = ("ZERO", "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT"
 ALPHABET = ("ALPHA", "ALFA", "BRAVO", "CHARLIE", "DELTA", "ECHO", "FOXTROT", "GOLF", "HOTEL", "INDIA", "JULIET", "KILO", "LIMA", "MIKE", "NOVEMBER", "OSCAR", "PAPA", "QUEBEC", "ROMEO", "SIERRA", "TANGO", "UNIFORM", "VICTOR", "WHISKEY", "XRAY", "YANKEE", "ZULU")
 _D = "(?:" + "|".join(DIGITS) + ")"
 
+#: Where a slot's values stand in a line of upper-case words one space apart; expressions and the table function share them.
+PATTERNS = {
+    "letter": r"INFORMATION ([A-Z]+)",
+    "time": rf"WEATHER(?: \w+)*? AT ({_D}(?: {_D}){{3}})\b",
+    "wind": rf"WIND ({_D}(?: {_D}){{2}}) AT ({_D})\b",
+    "thousands": rf"\bVISIBILITY(?: \w+)*? ({_D}(?: {_D})?) THOUSAND\b",
+    "range": rf"\bVISIBILITY ({_D}(?: {_D})?)\b",
+    "temperature": rf"TEMPERATURE (MINUS )?({_D}(?: {_D})?)\b",
+    "dew": rf"DEW POINT (MINUS )?({_D}(?: {_D})?)\b",
+    "qnh": rf"ALTIMETER ({_D}(?: {_D}){{3}})\b",
+    "runway": rf"RUNWAY ({_D}(?: {_D})?)\b",
+    "frequency": rf"({_D}(?: {_D}){{2}}) DECIMAL ({_D} {_D})\b",
+    "level": rf"FLIGHT LEVEL ({_D}(?: {_D}){{0,2}})\b",
+    "level_hundreds": rf"FLIGHT LEVEL {_D}(?: {_D})? HUNDRED\b",
+}
+
 
 def number(words: Column) -> Column:
     """Digit words as an integer; null if there are none."""
@@ -32,17 +48,14 @@ def _verdict(there: Column, value: Column, good: Column) -> Column:
 def check_slots(text: Column) -> dict[str, Column]:
     """Verdicts by slot: info_letter, obs_time, wind, visibility, temp_dew, qnh, runway, freq, flight_level, and free_text (UNPARSED) where none occurs."""
     t = squeeze(F.regexp_replace(F.upper(text), "[^A-Z ]+", " "))
-    letter = F.regexp_extract(t, r"INFORMATION ([A-Z]+)", 1)
-    time = _group(t, rf"WEATHER(?: \w+)*? AT ({_D}(?: {_D}){{3}})\b")
-    way, speed = (_group(t, rf"WIND ({_D}(?: {_D}){{2}}) AT ({_D})\b", k) for k in (1, 2))
-    thousands, range_ = _group(t, rf"\bVISIBILITY(?: \w+)*? ({_D}(?: {_D})?) THOUSAND\b"), _group(t, rf"\bVISIBILITY ({_D}(?: {_D})?)\b")
-    signed = lambda p: F.when(F.regexp_extract(t, p, 1) == "MINUS ", -1).otherwise(1) * _group(t, p, 2)
-    temp, dew = signed(rf"TEMPERATURE (MINUS )?({_D}(?: {_D})?)\b"), signed(rf"DEW POINT (MINUS )?({_D}(?: {_D})?)\b")
-    qnh = _group(t, rf"ALTIMETER ({_D}(?: {_D}){{3}})\b")
-    runway = _group(t, rf"RUNWAY ({_D}(?: {_D})?)\b")
+    letter = F.regexp_extract(t, PATTERNS["letter"], 1)
+    value = lambda name, k=1: _group(t, PATTERNS[name], k)
+    signed = lambda name: F.when(F.regexp_extract(t, PATTERNS[name], 1) == "MINUS ", -1).otherwise(1) * value(name, 2)
+    time, way, speed, thousands, range_ = value("time"), value("wind"), value("wind", 2), value("thousands"), value("range")
+    temp, dew, qnh, runway = signed("temperature"), signed("dew"), value("qnh"), value("runway")
     pair = t.rlike(rf"RUNWAY {_D} {_D}\b")
-    mhz1000 = _group(t, rf"({_D}(?: {_D}){{2}}) DECIMAL ({_D} {_D})\b") * 1000 + _group(t, rf"({_D}(?: {_D}){{2}}) DECIMAL ({_D} {_D})\b", 2) * 10
-    level = _group(t, rf"FLIGHT LEVEL ({_D}(?: {_D}){{0,2}})\b") * F.when(t.rlike(rf"FLIGHT LEVEL {_D}(?: {_D})? HUNDRED\b"), 100).otherwise(1)
+    mhz1000 = value("frequency") * 1000 + value("frequency", 2) * 10
+    level = value("level") * F.when(t.rlike(PATTERNS["level_hundreds"]), 100).otherwise(1)
     out = {
         "info_letter": F.when(letter != "", F.when(letter.isin(*ALPHABET), "PASS").otherwise("WARN")),
         "obs_time": _verdict(t.rlike(r"\bWEATHER\b.*\bAT\b"), time, time <= 2359),

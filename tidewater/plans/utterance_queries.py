@@ -209,9 +209,8 @@ def jn_speaker_of_sentence(t: Tables) -> DataFrame:
     return g.select("conv_id", "turn", S.walked_speaker(F.col("begin"), F.col("stop"), F.col("l")).cast("long").alias("speaker"))
 
 
-@query()
-def num_all_slots(t: Tables) -> DataFrame:
-    """Verdicts of every slot of broadcast lines made from events; lines without a slot are UNPARSED."""
+def broadcast_lines(t: Tables) -> DataFrame:
+    """event_id and a broadcast line made from the event."""
     n = lambda c: F.upper(T.spoken_digits(c.cast("string")))
     full = F.concat_ws(
         " ",
@@ -221,6 +220,12 @@ def num_all_slots(t: Tables) -> DataFrame:
         F.lit("ALTIMETER"), n(F.col("event_id") % 900 + 2600), F.lit("RUNWAY"), n(F.col("user_id") % 40 + 1), F.lit("FREQUENCY ONE TWO ONE DECIMAL"), n(F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")), F.lit("FLIGHT LEVEL"), n(F.col("event_id") % 700 + 1),
     )
     line = F.when(F.col("event_type") == "error", F.lit("GOOD DAY")).otherwise(full)
-    verdicts = slots.check_slots(line)
-    rows = t.events.select("event_id", *[c.alias(s) for s, c in verdicts.items()])
+    return t.events.select("event_id", line.alias("line"))
+
+
+@query()
+def num_all_slots(t: Tables) -> DataFrame:
+    """Verdicts of every slot of broadcast lines made from events; lines without a slot are UNPARSED."""
+    verdicts = slots.check_slots(F.col("line"))
+    rows = broadcast_lines(t).select("event_id", *[c.alias(s) for s, c in verdicts.items()])
     return rows.select("event_id", F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in verdicts]), F.array(*verdicts))).alias("slot", "verdict")).where("verdict IS NOT NULL")
