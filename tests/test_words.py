@@ -125,3 +125,72 @@ def test_word_queries(spark):
         assert " ".join(" ".join(t for *_, t in sorted(own)).split()) == " ".join(texts[k].split())
     labels = QUERIES["sup_segment_speakers"](spark, SF).collect()
     assert labels and all(r.label.startswith("SPK") and r.overlap_ms > 0 for r in labels)
+
+
+# terms, patterns and tags
+
+
+def test_patterns_render_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import terms
+
+    lines = {
+        "saint johns  INFORMATION FOXTROT WEATHER AT ONE TWO ZERO ZERO ZULU": "圣约翰斯机场通播信息 Foxtrot（F），气象观测时间 1200 世界协调时。",
+        "WIND TWO FOUR ZERO AT ZERO FIVE": "风向 240，风速 5 节。",
+        "VISIBILITY ONE FIVE TWO FOUR THOUSAND FEET": "能见度 15，云底高 24000 英尺。",
+        "VISIBILITY ONE FIVE TWO THOUSAND FEET": "能见度 152。",
+        "TEMPERATURE ZERO ONE DEW POINT MINUS ONE": "温度 1℃，露点零下 1℃。",
+        "ALTIMETER THREE ZERO TWO THREE": "修正海压 3023（30.23 英寸汞柱）。",
+        "ALTIMETER THREE ZERO TWO": "修正海压 302。",
+        "APPROACH RNAV ZULU RUNWAY TWO EIGHT": "进近方式 RNAV Z，使用跑道 28。",
+        "APPROACH RNAV ZULU RUNWAY FOUR": "进近方式 RNAV Z，使用跑道 4。",
+        "INFORM GANDER CENTER ON FREQUENCY ONE TWO THREE DECIMAL ONE FIVE AS REQUESTED": "如需引导可联系冈德中心，频率 123.15。",
+        "APPROACH ON INITIAL CONTACT LANDING AND DEPARTING RUNWAY ZERO FIVE": "落地和起飞使用跑道 05，首次联系进近时报告。",
+        "INFORM ATC THAT YOU HAVE INFORMATION GOLF": "联系时告知管制（ATC）你已收到通播信息 GOLF。",
+        "WIND TWO FOUR ZERO AT FIVE KNOTS": None,
+        "": None,
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, t string").select("k", terms.rendered(F.col("t")).alias("r"))
+    assert [r.r for r in df.orderBy("k").collect()] == list(lines.values())
+
+
+def test_terms_equal_plain_rules(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import terms
+
+    rows = [("APPROACH RNAV ZULU RUNWAY TWO", "跑道"), ("approach on WIND", "风"), ("WEATHER AT ONE ZULU", "UTC 天气"), ("RNAV ZULU", ""), ("hello", ""), ("INFORMATION B MINUS AS REQUESTED", "-如需")]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, en string, zh string").select("k", terms.audited(F.col("en"), F.col("zh")).alias("x")).orderBy("k").collect()
+    for (en, zh), r in zip(rows, got):
+        want = [(p, re.search(p, en.upper())[0], w.split("|")[0], bool(re.search(w, zh))) for p, w in terms.TERMS if re.search(p, en.upper())]
+        assert [tuple(x) for x in r.x] == want
+    assert len(terms.TERMS) == 22
+
+
+def test_term_queries_agree(spark):
+    audit = QUERIES["num_term_audit"](spark, SF).collect()
+    missed = QUERIES["num_term_suggestions"](spark, SF)
+    assert sum(r.total - r.hits for r in audit) == missed.count() > 0 and missed.where("current IS NOT NULL").count() > 0
+    assert all(r.hit_rate is None or r.hit_rate == round(r.hits / r.total, 9) for r in audit)
+    rendered = QUERIES["num_template_rendering"](spark, SF).collect()
+    assert {r.event_id % 10 for r in rendered if r.rendered is None} == {9}
+
+
+def test_rich_text():
+    from tidewater.functions import udfs
+
+    cases = {
+        "<|en|><|HAPPY|><|BGM|>hello there": "🎼hello there😊",
+        "<|en|><|NEUTRAL|><|Speech|>plain": "plain",
+        "<|zh|><|HAPPY|><|SAD|>x": "x😊",
+        "<|en|><|BGM|><|Laughter|> a <|HAPPY|>": "😀🎼a😊",
+        "<|en|><|BGM|><|HAPPY|>a <|zh|><|BGM|><|HAPPY|>b": "🎼ab😊",
+        "<|nospeech|><|Event_UNK|>": "❓",
+        "<|en|><|Cough|><|odd|>y": "🤧<|odd|>y",
+        "": "",
+        "no tags": "no tags",
+    }
+    assert {k: udfs.rich_text(k) for k in cases} == cases and udfs.rich_text(None) is None

@@ -6,6 +6,7 @@ import itertools
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -112,3 +113,50 @@ def cut_text(text: str, longest: int = 80) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def text_parts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else cut_text(t))
+
+
+# Tags of emotions, events and languages.
+EMOTIONS = {"<|HAPPY|>": "😊", "<|SAD|>": "😔", "<|ANGRY|>": "😡", "<|NEUTRAL|>": "", "<|FEARFUL|>": "😰", "<|DISGUSTED|>": "🤢", "<|SURPRISED|>": "😮"}
+EVENTS = {"<|BGM|>": "🎼", "<|Speech|>": "", "<|Applause|>": "👏", "<|Laughter|>": "😀", "<|Cry|>": "😭", "<|Sneeze|>": "🤧", "<|Breath|>": "", "<|Cough|>": "🤧"}
+LANGUAGES = ("<|zh|>", "<|en|>", "<|yue|>", "<|ja|>", "<|ko|>", "<|nospeech|>")
+_UNKNOWN, _NO_TEXT = "<|nospeech|><|Event_UNK|>", "<|EMO_UNKNOWN|>"
+_languages = re.compile("|".join(map(re.escape, LANGUAGES)))
+_tags = re.compile("|".join(map(re.escape, [*EMOTIONS, *EVENTS, _NO_TEXT])))
+_faces = {x for x in [*EMOTIONS.values(), *EVENTS.values(), "😷"] if x}
+_around = re.compile(f" ?([{''.join(sorted(_faces))}]) ?")
+
+
+def tagged_part(text: str) -> tuple[str, str, str]:
+    """Event signs, text and the sign of the dominant emotion of a part; of emotions that come as often, neutral, then the first named wins."""
+    count = Counter(_tags.findall(text))
+    emotion = max(["<|NEUTRAL|>", *EMOTIONS], key=lambda e: count[e])
+    signs = "".join(EVENTS[e] for e in reversed(EVENTS) if count[e])
+    return signs, _tags.sub("", text), EMOTIONS[emotion]
+
+
+def rich_text(text: str | None) -> str | None:
+    """A tagged transcript with signs for its tags: events before each language's part, the dominant emotion after it. A sign
+    that the part before already has is not repeated."""
+    if text is None:
+        return None
+    out, event = "", ""
+    for k, part in enumerate(_languages.split(text.replace(_UNKNOWN, "❓"))):
+        signs, body, emotion = tagged_part(part)
+        part = _around.sub(r"\1", f"{signs}{body}{emotion}").strip()
+        first = part[:1] if part[:1] in _faces else ""
+        if k and first and first == event:
+            part = part[1:]
+            first = part[:1] if part[:1] in _faces else ""
+        if not part:
+            continue
+        event = first
+        last = part[-1:]
+        if k and last in _faces and out.endswith(last):
+            out = out[:-1]
+        out += part
+    return out.replace("The.", " ").strip()
+
+
+@F.pandas_udf(T.StringType())
+def rich_texts(text: pd.Series) -> pd.Series:
+    return text.map(rich_text)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.functions import plugins
+from tidewater.functions import plugins, udfs
 from tidewater.functions import text as T
 from tidewater.operators import manifest as M
 from tidewater.operators import series as S
@@ -82,6 +82,18 @@ def str_tag_map(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(m[F.col("event_type")], F.lit("unknown")).alias("tag"))
 
 
+@query()
+def str_rich_text(t: Tables) -> DataFrame:
+    """Tagged transcripts of two languages with signs for their events and emotions."""
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    tags = lambda k: F.concat(pick(udfs.EMOTIONS, k), pick(udfs.EVENTS, k + F.col("turn")))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    first, second = F.left("text", half), F.substring("text", half + 1, F.char_length("text"))
+    n = F.col("conv_id") + F.col("turn")
+    said = F.concat(pick(udfs.LANGUAGES, n), tags(n), first, F.lit(" "), pick(udfs.LANGUAGES, n + 1), tags(F.floor(n / 2)), F.lit(" "), second)
+    return t.conversations.select("conv_id", "turn", udfs.rich_texts(said).alias("rich"))
+
+
 @query("SELECT user_id, arg_max(event_type, (n, event_type)) AS dominant, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def str_dominant_tag(t: Tables) -> DataFrame:
     """The tag that occurs most in a session."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import numbers as N
+from tidewater.functions import terms as K
 from tidewater.functions import text as T
 from tidewater.plans.base import Tables, query
 
@@ -32,24 +33,57 @@ def num_fidelity(t: Tables) -> DataFrame:
     return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 9).alias("fidelity"))
 
 
-RULES = (("error", "er"), ("view", "ew"), ("purchase", "zz"), ("signup", "up"), ("click", "ck|kc"))
+def pattern_lines(t: Tables) -> DataFrame:
+    """A broadcast line of one of nine kinds, or of none, from each event."""
+    n = lambda c: F.upper(T.spoken_digits(c.cast("string")))
+    two = lambda c: n(F.lpad((c % 100).cast("string"), 2, "0"))
+    e, u = F.col("event_id"), F.col("user_id")
+    letter = F.element_at(F.array(*[F.lit(x) for x in ("FOXTROT", "ALFA", "GOLF", "ECHO")]), (e % 4 + 1).cast("int"))
+    kinds = [
+        F.concat_ws(" ", F.lit("saint johns INFORMATION"), letter, F.lit("WEATHER AT"), two(e), two(u), F.lit("ZULU")),
+        F.concat_ws(" ", F.lit("WIND  TWO"), two(e), F.lit("AT"), two(u)),
+        F.concat_ws(" ", F.lit("VISIBILITY"), two(u), F.when(e % 3 == 0, two(e)).otherwise(n(e % 10)), F.lit("THOUSAND FEET")),
+        F.concat_ws(" ", F.lit("TEMPERATURE"), two(e), F.lit("DEW POINT MINUS"), n(u % 10)),
+        F.concat_ws(" ", F.lit("ALTIMETER TWO NINE"), F.when(e % 4 == 0, n(u % 10)).otherwise(two(u))),
+        F.concat_ws(" ", F.lit("APPROACH RNAV ZULU RUNWAY"), F.when(e % 4 == 1, n(u % 10)).otherwise(two(e))),
+        F.concat_ws(" ", F.lit("INFORM GANDER CENTER ON FREQUENCY ONE"), two(e), F.lit("DECIMAL"), two(u), F.when(u % 2 == 0, "AS REQUESTED").otherwise("WHEN REQUESTED")),
+        F.concat_ws(" ", F.lit("APPROACH ON INITIAL CONTACT LANDING AND DEPARTING RUNWAY"), two(u)),
+        F.concat_ws(" ", F.lit("INFORM ATC THAT YOU HAVE INFORMATION"), letter),
+        F.concat_ws(" ", F.lit("GOOD DAY"), two(e)),
+    ]
+    line = F.element_at(F.array(*kinds), (e % 10 + 1).cast("int"))
+    return t.events.select("event_id", "user_id", line.alias("en"))
+
+
+@query()
+def num_template_rendering(t: Tables) -> DataFrame:
+    """The first of nine patterns that a line fits gives its rendering; none gives null."""
+    return pattern_lines(t).select("event_id", "en", K.rendered(F.col("en")).alias("rendered"))
 
 
-@query(
-    """WITH r AS (SELECT unnest([{'p': 'error', 'w': 'er'}, {'p': 'view', 'w': 'ew'}, {'p': 'purchase', 'w': 'zz'}, {'p': 'signup', 'w': 'up'}, {'p': 'click', 'w': 'ck|kc'}]) AS r)
-    SELECT user_id, count(*) FILTER (WHERE regexp_matches(event_type, r.p)) AS total, count(*) FILTER (WHERE regexp_matches(event_type, r.p) AND regexp_matches(event_type, r.w)) AS hits,
-    round(count(*) FILTER (WHERE regexp_matches(event_type, r.p) AND regexp_matches(event_type, r.w)) / nullif(count(*) FILTER (WHERE regexp_matches(event_type, r.p)), 0), 9) AS hit_rate FROM events, r GROUP BY user_id"""
-)
+def _audited(t: Tables) -> DataFrame:
+    """Lines with renderings, a third of which lost a word, and their audited terms."""
+    zh = K.rendered(F.col("en"))
+    lossy = F.when(F.col("event_id") % 3 == 0, F.regexp_replace(zh, "风|跑道|频率|气象|海压|零下|信息", "")).otherwise(zh)
+    rows = pattern_lines(t).select("event_id", "user_id", "en", lossy.alias("zh"))
+    return rows.withColumn("terms", K.audited(F.col("en"), F.coalesce("zh", F.lit(""))))
+
+
+@query()
 def num_term_audit(t: Tables) -> DataFrame:
-    """Terms that occur and whether their wanted rendering does; null where no term applies. The rules are a fixed list."""
-    total = hits = F.lit(0)
-    for pattern, want in RULES:
-        found = F.col("event_type").rlike(pattern)
-        total, hits = total + found.cast("int"), hits + (found & F.col("event_type").rlike(want)).cast("int")
-    g = t.events.groupBy("user_id").agg(F.sum(total).alias("total"), F.sum(hits).alias("hits"))
+    """How many of 22 terms lines have and renderings keep, by user; null where no term applies."""
+    n = lambda x: F.sum(F.size(x))
+    g = _audited(t).groupBy("user_id").agg(n("terms").alias("total"), n(F.filter("terms", lambda x: x["kept"])).alias("hits"))
     return g.withColumn("hit_rate", F.round(F.col("hits") / F.nullif(F.col("total"), F.lit(0)), 9))
 
 
+@query()
+def num_term_suggestions(t: Tables) -> DataFrame:
+    """The usual rendering of each term that a line's rendering misses; the rendering itself is left as it is."""
+    missed = _audited(t).select("event_id", "zh", F.explode(F.filter("terms", lambda x: ~x["kept"])).alias("x"))
+    return missed.select("event_id", F.col("x.said").alias("term"), F.col("x.wanted").alias("suggestion"), F.col("zh").alias("current"))
+
+
 @query(
     """WITH p AS (SELECT doc_id, n_chars % 3 AS o1, n_chars % 2 AS o2, (n_chars // 3) % 3 AS n1, (n_chars // 2) % 2 AS n2 FROM documents)
     SELECT doc_id, n1 <= o1 AND n2 <= o2 AND (n1 < o1 OR n2 < o2) AS accepted FROM p"""
@@ -64,14 +98,3 @@ def num_strict_improvement(t: Tables) -> DataFrame:
 def agg_retry_stats(t: Tables) -> DataFrame:
     """Attempts and acceptances by round."""
     return t.events.groupBy("user_id", (F.col("event_id") % 3).alias("round_")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("accepted"))
-
-
-@query(
-    """SELECT doc_id, CASE WHEN regexp_matches(text, '^[A-Z][a-z]+ ') THEN 'T1:' || regexp_extract(text, '^([A-Z][a-z]+) (\\S+)', 1) || '/' || regexp_extract(text, '^([A-Z][a-z]+) (\\S+)', 2) WHEN regexp_matches(text, '^[A-Z]{2,}') THEN 'T2:' || regexp_extract(text, '^([A-Z]+)', 1) ELSE NULL END AS rendered FROM documents"""
-)
-def num_template_rendering(t: Tables) -> DataFrame:
-    """The first pattern that a line fits gives its rendering; none gives null."""
-    first = r"^([A-Z][a-z]+) (\S+)"
-    one = F.concat(F.lit("T1:"), F.regexp_extract("text", first, 1), F.lit("/"), F.regexp_extract("text", first, 2))
-    two = F.concat(F.lit("T2:"), F.regexp_extract("text", "^([A-Z]+)", 1))
-    return t.documents.select("doc_id", F.when(F.col("text").rlike("^[A-Z][a-z]+ "), one).when(F.col("text").rlike("^[A-Z]{2,}"), two).alias("rendered"))

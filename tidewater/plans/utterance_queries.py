@@ -124,14 +124,6 @@ def str_segment_dictionary(t: Tables) -> DataFrame:
     return rows.groupBy("conv_id", "turn").agg(F.array_join(pieces, " ").alias("pieces"), F.count_if(F.col("piece").isNull()).alias("n_unknown"))
 
 
-@query("SELECT event_id, event_type AS line, CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'fault' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'order' END AS suggestion FROM events")
-def num_term_suggestions(t: Tables) -> DataFrame:
-    """Wanted renderings of terms that a line misses; the line itself is left as it is."""
-    missed = {"error": ("fault", F.col("event_id") % 3 != 0), "purchase": ("order", F.col("event_id") % 2 == 0)}
-    said = F.coalesce(*[F.when((F.col("event_type") == term) & miss, F.lit(want)) for term, (want, miss) in missed.items()])
-    return t.events.select("event_id", F.col("event_type").alias("line"), said.alias("suggestion"))
-
-
 @query(
     r"""SELECT conv_id, turn, turn * 4000 + CASE WHEN turn % 2 = 0 THEN 120 ELSE 0 END AS begin, turn * 4000 + CASE WHEN turn % 2 = 0 THEN 120 + length(text) * 5 ELSE 3500 END AS stop, trim(regexp_replace(s, '<\|[^|]*\|>', '', 'g')) AS sentence
     FROM (SELECT *, CASE WHEN turn = 3 THEN '<|nospeech|> ' ELSE '<|' || role || '|>' || text END AS s FROM conversations) WHERE trim(regexp_replace(s, '<\|[^|]*\|>', '', 'g')) <> ''"""
