@@ -95,6 +95,20 @@ def test_edit_operations(hyp, ref):
     assert cor + sub + dele == len(ref) and cor + sub + ins == len(hyp)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9)), max_size=8))
+def test_pairs_together_give_what_each_gives(pairs):
+    assert A.edit_operations_of(pairs).tolist() == [list(A.edit_operations(*p)) for p in pairs]
+
+
+def test_pairs_beyond_the_matrix_go_alone(monkeypatch):
+    r = random.Random(2)
+    pairs = [([r.choice("ab") for _ in range(r.randint(0, 30))], [r.choice("ab") for _ in range(r.randint(0, 30))]) for _ in range(40)]
+    want = [list(A.edit_operations(*p)) for p in pairs]
+    monkeypatch.setattr(A, "WHOLE_MATRIX", 500)
+    assert A.edit_operations_of(pairs).tolist() == want
+
+
 def test_chr_f():
     assert A.chr_f_score("same text", "Same  text") == pytest.approx(1.0)
     assert A.chr_f_score("", "x") == 0.0 and A.chr_f_score("abc", "xyz") == 0.0

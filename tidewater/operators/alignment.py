@@ -70,13 +70,67 @@ def edit_operations(hyp: list[str], ref: list[str]) -> tuple[int, int, int, int,
     return cor, sub, ins + i, dele + j, dist
 
 
+def _walk_back(cost: np.ndarray, h: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Correct, substituted, inserted, deleted and distance of pairs whose cost matrices lie side by side (row of hyp, pair, row of ref)."""
+    out = np.zeros((len(i), 5), np.int64)
+    every = np.arange(len(i))
+    out[:, 4] = cost[i, every, j]
+    i, j = i.copy(), j.copy()
+    while len(b := np.flatnonzero((i > 0) & (j > 0))):
+        x, y = i[b], j[b]
+        here = cost[x, b, y]
+        same = h[b, x - 1] == r[b, y - 1]
+        sub = ~same & (here == cost[x - 1, b, y - 1] + 1)
+        ins = ~same & ~sub & (here == cost[x - 1, b, y] + 1)
+        dele = ~same & ~sub & ~ins
+        out[b, :4] += np.stack([same, sub, ins, dele], 1)
+        i[b] -= same | sub | ins
+        j[b] -= same | sub | dele
+    out[:, 2] += i
+    out[:, 3] += j
+    return out
+
+
+def edit_operations_of(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
+    """edit_operations of many (hyp, ref): pairs of about one size go through their cost matrices together, a row at a time."""
+    out = np.zeros((len(pairs), 5), np.int64)
+    names: dict[str, int] = {}
+    coded = [[np.array([names.setdefault(t, len(names)) for t in s], np.int64) for s in p] for p in pairs]
+    order = sorted(range(len(pairs)), key=lambda k: (len(coded[k][0]), len(coded[k][1])))
+    start = 0
+    while start < len(order):
+        stop, n, m = start, 0, 0
+        while stop < len(order):
+            a, b = max(n, len(coded[order[stop]][0])), max(m, len(coded[order[stop]][1]))
+            if stop > start and (stop + 1 - start) * (a + 1) * (b + 1) > WHOLE_MATRIX:
+                break
+            stop, n, m = stop + 1, a, b
+        some = order[start:stop]
+        start = stop
+        if len(some) == 1:
+            out[some[0]] = edit_operations(*pairs[some[0]])
+            continue
+        h, r = np.full((len(some), n), -1), np.full((len(some), m), -2)
+        for k, at in enumerate(some):
+            h[k, : len(coded[at][0])], r[k, : len(coded[at][1])] = coded[at]
+        steps = np.arange(m + 1, dtype=np.int32)
+        cost = np.empty((n + 1, len(some), m + 1), np.int32)
+        cost[0] = steps
+        for i in range(1, n + 1):
+            above, row = cost[i - 1], cost[i]
+            row[:, 0] = i
+            np.minimum(above[:, :-1] + (r != h[:, i - 1 : i]), above[:, 1:] + 1, out=row[:, 1:])
+            row[:] = np.minimum.accumulate(row - steps, axis=1) + steps
+        out[some] = _walk_back(cost, h, r, np.array([len(coded[k][0]) for k in some]), np.array([len(coded[k][1]) for k in some]))
+    return out
+
+
 @F.pandas_udf(EDITS)
 def edits(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """Edit operations of two token arrays; null counts as empty."""
-    rows = []
-    for h, r in zip(hyp, ref):
-        h, r = ([] if x is None else [t.lower() for t in x] for x in (h, r))
-        rows.append((len(r), *edit_operations(h, r)))
+    low = lambda s: [[] if x is None else [t.lower() for t in x] for x in s]
+    pairs = list(zip(low(hyp), low(ref)))
+    rows = np.column_stack([np.array([len(r) for _, r in pairs], np.int64), edit_operations_of(pairs)]) if pairs else np.zeros((0, 6))
     return pd.DataFrame(rows, columns=["n_ref", "cor", "sub", "ins", "del", "dist"]).astype("int32")
 
 
