@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
-from tidewater.functions.times import millis
+from tidewater.functions.times import micros, millis
 from tidewater.operators import manifest as M
 from tidewater.plans.base import Tables, query
 
@@ -216,11 +216,11 @@ def sup_resolve_language(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce(asked, F.when(F.col("doc_id") % 2 == 0, "auto"), F.lit("unknown")).alias("resolved"))
 
 
-@query("SELECT doc_id, source, 0 AS added FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, source, 1 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+@query("SELECT doc_id, source, 0 AS added FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, source, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def sup_idempotent_append(t: Tables) -> DataFrame:
-    """New rows are added only where their id is not there yet."""
-    have = t.documents.where("doc_id % 3 = 0").select("doc_id", "source", F.lit(0).alias("added"))
-    new = t.documents.where("doc_id % 2 = 0").select("doc_id", "source", F.lit(1).alias("added"))
+    """All documents are appended to those that have labels; a row is added only where its id is not there yet."""
+    have = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source", F.lit(0).alias("added"))
+    new = t.documents.select("doc_id", "source", F.lit(1).alias("added"))
     return have.unionByName(new.join(have.select("doc_id"), "doc_id", "left_anti"))
 
 
@@ -245,10 +245,16 @@ def sup_truncate_at_first(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT k, n, id FROM (SELECT k, bit_count(k) AS n, row_number() OVER (ORDER BY k) - 1 AS id FROM range(0, 64) t(k) WHERE bit_count(k) <= 3)"""
+    """WITH c AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS id FROM range(0, 64) t(k) WHERE bit_count(k) <= 3), s AS (SELECT user_id, epoch_us(ts) // 86400000000 AS day, bit_or(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 8 WHEN 'error' THEN 16 ELSE 32 END) AS k FROM events GROUP BY ALL)
+    SELECT user_id, day, CAST(k AS BIGINT) AS k, bit_count(k) AS n, id FROM s LEFT JOIN c USING (k)"""
 )
 def sup_power_set_codes(t: Tables) -> DataFrame:
-    """Dense labels of the sets of at most three of six speakers."""
+    """The set of tracks that are active in each day of a session, as the dense label of sets of at most three of six; larger sets have none."""
     # 64 rows, whatever the data
-    rows = t.spark.range(64).select(F.col("id").alias("k"), F.bit_count("id").alias("n")).where("n <= 3")
-    return rows.select("k", F.col("n"), (F.row_number().over(W.orderBy("k")) - 1).cast("long").alias("id"))
+    codes = t.spark.range(64).select(F.col("id").alias("k")).where(F.bit_count("k") <= 3)
+    codes = codes.select("k", (F.row_number().over(W.orderBy("k")) - 1).cast("long").alias("id"))
+    bit = F.lit(32)
+    for k, name in enumerate(("view", "click", "purchase", "signup", "error")):
+        bit = F.when(F.col("event_type") == name, 1 << k).otherwise(bit)
+    sets = t.events.groupBy("user_id", F.floor(micros("ts") / 86_400_000_000).alias("day")).agg(F.bit_or(bit.cast("long")).alias("k"))
+    return sets.join(F.broadcast(codes), "k", "left").select("user_id", "day", "k", F.bit_count("k").alias("n"), "id")
