@@ -296,3 +296,45 @@ def test_latencies_are_of_aligned_tokens(spark):
                 want[a.conv_id][m.b - m.a] += m.size
     got = {r.conv_id: r.n for r in QUERIES["met_token_latency"](spark, SF).collect()}
     assert got == {k: c.total() for k, c in want.items() if c.total()}
+
+
+# tracks, decodes, windows
+
+
+def test_two_tracks():
+    partials = ["a", "a b", "a b x", "a b c d", "z", "a b c d e"]
+    out = run(sessions.two_tracks(2), [(p.split(),) for p in partials])
+    assert out == [(0, "draft", "a"), (1, "final", "a"), (1, "draft", "b"), (2, "final", "b"), (2, "draft", "x"), (3, "draft", "c d"), (5, "draft", "c d e"), (6, "final", "c d e")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=6), max_size=8), st.integers(1, 3))
+def test_final_words_are_never_taken_back(partials, repeats):
+    out = run(sessions.two_tracks(repeats), [(p,) for p in partials])
+    final: list[str] = []
+    for n, track, text in out:
+        if track == "final":
+            final += text.split()
+        elif len(partials[n]) > len(final):
+            assert text.split() == partials[n][len(final) :]
+    assert not partials or len(final) >= len(partials[-1])
+
+
+def test_decodes_and_windows():
+    assert run(sessions.decoding(480, 960), [(n,) for n in (200, 200, 100, 500, 400, 100, 2000)]) == [(500, 500), (1500, 1000), (3500, 2000)]
+    assert run(sessions.evicting(10), [(n,) for n in (4, 5, 6, 30, 1, 2)]) == [(4, 1, 0), (9, 2, 0), (6, 1, 9), (30, 1, 15), (1, 1, 45), (3, 2, 45)]
+
+
+def test_window_query(spark):
+    sizes = defaultdict(list)
+    for r in sorted(_tokens(spark), key=lambda r: (r.conv_id, r.turn)):
+        sizes[r.conv_id].append(len(r.w))
+    want = Counter()
+    for conv, own in sizes.items():
+        for k in range(len(own)):
+            first = 0
+            while sum(own[first : k + 1]) > 120 and first < k:
+                first += 1
+            want[conv, sum(own[first : k + 1]), k + 1 - first, sum(own[:first])] += 1
+    got = QUERIES["stm_evicting_window"](spark, SF).collect()
+    assert Counter((r.conv_id, r.held, r.segments, r.offset) for r in got) == want

@@ -88,15 +88,27 @@ def align_sessions(df: DataFrame, session: str, order: str, vector: str, labels:
 def compatible_cluster(similar: np.ndarray, loss: list[float], least: float = 0.3) -> tuple[int, ...]:
     """The largest set of candidates that are pairwise alike; ties go to the lower mean loss, then to the first.
 
-    Branches of the search that cannot reach the best size so far are cut; candidates of one reference are few.
+    Branches of the search that cannot reach the best size so far are cut: of the open candidates no two of one colour are alike, so
+    a cluster has one of each colour at most.
     """
     n = len(loss)
     near = [{j for j in range(n) if j != i and similar[i, j] >= least} for i in range(n)]
+
+    def colours(open_: list[int]) -> int:
+        classes: list[set[int]] = []
+        for i in open_:
+            own = next((c for c in classes if not c & near[i]), None)
+            if own is None:
+                classes.append({i})
+            else:
+                own.add(i)
+        return len(classes)
+
     best: tuple = (0, 0.0, ())
     stack = [((), list(range(n)))]
     while stack:
         taken, open_ = stack.pop()
-        if len(taken) + len(open_) < -best[0]:
+        if len(taken) + len(open_) < -best[0] or len(taken) + colours(open_) < -best[0]:
             continue
         if taken:
             best = min(best, (-len(taken), sum(loss[i] for i in taken) / len(taken), taken))

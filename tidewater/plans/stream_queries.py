@@ -220,12 +220,29 @@ def stm_client_endpoints_batch(t: Tables) -> DataFrame:
     return _in_batch(t, sessions.commanded(longest=1 << 40))
 
 
-@query("SELECT event_id, CASE WHEN value * 100 < 480 THEN 0 ELSE 1 + CAST(floor((value * 100 - 480) / 960) AS BIGINT) END AS decodes, CASE WHEN value * 100 < 480 THEN NULL ELSE 480 + 960 * CAST(floor((value * 100 - 480) / 960) AS BIGINT) END AS last_at FROM events")
+_MS = "CAST(floor(value * 5) AS BIGINT)"
+_DECODES = _walked(
+    {"total": ("BIGINT", "0", f"s_total + {_MS}"), "last": ("BIGINT", "0", f"CASE WHEN due IS NOT NULL THEN s_total + {_MS} ELSE s_last END")},
+    {"due": f"CASE WHEN CASE WHEN s_last > 0 THEN s_total + {_MS} - s_last >= 960 ELSE s_total + {_MS} >= 480 END THEN s_total + {_MS} END"},
+    "SELECT user_id, CAST(due AS BIGINT) AS \"at\", CAST(due AS BIGINT) - b_last AS new FROM r WHERE due IS NOT NULL",
+)
+
+
+def _chunks(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "us", "event_id", F.floor(F.col("value") * 5).cast("long").alias("ms"))
+
+
+@query(_DECODES)
 def stm_decode_cadence(t: Tables) -> DataFrame:
-    """Decodes of an utterance: the first after 480 ms, then one a chunk."""
-    ms = F.col("value") * 100
-    steps = F.floor((ms - 480) / 960)
-    return t.events.select("event_id", F.when(ms < 480, F.lit(0)).otherwise(1 + steps).cast("long").alias("decodes"), F.when(ms >= 480, 480 + 960 * steps).cast("long").alias("last_at"))
+    """Decodes of a session whose audio comes in chunks: the first after 480 ms, then one for each 960 ms that have come."""
+    return run_batch(_chunks(t.events.withColumn("us", micros("ts"))), "user_id", ORDER, sessions.decoding(480, 960), quiet=QUIET)
+
+
+@query(_DECODES)
+def stm_decode_cadence_stream(t: Tables) -> DataFrame:
+    """The same by a stateful stream."""
+    source = runs.session_stream(t.spark, t.sf_dir, "events", micros("ts"), _chunks)
+    return runs.run_sessions(source, "user_id", ORDER, sessions.decoding(480, 960), QUIET, "decodes").table
 
 
 def _partials(t: Tables) -> DataFrame:
@@ -249,6 +266,19 @@ def stm_confirmed_prefix(t: Tables) -> DataFrame:
     return run_batch(_partials(t), "talk", ["n"], sessions.confirming(24))
 
 
+@query()
+def stm_two_tracks(t: Tables) -> DataFrame:
+    """Growing partial texts as a final track, which only grows, and drafts that the next one replaces."""
+    return run_batch(_partials(t), "talk", ["n"], sessions.two_tracks(2))
+
+
+@query()
+def stm_evicting_window(t: Tables) -> DataFrame:
+    """A decode window of 120 tokens over the turns of each conversation, and the tokens that it gave up."""
+    rows = t.conversations.select("conv_id", "turn", F.size(T.tokens(F.col("text"))).cast("long").alias("tokens"))
+    return run_batch(rows, "conv_id", ["turn"], sessions.evicting(120))
+
+
 @query()
 def stm_online_speakers(t: Tables) -> DataFrame:
     """Speakers told apart as vectors come."""

@@ -422,6 +422,59 @@ def confirming(most: int) -> Machine:
     return Machine(("words",), "n long, sure long, last array<string>", (0, 0, []), "hypothesis long, confirmed string, trimmed long", step)
 
 
+def two_tracks(repeats: int = 2) -> Machine:
+    """(partial, track, text): after each partial what became final with it, and the rest as a draft that the next one replaces.
+
+    A word is final once `repeats` partials in a row agree on it and all before it; a partial that is shorter than what is final, or
+    differs there, takes nothing back. What is left when the session ends is final too.
+    """
+    commit = committing(repeats)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        n, done, last, _ = state
+        words = list(row[0])
+        # what is final stands, whatever the partial says there
+        words = [*last[:done], *words[done:]] if len(words) >= done else list(last[:done])
+        state, sure = commit.step(state, (words,))
+        rest = words[state[1] :]
+        out = [(n, "final", " ".join(w for _, w in sure))] if sure else []
+        return state, [*out, (n, "draft", " ".join(rest))] if rest else out
+
+    def finish(state: tuple) -> list[tuple]:
+        n, done, last, _ = state
+        return [(n, "final", " ".join(last[done:]))] if last[done:] else []
+
+    return Machine(commit.inputs, commit.state, commit.start, "partial long, track string, text string", step, finish)
+
+
+def decoding(first: int, step_ms: int) -> Machine:
+    """(at, new) of each decode: once `first` ms have come, then whenever `step_ms` more have; new is what came since the last one."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        total, last = state
+        total += row[0]
+        due = total - last >= step_ms if last else total >= first
+        return (total, total if due else last), [(total, total - last)] if due else []
+
+    return Machine(("ms",), "total long, last long", (0, 0), "at long, new long", step)
+
+
+def evicting(most: int) -> Machine:
+    """(held, segments, offset) after each segment of some tokens: the buffer gives up its oldest segments, but never the newest, while
+    it holds over `most` tokens; offset counts all that it gave up."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        sizes, held, offset = state
+        sizes, held = [*sizes, row[0]], held + row[0]
+        gone = 0
+        while held > most and gone < len(sizes) - 1:
+            held, offset, gone = held - sizes[gone], offset + sizes[gone], gone + 1
+        sizes = sizes[gone:]
+        return (sizes, held, offset), [(held, len(sizes), offset)]
+
+    return Machine(("tokens",), "sizes array<long>, held long, gone long", ([], 0, 0), "held long, segments long, offset long", step)
+
+
 def commanded(longest: int) -> Machine:
     """Utterances that the client ends: (begin, stop, reason) at each command, or at the longest length."""
 
