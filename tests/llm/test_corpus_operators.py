@@ -58,22 +58,37 @@ def test_splits_place_points_evenly():
     assert same.leaves == 1 and (same.place(points[:, :3]) == 0).all()
 
 
-def test_queries_go_only_to_shards_that_may_do_better(spark):
-    """Vectors along one axis: only the boxes at its ends reach nine tenths of the best score."""
+def test_leaves_that_cannot_do_better_stay_closed():
+    """Vectors along one axis: only the boxes at its ends reach the best scores."""
     r = np.random.default_rng(6)
-    rows = [(int(k), [float(x) for x in np.eye(8)[0] * r.uniform(-3, 3) + r.normal(size=8) * 0.02]) for k in range(1600)]
-    vectors = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64, "vec_id", "embedding")
-    placed = topk_search.sharded(vectors, 1600, 100)
-    trees = topk_search.build_trees(placed)
-    shards = trees.where("_segment = 0").count()
-    q = placed.where("_id % 20 = 0").withColumnRenamed("_id", "_query").withColumnRenamed("_shard", "_home").withColumns({"_block": F.lit(0).cast("long"), "_score": (F.abs(F.col("_v")[0]) * (0.9 * 3 * 64)).cast("double"), "_last": F.lit(0).cast("long")})
-    pairs = topk_search._open_shards(q, trees, shards, 8, 1 << 20).count()
-    assert shards >= 16 and pairs <= 80 * shards / 4
-    assert topk_search._open_shards(q, trees, shards, 8, 0).count() == 80 * (shards - 1)
-
-
-@pytest.mark.parametrize("box_bytes", [1 << 20, 0])
-def test_search_equals_brute_force(spark, box_bytes):
+    points = np.floor(64 * (np.eye(8)[0] * r.uniform(-3, 3, (1600, 1)) + r.normal(size=(1600, 8)) * 0.02)).astype(np.int64)
+    tree, counts, top = topk_search.Tree(np.arange(1600), points, 16), topk_search.Counts(), topk_search.Top(80, 5)
+    tree.search(points[::20], np.arange(0, 1600, 20), top, np.arange(80), counts)
+    scores = points[::20] @ points.T
+    scores[np.arange(80), np.arange(0, 1600, 20)] = -(1 << 60)
+    assert (top.scores == -np.sort(-scores, 1)[:, :5]).all() and counts.pairs == 80 * 128 and counts.opened < counts.pairs / 4
+    # the kth scores of another tree keep leaves closed
+    other, more = topk_search.Tree(np.arange(2000, 3600), points // 2, 16), topk_search.Counts()
+    other.search(points[::20], np.arange(0, 1600, 20), top, np.arange(80), more)
+    assert more.opened < counts.opened
+
+
+@pytest.mark.parametrize("size", [1, 2.0**24, 2.0**40])
+def test_tree_is_exact_for_large_numbers_and_ties(size):
+    r = np.random.default_rng(7)
+    points = np.array([[int(x * size) for x in row] for row in r.integers(-3, 4, (300, 4)) + (r.normal(size=(300, 4)) if size > 1 else 0)], np.int64)
+    if size == 2.0**40:
+        points //= 1 << 12
+    ids = r.permutation(1000)[:300]
+    tree, top = topk_search.Tree(ids, points, 8), topk_search.Top(300, 7)
+    tree.search(points, ids, top, np.arange(300))
+    for n in range(300):
+        every = sorted((-sum(int(a) * int(b) for a, b in zip(points[n], p)), int(i)) for p, i in zip(points, ids) if i != ids[n])[:7]
+        assert [(-int(s), int(i)) for s, i in zip(top.scores[n], top.ids[n])] == every
+
+
+@pytest.mark.parametrize("query_rows", [7, 1000])
+def test_search_equals_brute_force(spark, query_rows):
     vectors, good = _vectors(spark)
     q = np.floor(64 * np.array([np.float32(v) for _, v, _ in good], dtype=np.float64)).astype(int)
     want = set()
@@ -81,10 +96,16 @@ def test_search_equals_brute_force(spark, box_bytes):
         if k % 20 == 0:
             best = sorted((-int(s), j) for (j, _, _), s in zip(good, q @ q[i]) if j != k)[:20]
             want |= {(k, n, j, -s) for n, (s, j) in enumerate(best, 1)}
-    out = topk_search.top_k(vectors, F.col("_id") % 20 == 0, shard_rows=50, query_rows=7, leaf=8, box_bytes=box_bytes)
+    out = topk_search.top_k(vectors, F.col("_id") % 20 == 0, shard_rows=200 if query_rows == 7 else 50, query_rows=query_rows, leaf=8)
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()} == want
 
 
+def test_vectors_of_each_length_meet_each_other(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(5)] + [(10 + k, [1.0, float(k), 2.0]) for k in range(3)] + [(30, [1.0])]
+    out = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("_id") % 10 == 0, k=2, scale=1)
+    assert sorted(map(tuple, out.collect())) == [(0, 1, 1, 1), (0, 2, 2, 1), (10, 1, 11, 5), (10, 2, 12, 5)]
+
+
 def test_search_with_few_or_no_vectors(spark):
     vectors, good = _vectors(spark, 5)
     few = vectors.where("vec_id < 3")
@@ -206,6 +227,16 @@ def _deleted(texts, min_words):
     return out
 
 
+@pytest.mark.parametrize("odd", [None, "", " \n"])
+def test_a_text_without_words_never_stands_for_an_id(spark, odd):
+    """Copies under ids that also have a row without words lose the repeated block, whatever the texts' hashes."""
+    blocks = ["\n".join(" ".join(f"{c}{k}w{j}" for j in range(10)) for k in range(20)) for c in "abcdefgh"]
+    rows = [(k, t) for k, t in enumerate(blocks)] + [(100 + k, odd) for k in range(8)] + [(100 + k, f"own line {k}\n{t}") for k, t in enumerate(blocks)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc.doc_id, r.clean_text or "", len(r.deleted)) for r in out.collect())
+    assert got == sorted([(k, t, 0) for k, t in enumerate(blocks)] + [(100 + k, odd or "", 0) for k in range(8)] + [(100 + k, f"own line {k}", 20) for k in range(8)])
+
+
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
     """Documents of distinct lines put together from shared passages; in this case alignment and exhaustive search agree."""
     monkeypatch.setattr(line_dedup, "GROUP", 2)
@@ -357,7 +388,7 @@ def test_near_duplicates_of_ids_with_two_texts(spark):
     """One text, of the smallest hash, stands for an id; all rows of the id get its component."""
     a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
     rows = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (11, None), (11, a), (None, a)], "doc_id long, text string")
-    first = {r.doc_id: r.text for r in rows.where("doc_id is not null").orderBy(F.xxhash64("text").desc()).collect()}
+    first = {r.doc_id: r.text for r in rows.where("doc_id is not null and text is not null").orderBy(F.xxhash64("text").desc()).collect()}
     comp, _ = brute.components(first, 4)
     out = near_dedup.near_duplicates(rows, width=4).collect()
     assert len(out) == 7
@@ -365,6 +396,16 @@ def test_near_duplicates_of_ids_with_two_texts(spark):
     assert sorted((r.doc_id or 0, r.n_shingles) for r in out) == [(0, 27), (3, 27), (7, 27), (7, 27), (9, 27), (11, 0), (11, 27)]
 
 
+@pytest.mark.parametrize("odd", [None, "", " \n"])
+def test_no_text_never_stands_for_an_id(spark, odd):
+    """Near copies under ids that also have a row without words: the pair is linked, whatever the texts' hashes."""
+    texts = {k: " ".join(f"{c}{k}" for k in range(200)) for k, c in enumerate("abcdefgh")}
+    rows = [(k, t) for k, t in texts.items()] + [(100 + k, odd) for k in texts] + [(100 + k, t + " more") for k, t in texts.items()]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, marks=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == sorted((k, k % 100, k < 100) for k, _ in rows)
+    assert Counter(r.doc_id for r in out if r.stands) == Counter({k: 1 for k, _ in rows})
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_near_duplicates_close_to_the_threshold(spark, seed):
     """Groups whose pairs lie on both sides of 0.8, linked or not by a word or two."""

@@ -230,3 +230,27 @@ def test_forward_backward_is_exact():
         assert np.allclose(up / total, good[starts[d] : starts[d + 1]])
         assert np.allclose(same / total, alike[starts[d] : starts[d + 1]])
         assert math.isclose(math.log(total), log_z[d])
+
+
+@pytest.mark.parametrize("texts", [["", ""], [None, ""], ["", " \n\t"], ["some words here", ""]])
+def test_quality_without_lines_to_learn_from(spark, texts):
+    """Both labels occur, but not with lines: the score is the share of label 1."""
+    from tidewater.llm.toxicity import held_out
+
+    ids = [r.doc_id for r in spark.range(50).toDF("doc_id").where(~held_out()).limit(4).collect()]
+    rows = [(k, texts[n % 2]) for n, k in enumerate(ids)] + [(900, "a line\nanother line"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, n % 2, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int, toxic int")
+    out = quality_crf.score_quality(docs, labels).collect()
+    assert len(out) == 6 and all(r.score == 0.5 and r.predicted == 1 for r in out)
+    assert toxicity.score_toxicity(docs, labels).count() == 6
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    from tidewater.llm.toxicity import held_out, training_sample
+
+    ids = [r.doc_id for r in spark.range(400).toDF("doc_id").where(~held_out()).collect()]
+    docs = spark.createDataFrame([(k, f"text {k}") for k in ids[-6:]] + [(ids[0], "x" * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int")
+    texts, y, totals = training_sample(docs, labels, "quality", 3, 50)
+    assert len(texts) == 6 and sorted(y) == [0, 0, 0, 1, 1, 1] and sum(totals.values()) == len(ids)

@@ -144,10 +144,14 @@ def _fit_field(x: np.ndarray, y: np.ndarray, starts: np.ndarray, share: np.ndarr
 
 def fit(texts: list[str], y: np.ndarray, totals: dict[int, int]) -> Model:
     none = np.zeros(N_OWN)
-    if not len(y) or len(set(y)) < 2:
-        return Model(none, none + 1, np.zeros(3 * N_OWN), 0.0, (0.0, 0.0), float(y[0]) if len(y) else 0.0)
+    # with nothing to learn from, what is known is how often each label occurs
+    known = Model(none, none + 1, np.zeros(3 * N_OWN), 0.0, (0.0, 0.0), totals.get(1, 0) / max(1, sum(totals.values())))
+    if len(set(y)) < 2:
+        return known
     found = [line_features(t) for t in texts]
     keep = [k for k, (f, _) in enumerate(found) if len(f)]
+    if len({y[k] for k in keep}) < 2:
+        return known
     found, y = [found[k] for k in keep], y[keep]
     starts = np.r_[0, np.cumsum([len(f) for f, _ in found])]
     raw, lengths = np.vstack([f for f, _ in found]), np.concatenate([n for _, n in found])

@@ -57,6 +57,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_clas
     totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy("_y").collect()}
     if not totals:
         return [], np.zeros(0), totals
+    # labels whose document is not there, or too long to learn from, take no place in the sample
+    own = docs.where(F.char_length(text) <= max_chars).select(F.col(id_column).alias("_id"))
+    known = known.join(own, "_id", "left_semi")
     parts = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for y in totals]
     some = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).where(F.char_length("_text") <= max_chars)
