@@ -197,6 +197,10 @@ class Runs:
         return out[::-1]
 
 
+def left_blocks(a: list[int], b: list[int], counts: list[int], min_words: int) -> list[int]:
+    return Runs(a).within(b, counts, min_words)
+
+
 class First:
     """The document that later ones are compared with; its runs are laid out once, when first asked for."""
 
