@@ -38,16 +38,6 @@ def numbered(word: Column) -> Column:
     return F.array_sort(F.transform(letters, lambda c, i: F.concat(F.lpad((F.lit(99) - nth(i)).cast("string"), 2, "0"), rank(c), c)))
 
 
-def _keyed(words: DataFrame, least: float) -> DataFrame:
-    """A row a word and key: its numbered characters, and the first of them that a partner must share one of."""
-    n = F.char_length("_w")
-    # the shortest partner asks for the least overlap
-    partner = F.ceil(n * (least / (2 - least)) - 1e-9)
-    need = F.greatest(F.ceil((n + partner) * (least / 2) - 1e-9), F.lit(1))
-    rows = words.withColumn("_s", numbered(F.col("_w"))).withColumn("_n", n)
-    return rows.select("_w", "_n", "_s", F.slice("_s", F.lit(1), (n - need + 1).cast("int")).alias("_first"))
-
-
 def nearest_words(words: DataFrame, word: str, vocabulary: DataFrame, entry: str, least: float = 0.66) -> DataFrame:
     """word, nearest and ratio of each distinct word that is alike enough to a vocabulary word under the rule on first letters.
 
@@ -56,17 +46,26 @@ def nearest_words(words: DataFrame, word: str, vocabulary: DataFrame, entry: str
     """
     # words that swap their first two letters meet under both orders
     letters = lambda c: F.array(F.left(c, F.lit(1)), F.concat(F.least(F.left(c, F.lit(1)), F.substring(c, 2, 1)), F.lit("/"), F.greatest(F.left(c, F.lit(1)), F.substring(c, 2, 1))))
-    some = lambda df, c: df.select(F.col(c).alias("_w")).where(F.col("_w").isNotNull() & (F.col("_w") != "")).distinct()
-    a, b = _keyed(some(words, word), least), _keyed(some(vocabulary, entry), least)
-    key = lambda df: df.withColumn("_l", F.explode(letters(F.col("_w")))).withColumn("_k", F.explode("_first"))
-    a = key(a).withColumnsRenamed({"_w": "_a", "_n": "_na", "_s": "_sa", "_first": "_fa"})
-    b = key(b).withColumnsRenamed({"_w": "_b", "_n": "_nb", "_s": "_sb", "_first": "_fb"})
-    both = a.join(b, ["_l", "_k"]).where(F.col("_k") == F.array_min(F.array_intersect("_fa", "_fb")))
+    some = lambda df, c: df.select(F.col(c).alias("_w")).where(F.col(c).isNotNull() & (F.col(c) != "")).distinct()
+    spelled = lambda df: df.select("_w", F.char_length("_w").alias("_n"), numbered(F.col("_w")).alias("_s"))
+    shortest = lambda n: F.ceil(n * (least / (2 - least)) - 1e-9)
+    need = lambda a, b: F.greatest(F.ceil((a + b) * (least / 2) - 1e-9), F.lit(1))
+    n = F.col("_n")
+    # a word's keys are what it may share with its shortest partner, which asks for the least; a vocabulary word has keys for each length of a partner
+    a = spelled(some(words, word))
+    a = a.select("_w", "_n", "_s", F.explode(letters(F.col("_w"))).alias("_l"), F.slice("_s", F.lit(1), (n - need(n, shortest(n)) + 1).cast("int")).alias("_f"))
+    a = a.select(F.col("_w").alias("_a"), n.alias("_na"), F.col("_s").alias("_sa"), "_l", F.posexplode("_f").alias("_at", "_k"))
+    b = spelled(some(vocabulary, entry)).withColumn("_na", F.explode(F.sequence(F.greatest(shortest(n), F.lit(1)), F.floor(n * ((2 - least) / least) + 1e-9))))
+    b = b.withColumn("_t", need(F.col("_na"), n)).where(F.col("_t") <= F.least("_na", n)).withColumn("_fb", F.slice("_s", F.lit(1), (n - F.col("_t") + 1).cast("int")))
+    b = b.select(F.col("_w").alias("_b"), n.alias("_nb"), F.col("_s").alias("_sb"), F.col("_na").cast("int").alias("_na"), "_t", "_fb", F.explode(letters(F.col("_w"))).alias("_l")).withColumn("_k", F.explode("_fb"))
     # words of one first letter meet by it, the others by their swapped first two
     one = F.left("_a", F.lit(1)) == F.left("_b", F.lit(1))
-    both = both.where(F.when(one, F.char_length("_l") == 1).otherwise((F.char_length("_l") == 3) & (F.left("_a", F.lit(1)) == F.substring("_b", 2, 1)) & (F.left("_b", F.lit(1)) == F.substring("_a", 2, 1))))
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    near = both.where(common * 2 >= (F.col("_na") + F.col("_nb")) * least - 1e-9).select("_a", "_b").withColumn("_r", ratio("_a", "_b")).where(F.col("_r") >= least)
+    swapped = (F.left("_a", F.lit(1)) == F.substring("_b", 2, 1)) & (F.left("_b", F.lit(1)) == F.substring("_a", 2, 1))
+    rule = F.when(one, F.char_length("_l") == 1).otherwise((F.char_length("_l") == 3) & swapped)
+    first = F.col("_na") - F.col("_t") + 1
+    both = a.join(b, ["_l", "_na", "_k"]).where(rule & (F.col("_at") < first))
+    both = both.where(F.col("_k") == F.array_min(F.array_intersect(F.slice("_sa", F.lit(1), first.cast("int")), F.col("_fb"))))
+    near = both.where(F.size(F.array_intersect("_sa", "_sb")) >= F.col("_t")).select("_a", "_b").withColumn("_r", ratio("_a", "_b")).where(F.col("_r") >= least)
     best = near.groupBy("_a").agg(F.min(F.struct((-F.col("_r")).alias("r"), F.col("_b").alias("b"))).alias("_x"))
     return best.select(F.col("_a").alias("word"), F.col("_x.b").alias("nearest"), (-F.col("_x.r")).alias("ratio"))
 
