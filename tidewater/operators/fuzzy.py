@@ -63,7 +63,10 @@ def nearest_words(words: DataFrame, word: str, vocabulary: DataFrame, entry: str
     swapped = (F.left("_a", F.lit(1)) == F.substring("_b", 2, 1)) & (F.left("_b", F.lit(1)) == F.substring("_a", 2, 1))
     rule = F.when(one, F.char_length("_l") == 1).otherwise((F.char_length("_l") == 3) & swapped)
     first = F.col("_na") - F.col("_t") + 1
-    both = a.join(b, ["_l", "_na", "_k"]).where(rule & (F.col("_at") < first))
+    # rows are narrow and what is done with a pair is not: a stated number of partitions is not coalesced by their bytes
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["_l", "_na", "_k"]
+    both = a.repartition(parts, *keys).join(b.repartition(parts, *keys), keys).where(rule & (F.col("_at") < first))
     both = both.where(F.col("_k") == F.array_min(F.array_intersect(F.slice("_sa", F.lit(1), first.cast("int")), F.col("_fb"))))
     near = both.where(F.size(F.array_intersect("_sa", "_sb")) >= F.col("_t")).select("_a", "_b").withColumn("_r", ratio("_a", "_b")).where(F.col("_r") >= least)
     best = near.groupBy("_a").agg(F.min(F.struct((-F.col("_r")).alias("r"), F.col("_b").alias("b"))).alias("_x"))
