@@ -48,3 +48,17 @@ def test_equals_sql(spark, duck, name):
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_paired_lines_keep_short_lines(spark, tmp_path):
+    """Every line of the first list gives a record: short ones, mismatches, and ones that have no partner."""
+    item = [0, 1, 3, 5, 6, 8, 9]
+    n_chars = {0: 24, 1: 25, 3: 10, 5: 3, 6: 134, 8: None}
+    con = duckdb.connect()
+    spark.createDataFrame([(i,) for i in item], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(n_chars.items()), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["sup_paired_lines"](spark, str(tmp_path)).select("pos", "state", "frames").collect()))
+    assert got == sorted(con.execute(f"SELECT pos, state, frames FROM ({ORACLE['sup_paired_lines']})").fetchall())
+    assert got == [(0, "ok", 0), (1, "ok", 1), (3, "id mismatch", None), (5, "ok", -2), (6, "ok", 11), (8, "ok", None), (9, "missing", None)]
