@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -72,6 +73,24 @@ def test_merging_equals_the_plain_rule():
         assert codec.merge(parts) == want
 
 
+def test_sentencepiece_fits_from_merges():
+    """What the merges of two pieces tell is what merging their characters gives."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    r = random.Random(7)
+    ids = sorted(codec.pieces)
+    pairs = [tuple(r.choices(ids, k=2)) for _ in range(3000)]
+    # parts of pieces, which often join
+    for p in map(codec.pieces.get, r.sample(ids, 1500)):
+        pairs += [(codec.ids[p[:k]], codec.ids[p[k:]]) for k in range(1, len(p)) if p[:k] in codec.ids and p[k:] in codec.ids]
+    told = 0
+    for a, b in pairs:
+        x, y = codec.pieces[a], codec.pieces[b]
+        fit = codec.merge([*x, *y]) == [x, y]
+        assert codec.taken_back(a, b) in (fit, None) and codec.pair_fits(a, b) == fit
+        told += codec.taken_back(a, b) is not None
+    assert told > 0.9 * len(pairs)
+
+
 def test_pieces_equal_the_library_and_decode(docs, rows, no_docs):
     import sentencepiece
 

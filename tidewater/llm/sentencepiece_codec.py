@@ -11,7 +11,8 @@ The forward table depends on the model's kind:
   piece of each prefix's encoding. A sequence of pieces is the encoding of its string exactly when every
   adjacent pair is (each pair encodes to itself), and cutting the last piece off an encoding leaves the encoding
   of the rest; hence the last piece of a prefix is the one that fits the last piece of the prefix before it.
-  Whether two pieces fit is found by merging their characters, and remembered.
+  Whether two pieces fit is found by taking the two back along their merges, the later merge first: they fit unless what
+  meets at the border would have merged before. It is remembered.
 Words with several leading marks, whose pieces tie in score, are merged directly, in n log n.
 
 Characters outside the model become byte pieces where the model has them, else the unknown piece. Decoding joins the
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +40,13 @@ from tidewater.llm.common import TEXT_ROWS_PER_BATCH, fresh, prepare
 
 MARK = "▁"
 #: Entries of the worker's caches, some 50 MB at most each; they bound its memory, not the results.
-WORD_CACHE, PAIR_CACHE = 150_000, 200_000
+WORD_CACHE, PAIR_CACHE, TAIL_CACHE = 150_000, 200_000, 100_000
 #: Longer words are encoded anew in each batch, so that the cache's entries are small.
 CACHED_LENGTH = 128
 #: Text whose new words are sorted into one trie.
 TRIE_BYTES = 4 << 20
+#: Candidates for a prefix's last piece are remembered by its last characters, so many.
+TAIL = 3
 _UNKNOWN = -1
 
 
@@ -80,10 +85,22 @@ class Codec:
         self.pieces = {k: p for p, k in self.ids.items()}
         # lengths of the pieces that end in two given characters, the longest first
         ends: dict[str, set[int]] = {}
+        # of those with more than TAIL characters, by their last TAIL
+        longer: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
                 ends.setdefault(p[-2:], set()).add(len(p))
+            if len(p) > TAIL:
+                longer.setdefault(p[-TAIL:], set()).add(len(p))
         self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in ends.items()}
+        self.longer = {k: sorted(v, reverse=True) for k, v in longer.items()}
+        # candidates by the last TAIL characters
+        self.tails: dict[str, list[tuple[int, int | None]]] = {}
+        # pieces of several characters whose score no other has: only their merges have an order of their own
+        often = Counter(self.scores[i] for p, i in self.ids.items() if len(p) > 1)
+        self.ranked = {i for p, i in self.ids.items() if len(p) > 1 and often[self.scores[i]] == 1}
+        # the two parts that a piece is merged from last
+        self.parts: dict[int, tuple[int, int] | None] = {}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             self.cut = re.compile(r"(?s).+").findall  # pieces cross words: the text is one word
         else:
@@ -95,8 +112,8 @@ class Codec:
         self.fits: dict[int, bool] = {}
         self.cache_entries = cache_entries
 
-    def merge(self, chars: list[str]) -> list[str]:
-        """Plain BPE: the adjacent pair whose union scores best merges first, the leftmost of equals.
+    def merge(self, chars: list[str], without: int | None = None) -> list[str]:
+        """Plain BPE: the adjacent pair whose union scores best merges first, the leftmost of equals. The piece `without` is not made.
 
         Pairs wait in a heap as (score, where the left part begins, length of the union); a pair whose parts have
         changed since has another length there and is passed over. Costs n log n, also for runs of one character.
@@ -107,7 +124,7 @@ class Codec:
         heap = []
         for k in range(n - 1):
             i = ids.get(chars[k] + chars[k + 1])
-            if i is not None:
+            if i is not None and i != without:
                 heap.append((-scores[i], k, len(chars[k]) + len(chars[k + 1])))
         heapq.heapify(heap)
         while heap:
@@ -122,7 +139,7 @@ class Codec:
                 right = after[left] if left >= 0 else n
                 if right < n:
                     i = ids.get(parts[left] + parts[right])
-                    if i is not None:
+                    if i is not None and i != without:
                         heapq.heappush(heap, (-scores[i], left, len(parts[left]) + len(parts[right])))
         return [p for p in parts if p is not None]
 
@@ -133,57 +150,86 @@ class Codec:
             fit = self.whole[piece] = self.merge([*p]) == [p]
         return fit
 
+    def split(self, piece: int) -> tuple[int, int] | None:
+        """The parts that are merged last into a piece that stands alone; None where merging alone can tell what becomes of it.
+
+        Merging its characters without making the piece itself leaves them.
+        """
+        if piece not in self.parts:
+            p, found = self.pieces[piece], None
+            if piece in self.ranked and self.stands_alone(piece):
+                limit = self.scores[piece]
+                steps = self.merge([*p], without=piece)
+                if len(steps) == 2:
+                    a, b = (self.ids.get(x) for x in steps)
+                    # parts are merged before the whole
+                    if a is not None and b is not None and all(len(self.pieces[x]) == 1 or self.scores[x] > limit for x in (a, b)):
+                        found = a, b
+            self.parts[piece] = found
+        return self.parts[piece]
+
+    def taken_back(self, left: int, right: int) -> bool | None:
+        """Whether two pieces that stand alone fit, from the merges that made them; None where equal scores leave it open."""
+        ids, scores, pieces, ranked = self.ids, self.scores, self.pieces, self.ranked
+        # what is merged at the border must come before all that has been taken back; a tie goes to the left
+        limit, later = -np.inf, False
+        while True:
+            both = ids.get(pieces[left] + pieces[right])
+            if both is not None:
+                if both not in ranked:
+                    return None
+                if scores[both] > limit or (later and scores[both] == limit):
+                    return False
+            a, b = len(pieces[left]) > 1, len(pieces[right]) > 1
+            if not a and not b:
+                return True
+            # the right part's merge comes after an equal one to its left
+            if b and (not a or scores[right] <= scores[left]):
+                limit, later, parts, one = scores[right], True, self.split(right), False
+            else:
+                limit, later, parts, one = scores[left], False, self.split(left), True
+            if parts is None:
+                return None
+            if one:
+                left = parts[1]
+            else:
+                right = parts[0]
+
     def pair_fits(self, left: int, right: int) -> bool:
         if len(self.fits) > PAIR_CACHE:
             self.fits.clear()
-        a, b = self.pieces[left], self.pieces[right]
-        fit = self.fits[left * len(self.scores) + right] = self.merge([*a, *b]) == [a, b]
+        fit = self.taken_back(left, right) if self.stands_alone(left) and self.stands_alone(right) else False
+        if fit is None:
+            a, b = self.pieces[left], self.pieces[right]
+            fit = self.merge([*a, *b]) == [a, b]
+        self.fits[left * len(self.scores) + right] = fit
         return fit
 
+    def candidates(self, tail: str) -> list[tuple[int, int | None]]:
+        """Lengths of the pieces that may end in a prefix's last TAIL characters (all, if fewer), the longest first, with their ids where these characters tell them."""
+        if len(self.tails) > TAIL_CACHE:
+            self.tails.clear()
+        found: list[tuple[int, int | None]] = [(n, None) for n in self.longer.get(tail, ())] if len(tail) == TAIL else []
+        found += [(len(tail) - k, self.ids[tail[k:]]) for k in range(len(tail)) if tail[k:] in self.ids]
+        self.tails[tail] = found
+        return found
+
     def spell(self, char: str) -> list[int]:
         """An unknown character: its bytes, or the unknown piece."""
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Pieces of sorted distinct words; the forward table is shared along common prefixes."""
-        ids, lengths, fits, n, one = self.ids, self.lengths, self.fits, len(self.scores), (1,)
         before = ""
         # of each prefix: its last piece, where that begins, and (unigram) the score of its best path
         last, begins, score = [_UNKNOWN], [0], [0.0]
-        floor = min(self.scores, default=0.0) - 10.0
+        extend = self._best if self.unigram else self._fitting
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], begins[shared + 1 :], score[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                piece, start = _UNKNOWN, end - 1
-                if self.unigram:
-                    best = score[end - 1] + floor
-                    for length in lengths.get(word[end - 2 : end], one) if end > 1 else one:
-                        s = end - length
-                        i = ids.get(word[s:end]) if s >= 0 else None
-                        if i is not None and score[s] + self.scores[i] > best:
-                            best, piece, start = score[s] + self.scores[i], i, s
-                    score.append(best)
-                else:
-                    for length in lengths.get(word[end - 2 : end], one) if end > 1 else one:
-                        s = end - length
-                        i = ids.get(word[s:end]) if s >= 0 else None
-                        if i is None:
-                            continue
-                        if s == 0 or last[s] == _UNKNOWN:
-                            fit = self.stands_alone(i)
-                        else:
-                            fit = fits.get(last[s] * n + i)
-                            if fit is None:
-                                fit = self.pair_fits(last[s], i)
-                        if fit:
-                            piece, start = i, s
-                            break
-                    score.append(0.0)
-                last.append(piece)
-                begins.append(start)
+            extend(word, shared + 1, last, begins, score)
             before = word
             out, end = [], len(word)
             while end:
@@ -193,7 +239,54 @@ class Codec:
                 else:
                     out.append(last[end])
                     end = begins[end]
-            yield out[::-1]
+            out.reverse()
+            yield out
+
+    def _best(self, word: str, first: int, last: list[int], begins: list[int], score: list[float]) -> None:
+        """The forward table of a unigram model from prefix `first` on: the end of the best path."""
+        ids, lengths, one = self.ids, self.lengths, (1,)
+        floor = min(self.scores, default=0.0) - 10.0
+        for end in range(first, len(word) + 1):
+            piece, start = _UNKNOWN, end - 1
+            best = score[end - 1] + floor
+            for length in lengths.get(word[end - 2 : end], one) if end > 1 else one:
+                s = end - length
+                i = ids.get(word[s:end]) if s >= 0 else None
+                if i is not None and score[s] + self.scores[i] > best:
+                    best, piece, start = score[s] + self.scores[i], i, s
+            score.append(best)
+            last.append(piece)
+            begins.append(start)
+
+    def _fitting(self, word: str, first: int, last: list[int], begins: list[int], score: list[float]) -> None:
+        """The forward table of a BPE model from prefix `first` on: the piece that fits the last one of what is before it."""
+        get_id, get_fit, get_tail, n = self.ids.get, self.fits.get, self.tails.get, len(self.scores)
+        for end in range(first, len(word) + 1):
+            tail = word[end - TAIL : end] if end > TAIL else word[:end]
+            found = get_tail(tail)
+            if found is None:
+                found = self.candidates(tail)
+            for length, i in found:
+                s = end - length
+                if i is None:
+                    if s < 0:
+                        continue
+                    i = get_id(word[s:end])
+                    if i is None:
+                        continue
+                if s == 0 or last[s] == _UNKNOWN:
+                    fit = self.stands_alone(i)
+                else:
+                    fit = get_fit(last[s] * n + i)
+                    if fit is None:
+                        fit = self.pair_fits(last[s], i)
+                if fit:
+                    last.append(i)
+                    begins.append(s)
+                    break
+            else:
+                last.append(_UNKNOWN)
+                begins.append(end - 1)
 
     def encode_merged(self, word: str) -> list[int]:
         out = []
@@ -215,7 +308,7 @@ class Codec:
         cache = self.cache
         plain = [w for w in new if self.unigram or not w.startswith(MARK * 2)]
         for w, ids in zip(plain, self.encode_sorted(plain)):
-            cache[w] = np.array(ids, np.int32).tobytes()
+            cache[w] = array("i", ids).tobytes()
         for w in new:
             if w not in cache:
                 cache[w] = np.array(self.encode_merged(w), np.int32).tobytes()
