@@ -477,6 +477,33 @@ def test_mixing_rates_solve_the_dual(spark):
             assert max(free) - min(free) <= 1e-9 * max(1, abs(max(free)))
 
 
+def test_workers_keep_one_operators_tables(spark):
+    """A worker that goes on to another operator lets go of what the first one kept; its own stays for its next task."""
+    import pyarrow as pa
+
+    from tidewater.llm.common import frugal, kept_by_worker, prepare
+
+    def run(operator):
+        def work(batches):
+            for batch in batches:
+                made = []
+                kept_by_worker(operator, "table", lambda: made.append(1))
+                yield pa.RecordBatch.from_arrays([pa.array([len(made)] * batch.num_rows, pa.int64())], names=["made"])
+
+        rows = prepare(spark).range(1).repartition(1)
+        return [r.made for r in rows.mapInArrow(frugal(operator, work), "made long").collect()]
+
+    assert run("one") == [1]
+    held = run("one")
+    # the same worker does it, or a new one
+    assert held in ([0], [1])
+    # in one process
+    made = []
+    for operator in ("one", "one", "two", "one"):
+        list(frugal(operator, lambda batches, o=operator: iter([kept_by_worker(o, "table", lambda: made.append(o))]))(iter([])))
+    assert made == ["one", "two", "one"]
+
+
 def test_pipeline(spark, docs, no_docs):
     import corpus_pipeline as P
 

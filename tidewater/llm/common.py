@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,56 @@ def discard(*tables: DataFrame | None) -> None:
             remove_path(t.sparkSession, path)
 
 
+#: What this worker keeps between its tasks, of one operator at a time.
+_kept: dict[tuple, object] = {}
+
+
+def kept_by_worker(operator: str, key: str, make: Callable[[], object]) -> object:
+    """What make() gives, kept for the worker's later tasks of the same operator."""
+    if (operator, key) not in _kept:
+        _kept[operator, key] = make()
+    return _kept[operator, key]
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None  # not glibc
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits, or goes on to another operator, holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def make_room(operator: str) -> None:
+    """Let go of what other operators keep in this worker."""
+    others = [k for k in _kept if k[0] != operator]
+    for k in others:
+        del _kept[k]
+    if others:
+        give_back()
+
+
+def frugal(operator: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow: what another operator keeps in the worker goes before it, and freed memory after it."""
+
+    def task(batches: Iterator) -> Iterator:
+        # by name, as the worker's own module holds what is kept
+        make_room(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def words(text: Column) -> Column:
     """Words of a text: maximal runs of anything but ASCII white space; null gives no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bound, carried, carried_text, discard, prepare, restored, stage, without
+from tidewater.llm.common import bound, carried, carried_text, discard, frugal, prepare, restored, stage, without
 
 MIN_WORDS = 50
 #: Later documents that share one copy of their first document's lines.
@@ -243,7 +243,7 @@ def document_lines(docs: DataFrame, min_words: int, id_column: str, text: str) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h, pa.binary()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_t", "_h", "_c", "_keys"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
-    return rows.mapInArrow(run, "_id long, _t long, _h binary, _c binary, _keys array<long>")
+    return rows.mapInArrow(frugal("line_dedup", run), "_id long, _t long, _h binary, _c binary, _keys array<long>")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,7 +275,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc
     later = pairs.join(groups, "first").select("first", F.pmod(F.xxhash64("later"), "groups").alias("salt"), F.lit(True).alias("is_later"), F.col("later").alias("_id")).join(lines, "_id").select(columns)
     firsts = groups.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("is_later"), F.col("first").alias("_id")).join(lines, "_id").select(columns)
     rows = later.unionByName(firsts).repartition("first", "salt").sortWithinPartitions("first", "salt", "is_later")
-    aligned = rows.mapInArrow(align, "_id long, _t long, _gone array<int>")
+    aligned = rows.mapInArrow(frugal("line_dedup", align), "_id long, _t long, _gone array<int>")
     out = stage(aligned.select("_id", "_t", F.explode("_gone").alias("g")).groupBy("_id", "_t").agg(F.collect_set("g").alias("_gone")), "deletions")
     discard(staged, pairs)
     return out

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, prepare, stage
+from tidewater.llm.common import discard, frugal, prepare, stage
 
 BANDS, ROWS = 30, 4
 SLOTS = BANDS * ROWS
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, width: int, id_column: str, text: str) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), batch.column(2), pa.array(sig, pa.binary())], names=["_id", "_n", "_d", "_t", "_sig"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
-    return rows.mapInArrow(run, "_id long, _n long, _d binary, _t long, _sig binary")
+    return rows.mapInArrow(frugal("near_dedup", run), "_id long, _n long, _d binary, _t long, _sig binary")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
     a = sigs.select(F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("_sig").alias("sa"))
     b = sigs.select(F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("_sig").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(frugal("near_dedup", run), "a long, b long")
 
 
 def within(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ class Texts:
 
         # no semi-join, which the optimizer would move below the filter; merged, so that texts move alike at every size
         wanted = stage(self.reps.join(tasks.select(F.col("id").alias("_id")).distinct(), "_id", "left_semi").select("_id", "_t"), "wanted")
-        packed = within(self.rows, wanted).select("_id", "_t", "_text").mapInArrow(pack, "_id long, _t long, _size long, _packed binary")
+        packed = within(self.rows, wanted).select("_id", "_t", "_text").mapInArrow(frugal("near_dedup", pack), "_id long, _t long, _size long, _packed binary")
         where = tasks.join(wanted, F.col("id") == F.col("_id")).select(*TASK, "id", "comp", "_t").hint("merge")
         return packed.join(where, (F.col("_id") == F.col("id")) & (packed["_t"] == where["_t"])).select(*TASK, "id", "comp", "_size", "_packed")
 
@@ -307,13 +307,15 @@ def block_links(comp: np.ndarray, sets: list[np.ndarray], threshold: int) -> lis
     join(0, np.flatnonzero((100 * common >= threshold * (n[0] + n - common)) & (common > 0)))
     if (label == label[0]).all():
         return out
-    elements, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    elements, row = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), n)
+    order = np.argsort(elements, kind="stable")
+    elements, row = elements[order], row[order]
+    del order
+    first = np.r_[True, elements[1:] != elements[:-1]]
     # what one member alone has is in no intersection
-    shared = np.cumsum(count > 1) - 1
-    keep = count[at] > 1
-    column, row = shared[at][keep], np.repeat(np.arange(m), n)[keep]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
+    keep = ~(first & np.r_[first[1:], True])
+    row, column = row[keep], np.cumsum(first[keep], dtype=np.int32) - 1
+    del elements, first, keep
     common = np.zeros((m, m), np.int64)
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, (start, start + COLUMNS))
@@ -349,7 +351,7 @@ def _walk(rows: DataFrame, work, out: str) -> DataFrame:
                     yield got
             held = held.slice(int(starts[done]))
 
-    return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(walk, out)
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK, "id").mapInArrow(frugal("near_dedup", walk), out)
 
 
 def cluster_tasks(near: DataFrame, reps: DataFrame) -> DataFrame:

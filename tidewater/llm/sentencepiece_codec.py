@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import TEXT_ROWS_PER_BATCH, fresh, prepare
+from tidewater.llm.common import TEXT_ROWS_PER_BATCH, fresh, frugal, kept_by_worker, prepare
 
 MARK = "▁"
 #: Entries of the worker's caches, some 50 MB at most each; they bound its memory, not the results.
@@ -328,14 +328,9 @@ class Codec:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def worker_codec(path: str) -> Codec:
-    """The worker's codec; its tables and known pairs serve all tasks that the worker runs."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """The worker's codec; its tables and known pairs serve the tasks of this operator that the worker runs."""
+    return kept_by_worker("sentencepiece", path, lambda: Codec(path))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -372,9 +367,10 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", output
             out = pa.RecordBatch.from_arrays([*batch.columns, pieces, *more], names=[*batch.schema.names, name, *([back] if back else [])])
             for start in range(0, out.num_rows, TEXT_ROWS_PER_BATCH):
                 yield out.slice(start, TEXT_ROWS_PER_BATCH)
+            del batch, texts, found, values, pieces, more, out
         codec.rest()
 
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` array<int>", *([f"`{back}` string"] if back else [])]))
+    return docs.mapInArrow(frugal("sentencepiece", run), ", ".join([*fields, f"`{name}` array<int>", *([f"`{back}` string"] if back else [])]))
 
 
 def decode(docs: DataFrame, model: str | None = None, pieces: str = "pieces", output: str = "decoded") -> DataFrame:
@@ -393,4 +389,4 @@ def decode(docs: DataFrame, model: str | None = None, pieces: str = "pieces", ou
             texts = [codec.decode(values[offsets[k] : offsets[k + 1]]) if valid[k] else None for k in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` string"]))
+    return docs.mapInArrow(frugal("sentencepiece", run), ", ".join([*fields, f"`{name}` string"]))
