@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewater.functions.slot_table import slot_rows
 from tidewater.operators import words as O
-from tidewater.plans.registry import QUERIES
+from tidewater.plans.registry import ORACLE, QUERIES
 from tidewater.sources import inputs
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,27 @@ def test_inputs_of_each_kind(spark, tmp_path, split):
         spark.read.format("utterances").load(str(tmp_path / "nowhere.txt")).count()
 
 
+def test_inputs_of_a_table_of_many_parts(spark, tmp_path):
+    """Each file holds one array, whatever parts the table has: several that a shuffle puts together, empty ones, none."""
+    schema = "doc_id long, source string, lang string"
+    docs = spark.createDataFrame([(k, None if k == 3 else 'a"b', "en") for k in range(40)], schema)
+    tables = {"many": docs.repartition(9, "doc_id"), "gaps": docs.where("doc_id = 3").union(docs.where("doc_id < 0")), "none": docs.where("doc_id < 0")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        for conf in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+            # a file a partition
+            spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+            try:
+                got = sorted(map(tuple, QUERIES["src_inputs"](spark, f"{tmp_path}/{name}").collect()))
+            finally:
+                spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert got == sorted(con.execute(ORACLE["src_inputs"]).fetchall())
+
+
 def test_slot_details():
     rows = {s: (v, d) for s, v, d in slot_rows("saint johns INFORMATION CHARLIE weather at ONE TWO THREE ZERO ZULU WIND TWO FOUR ZERO AT FIVE VISIBILITY ONE FIVE TEMPERATURE MINUS ONE DEW POINT TWO ALTIMETER THREE ZERO TWO THREE RUNWAY TWO EIGHT LEFT FREQUENCY ONE TWO THREE DECIMAL ONE FIVE FLIGHT LEVEL TWO HUNDRED")}
     assert rows == {

@@ -14,6 +14,7 @@ from tidewater.plans.base import Tables, query
 from tidewater.plans.utterance_queries import broadcast_lines
 from tidewater.sources import inputs
 from tidewater.sources.scratch import make_path
+from tidewater.sources.writers import json_arrays
 
 
 @query(
@@ -21,13 +22,13 @@ from tidewater.sources.scratch import make_path
     SELECT key, source, kind FROM d, (VALUES ('scp'), ('jsonl'), ('json')) k(kind)"""
 )
 def src_inputs(t: Tables) -> DataFrame:
-    """Lists of documents as scp, JSON lines and a JSON array, read by one format that tells them by their suffix."""
+    """Lists of documents as scp, JSON lines and JSON arrays, read by one format that tells them by their suffix."""
     key, source = F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit(" "), F.col("doc_id").cast("string"), F.lit(".wav"))
     rows = t.documents.select(key.alias("key"), source.alias("source"))
     item = F.to_json(F.struct("key", "source"))
     lines = {"scp": rows.select(F.concat_ws(" ", "key", "source").alias("value")), "jsonl": rows.select(item.alias("value"))}
-    # an array for each part of the table
-    lines["json"] = rows.select(item.alias("i"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("i"), ","), F.lit("]")).alias("value")).select("value")
+    # an array, and so a file, for each part of the table
+    lines["json"] = json_arrays(rows.select(item.alias("i")), "i")
     folder, read = make_path(t.spark, "inputs"), []
     for kind, df in lines.items():
         path = f"{folder}/{kind}"

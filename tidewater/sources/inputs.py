@@ -85,7 +85,8 @@ class Reader(DataSourceReader):
         files, base = fs.FileSystem.from_uri(part.path) if "://" in part.path else (fs.LocalFileSystem(), part.path)
         with files.open_input_file(base) as f:
             if kind in WHOLE:
-                got = json.loads(f.read())
+                # a file without a value, as Spark writes for a table without partitions, holds nothing
+                got = json.loads(f.read().strip() or b"[]")
                 for k, item in enumerate(got if isinstance(got, list) else [got]):
                     yield *_of_json(item, f"{stem}-{k}"), part.path
                 return

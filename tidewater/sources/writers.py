@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,23 @@ def key_value_lines(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(F.concat_ws(" ", F.col(key), F.col(value)).alias("value"))
 
 
+def json_arrays(df: DataFrame, item: str) -> DataFrame:
+    """The lines of one JSON array for each partition, empty ones too, so that each file of df.write.text holds one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda x: pa.RecordBatch.from_pydict({"value": pa.array(x, pa.string())})
+        yield lines(["["])
+        lead = ""
+        for batch in batches:
+            if batch.num_rows:
+                first, *rest = batch.column(0).to_pylist()
+                yield lines([lead + first, *["," + x for x in rest]])
+                lead = ","
+        yield lines(["]"])
+
+    return df.select(item).mapInArrow(run, "value string")
+
+
 def vtt_time(ms: Column) -> Column:
     """hh:mm:ss.mmm, without the hours where there are none."""
     full = F.replace(srt_time(ms), F.lit(","), F.lit("."))
