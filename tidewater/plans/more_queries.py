@@ -374,9 +374,20 @@ def win_phase_vote(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS score, row_number() OVER (ORDER BY round(avg(value), 6), user_id) AS place FROM events GROUP BY user_id")
 def sup_leaderboard_by_mean(t: Tables) -> DataFrame:
-    """Places by a mean score; systems are numbered within whole scores, which are put end to end by their counts."""
-    g = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("score"))
-    return M.positions(g, ["score", "user_id"], F.floor("score"), "place").withColumn("place", F.col("place") + 1)
+    """Places by a mean score; systems are numbered within whole scores, which are put end to end by their counts.
+
+    Means often lie halfway between two millionths, where the order in which doubles are added decides. A system's values are added in
+    the order of the table's rows, as by the SQL on one thread, whatever parts Spark reads; partial sums would depend on the parts.
+    """
+    rows = t.events.select("user_id", "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    up = W.partitionBy("user_id").orderBy("file", "row").rowsBetween(W.unboundedPreceding, 0)
+    run = rows.select("user_id", F.count(F.lit(1)).over(up).alias("n"), F.avg("value").over(up).alias("mean"))
+    last = run.groupBy("user_id").agg(F.max(F.struct("n", "mean")).alias("x"))
+    # the SQL scales before it rounds
+    g = last.select("user_id", F.col("x.n").alias("n"), (F.round(F.col("x.mean") * 1e6) / 1e6).alias("score"))
+    # as in the SQL, NaN follows numbers, and null follows NaN
+    whole = F.coalesce(F.when(~F.isnan("score"), F.floor("score")), F.lit((1 << 63) - 1))
+    return M.positions(g, [F.asc_nulls_last("score"), F.asc_nulls_last("user_id")], whole, "place").withColumn("place", F.col("place") + 1)
 
 
 @query(
