@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +87,31 @@ def test_nearest_words_equal_brute_force(spark, least):
     assert sorted(map(tuple, got)) == want and len(want) > 10
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_bounds_leave_no_partner_out(seed, monkeypatch):
+    """Small parts, words of any characters, of one, and longer than a machine word has bits."""
+    r = random.Random(seed)
+    if seed % 3:
+        for name, size in (("TABLE", 16), ("CELLS", 64), ("PAIRS", 8)):
+            monkeypatch.setattr(fuzzy, name, size)
+    letters, longest, least = r.choice(["AB", "ABCDE", "ABCDEFGHIJKLMNOPQRSTUVWXYZÉÈ.,", "漢字仮名\0😀Aa"]), r.choice([9, 14, 70, 230]), r.choice([0.66, 0.5, 0.9, 0.3, 1.0])
+    make = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, longest)))
+    entries, words = sorted({make() for _ in range(r.choice([1, 40, 80]))}), list({make() for _ in range(80)})
+    got = sorted((words[k], entries[p], float(x)) for k, p, x in zip(*fuzzy.nearest(words, entries, least)))
+    assert got == sorted(x for w in words if (x := plain_nearest(w, entries, least)))
+
+
+def test_large_vocabularies_take_seconds(spark):
+    """A quarter of a million words and two thousand entries of few letters: pairs are scored in bulk."""
+    r = random.Random(4)
+    make = lambda: "".join(r.choices("ENTHAIROSL", k=r.randint(4, 14)))
+    frame = lambda n: spark.createDataFrame([(w,) for w in sorted({make() for _ in range(n)})], "w string")
+    words, entries = frame(250_000), frame(2_000)
+    begun = time.monotonic()
+    assert fuzzy.nearest_words(words, "w", entries, "w").count() > 100_000
+    assert time.monotonic() - begun < 40
+
+
 def test_corrections(spark):
     vocabulary = spark.createDataFrame([("ALTIMETER",), ("ONE",), ("WEATHER",), ("VISIBILITY",)], "w string")
     texts = {1: "ALTITUDE THREE", 2: "NEW", 3: "WEATHERS 12345 WEATHERS", 4: None, 5: "", 6: "THREE"}
@@ -93,6 +120,32 @@ def test_corrections(spark):
     assert {r.k for r in rows if r.changed} == {1, 3}
 
 
+def test_texts_are_cut_into_words_some_at_a_time(monkeypatch):
+    texts = pa.array(["A B", None, "", "C  D", "A" * 90, "E", None])
+    for size in (1, 20, 1 << 24):
+        monkeypatch.setattr(fuzzy, "BYTES", size)
+        got = [(part, lists, words) for part, lists, words in fuzzy._slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])] * 2), 0)]
+        assert [x for part, _, _ in got for x in part.column(0).to_pylist()] == texts.to_pylist() * 2
+        assert [x for _, lists, _ in got for x in lists.to_pylist()] == [None if t is None else t.split(" ") for t in texts.to_pylist()] * 2
+        assert all(words.dictionary.take(words.indices).equals(lists.flatten()) for _, lists, words in got)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1 << 17])
+def test_frequent_and_rare_words_are_corrected_alike(spark, frequent):
+    """Whatever is broadcast, words get the same fix; keys of any type, null and empty texts stay."""
+    r = random.Random(frequent)
+    vocabulary = ["ALTIMETER", "ONE", "WEATHER", "VISIBILITY", "ÉTÉS", "WIND"]
+    pool = ["ALTITUDE", "WEATHERS", "WEATHRE", "VISABILITY", "ÉTÉX", "THREE", "ONE", "NEW", "12345", "1234.", "WINDS", "WEATHER"]
+    texts = {f"k{k}": " ".join(r.choices(pool, k=r.randint(0, 9))) for k in range(40)} | {"null": None, "empty": ""}
+    frame = spark.createDataFrame(list(texts.items()), "k string, t string")
+    rows = fuzzy.corrected(frame, "k", "t", spark.createDataFrame([(w,) for w in vocabulary], "w string"), "w", frequent=frequent).collect()
+    keeps = lambda w: w in vocabulary or len(w) < 4 or w.rstrip(".,?").isdigit()
+    fix = {w: x[1] for w in pool if not keeps(w) and (x := plain_nearest(w, vocabulary, 0.66))}
+    want = {k: t if t is None else " ".join(fix.get(w, w) for w in t.split(" ")) for k, t in texts.items()}
+    assert {x.k: x.fixed for x in rows} == want and len(rows) == len(texts) and len(fix) > 5
+    assert {x.k for x in rows if x.changed} == {k for k, t in texts.items() if t != want[k]}
+
+
 def test_lexicon_query_uses_the_whole_vocabulary(spark):
     said = {r.doc_id: " ".join(r.text.upper().split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     vocabulary = {w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in r.text.upper().split()}
